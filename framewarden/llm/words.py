@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -57,7 +58,7 @@ def slices(sizes: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of an Arrow batch, each with its texts (null: empty)."""
     texts = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     for a, b in slices(sizes, most):
         part = batch.slice(a, b - a)
         yield part, [t or "" for t in part.column(column).to_pylist()]
