@@ -36,7 +36,9 @@ from .words import text_slices
 
 NEVER = np.int64(1 << 40)
 #: Words between white space kept encoded by a task, at most; when there are more it starts anew.
-KEPT = 1 << 17
+KEPT = 1 << 18
+#: Words of more bytes are encoded one by one.
+LONG = 64
 #: Bytes of text in a slice.
 SLICE = 8 << 20
 
@@ -131,16 +133,72 @@ class Automaton:
             q, t = np.where(copied, self.right[q], q), np.where(copied, t, self.left[t])
         return out
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all words (non-empty, as bytes) one after the other, and the offsets of the words in them."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words (non-empty, without line ends) one after the other, and the offsets of the words in them."""
+        data = np.frombuffer(("\n".join(words) + "\n").encode("utf-8", "surrogatepass"), np.uint8) if words else np.zeros(0, np.uint8)
+        ends = np.flatnonzero(data == 10)
+        sizes = np.diff(ends, prepend=-1) - 1
+        symbols = data[data != 10].astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         symbols[offsets[1:] - 1] += 256
+        long = np.flatnonzero(sizes > LONG)
+        if not len(long):
+            return self._in_step(symbols, offsets)
+        # long words one by one: in step with the others they would leave the rest behind
+        short = np.flatnonzero(sizes <= LONG)
+        kept = np.repeat(sizes <= LONG, sizes)
+        ids, at = self._in_step(symbols[kept], np.concatenate([[0], np.cumsum(sizes[short])]))
+        parts: list = [None] * len(words)
+        for i, a, b in zip(short.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            parts[i] = ids[a:b]
+        for i in long.tolist():
+            parts[i] = self._alone(symbols[offsets[i] : offsets[i + 1]].tolist())
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _alone(self, symbols: list[int]) -> np.ndarray:
+        """One word, place by place, on the same tables."""
+        if not hasattr(self, "dicts"):
+            self.dicts = [dict(zip(t.keys[t.keys >= 0].tolist(), t.values[t.keys >= 0].tolist(), strict=True)) for t in (self.trie, self.taken)]
+        trie, taken = self.dicts
+        n, left, right, birth, ends = self.n, self.left, self.right, self.birth, self.ends
+
+        def arc(q: int, t: int) -> bool:
+            until = int(NEVER)
+            while True:
+                if taken.get(q * n + t, until) < until:
+                    return False
+                born_q, born_t = int(birth[q]), int(birth[t])
+                if born_q < 0 and born_t < 0:
+                    return True
+                if born_q > born_t:
+                    q, until = int(right[q]), born_q
+                else:
+                    t, until = int(left[t]), born_t + 1
+
+        reached, step = [-1] * (len(symbols) + 1), [0] * (len(symbols) + 1)
+        for s in range(len(symbols)):
+            if s and reached[s] < 0:
+                continue
+            node = 0
+            for e in range(s, len(symbols)):
+                node = trie.get(node * 512 + symbols[e], -1)
+                if node < 0:
+                    break
+                token = int(ends[node])
+                if token >= 0 and reached[e + 1] < 0 and (not s or arc(reached[s], token)):
+                    reached[e + 1], step[e + 1] = token, e + 1 - s
+        out, at = [], len(symbols)
+        while at:
+            out.append(reached[at])
+            at -= step[at]
+        return np.array(out[::-1], np.int64)
+
+    def _in_step(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.diff(offsets)
         # reached[p]: the token that ends before symbol p of its word; one entry more per word for its end
-        reached = np.full(len(symbols) + len(words), -1, np.int64)
+        reached = np.full(len(symbols) + len(sizes), -1, np.int64)
         step = np.zeros(len(reached), np.int64)
-        home = offsets[:-1] + np.arange(len(words))
+        home = offsets[:-1] + np.arange(len(sizes))
         order = np.argsort(-sizes, kind="stable")
         by_size = -sizes[order]
         for s in range(int(sizes.max(initial=0))):
@@ -167,7 +225,7 @@ class Automaton:
         # back along the arcs, all words in step
         out, owner, number = [], [], []
         place = home + sizes
-        who, k = np.arange(len(words)), 0
+        who, k = np.arange(len(sizes)), 0
         while len(who):
             out.append(reached[place])
             owner.append(who)
@@ -178,7 +236,7 @@ class Automaton:
             who, place = who[on], place[on]
         ids, owner, number = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out, owner, number))
         order = np.lexsort((number, owner))
-        return ids[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+        return ids[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
 
 
 def byte_symbols() -> dict[str, int]:
@@ -218,37 +276,39 @@ class WordTokenizer:
     def compiled(self) -> WordTokenizer:
         """With the patterns, which are left out when the object is sent."""
         if "find" not in self.__dict__:
-            self.find = regex.compile(self.pattern).findall
-            self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda s: [s]
+            self.find = regex.compile(self.pattern + "|\n").findall
+            self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         return self
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("find", "cut")}
 
-    def _words(self, run: str) -> list[tuple[str, bool]]:
-        """The words of a run of text without white space: normalised ones, and special tokens as they are (True)."""
-        out = []
-        for i, part in enumerate(self.cut(run)):
-            if i % 2:
-                out.append((part, True))
-            elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case goes by character here
-                out += [(w, False) for w in self.find(part.lower())]
-        return out
-
-    def encode_runs(self, runs: list[str]) -> list[np.ndarray]:
-        """Token ids (uint32) of each run of text without white space."""
-        split = [self._words(r) for r in runs]
-        distinct = {w: None for words in split for w, special in words if not special}
-        ids, offsets = self.automaton.encode([w.encode("utf-8", "surrogatepass") for w in distinct])
-        ids = ids.astype("<u4")
-        of = {w: ids[a:b] for w, a, b in zip(distinct, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)}
-        return [np.concatenate([np.array([self.special[w]], "<u4") if special else of[w] for w, special in words]) if len(words) != 1 or words[0][1] else of[words[0][0]] for words in split]
+    def encode_runs(self, runs: list[str]) -> list[bytes]:
+        """The ids, as little-endian unsigned 32-bit integers, of each run of text without white space."""
+        whole = "\n".join(runs)
+        if self.special and any(t in whole for t in self.special):
+            return [self._with_special(r) for r in runs]
+        return self._plain(whole, len(runs))
+
+    def _with_special(self, run: str) -> bytes:
+        parts = self.cut(run)
+        return b"".join(self.special[p].to_bytes(4, "little") if i % 2 else self._plain(p, 1)[0] for i, p in enumerate(parts) if p)
+
+    def _plain(self, whole: str, n: int) -> list[bytes]:
+        """n runs, one on each line."""
+        if not whole.isascii():
+            whole = unicodedata.normalize("NFC", whole).replace("Σ", "σ")  # lower case goes by character here
+        found = self.find(whole.lower() + "\n")
+        line = np.flatnonzero(np.fromiter((w == "\n" for w in found), bool, len(found)))
+        ids, offsets = self.automaton.encode([w for w in found if w != "\n"])
+        data = ids.astype("<u4").tobytes()
+        ends = (4 * offsets[line - np.arange(n)]).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The labels of the arcs, with a space between."""
-        return " ".join([self.labels[i] for i in ids.tolist()])
+        labels = self.labels
+        return " ".join([labels[i] for i in ids.tolist()])
 
 
 #: White space that str.split knows and the tokenizer's pattern doesn't.
@@ -273,20 +333,21 @@ class Encoder:
         split = [runs_of(t) for t in texts]
         if len(self.kept) > KEPT:
             self.kept = {}
-        new = list({r for runs in split for r in runs if r not in self.kept})
+        new = list(set().union(*split).difference(self.kept))
         if new:
             ids = self.tokenizer.encode_runs(new)
             if self.decode:
-                self.kept.update((r, (x.tobytes(), self.tokenizer.decode(x))) for r, x in zip(new, ids, strict=True))
+                decode = self.tokenizer.decode
+                self.kept.update((r, (x, decode(np.frombuffer(x, "<u4")))) for r, x in zip(new, ids, strict=True))
             else:
-                self.kept.update((r, x.tobytes()) for r, x in zip(new, ids, strict=True))
+                self.kept.update(zip(new, ids, strict=True))
         kept = self.kept
         for runs in split:
             if self.decode:
                 found = [kept[r] for r in runs]
                 yield b"".join([x for x, _ in found]), " ".join([x for _, x in found])
             else:
-                yield b"".join([kept[r] for r in runs]), None
+                yield b"".join(map(kept.__getitem__, runs)), None
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from . import licences
 from .bagminhash import near_duplicates
+from .bpe import encode_digests
 from .exact_stream import exact_duplicates
+from .packing import pack_documents
 from .topk import top_k
 from .warc import archive_round_trip
 
@@ -32,11 +34,26 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """Where the box keeps the public tokenizer; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_dedup, op4_license_scan, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_dedup, op4_license_scan, op6_best_fit_packing, op8_bpe_encode_decode, op10_exact_top_k)}
 
 ORACLE_SQL = {
     "op2_warc": """
