@@ -16,6 +16,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII bytes but letters: what is apart from the letters of a word.
+NOT_LETTER = np.zeros(256, bool)
+NOT_LETTER[:128] = [not chr(i).isalpha() for i in range(128)]
 #: Bytes of text worked on at a time; a longer document is a slice of its own.
 SLICE = 1 << 20
 
@@ -64,7 +67,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE)
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
-def word_spans(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(texts: list[str], lower: bool = True, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, start and end of each word in them, and for each text the number of its first word (n + 1)."""
     whole = "\n".join(texts) + "\n"
     if lower:
@@ -73,7 +76,7 @@ def word_spans(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nda
     else:
         data = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
         sizes = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
-    inside = np.concatenate([[False], ~SPACE[data], [False]])
+    inside = np.concatenate([[False], ~apart[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -87,9 +90,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text the number of its first word (one more at the end)."""
-    data, starts, ends, first = word_spans(texts)
+    data, starts, ends, first = word_spans(texts, apart=apart)
     return span_hashes(data, starts, ends), first
 
 
