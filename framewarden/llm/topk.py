@@ -3,11 +3,12 @@
 The dimensions are cut into m blocks; each block is a list in which every vector has a local score, its part of the inner
 product, and the score is the sum over the lists. Local scores are shifted by the list's least, so none is negative.
 
-1. Each task gathers, for each query and list, its k highest local scores; they are merged, and the k-th highest sum of
-   what is known of a vector is tau1. No vector of the result sums to less, so it has some local score >= tau1 / m.
+1. Each task gathers, for each query and list, its highest local scores; the lists of a vector are in one row, so the
+   vectors gathered are summed there, and the task sends the k highest sums and each list's least. The k-th highest sum of
+   all tasks is tau1: no vector of the result sums to less, so it has some local score >= tau1 / m.
 2. tau1 / m is broadcast as the cutoff. Each task collects the local scores at or above it and adds them up by vector: a
    lower bound. With the cutoff in place of the others it is an upper bound; what is below tau1 goes. The k-th highest
-   lower bound is tau2.
+   lower bound, or tau1 if that is more, is tau2.
 3. The vectors with an upper bound of tau2 or more are looked up and scored exactly.
 
 Queries are taken in blocks of bounded size; each block is held against all rows.
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 
-ENTRY = "query_id long, list int, vec_id long, local long, least long"
+ENTRY = "query_id long, vec_id long, known long, least array<long>"
+#: Local scores gathered from each list, at least.
+DEPTH = 64
+NONE = -(1 << 62)
 BOUNDS = "query_id long, vec_id long, lower long, upper long"
 
 
@@ -34,9 +38,16 @@ def quantise(vector: Column, scale: int = 1024) -> Column:
     return F.when(good, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that a block of queries against one is a few megabytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     """Rows of the list column as an int64 matrix, shorter ones filled with zeros."""
-    sizes = np.diff(column.offsets.to_numpy())
+    sizes = np.diff(column.offsets.to_numpy())  # of the slice; flatten() is too
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if (sizes == width).all():
         return flat.reshape(len(sizes), width)
@@ -60,7 +71,7 @@ def _highest(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, lists: int = 4, block: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, lists: int = 2, block: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k highest integer inner products with the other rows.
 
     Ties go to the smaller vec_id; fewer rows than k give all. Null vectors and those with null or non-finite components
@@ -95,48 +106,43 @@ def _block(spark, rows: DataFrame, some: list, k: int, cuts: list[tuple[int, int
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_q, queries = sent.value
-        best: list = [None] * m
-        least: list = [None] * m
-        for batch in batches:
+        best, least = None, None
+        for batch in _parts(batches):
             ids = batch.column("vec_id").to_numpy()
-            for i, scores in enumerate(_local(queries, _matrix(batch.column("v"), width), cuts)):
-                low = scores.min(axis=1)
-                own = np.broadcast_to(ids, scores.shape)
-                scores = np.where(own == ids_q[:, None], np.iinfo(np.int64).min, scores)
-                best_i, least[i] = (scores, own), low if least[i] is None else np.minimum(low, least[i])
-                if best[i] is not None:
-                    best_i = tuple(np.concatenate(x, axis=1) for x in zip(best[i], _highest(*best_i, k), strict=True))
-                best[i] = _highest(*best_i, k)
-        for i in range(m):
-            if best[i] is not None:
-                scores, ids = best[i]
-                count = scores.shape[1]
-                keep = scores.reshape(-1) > np.iinfo(np.int64).min
-                columns = [np.repeat(ids_q, count)[keep], np.full(keep.sum(), i, np.int32), ids.reshape(-1)[keep], scores.reshape(-1)[keep], np.repeat(least[i], count)[keep]]
-                yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "list", "vec_id", "local", "least"])
-
-    # Phase 1. The least of a list comes from every task, its k highest from all of them merged.
+            scores = list(_local(queries, _matrix(batch.column("v"), width), cuts))
+            low = np.stack([x.min(axis=1) for x in scores])
+            least = low if least is None else np.minimum(least, low)
+            gathered = np.zeros(scores[0].shape, bool)
+            for x in scores:
+                at = min(max(k + 1, DEPTH), x.shape[1])
+                gathered |= x >= np.partition(x, -at, axis=1)[:, -at][:, None]
+            known = np.where(gathered & (ids_q[:, None] != ids), sum(scores), NONE)
+            mine = _highest(known, np.broadcast_to(ids, known.shape), k)
+            best = mine if best is None else _highest(*(np.concatenate(x, axis=1) for x in zip(best, mine, strict=True)), k)
+        if best is not None and len(ids_q):
+            known, ids = best
+            mins = np.repeat(least.T, known.shape[1], axis=0)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(mins.ravel()), m).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array(np.repeat(ids_q, known.shape[1])), pa.array(ids.ravel()), pa.array(known.ravel()), flat], ["query_id", "vec_id", "known", "least"])
+
+    # Phase 1: k rows a query from each task. A query without k other vectors gets no cutoff.
     local = stage(rows.select("vec_id", "v").mapInArrow(gather, ENTRY), "lists")
-    least = local.groupBy("query_id", "list").agg(F.min("least").alias("least"))
-    by_list = Window.partitionBy("query_id", "list").orderBy(F.desc("local"), "vec_id")
-    top = local.drop("least").withColumn("n", F.row_number().over(by_list)).where(F.col("n") <= k)
-    shifted = top.join(least.hint("merge"), ["query_id", "list"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("local") - F.col("least")).alias("known"))
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("known"))
-    tau1 = shifted.withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("known")).otherwise(0).alias("tau1"))
-    cut = tau1.join(least.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("list", "least"))).alias("least")).hint("merge"), "query_id").collect()  # a row per query of the block
+    least = local.groupBy("query_id").agg(F.array(*[F.min(F.col("least")[i]) for i in range(m)]).alias("least"))
+    by_known = Window.partitionBy("query_id").orderBy(F.desc("known"))
+    top = local.where(F.col("known") > NONE).select("query_id", "known").withColumn("n", F.row_number().over(by_known)).where(F.col("n") == k)
+    cut = least.join(top.hint("merge"), "query_id", "left").select("query_id", "least", "known").collect()  # a row per query of the block
     where = {int(x): i for i, x in enumerate(q_ids)}
     tau, shift = np.zeros(len(q_ids), np.int64), np.zeros((m, len(q_ids)), np.int64)
     for r in cut:
-        tau[where[r.query_id]] = r.tau1
-        for x in r.least:
-            shift[x.list, where[r.query_id]] = x.least
+        shift[:, where[r.query_id]] = r.least
+        tau[where[r.query_id]] = 0 if r.known is None else max(0, r.known - sum(r.least))
     cutoff = spark.sparkContext.broadcast((tau, shift))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_q, queries = sent.value
         tau1, mins = cutoff.value
         needed = -(-tau1 // m)  # scores are integers
-        for batch in batches:
+        for batch in _parts(batches):
             ids = batch.column("vec_id").to_numpy()
             lower = np.zeros((len(ids_q), len(ids)), np.int64)
             upper = np.zeros_like(lower)
@@ -152,7 +158,9 @@ def _block(spark, rows: DataFrame, some: list, k: int, cuts: list[tuple[int, int
     # Phase 2.
     bounds = stage(rows.select("vec_id", "v").mapInArrow(collect, BOUNDS), "bounds")
     by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"))
-    tau2 = bounds.select("query_id", "lower").withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).otherwise(0).alias("tau2"))
+    tau1 = spark.createDataFrame([(int(a), int(b)) for a, b in zip(q_ids, tau, strict=True)], "query_id long, tau1 long")
+    kth = bounds.select("query_id", "lower").withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).alias("kth"))
+    tau2 = tau1.join(F.broadcast(kth), "query_id", "left").select("query_id", F.greatest("tau1", "kth").alias("tau2"))
     open_pairs = bounds.join(F.broadcast(tau2), "query_id").where("upper >= tau2").select("query_id", "vec_id")  # tau2: a row per query of the block
 
     # Phase 3.
