@@ -9,6 +9,8 @@ from . import licences
 from .bagminhash import near_duplicates
 from .bpe import encode_digests
 from .exact_stream import exact_duplicates
+from .ftrl import toxicity
+from .mil import quality
 from .packing import pack_documents
 from .topk import top_k
 from .warc import archive_round_trip
@@ -49,11 +51,19 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_dedup, op4_license_scan, op6_best_fit_packing, op8_bpe_encode_decode, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_dedup, op4_license_scan, op6_best_fit_packing, op7_quality_classifier, op8_bpe_encode_decode, op9_toxicity, op10_exact_top_k)}
 
 ORACLE_SQL = {
     "op2_warc": """
