@@ -1,31 +1,73 @@
-"""The corpus pipeline: classifier, exact and near de-duplication, substring removal, packing; each stage on what is left."""
+"""The corpus pipeline: classifier, exact and near de-duplication, substring removal, packing; each stage on what is left.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewarden.llm.bagminhash import near_duplicates
+from framewarden.llm.chaining import without_repeats
 from framewarden.llm.exact_stream import exact_duplicates
-from framewarden.llm.staging import stage
+from framewarden.llm.mil import scorer
+from framewarden.llm.packing import pack_documents
+from framewarden.llm.queries import tokenizer_path
+from framewarden.llm.staging import BROADCAST_ROWS, stage
+from framewarden.llm.words import text_slices
+
+#: Documents that score less are rejected.
+QUALITY_CUT = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    score = scorer(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                yield part.filter(pa.array(score(texts) >= QUALITY_CUT))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    found = exact_duplicates(docs)
-    kept = found.where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    dropped = stage(exact_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
+    return _without(docs, dropped)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the row with the smallest doc_id stays."""
-    found = near_duplicates(docs)
-    dropped = found.where("not kept").select("doc_id").distinct()
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    dropped = stage(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
+    return _without(docs, dropped)
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose id isn't in ``dropped``, a staged table; it is broadcast if counted to be small, else shuffled."""
+    keys = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped.hint("shuffle_hash")
+    return docs.join(keys, "doc_id", "left_anti").select(docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller id has too are cut out."""
+    cut = without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token sequences that the documents are packed into: a row per piece."""
+    return pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("exact dedup", exact_stage), ("near dedup", near_stage)]
+STAGES = [("quality", quality_stage), ("exact dedup", exact_stage), ("near dedup", near_stage), ("substring dedup", substring_stage), ("packing", packing_stage)]
 
+#: SQL can't express the stages: the tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 

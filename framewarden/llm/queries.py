@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import licences
 from .bagminhash import near_duplicates
 from .bpe import encode_digests
+from .chaining import repeated_passages
 from .exact_stream import exact_duplicates
 from .ftrl import toxicity
 from .mil import quality
@@ -36,6 +37,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where the box keeps the public tokenizer; the operators take any path."""
     import public_tokenizers
@@ -63,7 +68,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_dedup, op4_license_scan, op6_best_fit_packing, op7_quality_classifier, op8_bpe_encode_decode, op9_toxicity, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_dedup, op4_license_scan, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_bpe_encode_decode, op9_toxicity, op10_exact_top_k)}
 
 ORACLE_SQL = {
     "op2_warc": """
