@@ -10,9 +10,9 @@ Jaccard similarity, without bias. Times beyond a limit (by the text's total weig
 leaves a component without a point the limit is doubled.
 
 Candidates. Equal texts are one node first. Bands of the signature give buckets; in a bucket each node is held against
-one hub only, and what isn't linked with the hub's class goes on to another hub, so rows stay in proportion to the
-input whatever the size of a bucket. 1 - J is a metric, so the links that a hub can hide are found exactly: a node at
-distance d > 1 - t from its hub can be near only those linked members whose distance from the hub is d - (1 - t) or more.
+one hub, the least, and those that aren't near it go on to the next few hubs among themselves, so pairs stay in proportion
+to the rows whatever the size of a bucket. 1 - J is a metric, so the links that a hub can hide are found exactly: a node at
+distance d > 1 - t from a hub can be near only those members near the hub whose distance from it is d - (1 - t) or more.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import semi_join, stage
 from .words import mix, shingle_multiset, shingles, text_slices, word_hashes
 
+#: Hubs that the nodes of a bucket are held against at a time, once one hub has settled most of them.
+HUBS = 8
 COMPONENTS_SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -157,24 +159,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stage(labels.join(hooks.hint("merge"), labels.class_id == hooks.ca, "left").select("node", F.coalesce("cb", "class_id").alias("class_id")), "labels")
 
 
-def _classes(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """pairs with the classes (class_a, class_b) of node and hub so far."""
-    if labels is None:
-        return pairs.withColumns({"class_a": F.col("node"), "class_b": F.col("hub")})
-    a = labels.select("node", F.col("class_id").alias("la")).hint("merge")
-    b = labels.select(F.col("node").alias("hub"), F.col("class_id").alias("lb")).hint("merge")
-    joined = pairs.join(a, "node", "left").join(b, "hub", "left")
-    return joined.withColumns({"class_a": F.coalesce("la", "node"), "class_b": F.coalesce("lb", "hub")}).drop("la", "lb")
-
-
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, ngram: int = 5, bands: int = 32, rows: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, ngram: int = 5, bands: int = 32, rows: int = 5
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), class_size, kept (is it that least one).
 
     Documents are linked when the weighted Jaccard similarity of their multisets of ``ngram``-word shingles is at least
-    ``threshold``; a class is a connected component of links and of equal texts. A pair at 0.8 misses all 32 bands of 4
-    with probability 5e-8. A null text counts as empty, all empty texts are equal, and a text without words has no
+    ``threshold``; a class is a connected component of links and of equal texts. A pair at 0.8 misses all 32 bands of 5
+    with probability 3e-6. A null text counts as empty, all empty texts are equal, and a text without words has no
     near copies but equal ones. A text of fewer than ``ngram`` words is one shingle. A null doc_id joins no class: it
     comes back with null class_id and class_size 1. Rows that repeat a doc_id are one node; other columns are not read.
     """
@@ -196,36 +188,35 @@ def near_duplicates(
         signed.join(nodes.hint("merge"), "digest").select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "members"
     )
 
-    buckets = members.where("bands is not null").select(F.explode("bands").alias("bucket"), "node")
-    labels, links = None, None
+    rest = members.where("bands is not null").select(F.explode("bands").alias("bucket"), "node")
+    texts, held, scored = None, None, None
     while True:
-        hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
-        held = stage(buckets.join(hubs.hint("merge"), "bucket").where("node <> hub"), "held")
-        if held.isEmpty():
+        pairs, rest = _against_hubs(rest, 1 if held is None else HUBS)
+        if pairs.isEmpty():
             break
-        if links is None:
-            ids = held.select("node").union(held.select(F.col("hub").alias("node"))).distinct()
-            ids = stage(ids, "ids")
+        if texts is None:  # the nodes of later rounds are among those of the first
+            ids = stage(pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct(), "ids")
             texts = stage(semi_join(base.where("doc_id is not null").withColumnRenamed("doc_id", "node"), ids, "node", ids.count()).dropDuplicates(["node"]), "texts")
-        # first one hub for each node, then the other hubs of the nodes that this has not brought into the hub's class
-        tested = None
-        for step in ("nearest", "others", "ring"):
-            if step == "nearest":
-                pairs = _classes(held.groupBy("node").agg(F.min("hub").alias("hub")), labels)
-            elif step == "others":
-                pairs = _classes(held.select("node", "hub").distinct().join(tested.select("node", "hub").hint("merge"), ["node", "hub"], "left_anti"), labels)
-            else:
-                pairs = _ring(held, tested, labels, threshold)
-            pairs = stage(pairs.where("class_a <> class_b").select("node", "hub").distinct(), "pairs")
-            if step != "nearest" and pairs.isEmpty():
-                continue
-            scored = stage(_verify(pairs, texts, ngram), "scored")
-            tested = scored if tested is None else tested.union(scored)
-            found = scored.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-            links = found if links is None else links.union(found)
-            labels = components(links)
-        # what isn't in its hub's class goes on, against another hub
-        buckets = stage(_classes(held, labels).where("class_a <> class_b").select("bucket", "node"), "rest")
+        new = pairs.select("node", "hub").distinct()
+        if scored is not None:
+            new = new.join(scored.select("node", "hub").hint("merge"), ["node", "hub"], "left_anti")
+        found = stage(_verify(new, texts, ngram), "scored")
+        scored = found if scored is None else scored.union(found)
+        held = pairs if held is None else held.union(pairs)
+        # a node near a hub of its bucket is settled there, and so is a hub; the others go on without them
+        settled = pairs.join(scored.where(F.col("similarity") >= threshold).hint("merge"), ["node", "hub"], "left_semi").select("bucket", "node")
+        settled = settled.union(pairs.select("bucket", F.col("hub").alias("node"))).distinct()
+        rest = stage(rest.join(settled.hint("merge"), ["bucket", "node"], "left_anti"), "rest")
+    labels = None
+    if held is not None:
+        near = F.col("similarity") >= threshold
+        edges = lambda df: df.where(near).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        labels = components(edges(scored))
+        ring = stage(_ring(held, scored, labels, threshold), "ring")
+        if not ring.isEmpty():
+            more = stage(_verify(ring, texts, ngram), "scored")
+            if not more.where(near).isEmpty():
+                labels = components(edges(scored.union(more)))
 
     out = members.select("doc_id", "node")
     if labels is not None:
@@ -238,12 +229,24 @@ def near_duplicates(
     return out.unionByName(nameless)
 
 
-def _ring(held: DataFrame, tested: DataFrame, labels: DataFrame | None, threshold: float) -> DataFrame:
-    """Pairs of an unlinked node and a linked member of the same hub and bucket that the triangle inequality leaves open."""
-    known = _classes(held, labels).join(tested.hint("merge"), ["node", "hub"], "left")
-    far = known.where((F.col("class_a") != F.col("class_b")) & (F.col("similarity") > 2 * threshold - 1))
-    far = far.select("bucket", "hub", F.col("node").alias("far_node"), F.col("similarity").alias("far_sim"), F.col("class_a").alias("far_class"))
-    ring = known.where(F.col("class_a") == F.col("class_b")).select("bucket", "hub", F.col("node").alias("ring_node"), F.col("similarity").alias("ring_sim"), F.col("class_a").alias("ring_class"))
-    near = F.col("ring_sim").isNull() | (F.col("ring_sim") - F.col("far_sim") <= 1 - threshold + 1e-9)
-    out = far.join(ring.hint("merge"), ["bucket", "hub"]).where(near & (F.col("far_class") != F.col("ring_class")))
-    return out.select(F.col("far_node").alias("node"), F.col("ring_node").alias("hub"), F.col("far_class").alias("class_a"), F.col("ring_class").alias("class_b"))
+def _against_hubs(rows: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (bucket, node) of each bucket against its least nodes, ``hubs`` of them: pairs (bucket, node, hub), node > hub,
+    and the rows of buckets that have more than one."""
+    if hubs == 1:
+        least = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
+        rows = stage(rows.join(least.hint("merge"), "bucket"), "held")
+        return rows.where("node > hub"), rows.select("bucket", "node")
+    order = Window.partitionBy("bucket").orderBy("node")
+    least = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= hubs).select("bucket", F.col("node").alias("hub"))
+    return stage(rows.join(least.hint("merge"), "bucket").where("node > hub"), "held"), rows
+
+
+def _ring(held: DataFrame, scored: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (node, hub) of a node far from a hub and one near it in the same bucket, of different classes, that the
+    triangle inequality leaves open."""
+    known = held.join(scored.where(F.col("similarity") > 2 * threshold - 1).hint("merge"), ["node", "hub"])
+    known = known.join(labels.hint("merge"), "node", "left").select("bucket", "hub", "node", "similarity", F.coalesce("class_id", "node").alias("class_id"))
+    far = known.where(F.col("similarity") < threshold).select("bucket", "hub", F.col("node").alias("far_node"), F.col("similarity").alias("far_similarity"), F.col("class_id").alias("far_class"))
+    near = known.where(F.col("similarity") >= threshold)
+    both = far.join(near.hint("merge"), ["bucket", "hub"]).where((F.col("far_class") != F.col("class_id")) & (F.col("similarity") - F.col("far_similarity") <= 1 - threshold + 1e-9))
+    return both.select(F.col("far_node").alias("node"), F.col("node").alias("hub")).distinct()
