@@ -46,7 +46,7 @@ def process_summary(samples: DataFrame) -> DataFrame:
 
 
 def stage_totals(frames: DataFrame) -> DataFrame:
-    s = lambda c: F.round(F.sum(c) / 1000.0, 3)
+    s = lambda c: F.round(F.sum(c) / 1000.0, 5)
     return frames.groupBy("run_id").agg(s("detect_ms").alias("detect_sec"), s("reid_ms").alias("reid_sec"), s("cross_ms").alias("cross_sec"), s("infer_ms").alias("infer_sec"), F.round(F.count("*") / F.nullif(F.sum("infer_ms") / 1000.0, F.lit(0.0)), 3).alias("fps_infer"))
 
 

@@ -249,7 +249,7 @@ register("prompt_terms", "SELECT prompt_id, array_to_string(list_distinct_ordere
 )
 register("prompt_ids", "SELECT prompt_id, term, CAST(min(i) AS INT) AS term_id FROM (SELECT prompt_id, lower(unnest(segs)) AS term, generate_subscripts(segs, 1) AS i FROM ck_segs) t GROUP BY 1, 2")(lambda fx: P.prompt_ids(fx.prompts))
 register("label_slug", "SELECT prompt_id, trim(regexp_replace(lower(trim(prompt)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM fx_prompts")(lambda fx: fx.prompts.select("prompt_id", T.label_slug(F.col("prompt")).alias("slug")))
-register("filter_classes", "SELECT class_id, name FROM fx_classes WHERE contains(lower(name), 'steel') OR CAST(class_id AS VARCHAR) = 'steel'")(lambda fx: P.filter_classes(fx.classes, "Steel"))
+register("filter_classes", "SELECT class_id, name FROM fx_classes WHERE contains(lower(name), 'widget') OR CAST(class_id AS VARCHAR) = 'widget'")(lambda fx: P.filter_classes(fx.classes, "Widget"))
 register("catalogs_in_sync", "SELECT (SELECT list(name ORDER BY class_id) FROM fx_classes) = (SELECT list(upper(name) ORDER BY class_id) FROM fx_classes) AS in_sync")(lambda fx: P.catalogs_in_sync(fx.classes, fx.classes.withColumn("name", F.upper("name"))))
 register("merge_prompt", "SELECT prompt_id, concat(array_to_string(list_transform(list_filter(list_zip(range(len(l)), l), lambda z: list_position(l, z[2]) = z[1] + 1), lambda z: z[2]), '. ')) AS merged FROM (SELECT prompt_id, list_append(list_transform(segs, lambda s: lower(s)), 'helmet') AS l FROM ck_segs) a")(
     lambda fx: fx.prompts.select("prompt_id", T.merge_prompt(F.col("prompt"), F.array(F.lit(" Helmet "))).alias("merged"))
@@ -295,7 +295,7 @@ register("stride_summary", """SELECT run_id, source_frames, processed, greatest(
 register("gpu_summary", "SELECT run_id, round(avg(gpu_util_pct), 2) AS avg_util, max(gpu_util_pct) AS peak_util, round(avg(mem_used_mb), 2) AS avg_mem, round(max(mem_used_mb), 2) AS peak_mem, count(*) AS n FROM fx_samples GROUP BY 1")(lambda fx: U.gpu_summary(fx.samples))
 register("process_summary", """SELECT run_id, round(b, 2) AS rss_baseline_mb, round(coalesce(top, e), 2) AS rss_peak_mb, round(e, 2) AS rss_end_mb, round(greatest(0, coalesce(top, e) - b), 2) AS rss_delta_peak_mb, samples FROM
  (SELECT run_id, arg_min(process_rss_mb, t_sec) AS b, arg_max(process_rss_mb, t_sec) AS e, max(process_rss_mb) FILTER (process_rss_mb > 0) AS top, count(*) AS samples FROM fx_samples GROUP BY 1) t""")(lambda fx: U.process_summary(fx.samples))
-register("stage_totals", "SELECT run_id, round(sum(detect_ms) / 1000.0, 3) AS detect_sec, round(sum(reid_ms) / 1000.0, 3) AS reid_sec, round(sum(cross_ms) / 1000.0, 3) AS cross_sec, round(sum(infer_ms) / 1000.0, 3) AS infer_sec, round(count(*) / nullif(sum(infer_ms) / 1000.0, 0), 3) AS fps_infer FROM fx_frames GROUP BY 1")(lambda fx: U.stage_totals(fx.frames))
+register("stage_totals", "SELECT run_id, round(sum(detect_ms) / 1000.0, 5) AS detect_sec, round(sum(reid_ms) / 1000.0, 5) AS reid_sec, round(sum(cross_ms) / 1000.0, 5) AS cross_sec, round(sum(infer_ms) / 1000.0, 5) AS infer_sec, round(count(*) / nullif(sum(infer_ms) / 1000.0, 0), 3) AS fps_infer FROM fx_frames GROUP BY 1")(lambda fx: U.stage_totals(fx.frames))
 RATIO = "SELECT run_id, round(sec / nullif(source_frames / fps, 0), 4) AS ratio, sec / nullif(source_frames / fps, 0) <= 1.15 AS realtime_ok FROM ck_source LEFT JOIN (SELECT run_id, sum(infer_ms) / 1000.0 AS sec FROM fx_frames GROUP BY 1) s USING (run_id)"
 register("realtime_ratio", RATIO)(lambda fx: U.realtime_ratio(fx.frames, fx.runs))
 register("compare_runs", f"SELECT *, CAST(row_number() OVER (ORDER BY ratio NULLS LAST, run_id) AS INT) AS place FROM ({RATIO}) t")(lambda fx: U.compare_runs(fx.frames, fx.runs))

@@ -9,10 +9,13 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """Pairs (row, column) that maximise the sum of limit - cost over pairs of cost < limit.
 
     Shortest augmenting paths with potentials on the gains padded to a square; padding and bad pairs gain nothing."""
+    # only rows and columns with a pair worth making take part
+    at_rows, at_columns = np.flatnonzero((cost < limit).any(axis=1)), np.flatnonzero((cost < limit).any(axis=0))
+    if not len(at_rows):
+        return []
+    cost = cost[np.ix_(at_rows, at_columns)]
     rows, columns = cost.shape
     n = max(rows, columns)
-    if not rows or not columns:
-        return []
     loss = np.zeros((n, n))
     loss[:rows, :columns] = -np.maximum(0.0, limit - cost)
     u, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -36,4 +39,4 @@ def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
             match[j0] = match[way[j0]]
             j0 = way[j0]
     pairs = [(int(match[j]) - 1, j - 1) for j in range(1, columns + 1) if 0 < match[j] <= rows]
-    return sorted((r, c) for r, c in pairs if cost[r, c] < limit)
+    return sorted((int(at_rows[r]), int(at_columns[c])) for r, c in pairs if cost[r, c] < limit)

@@ -36,6 +36,20 @@ def iou(a: tuple, b: tuple) -> float:
     return w * h / union if union > 0 else 0.0
 
 
+def overlaps(a: list[tuple], b: list[tuple]) -> np.ndarray:
+    """The IoU of each box of a with each of b."""
+    x, y = np.array(a, float).reshape(-1, 1, 4), np.array(b, float).reshape(1, -1, 4)
+    sides = np.minimum(x[..., 2:], y[..., 2:]) - np.maximum(x[..., :2], y[..., :2])
+    inter = np.where((sides > 0).all(axis=-1), sides.prod(axis=-1), 0.0)
+    area = lambda c: np.maximum(0.0, c[..., 2] - c[..., 0]) * np.maximum(0.0, c[..., 3] - c[..., 1])
+    union = area(x) + area(y) - inter
+    return np.divide(inter, union, out=np.zeros_like(inter), where=(inter > 0) & (union > 0))
+
+
+def same_label(a: list[str], b: list[str]) -> np.ndarray:
+    return np.array([[x.lower() == y.lower() for y in b] for x in a]).reshape(len(a), len(b))
+
+
 def unit(v: np.ndarray | None, least: float = 1e-8) -> np.ndarray | None:
     if v is None or not len(v):
         return None
@@ -124,6 +138,7 @@ class Track:
     seen: bool = True
     ema: np.ndarray | None = None
     embs: list = field(default_factory=list)
+    mean: np.ndarray | None = None  # of embs, at length 1
 
 
 class MaskletTracker:
@@ -199,7 +214,7 @@ class MaskletTracker:
         pool = [t for t in [*self.live.values(), *self.lost.values()] if t.oid not in taken]
         free = [d for d in range(len(rows)) if d not in got]
         if pool and free:
-            overlap = np.array([[iou(rows[d].box, t.box) * (1.0 if rows[d].label.lower() == t.label.lower() else 0.5) for t in pool] for d in free])
+            overlap = overlaps([rows[d].box for d in free], [t.box for t in pool]) * np.where(same_label([rows[d].label for d in free], [t.label for t in pool]), 1.0, 0.5)
             for i, j in assign(1 - overlap, 1 - self.match_iou):
                 self.recoveries += pool[j].oid in self.lost
                 take(free[i], pool[j].oid)
@@ -263,8 +278,7 @@ class AppearanceTracker:
         self.recoveries = 0
 
     def _alike(self, v: np.ndarray, t: Track) -> float:
-        mean = unit(np.mean(t.embs, axis=0)) if t.embs else None
-        return 0.0 if mean is None else float(v @ mean)
+        return 0.0 if t.mean is None else float(v @ t.mean)
 
     def _gate(self, t: Track) -> float:
         return self.recovery if t.oid in self.lost else max(0.35, self.appearance - 0.12)
@@ -274,6 +288,7 @@ class AppearanceTracker:
             self.recoveries += 1
         t.box, t.label, t.motion, t.misses, t.seen = r.box, r.label, r.motion, 0, True
         t.embs = [*t.embs, r.emb][-self.gallery_size :]
+        t.mean = unit(np.mean(t.embs, axis=0))
         self.live[t.oid] = t
         if r.motion >= 0:
             self.by_motion[r.motion] = t.oid
@@ -299,13 +314,13 @@ class AppearanceTracker:
                 take(d, t)
         free, open_ = [d for d in range(len(rows)) if d not in got], [t for t in pool if t.oid not in taken]
         if free and open_:
-            cost = np.full((len(free), len(open_)), 1e6)
-            for i, d in enumerate(free):
-                for j, t in enumerate(open_):
-                    app = self._alike(rows[d].emb, t)
-                    if app >= self._gate(t):
-                        score = self.w_iou * iou(rows[d].box, t.box) + self.w_app * app * (1.0 if t.label.lower() == rows[d].label.lower() else 0.5)
-                        cost[i, j] = 1 - score if score >= self.min_score else 1e6
+            v = np.array([rows[d].emb for d in free])
+            means = np.array([np.zeros(v.shape[1]) if t.mean is None else t.mean for t in open_])
+            app = v @ means.T
+            good = app >= np.array([self._gate(t) for t in open_])
+            same = np.where(same_label([rows[d].label for d in free], [t.label for t in open_]), 1.0, 0.5)
+            score = self.w_iou * overlaps([rows[d].box for d in free], [t.box for t in open_]) + self.w_app * app * same
+            cost = np.where(good & (score >= self.min_score), 1 - score, 1e6)
             for i, j in assign(cost, 1 - self.min_score):
                 take(free[i], open_[j])
         for d, r in enumerate(rows):
