@@ -49,15 +49,15 @@ def fmt_bytes(n: Column) -> Column:
     x = n.cast("double")
     out = F.when(F.abs(x) < 1024, F.concat(x.cast("bigint").cast("string"), F.lit(" B")))
     for power, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(F.abs(x) < 1024.0 ** (power + 1), F.format_string(f"%.2f {unit}", x / 1024.0**power))
-    return F.when(n.isNull(), "—").otherwise(out.otherwise(F.format_string("%.2f TB", x / 1024.0**4)))
+        out = out.when(F.abs(x) < 1024.0 ** (power + 1), F.format_string(f"%.2f {unit}", F.bround(x / 1024.0**power, 2)))
+    return F.when(n.isNull(), "—").otherwise(out.otherwise(F.format_string("%.2f TB", F.bround(x / 1024.0**4, 2))))
 
 
 def fmt_sec(s: Column) -> Column:
     m = F.floor(s / 60)
     return (
         F.when(s.isNull() | (s < 0), "—")
-        .when(s < 60, F.format_string("%.1f с", s))
+        .when(s < 60, F.format_string("%.1f с", F.bround(s, 1)))
         .when(m < 60, F.format_string("%d мин %s с", m, F.bround(s - m * 60).cast("int").cast("string")))
         .otherwise(F.format_string("%d ч %d мин", F.floor(m / 60), m % 60))
     )

@@ -204,16 +204,17 @@ register("crop_ok", """SELECT run_id, frame_idx, det_idx, xb > xa AND yb > ya AN
 register("scale_geometry", "SELECT run_id, frame_idx, inst_idx, " + ", ".join(f"CAST(round_even({c} * CAST({s} AS DOUBLE), 0) AS INT) AS {c}" for c, s in (("x0", 1.5), ("y0", 1.5), ("x1", 1.5), ("y1", 1.5))) + " FROM fx_instances")(
     lambda fx: fx.instances.select("run_id", "frame_idx", "inst_idx", *[G.scale_round(F.col(c), F.lit(1.5)).alias(c) for c in G.Box._fields])
 )
-PERSON = G.Box(*(F.lit(v) for v in (300.0, 100.0, 980.0, 620.0)))
+def person() -> G.Box:
+    return G.Box(*(F.lit(v) for v in (300.0, 100.0, 980.0, 620.0)))
 
 
 def torso(fx: Fixtures) -> DataFrame:
     points = fx.keypoints.groupBy("run_id", "frame_idx").agg(F.collect_list(F.struct("id", "x", "y", "conf")).alias("p"))
-    return points.withColumn("t", G.torso_box(F.col("p"), PERSON))
+    return points.withColumn("t", G.torso_box(F.col("p"), person()))
 
 
 register("torso_box", "SELECT run_id, frame_idx, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM ck_torso_ok")(lambda fx: r6(torso(fx).where("t is not null").select("run_id", "frame_idx", "t.*"), *G.Box._fields))
-register("choose_crop", "SELECT * FROM ck_chosen")(lambda fx: torso(fx).withColumn("c", G.choose_crop(F.col("t"), PERSON)).select("run_id", "frame_idx", F.when(F.col("c.x0") != 300.0, 1).when((F.col("c.x1") != 980.0) | (F.col("c.y0") != 100.0), 1).otherwise(0).alias("torso")))
+register("choose_crop", "SELECT * FROM ck_chosen")(lambda fx: torso(fx).withColumn("c", G.choose_crop(F.col("t"), person())).select("run_id", "frame_idx", F.when(F.col("c.x0") != 300.0, 1).when((F.col("c.x1") != 980.0) | (F.col("c.y0") != 100.0), 1).otherwise(0).alias("torso")))
 register("encode_runs", "SELECT mask_id, array_to_string(counts, ',') AS counts FROM ck_masks")(lambda fx: M.encode_runs(fx.pixels).select("mask_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts")))
 register("mask_geometry", """SELECT mask_id, count(*) FILTER (v = 1) AS area_px, CAST(min(p % 8) FILTER (v = 1 AND NOT wrap) AS INT) AS one FROM fx_pixels GROUP BY 1""".replace(", CAST(min(p % 8) FILTER (v = 1 AND NOT wrap) AS INT) AS one", ", CAST(min(floor(p / 8)) FILTER (v = 1) AS INT) AS bbox_y, CAST(max(floor(p / 8)) FILTER (v = 1) - min(floor(p / 8)) FILTER (v = 1) + 1 AS INT) AS bbox_h"))(
     lambda fx: M.mask_geometry(M.encode_runs(fx.pixels).withColumns({"height": F.lit(8), "width": F.lit(8)})).select("mask_id", "area_px", "bbox_y", "bbox_h")
@@ -225,8 +226,7 @@ register("skeleton_edges", f"SELECT p.run_id, p.frame_idx, e.a, e.b, round(p.x,
 )
 
 # --- detections ---
-TERMS = F.array(F.lit("person"), F.lit("hard-hat"))
-register("label_match", "SELECT run_id, frame_idx, det_idx FROM fx_detections WHERE lower(label) IN ('person', 'hard-hat')")(lambda fx: D.match_labels(fx.detections, TERMS).select("run_id", "frame_idx", "det_idx"))
+register("label_match", "SELECT run_id, frame_idx, det_idx FROM fx_detections WHERE lower(label) IN ('person', 'hard-hat')")(lambda fx: D.match_labels(fx.detections, F.array(F.lit("person"), F.lit("hard-hat"))).select("run_id", "frame_idx", "det_idx"))
 register("min_conf", "SELECT run_id, frame_idx, acc_idx, conf FROM fx_accessories WHERE conf >= 0.30")(lambda fx: D.min_conf(fx.accessories, 0.30).select("run_id", "frame_idx", "acc_idx", "conf"))
 register("fallback_ids", "SELECT run_id, frame_idx, det_idx, CAST(CASE WHEN motion_id >= 0 THEN motion_id ELSE det_idx + 1 END AS BIGINT) AS object_id FROM fx_detections")(lambda fx: D.fallback_ids(fx.detections).select("run_id", "frame_idx", "det_idx", "object_id"))
 register("merge_fallback", f"""SELECT run_id, frame_idx, det_idx, CAST(NULL AS INT) AS seg_idx, x0, y0, x1, y1, label, conf, CAST(motion_id AS BIGINT) AS motion_id FROM fx_detections
@@ -333,7 +333,7 @@ register("list_jobs", "SELECT job_id, status, created_at FROM fx_jobs ORDER BY c
 register("latest_job", "SELECT job_id, status FROM fx_jobs ORDER BY created_at DESC, job_id LIMIT 1")(lambda fx: U.latest_job(fx.jobs).select("job_id", "status"))
 register("active_job", "SELECT job_id, status FROM fx_jobs WHERE status IN ('queued', 'running') ORDER BY created_at DESC, job_id LIMIT 1")(lambda fx: U.active_job(fx.jobs).select("job_id", "status"))
 PROGRESS = "round(100.0 * CAST(current_frames AS DOUBLE) / total_frames, 2) AS percent"
-register("job_progress", f"SELECT job_id, status, phase, {PROGRESS}, round(current_frames / elapsed_sec, 6) AS fps, round(CASE WHEN total_frames > current_frames THEN (total_frames - current_frames) / (current_frames / elapsed_sec) ELSE 0 END, 4) AS eta_seconds FROM fx_jobs")(lambda fx: U.job_progress(fx.jobs))
+register("job_progress", f"SELECT job_id, status, phase, {PROGRESS}, round(current_frames / elapsed_sec, 6) AS fps, round(CASE WHEN total_frames > current_frames AND current_frames > 0 THEN (total_frames - current_frames) / (current_frames / elapsed_sec) ELSE 0 END, 4) AS eta_seconds FROM fx_jobs")(lambda fx: U.job_progress(fx.jobs))
 register("with_labels", "SELECT job_id, CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.STATUS.items()) + " ELSE status END AS status_text, CASE phase " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.PHASE.items()) + " ELSE phase END AS phase_text FROM fx_jobs")(lambda fx: U.with_labels(fx.jobs).select("job_id", "status_text", "phase_text"))
 register("job_summary", f"SELECT job_id, {PROGRESS}, CASE WHEN n IS NULL THEN '—' WHEN n < 1024 THEN concat(n, ' B') ELSE printf('%.2f KB', n / 1024.0) END AS input_size FROM fx_jobs LEFT JOIN (SELECT file_id AS job_id, strlen(content) AS n FROM fx_files) f USING (job_id)")(lambda fx: U.job_summary(fx.jobs, fx.files).select("job_id", "percent", "input_size"))
 register("throttle", "SELECT job_id, current_frames AS current FROM fx_jobs")(
