@@ -10,9 +10,10 @@ Jaccard similarity, without bias. Times beyond a limit (by the text's total weig
 leaves a component without a point the limit is doubled.
 
 Candidates. Equal texts are one node first. Bands of the signature give buckets; in a bucket each node is held against
-one hub, the least, and those that aren't near it go on to the next few hubs among themselves, so pairs stay in proportion
-to the rows whatever the size of a bucket. 1 - J is a metric, so the links that a hub can hide are found exactly: a node at
-distance d > 1 - t from a hub can be near only those members near the hub whose distance from it is d - (1 - t) or more.
+one hub, the least. What is then in its hub's class is settled; of the others those that share too few shingles with their
+whole buckets to be near anything go, and the rest goes on to further hubs, so pairs stay in proportion to the rows whatever
+the size of a bucket. 1 - J is a metric, so the links that a hub can hide are found exactly: a node at distance d > 1 - t
+from a hub can be near only those members near the hub whose distance from it is d - (1 - t) or more.
 """
 
 from __future__ import annotations
@@ -21,14 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import semi_join, stage
 from .words import mix, shingle_multiset, shingles, text_slices, word_hashes
 
-#: Hubs that the nodes of a bucket are held against at a time, once one hub has settled most of them.
-HUBS = 8
 COMPONENTS_SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -188,35 +187,17 @@ def near_duplicates(
         signed.join(nodes.hint("merge"), "digest").select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "members"
     )
 
-    rest = members.where("bands is not null").select(F.explode("bands").alias("bucket"), "node")
-    texts, held, scored = None, None, None
-    while True:
-        pairs, rest = _against_hubs(rest, 1 if held is None else HUBS)
-        if pairs.isEmpty():
-            break
-        if texts is None:  # the nodes of later rounds are among those of the first
-            ids = stage(pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct(), "ids")
-            texts = stage(semi_join(base.where("doc_id is not null").withColumnRenamed("doc_id", "node"), ids, "node", ids.count()).dropDuplicates(["node"]), "texts")
-        new = pairs.select("node", "hub").distinct()
-        if scored is not None:
-            new = new.join(scored.select("node", "hub").hint("merge"), ["node", "hub"], "left_anti")
-        found = stage(_verify(new, texts, ngram), "scored")
-        scored = found if scored is None else scored.union(found)
-        held = pairs if held is None else held.union(pairs)
-        # a node near a hub of its bucket is settled there, and so is a hub; the others go on without them
-        settled = pairs.join(scored.where(F.col("similarity") >= threshold).hint("merge"), ["node", "hub"], "left_semi").select("bucket", "node")
-        settled = settled.union(pairs.select("bucket", F.col("hub").alias("node"))).distinct()
-        rest = stage(rest.join(settled.hint("merge"), ["bucket", "node"], "left_anti"), "rest")
+    rows = members.where("bands is not null").select(F.explode("bands").alias("bucket"), "node")
+    held = _against_hubs(rows)
     labels = None
-    if held is not None:
-        near = F.col("similarity") >= threshold
-        edges = lambda df: df.where(near).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        labels = components(edges(scored))
-        ring = stage(_ring(held, scored, labels, threshold), "ring")
-        if not ring.isEmpty():
-            more = stage(_verify(ring, texts, ngram), "scored")
-            if not more.where(near).isEmpty():
-                labels = components(edges(scored.union(more)))
+    if not held.isEmpty():
+        ids = stage(held.select("node").union(held.select(F.col("hub").alias("node"))).distinct(), "ids")
+        texts = stage(semi_join(base.where("doc_id is not null").withColumnRenamed("doc_id", "node"), ids, "node", ids.count()).dropDuplicates(["node"]), "texts")
+        scored = stage(_verify(held.select("node", "hub").distinct(), texts, ngram), "scored")
+        labels = _linked(scored, threshold)
+        rest = stage(_apart(held, labels), "rest")
+        if not rest.isEmpty():
+            labels = _rest(rest, held, scored, labels, texts, threshold, ngram)
 
     out = members.select("doc_id", "node")
     if labels is not None:
@@ -229,24 +210,80 @@ def near_duplicates(
     return out.unionByName(nameless)
 
 
-def _against_hubs(rows: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (bucket, node) of each bucket against its least nodes, ``hubs`` of them: pairs (bucket, node, hub), node > hub,
-    and the rows of buckets that have more than one."""
-    if hubs == 1:
-        least = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
-        rows = stage(rows.join(least.hint("merge"), "bucket"), "held")
-        return rows.where("node > hub"), rows.select("bucket", "node")
-    order = Window.partitionBy("bucket").orderBy("node")
-    least = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= hubs).select("bucket", F.col("node").alias("hub"))
-    return stage(rows.join(least.hint("merge"), "bucket").where("node > hub"), "held"), rows
+def _against_hubs(rows: DataFrame) -> DataFrame:
+    """(bucket, node, hub): the rows of each bucket against its least node."""
+    least = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
+    return stage(rows.select("bucket", "node").join(least.hint("merge"), "bucket").where("node > hub"), "held")
+
+
+def _linked(scored: DataFrame, threshold: float) -> DataFrame:
+    return components(scored.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
 
+def _apart(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``held`` whose node isn't in the class of its hub yet."""
+    a = labels.select("node", F.col("class_id").alias("class_a")).hint("merge")
+    b = labels.select(F.col("node").alias("hub"), F.col("class_id").alias("class_b")).hint("merge")
+    joined = held.join(a, "node", "left").join(b, "hub", "left")
+    return joined.where(F.coalesce("class_a", "node") != F.coalesce("class_b", "hub")).select("bucket", "node", "hub")
 
-def _ring(held: DataFrame, scored: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (node, hub) of a node far from a hub and one near it in the same bucket, of different classes, that the
-    triangle inequality leaves open."""
-    known = held.join(scored.where(F.col("similarity") > 2 * threshold - 1).hint("merge"), ["node", "hub"])
+
+def _rest(rest: DataFrame, held: DataFrame, scored: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, ngram: int) -> DataFrame:
+    """Classes with the links among nodes that their first hub hasn't settled, and from these to nodes near that hub."""
+    able = _able(rest, held, texts, threshold, ngram)
+    rest = stage(rest.join(able.hint("merge"), "node", "left_semi"), "rest")
+    tested, seen = scored, held
+    while True:
+        more = _against_hubs(rest.select("bucket", "node"))
+        pairs = stage(_apart(more, labels).select("node", "hub").distinct().join(tested.select("node", "hub").hint("merge"), ["node", "hub"], "left_anti"), "pairs")
+        if more.isEmpty():
+            break
+        if not pairs.isEmpty():
+            found = stage(_verify(pairs, texts, ngram), "scored")
+            tested = tested.union(found)
+            labels = _linked(tested, threshold)
+        seen = seen.union(more)
+        rest = stage(_apart(more, labels), "rest")
+    # a node far from a hub against those near it
+    known = seen.join(tested.where(F.col("similarity") > 2 * threshold - 1).hint("merge"), ["node", "hub"])
     known = known.join(labels.hint("merge"), "node", "left").select("bucket", "hub", "node", "similarity", F.coalesce("class_id", "node").alias("class_id"))
-    far = known.where(F.col("similarity") < threshold).select("bucket", "hub", F.col("node").alias("far_node"), F.col("similarity").alias("far_similarity"), F.col("class_id").alias("far_class"))
-    near = known.where(F.col("similarity") >= threshold)
-    both = far.join(near.hint("merge"), ["bucket", "hub"]).where((F.col("far_class") != F.col("class_id")) & (F.col("similarity") - F.col("far_similarity") <= 1 - threshold + 1e-9))
-    return both.select(F.col("far_node").alias("node"), F.col("node").alias("hub")).distinct()
+    far = known.where(F.col("similarity") < threshold).join(able.hint("merge"), "node", "left_semi")
+    far = far.select("bucket", "hub", F.col("node").alias("far_node"), F.col("similarity").alias("far_similarity"), F.col("class_id").alias("far_class"))
+    both = far.join(known.where(F.col("similarity") >= threshold).hint("merge"), ["bucket", "hub"])
+    both = both.where((F.col("far_class") != F.col("class_id")) & (F.col("similarity") - F.col("far_similarity") <= 1 - threshold + 1e-9))
+    ring = stage(both.select(F.col("far_node").alias("node"), F.col("node").alias("hub")).distinct(), "ring")
+    if not ring.isEmpty():
+        labels = _linked(tested.union(stage(_verify(ring, texts, ngram), "scored")), threshold)
+    return labels
+
+
+def _able(rest: DataFrame, held: DataFrame, texts: DataFrame, threshold: float, ngram: int) -> DataFrame:
+    """(node): the nodes of ``rest`` that can have a near copy at all.
+
+    Two multisets of n and m shingles that are alike to t share t (n + m) / (1 + t) of them. So many shingles of the node
+    must then occur in other nodes of its buckets, the smallest of which gives m (t n at least). This is exact: a node
+    that fails has no link."""
+    buckets = rest.select("bucket").distinct()
+    mates = held.join(buckets.hint("merge"), "bucket", "left_semi")
+    mates = stage(mates.select("bucket", "node").union(mates.select("bucket", F.col("hub").alias("node"))).distinct(), "mates")
+    ids = stage(mates.select("node").distinct(), "ids")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, some in text_slices(batch):
+                words, first = word_hashes(some)
+                values, offsets = shingles(words, first, ngram)
+                owner = np.repeat(part.column("node").to_numpy(), np.diff(offsets))
+                yield pa.record_batch([pa.array(owner), pa.array(values.view(np.int64))], ["node", "token"])
+
+    tokens = texts.join(ids.hint("merge"), "node", "left_semi").mapInArrow(explode, "node long, token long").groupBy("node", "token").agg(F.count("*").alias("n"))
+    tokens = stage(tokens, "tokens")
+    sizes = stage(tokens.groupBy("node").agg(F.sum("n").alias("size")), "sizes")
+    shared = tokens.groupBy("token").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("token")
+    nodes = rest.select("node").distinct()
+    mine = tokens.join(nodes.hint("merge"), "node", "left_semi").join(shared.hint("merge"), "token").groupBy("node").agg(F.sum("n").alias("shared"))
+    least = mates.join(sizes.hint("merge"), "node").groupBy("bucket").agg(F.min("size").alias("least"))
+    smallest = rest.select("bucket", "node").join(least.hint("merge"), "bucket").groupBy("node").agg(F.min("least").alias("least"))
+    both = mine.join(sizes.hint("merge"), "node").join(smallest.hint("merge"), "node")
+    needed = threshold / (1 + threshold) * (F.col("size") + F.greatest(F.col("least").cast("double"), threshold * F.col("size")))
+    return stage(both.where(F.col("shared") >= needed - 1e-6).select("node"), "able")
