@@ -152,7 +152,7 @@ def job_progress(jobs: DataFrame) -> DataFrame:
     cur, total, sec = F.greatest(F.lit(0).cast("long"), "current_frames"), F.greatest(F.lit(0).cast("long"), "total_frames"), F.greatest(F.lit(0.0), "elapsed_sec")
     fps = F.when((sec > 1e-6) & (cur > 0), cur / sec).otherwise(0.0)
     eta = F.when((fps > 1e-6) & (total > cur), (total - cur) / fps).otherwise(0.0)
-    return jobs.select("job_id", "status", "phase", F.round(F.when(total > 0, 100.0 * cur / total).otherwise(0.0), 2).alias("percent"), F.round(fps, 6).alias("fps"), F.round(eta, 4).alias("eta_seconds"))
+    return jobs.select("job_id", "status", "phase", F.round(F.when(total > 0, 100.0 * cur / total).otherwise(0.0), 2).alias("percent"), F.round(fps, 8).alias("fps"), F.round(eta, 8).alias("eta_seconds"))
 
 
 def with_labels(jobs: DataFrame) -> DataFrame:

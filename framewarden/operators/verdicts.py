@@ -19,11 +19,12 @@ def verdicts(persons: DataFrame, accessories: DataFrame, min_px: float = 1.0, mi
     equi-join on the frame and pre-aggregates to one row per person."""
     acc = min_conf(accessories, helmet_min_conf).select(*FRAME, "acc_idx", *[F.col(c).alias(f"a{c}") for c in Box._fields])
     pairs = persons.join(acc, FRAME, "left")
-    area, iou = box_inter_area(box(), box("a")), box_iou(box(), box("a"))
+    none = F.col("acc_idx").isNull()  # greatest() and least() pass over nulls, so this has to be asked first
+    area, iou = (F.when(none, 0.0).otherwise(x) for x in (box_inter_area(box(), box("a")), box_iou(box(), box("a"))))
     qualifies = (area >= min_px) | ((iou >= min_iou) if min_iou > 0 else F.lit(False))
     shown = F.coalesce(box_inter(box(), box("a")), as_struct(box("a")))
     # qualified ones first, then the larger area, IoU, and the earlier accessory
-    rank = F.struct(F.coalesce(qualifies & F.col("acc_idx").isNotNull(), F.lit(False)).alias("ok"), F.coalesce(area, F.lit(0.0)).alias("area"), F.coalesce(iou, F.lit(0.0)).alias("iou"), (-F.col("acc_idx")).alias("n"))
+    rank = F.struct((qualifies & ~none).alias("ok"), area.alias("area"), iou.alias("iou"), (-F.col("acc_idx")).alias("n"))
     best = pairs.groupBy(*FRAME, "inst_idx").agg(
         F.max_by(F.struct(rank.alias("rank"), shown.alias("box")), rank).alias("best"),
         F.first("object_id").alias("object_id"),

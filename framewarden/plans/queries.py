@@ -59,7 +59,7 @@ def iou_sql(a: str, b: str) -> str:
 #: Views of the oracle's own.
 DUCK_VIEWS = {
     "ck_pairs": f"""SELECT p.run_id, p.frame_idx, p.inst_idx, p.object_id, p.x0, p.y0, p.x1, p.y1, a.acc_idx, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1,
- coalesce({area_sql("p.", "a.")}, 0) AS area, CASE WHEN a.acc_idx IS NULL THEN 0 ELSE {iou_sql("p.", "a.")} END AS iou
+ CASE WHEN a.acc_idx IS NULL THEN 0 ELSE {area_sql("p.", "a.")} END AS area, CASE WHEN a.acc_idx IS NULL THEN 0 ELSE {iou_sql("p.", "a.")} END AS iou
  FROM fx_instances p LEFT JOIN (SELECT * FROM fx_accessories WHERE conf >= 0.30) a ON p.run_id = a.run_id AND p.frame_idx = a.frame_idx""",
     "ck_best": """SELECT * FROM (SELECT *, acc_idx IS NOT NULL AND (area >= 20 OR iou >= 0.03) AS ok,
  row_number() OVER (PARTITION BY run_id, frame_idx, inst_idx ORDER BY (acc_idx IS NOT NULL AND (area >= 20 OR iou >= 0.03)) DESC, area DESC, iou DESC, acc_idx) AS rn FROM ck_pairs) t WHERE rn = 1""",
@@ -333,7 +333,7 @@ register("list_jobs", "SELECT job_id, status, created_at FROM fx_jobs ORDER BY c
 register("latest_job", "SELECT job_id, status FROM fx_jobs ORDER BY created_at DESC, job_id LIMIT 1")(lambda fx: U.latest_job(fx.jobs).select("job_id", "status"))
 register("active_job", "SELECT job_id, status FROM fx_jobs WHERE status IN ('queued', 'running') ORDER BY created_at DESC, job_id LIMIT 1")(lambda fx: U.active_job(fx.jobs).select("job_id", "status"))
 PROGRESS = "round(100.0 * CAST(current_frames AS DOUBLE) / total_frames, 2) AS percent"
-register("job_progress", f"SELECT job_id, status, phase, {PROGRESS}, round(current_frames / elapsed_sec, 6) AS fps, round(CASE WHEN total_frames > current_frames AND current_frames > 0 THEN (total_frames - current_frames) / (current_frames / elapsed_sec) ELSE 0 END, 4) AS eta_seconds FROM fx_jobs")(lambda fx: U.job_progress(fx.jobs))
+register("job_progress", f"SELECT job_id, status, phase, {PROGRESS}, round(current_frames / elapsed_sec, 8) AS fps, round(CASE WHEN total_frames > current_frames AND current_frames > 0 THEN (total_frames - current_frames) / (current_frames / elapsed_sec) ELSE 0 END, 8) AS eta_seconds FROM fx_jobs")(lambda fx: U.job_progress(fx.jobs))
 register("with_labels", "SELECT job_id, CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.STATUS.items()) + " ELSE status END AS status_text, CASE phase " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.PHASE.items()) + " ELSE phase END AS phase_text FROM fx_jobs")(lambda fx: U.with_labels(fx.jobs).select("job_id", "status_text", "phase_text"))
 register("job_summary", f"SELECT job_id, {PROGRESS}, CASE WHEN n IS NULL THEN '—' WHEN n < 1024 THEN concat(n, ' B') ELSE printf('%.2f KB', n / 1024.0) END AS input_size FROM fx_jobs LEFT JOIN (SELECT file_id AS job_id, strlen(content) AS n FROM fx_files) f USING (job_id)")(lambda fx: U.job_summary(fx.jobs, fx.files).select("job_id", "percent", "input_size"))
 register("throttle", "SELECT job_id, current_frames AS current FROM fx_jobs")(
