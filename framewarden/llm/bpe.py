@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .words import text_slices
 
 NEVER = np.int64(1 << 40)
-#: Words between white space kept encoded by a task, at most; when there are more it starts anew.
+#: Runs between white space kept encoded by a task; when there are more, only those that the last slice had again stay.
 KEPT = 1 << 18
 #: Words of more bytes are encoded one by one.
 LONG = 64
@@ -331,9 +331,10 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, str | None]]:
         split = [runs_of(t) for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        new = list(set().union(*split).difference(self.kept))
+        runs = set().union(*split)
+        new = list(runs.difference(self.kept))
+        if len(self.kept) + len(new) > KEPT:  # only what has come again stays
+            self.kept = {r: self.kept[r] for r in runs.intersection(self.kept)}
         if new:
             ids = self.tokenizer.encode_runs(new)
             if self.decode:
