@@ -205,3 +205,39 @@ def incident_rows(v: DataFrame, runs: DataFrame, organization: str = "", company
         *ID, F.lit(org).alias("organization"), F.lit(firm).alias("company"), time.alias("incident_text"), F.concat(F.lit("№ "), F.col("object_id").cast("string")).alias("violator"),
         F.col("presence_frames"), F.col("violation_frames"), "report_frame", "source_name",
     )
+
+
+def assemble_instances(instances: DataFrame, v: DataFrame, keypoints: DataFrame, runs: DataFrame) -> DataFrame:
+    """Result rows of instances: mask geometry of the box on the run's frame, verdict, key points as an array, label slug id.
+
+    Rows whose mask is empty go. v: (run, frame, inst, ok, warning); keypoints: (run, frame, inst, id, x, y, conf)."""
+    from ..functions.geometry import box, rect_mask_geometry
+    from ..functions.text import label_slug
+
+    key = [*FRAME, "inst_idx"]
+    points = keypoints.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("id", "x", "y", "conf"))).alias("keypoints"))
+    size = F.broadcast(runs.select("run_id", "width", "height"))
+    rows = instances.join(size, "run_id").withColumns(rect_mask_geometry(box(), F.col("width"), F.col("height"))).where("area_px is not null")
+    judged = v.select(*key, F.col("ok").alias("cross_check_ok"), "warning")
+    return rows.join(judged, key, "left").join(points, key, "left").select(
+        *key, "object_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area_px", "cx", "cy", "score", F.col("label").alias("prompt_label"),
+        F.create_map(F.concat(label_slug(F.col("label")), F.lit("_id")), F.col("object_id").cast("int")).alias("slug_ids"), "keypoints", "cross_check_ok", "warning",
+    )
+
+
+def scene_plan(frames: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per run: frames of the whole scene's clip and how many of them hold people."""
+    full = hold_forward_full(frames, runs)
+    return full.groupBy("run_id").agg(F.count("*").alias("clip_frames"), F.count("keyframe").alias("frames_with_people"))
+
+
+def person_plan(v: DataFrame) -> DataFrame:
+    """A clip for every id, violator or not: frames and output name."""
+    clips = presence_frames(v).groupBy(*ID).agg(F.count("*").alias("clip_frames"))
+    return clips.withColumn("output_name", F.concat("run_id", F.lit("_person"), F.col("object_id").cast("string"), F.lit(".mp4")))
+
+
+def accessory_leaks(instances: DataFrame, accessories: DataFrame, id_map: DataFrame | None = None) -> DataFrame:
+    """Accessories that also appear as instances (same frame, box and label), which must not be; empty if all is well."""
+    same = [*FRAME, "label", "x0", "y0", "x1", "y1"]
+    return accessories.select("acc_idx", *same).join(instances.select(*same), same, "left_semi")

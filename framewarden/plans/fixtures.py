@@ -12,6 +12,9 @@ SQL = {
     "fx_runs": """SELECT run_id, CAST(25 AS DOUBLE) AS fps, 1280 AS width, 720 AS height, 2 AS frame_stride,
  source_frame_count, CONCAT('/videos/', run_id, '.mp4') AS input_path, 'person' AS prompt
  FROM (VALUES ('run_0', 1000), ('run_1', 1000), ('run_2', 1001), ('run_3', 0)) AS t(run_id, source_frame_count)""",
+    "fx_order_runs": """SELECT CONCAT('run_', o_orderkey) AS run_id, o_orderkey AS k, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 25 END AS DOUBLE) AS fps,
+ CASE WHEN o_orderkey % 2 = 0 THEN 1280 ELSE 1920 END AS width, CASE WHEN o_orderkey % 2 = 0 THEN 720 ELSE 1080 END AS height, CAST(o_orderkey % 4 AS INT) AS frame_stride,
+ o_custkey AS source_frame_count, CONCAT('/videos/', o_orderkey, '.mp4') AS input_path, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'person' END AS prompt, o_orderpriority AS priority FROM orders""",
     "fx_base": """SELECT run_id, frame_idx, slot, user_id, event_id, label,
  CASE WHEN label = 'person' THEN 40 + slot * 230 + (frame_idx * 3) % 120 ELSE 60 + ((slot + user_id) % 5) * 230 + (frame_idx * 3) % 120 END AS x0,
  CASE WHEN label = 'person' THEN 60 + frame_idx % 40 ELSE 50 + frame_idx % 40 END AS y0,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..functions import vectors as VEC
 from ..operators import detections as D
 from ..operators import linking as L
 from ..operators import masks as M
@@ -322,11 +323,20 @@ register("artifact_flags", "SELECT dir, bool_or(ends_with(name, '_result.json'))
 register("list_runs", "SELECT dir, max(file_id) AS newest, count(*) AS markers FROM fx_files WHERE regexp_matches(name, '_(result|packets_manifest)\\.json$') GROUP BY 1 ORDER BY 2 DESC LIMIT 80")(lambda fx: U.list_runs(fx.files))
 register("list_artifacts", "SELECT name, file_id, strlen(content) AS bytes FROM fx_files WHERE dir = 'run_6'")(lambda fx: U.list_artifacts(fx.files, "run_6").withColumn("bytes", F.col("bytes").cast("long")))
 register("resolve_sources", "SELECT r.run_id, name, file_id FROM fx_runs r LEFT JOIN (SELECT dir AS run_id, name, file_id, row_number() OVER (PARTITION BY dir ORDER BY CASE WHEN name = concat(dir, '.mp4') THEN 1 ELSE 2 END, file_id DESC) AS rn FROM fx_files WHERE contains(name, '_source.') OR name = concat(dir, '.mp4')) f ON f.run_id = r.run_id AND rn = 1")(lambda fx: U.resolve_sources(fx.runs, fx.files))
-register("run_metadata", "SELECT run_id, fps, width, height, prompt, input_path, frame_stride FROM (SELECT run_id, CAST(25 AS DOUBLE) AS fps, 1280 AS width, 720 AS height, 'person' AS prompt, input_path, 2 AS frame_stride FROM fx_runs) t")(
-    lambda fx: (lambda b: U.run_metadata(b.withColumns({"fps": F.lit(0.0), "prompt": F.lit("")}), b.withColumn("width", F.lit(7)), b.where("run_id <> 'run_1'")))(fx.runs.select("run_id", "fps", "width", "height", "prompt", "input_path", "frame_stride"))
-)
-register("resolve_overlay", "SELECT run_id, '0.45' AS alpha, CASE WHEN run_id = 'run_1' THEN 'user' ELSE 'saved' END AS boxes FROM fx_runs")(
-    lambda fx: U.resolve_overlay({"alpha": "0.45", "boxes": "default"}, fx.runs.select("run_id", F.create_map(F.lit("boxes"), F.lit("saved")).alias("settings")), fx.runs.where("run_id = 'run_1'").select("run_id", F.create_map(F.lit("boxes"), F.lit("user")).alias("settings"))).select("run_id", F.col("settings")["alpha"].alias("alpha"), F.col("settings")["boxes"].alias("boxes"))
+register("run_metadata", """SELECT run_id, CASE WHEN fps = 0 THEN 30 ELSE fps END AS fps, width, height, CASE WHEN prompt <> '' THEN prompt WHEN k % 2 = 1 THEN 'helmet' ELSE 'person' END AS prompt, input_path,
+ CASE WHEN frame_stride > 0 THEN frame_stride WHEN k % 2 = 1 THEN 3 ELSE 1 END AS frame_stride FROM fx_order_runs""")(
+    lambda fx: (
+        lambda p: U.run_metadata(
+            p.drop("k"),
+            p.select("run_id", F.lit(30.0).alias("fps"), F.lit(640).alias("width"), F.lit(0).alias("height"), F.lit("").alias("prompt"), F.lit("").alias("input_path"), F.lit(0).alias("frame_stride")),
+            p.where("k % 2 = 1").select("run_id", F.lit(50.0).alias("fps"), F.lit(0).alias("width"), F.lit(480).alias("height"), F.lit("helmet").alias("prompt"), F.lit("s").alias("input_path"), F.lit(3).alias("frame_stride")),
+        )
+    )(fx.order_runs.select("run_id", "k", "fps", "width", "height", "prompt", "input_path", "frame_stride"))
+)
+register("resolve_overlay", "SELECT run_id, '0.45' AS alpha, CASE WHEN k % 3 = 0 THEN 'user' ELSE priority END AS boxes FROM fx_order_runs")(
+    lambda fx: U.resolve_overlay(
+        {"alpha": "0.45", "boxes": "default"}, fx.order_runs.select("run_id", F.create_map(F.lit("boxes"), F.col("priority")).alias("settings")), fx.order_runs.where("k % 3 = 0").select("run_id", F.create_map(F.lit("boxes"), F.lit("user")).alias("settings"))
+    ).select("run_id", F.col("settings")["alpha"].alias("alpha"), F.col("settings")["boxes"].alias("boxes"))
 )
 register("recent_requests", "SELECT * FROM fx_requests ORDER BY ts DESC, request_id DESC LIMIT 50")(lambda fx: U.recent_requests(fx.requests))
 register("list_jobs", "SELECT job_id, status, created_at FROM fx_jobs ORDER BY created_at DESC, job_id LIMIT 15")(lambda fx: U.list_jobs(fx.jobs).select("job_id", "status", "created_at"))
@@ -339,7 +349,33 @@ register("job_summary", f"SELECT job_id, {PROGRESS}, CASE WHEN n IS NULL THEN '
 register("throttle", "SELECT job_id, current_frames AS current FROM fx_jobs")(
     lambda fx: U.throttle(fx.jobs.select("job_id", F.lit(0).alias("tick"), F.col("current_frames").alias("current"), F.lit(2000).cast("long").alias("total"), F.lit(0.0).alias("ts"))).select("job_id", "current")
 )
-register("memory_report", "SELECT run_id, CAST(1280 * 720 * 3 AS BIGINT) AS frame_bytes, CAST(1280 * 720 * 3 * 32 AS BIGINT) AS batch_bytes, CAST(1280 * 720 * 3 AS BIGINT) * source_frame_count AS preload_bytes, '84.38 MB' AS batch_text FROM fx_runs")(lambda fx: U.memory_report(fx.runs, 32))
-register("run_history", "SELECT run_id FROM fx_runs ORDER BY run_id DESC LIMIT 15")(lambda fx: U.run_history(fx.runs).select("run_id"))
+register("memory_report", "SELECT run_id, CAST(width AS BIGINT) * height * 3 AS frame_bytes, CAST(width AS BIGINT) * height * 96 AS batch_bytes, CAST(width AS BIGINT) * height * 3 * source_frame_count AS preload_bytes, CASE WHEN width = 1280 THEN '84.38 MB' ELSE '189.84 MB' END AS batch_text FROM fx_order_runs")(
+    lambda fx: U.memory_report(fx.order_runs, 32)
+)
+register("run_history", "SELECT run_id FROM fx_order_runs ORDER BY run_id DESC LIMIT 15")(lambda fx: U.run_history(fx.order_runs).select("run_id"))
 register("run_report")(lambda fx: U.run_report(fx.runs, fx.frames))
 register("run_record", """SELECT r.run_id, input_path AS input_video, prompt, frames, round(sec, 3) AS elapsed_sec, round(frames / sec, 3) AS fps_processed, '1280x720' AS resolution FROM fx_runs r JOIN (SELECT run_id, count(DISTINCT frame_idx) AS frames, sum(infer_ms) / 1000.0 AS sec FROM fx_frames GROUP BY 1) s USING (run_id)""")(lambda fx: U.run_record(fx.runs, fx.frames).drop("stats_summary"))
+
+# --- assembly and plans ---
+register("assemble_instances", f"""SELECT t.run_id, t.frame_idx, t.inst_idx, object_id, xa AS bbox_x, yb - ya + 1 AS bbox_h, CAST(xb - xa + 1 AS BIGINT) * (yb - ya + 1) AS area_px, score, CAST(object_id AS INT) AS person_id,
+ CAST(coalesce(k.n, -1) AS INT) AS n_keypoints, ok AS cross_check_ok, warning FROM (SELECT *, {RECT} FROM fx_instances) t JOIN (SELECT run_id, frame_idx, inst_idx, ok, warning FROM ck_smooth) s USING (run_id, frame_idx, inst_idx)
+ LEFT JOIN (SELECT run_id, frame_idx, 0 AS inst_idx, count(*) AS n FROM fx_keypoints GROUP BY 1, 2) k ON k.run_id = t.run_id AND k.frame_idx = t.frame_idx AND k.inst_idx = t.inst_idx WHERE xb > xa AND yb > ya""")(
+    lambda fx: R.assemble_instances(fx.instances, smooth(fx), fx.keypoints.withColumn("inst_idx", F.lit(0)), fx.runs).select(
+        "run_id", "frame_idx", "inst_idx", "object_id", "bbox_x", "bbox_h", "area_px", "score", F.col("slug_ids")["person_id"].alias("person_id"), F.coalesce(F.size("keypoints"), F.lit(-1)).alias("n_keypoints"), "cross_check_ok", "warning"
+    )
+)
+register("scene_plan", "SELECT s.run_id, count(*) AS clip_frames, count(h.keyframe) AS frames_with_people FROM (SELECT run_id, unnest(generate_series(0, source_frames - 1)) AS frame_idx FROM ck_source WHERE source_frames > 0) s LEFT JOIN (SELECT * FROM ck_held WHERE n_inst > 0) h USING (run_id, frame_idx) GROUP BY 1")(
+    lambda fx: R.scene_plan(fx.frames, fx.runs)
+)
+register("person_plan", "SELECT run_id, object_id, count(DISTINCT frame_idx) AS clip_frames, concat(run_id, '_person', object_id, '.mp4') AS output_name FROM fx_instances GROUP BY 1, 2")(lambda fx: R.person_plan(fx.instances))
+register("accessory_leaks", "SELECT acc_idx, run_id, frame_idx, label, a.x0, a.y0, a.x1, a.y1 FROM fx_accessories a SEMI JOIN fx_instances USING (run_id, frame_idx, label, x0, y0, x1, y1)")(lambda fx: R.accessory_leaks(fx.instances, fx.accessories))
+register("enrich_tracklets", """SELECT run_id, object_id, object_id % 3 = 0 AS filled FROM ck_tracklets""")(
+    lambda fx: L.enrich_tracklets(
+        tracklets(fx).withColumn("embedding", F.when(F.col("object_id") % 3 != 0, F.col("embedding"))), fx.instances,
+        fx.instances.join(fx.tracklet_vectors, ["run_id", "object_id"]).select("run_id", "frame_idx", "inst_idx", "embedding"),
+    ).select("run_id", "object_id", "filled")
+)
+register("l2_normalize", "SELECT run_id, object_id, round(e[1] / norm, 6) AS first FROM ck_vectors")(lambda fx: fx.tracklet_vectors.select("run_id", "object_id", F.round(VEC.l2_normalize(F.col("embedding"))[0], 6).alias("first")))
+register("fmt_texts", "SELECT job_id, CASE WHEN elapsed_sec < 60 THEN printf('%.1f с', round(elapsed_sec, 1)) ELSE concat(CAST(floor(elapsed_sec / 60) AS INT), ' мин ', CAST(round_even(elapsed_sec - 60 * floor(elapsed_sec / 60), 0) AS INT), ' с') END AS elapsed FROM fx_jobs")(
+    lambda fx: fx.jobs.select("job_id", T.fmt_sec(F.col("elapsed_sec")).alias("elapsed"))
+)

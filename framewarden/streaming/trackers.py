@@ -452,3 +452,18 @@ def smooth_stream(verdicts: DataFrame, streak: int = 2) -> DataFrame:
         yield pd.DataFrame({"run_id": pdf.run_id, "frame_idx": pdf.frame_idx, "inst_idx": pdf.inst_idx, "object_id": pdf.object_id, "ok": out})
 
     return verdicts.groupBy("run_id", "object_id").applyInPandasWithState(run, "run_id string, frame_idx long, inst_idx int, object_id long, ok boolean", "misses long", "append", GroupStateTimeout.NoTimeout)
+
+
+def recent_requests_stream(requests: DataFrame, path: str, keep: int = 200):
+    """A writer that keeps the last ``keep`` requests of a stream under ``path``, a folder per micro-batch; the newest folder
+    is the view. A batch that is run again replaces its own folder."""
+    from pyspark.sql import functions as F
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch
+        if number > 0:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}"))
+        rows.orderBy(F.desc("ts"), F.desc("request_id")).limit(keep).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return requests.writeStream.foreachBatch(write)
