@@ -3,9 +3,9 @@
 Compilation. The automaton reads tokens: its state is the token just read, and it has an arc q -t-> t while t may follow
 q. It starts with the base symbols, each of which may follow each, and the merges are applied in their order, each as one
 gadget. The gadget of (a, b) -> c
-  - takes the arc a -b-> away: after the merge b never follows a;
   - makes the state c, whose arcs out are those of b at that time;
-  - gives an arc labelled c to each state that has one labelled a at that time.
+  - takes the arc a -b-> away: after the merge b never follows a;
+  - gives an arc labelled c to each state that now has one labelled a.
 What is left accepts exactly the token sequences that the merges produce. Written out, the arcs of a large vocabulary are
 hundreds of millions; the copies are therefore kept as they are made, by reference and date: right[c] = b for the arcs
 out, left[c] = a for the arcs in, birth[c] for the date, and a table of the arcs taken away with their dates. Whether an

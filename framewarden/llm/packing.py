@@ -76,9 +76,10 @@ def _pack(items: DataFrame, capacity: int) -> DataFrame:
     """items (fill, members) -> bins (fill, members), each task for itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
+        table = pa.Table.from_batches(parts)
         members = table.column("members").combine_chunks()
         members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
         offsets, values = members.offsets.to_pylist(), members.values

@@ -74,12 +74,12 @@ def clean(value: str | None) -> str:
 
 def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, sha1: str, segment: int = SEGMENT) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response and its continuations."""
-    uri = f"<urn:page:{page_id}>"
+    uri = f"<urn:page:{page_id}:{sha1}>"
     common = [("WARC-Record-ID", uri), ("WARC-Target-URI", clean(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{sha1}")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     kind = ("Content-Type", "application/http; msgtype=response")
     if refers_to is not None:
-        yield record([("WARC-Type", "revisit"), *common, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), kind], http)
+        yield record([("WARC-Type", "revisit"), *common, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}:{sha1}>"), kind], http)
         return
     block = http + chunked(payload)
     # a segment ends inside a mark too: none is put together again by the cut, since the chunks hold none
@@ -91,14 +91,15 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
             continue
         if n == len(parts):
             more.append(("WARC-Segment-Total-Length", str(len(block))))
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{n}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", uri), *more], part)
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{sha1}:{n}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", uri), *more], part)
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000, segment: int = SEGMENT, compression: str = "gzip") -> None:
     """Write one record per row of pages (page_id, url, html) under ``path``.
 
     Of rows with equal payloads of at least ``min_revisit`` bytes the one with the largest page_id is a response, the
-    others revisit it. Rows that repeat a page_id, or have none, are never revisits of themselves: they are responses.
+    others revisit it. Rows that repeat a page_id, or have none, are never revisits of themselves: they are responses. The
+    identifier of a record is that of its page and payload, so rows that repeat both write the same record again.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = base.withColumns({"sha1": F.sha1("payload"), "digest": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")})
@@ -152,7 +153,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     """(record_id, warc_type, headers, content, complete): continuations joined to their origin.
 
     Segments of one origin are ordered by segment number; the record is complete if each segment is, the numbers run from
-    1 without a gap or repeat, and the lengths add up to the total length that the last one states. Segments without
+    1 without a gap, all as often, and the lengths add up to the total length that the last one states. Segments without
     their first are returned under the origin's id as type ``continuation``, not complete. Records that aren't segmented
     are not shuffled.
     """
@@ -164,16 +165,19 @@ def reassemble(records: DataFrame) -> DataFrame:
             number.alias("n"), F.col("headers")["warc-segment-total-length"].cast("long").alias("total"), "warc_type", "headers", "content", "complete"
         ).alias("part"),
     )
-    joined = parts.groupBy("origin").agg(F.array_sort(F.collect_list("part"), lambda a, b: a["n"] - b["n"]).alias("parts"))
+    # a record that was written k times has each of its segments k times
+    each = parts.groupBy("origin", "part.n").agg(F.first("part").alias("part"), F.count("*").alias("copies"), F.countDistinct("part.content", "part.total").alias("kinds"))
+    joined = each.groupBy("origin").agg(
+        F.array_sort(F.collect_list("part"), lambda a, b: a["n"] - b["n"]).alias("parts"), F.min("copies").alias("copies"), ((F.min("copies") == F.max("copies")) & (F.max("kinds") <= 1)).alias("even")
+    )
     ordered = F.transform("parts", lambda p: p["n"]) == F.sequence(F.lit(1), F.size("parts"))
     length = F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p["content"]))
     content = F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, p["content"]))
     total = F.element_at("parts", -1)["total"]
-    good = ordered & F.forall("parts", lambda p: p["complete"]) & F.coalesce(total == length, F.lit(False))
+    good = F.col("even") & ordered & F.forall("parts", lambda p: p["complete"]) & F.coalesce(total == length, F.lit(False))
     lead = F.element_at("parts", 1)
-    return whole.unionByName(
-        joined.select(F.col("origin").alias("record_id"), lead["warc_type"].alias("warc_type"), lead["headers"].alias("headers"), content.alias("content"), good.alias("complete"))
-    )
+    whole_again = joined.select(F.col("origin").alias("record_id"), lead["warc_type"].alias("warc_type"), lead["headers"].alias("headers"), content.alias("content"), good.alias("complete"), "copies")
+    return whole.unionByName(whole_again.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies"))
 
 
 def payloads(records: DataFrame) -> DataFrame:
@@ -215,7 +219,7 @@ def archive_round_trip(pages: DataFrame, min_revisit: int = 1000, segment: int =
     path = new_path(spark, "warc")
     write_archives(pages, path, min_revisit, segment)
     read = payloads(reassemble(read_archives(spark, path)))
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1).try_cast("long")
     rows = read.select(
         page("record_id").alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),

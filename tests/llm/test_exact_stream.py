@@ -27,7 +27,7 @@ def test_from_a_folder_and_a_file(spark, awkward, awkward_rows, tmp_path):
     awkward.coalesce(1).write.parquet(str(tmp_path / "one"))
     part = next((tmp_path / "one").glob("part-*.parquet"))
     for path in (tmp_path / "d.parquet", part):
-        got = exact_duplicates(spark.read.parquet(str(path)), path=str(path), max_bytes_per_trigger="4k").collect()
+        got = exact_duplicates(spark.read.parquet(str(path)), path=str(path), max_bytes_per_trigger="2000").collect()
         check([tuple(r) for r in got], [(r[0], r[1]) for r in awkward_rows])
 
 

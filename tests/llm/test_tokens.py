@@ -31,10 +31,9 @@ def dense_arcs(n, base, merges):
     for a, b, c in merges:
         if not arcs[a, b]:
             continue
-        arcs[a, b] = False
         arcs[c, :] = arcs[b, :]
+        arcs[a, b] = False
         arcs[:, c] = arcs[:, a]
-        arcs[c, c] = arcs[b, a]
     return arcs
 
 
