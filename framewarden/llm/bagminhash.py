@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import semi_join, stage
+from .staging import semi_join, stage, text_batches
 from .words import mix, shingle_multiset, shingles, text_slices, word_hashes
 
 COMPONENTS_SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -169,6 +169,7 @@ def near_duplicates(
     near copies but equal ones. A text of fewer than ``ngram`` words is one shingle. A null doc_id joins no class: it
     comes back with null class_id and class_size 1. Rows that repeat a doc_id are one node; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     m = bands * rows
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

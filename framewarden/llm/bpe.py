@@ -32,15 +32,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import text_batches
 from .words import text_slices
 
 NEVER = np.int64(1 << 40)
 #: Runs between white space kept encoded by a task; when there are more, only those that the last slice had again stay.
-KEPT = 1 << 18
+KEPT = 1 << 17
 #: Words of more bytes are encoded one by one.
 LONG = 64
 #: Bytes of text in a slice.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 class Table:
@@ -357,6 +358,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ``path`` is a tokenizer file. Null texts count as empty: no tokens, digests of nothing. Rows that repeat are encoded
     each; a null doc_id is carried through; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(WordTokenizer(path))  # its size is that of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

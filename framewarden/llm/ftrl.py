@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
+from .staging import text_batches
 from .words import NOT_LETTER, mix, span_hashes, text_slices, word_spans
 
 BITS = 20
@@ -96,6 +97,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
     text without words gets the score of the bias alone; without labels all scores are 0.5. A null doc_id is scored and
     not held out; rows that repeat are scored each; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     settings = settings or Settings()
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

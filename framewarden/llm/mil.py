@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
+from .staging import text_batches
 from .words import span_hashes, text_slices, word_spans
 
 PASSAGE = 64
@@ -188,6 +189,7 @@ def quality(docs: DataFrame, labels: DataFrame, settings: Settings | None = None
 
 def scorer(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text"):
     """Fit the model; a function from texts to scores that tasks can call."""
+    text_batches(docs.sparkSession)
     settings = settings or Settings()
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SLICE, Encoder, WordTokenizer
-from .staging import stage
+from .staging import stage, text_batches
 from .words import text_slices
 
 #: Items in a task of a merging round, and how many tasks of one round meet in one of the next.
@@ -103,6 +103,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     ``path`` is a tokenizer file. A null or empty text is the end id alone. Rows that repeat are packed each; a null
     doc_id is carried through; other columns are not read. An empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     pieces = tokenised_pieces(docs, path, capacity, end_id, id_col, text_col)
     items = pieces.select(F.col("length").alias("fill"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("members"))

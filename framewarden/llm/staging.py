@@ -50,6 +50,13 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Fewer rows to an Arrow batch than Spark's default of 10,000, for rows that hold whole texts; a set value stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def semi_join(big: DataFrame, keys: DataFrame, on: str, n_keys: int) -> DataFrame:
     """Rows of ``big`` whose key is in ``keys`` (``n_keys`` rows, counted): broadcast within the bound, else shuffled."""
     keys = F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys.hint("shuffle_hash")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import new_path, stage
+from .staging import new_path, stage, text_batches
 
 MARK = b"WARC/1.1\r\n"
 SEGMENT = 1 << 20
@@ -101,6 +101,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000, segment
     others revisit it. Rows that repeat a page_id, or have none, are never revisits of themselves: they are responses. The
     identifier of a record is that of its page and payload, so rows that repeat both write the same record again.
     """
+    text_batches(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = base.withColumns({"sha1": F.sha1("payload"), "digest": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")})
     long = keyed.where(F.col("size") >= min_revisit)
