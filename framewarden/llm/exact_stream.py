@@ -88,9 +88,10 @@ def exact_duplicates(
         stream = reader.parquet(f"{path[:-1]}[{path[-1]}]").select(F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest"), F.col("_metadata.file_path").alias("locator"))
         ids = keyed.select("doc_id", "digest")
     else:
-        ids = stage(keyed.select("doc_id", "digest"), "digests")
-        stream = spark.readStream.schema(ids.schema).parquet(ids.inputFiles()[0].rsplit("/", 1)[0]) if ids.inputFiles() else None
-        stream = stream.withColumn("locator", F.col("_metadata.file_path"))
+        staged = new_path(spark, "digests")
+        keyed.select("doc_id", "digest").write.parquet(staged)
+        ids = spark.read.schema("doc_id long, digest binary").parquet(staged)
+        stream = spark.readStream.schema(ids.schema).parquet(staged).withColumn("locator", F.col("_metadata.file_path"))
     state = stage(run_stream(stream), "state")
 
     hits = state.where("copies > 1").select("digest")
