@@ -10,10 +10,9 @@ Jaccard similarity, without bias. Times beyond a limit (by the text's total weig
 leaves a component without a point the limit is doubled.
 
 Candidates. Equal texts are one node first. Bands of the signature give buckets; in a bucket each node is held against
-one hub, the least. What is then in its hub's class is settled; of the others those that share too few shingles with their
-whole buckets to be near anything go, and the rest goes on to further hubs, so pairs stay in proportion to the rows whatever
-the size of a bucket. 1 - J is a metric, so the links that a hub can hide are found exactly: a node at distance d > 1 - t
-from a hub can be near only those members near the hub whose distance from it is d - (1 - t) or more.
+one hub, the least, so pairs stay in proportion to the rows whatever the size of a bucket. What is then in its hub's class is
+settled. For each other node the shingles that it shares with its buckets at all bound the size of what it can be near; only
+pairs of different classes within both nodes' bounds are verified. This is exact: no link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -221,53 +220,39 @@ def _linked(scored: DataFrame, threshold: float) -> DataFrame:
     return components(scored.where(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
 
+def _joined(labels: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """The classes once the links of ``found`` are added: only the classes that these join are gone through again."""
+    links = stage(_named(found.where(F.col("similarity") >= threshold), labels).where("class_a <> class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "links")
+    if links.isEmpty():
+        return labels
+    new = components(links).select(F.col("node").alias("class_id"), F.col("class_id").alias("new_id"))
+    known = labels.unionByName(new.select(F.col("class_id").alias("node"), "class_id")).distinct()  # a single node is its own class
+    return stage(known.join(new.hint("merge"), "class_id", "left").select("node", F.coalesce("new_id", "class_id").alias("class_id")), "labels")
+
+
+def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs with the classes class_a and class_b of node and hub so far."""
+    a = labels.select("node", F.col("class_id").alias("la")).hint("merge")
+    b = labels.select(F.col("node").alias("hub"), F.col("class_id").alias("lb")).hint("merge")
+    joined = pairs.join(a, "node", "left").join(b, "hub", "left")
+    return joined.withColumns({"class_a": F.coalesce("la", "node"), "class_b": F.coalesce("lb", "hub")}).drop("la", "lb")
+
+
 def _apart(held: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``held`` whose node isn't in the class of its hub yet."""
-    a = labels.select("node", F.col("class_id").alias("class_a")).hint("merge")
-    b = labels.select(F.col("node").alias("hub"), F.col("class_id").alias("class_b")).hint("merge")
-    joined = held.join(a, "node", "left").join(b, "hub", "left")
-    return joined.where(F.coalesce("class_a", "node") != F.coalesce("class_b", "hub")).select("bucket", "node", "hub")
+    return _named(held, labels).where("class_a <> class_b").select("bucket", "node", "hub")
 
 
 def _rest(rest: DataFrame, held: DataFrame, scored: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, ngram: int) -> DataFrame:
-    """Classes with the links among nodes that their first hub hasn't settled, and from these to nodes near that hub."""
-    able = _able(rest, held, texts, threshold, ngram)
-    rest = stage(rest.join(able.hint("merge"), "node", "left_semi"), "rest")
-    tested, seen = scored, held
-    while True:
-        more = _against_hubs(rest.select("bucket", "node"))
-        pairs = stage(_apart(more, labels).select("node", "hub").distinct().join(tested.select("node", "hub").hint("merge"), ["node", "hub"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        if not pairs.isEmpty():
-            found = stage(_verify(pairs, texts, ngram), "scored")
-            tested = tested.union(found)
-            labels = _linked(tested, threshold)
-        seen = seen.union(more)
-        rest = stage(_apart(more, labels), "rest")
-    # a node far from a hub against those near it
-    known = seen.join(tested.where(F.col("similarity") > 2 * threshold - 1).hint("merge"), ["node", "hub"])
-    known = known.join(labels.hint("merge"), "node", "left").select("bucket", "hub", "node", "similarity", F.coalesce("class_id", "node").alias("class_id"))
-    far = known.where(F.col("similarity") < threshold).join(able.hint("merge"), "node", "left_semi")
-    far = far.select("bucket", "hub", F.col("node").alias("far_node"), F.col("similarity").alias("far_similarity"), F.col("class_id").alias("far_class"))
-    both = far.join(known.where(F.col("similarity") >= threshold).hint("merge"), ["bucket", "hub"])
-    both = both.where((F.col("far_class") != F.col("class_id")) & (F.col("similarity") - F.col("far_similarity") <= 1 - threshold + 1e-9))
-    ring = stage(both.select(F.col("far_node").alias("node"), F.col("node").alias("hub")).distinct(), "ring")
-    if not ring.isEmpty():
-        labels = _linked(tested.union(stage(_verify(ring, texts, ngram), "scored")), threshold)
-    return labels
-
+    """Classes with the links that the nodes of ``rest`` have to other nodes of their buckets.
 
-def _able(rest: DataFrame, held: DataFrame, texts: DataFrame, threshold: float, ngram: int) -> DataFrame:
-    """(node): the nodes of ``rest`` that can have a near copy at all.
-
-    Two multisets of n and m shingles that are alike to t share t (n + m) / (1 + t) of them. So many shingles of the node
-    must then occur in other nodes of its buckets, the smallest of which gives m (t n at least). This is exact: a node
-    that fails has no link."""
+    Two multisets of n and m shingles that are alike to t share t (n + m) / (1 + t) of them. A node of n shingles, s of which
+    occur in another node of these buckets at all, can therefore only be near nodes of at most s (1 + t) / t - n: its reach.
+    Pairs are made of nodes of different classes that are within each other's reach, with one that isn't settled."""
     buckets = rest.select("bucket").distinct()
     mates = held.join(buckets.hint("merge"), "bucket", "left_semi")
     mates = stage(mates.select("bucket", "node").union(mates.select("bucket", F.col("hub").alias("node"))).distinct(), "mates")
-    ids = stage(mates.select("node").distinct(), "ids")
+    nodes = stage(mates.select("node").distinct(), "nodes")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,14 +262,38 @@ def _able(rest: DataFrame, held: DataFrame, texts: DataFrame, threshold: float,
                 owner = np.repeat(part.column("node").to_numpy(), np.diff(offsets))
                 yield pa.record_batch([pa.array(owner), pa.array(values.view(np.int64))], ["node", "token"])
 
-    tokens = texts.join(ids.hint("merge"), "node", "left_semi").mapInArrow(explode, "node long, token long").groupBy("node", "token").agg(F.count("*").alias("n"))
+    tokens = texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(explode, "node long, token long").groupBy("token", "node").agg(F.count("*").alias("n"))
     tokens = stage(tokens, "tokens")
-    sizes = stage(tokens.groupBy("node").agg(F.sum("n").alias("size")), "sizes")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("token")
-    nodes = rest.select("node").distinct()
-    mine = tokens.join(nodes.hint("merge"), "node", "left_semi").join(shared.hint("merge"), "token").groupBy("node").agg(F.sum("n").alias("shared"))
-    least = mates.join(sizes.hint("merge"), "node").groupBy("bucket").agg(F.min("size").alias("least"))
-    smallest = rest.select("bucket", "node").join(least.hint("merge"), "bucket").groupBy("node").agg(F.min("least").alias("least"))
-    both = mine.join(sizes.hint("merge"), "node").join(smallest.hint("merge"), "node")
-    needed = threshold / (1 + threshold) * (F.col("size") + F.greatest(F.col("least").cast("double"), threshold * F.col("size")))
-    return stage(both.where(F.col("shared") >= needed - 1e-6).select("node"), "able")
+    shared = tokens.groupBy("token").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("token", F.lit(1).alias("is_shared"))
+    sizes = tokens.join(shared.hint("merge"), "token", "left").groupBy("node").agg(F.sum("n").alias("size"), F.coalesce(F.sum(F.col("n") * F.col("is_shared")), F.lit(0)).alias("shared"))
+    reach = F.col("shared") * ((1 + threshold) / threshold) - F.col("size") + 1e-6
+    reaches = stage(sizes.select("node", "size", reach.alias("reach")), "reaches")
+    least = F.min(F.struct("size", "node")).alias("small")
+    rows, far, _ = _within(rest, mates, reaches, labels)
+    # the smallest node of a bucket first: it links most of what can be linked, and then fewer pairs are of different classes
+    small = rows.where("reach >= 0").groupBy("bucket").agg(least).select("bucket", F.col("small.node").alias("node")).join(rows.hint("merge"), ["bucket", "node"])
+    for some in (small, None):
+        if some is None:
+            rows, far, some = _within(rest, mates, reaches, labels)
+        pairs = far.join(some.where("reach >= 0").hint("merge"), "bucket").where(WITHIN).select(F.greatest("node", "far_node").alias("node"), F.least("node", "far_node").alias("hub")).distinct()
+        pairs = stage(pairs.join(scored.select("node", "hub").hint("merge"), ["node", "hub"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            found = stage(_verify(pairs, texts, ngram), "scored")
+            scored = scored.union(found)
+            labels = _joined(labels, found, threshold)
+    return labels
+
+
+#: Nodes of different classes within each other's reach.
+WITHIN = "class_id <> far_class and size <= far_reach and far_size <= reach"
+
+
+def _within(rest: DataFrame, mates: DataFrame, reaches: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (bucket, node, size, reach, class_id) of ``mates``, and those of ``rest`` that can reach something in their
+    bucket, with the prefix far_."""
+    known = reaches.join(labels.hint("merge"), "node", "left").select("node", "size", "reach", F.coalesce("class_id", "node").alias("class_id"))
+    rows = stage(mates.join(known.hint("merge"), "node"), "rows")
+    ends = rows.groupBy("bucket").agg(F.min("size").alias("least"), F.max("reach").alias("most"))
+    far = rest.select("bucket", "node").distinct().join(rows.hint("merge"), ["bucket", "node"]).join(ends.hint("merge"), "bucket").where("reach >= least and most >= size")
+    far = stage(far.select("bucket", F.col("node").alias("far_node"), F.col("size").alias("far_size"), F.col("reach").alias("far_reach"), F.col("class_id").alias("far_class")), "far")
+    return rows, far, rows

@@ -50,7 +50,7 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_batches(spark: SparkSession, rows: int = 1024) -> None:
+def text_batches(spark: SparkSession, rows: int = 2048) -> None:
     """Fewer rows to an Arrow batch than Spark's default of 10,000, for rows that hold whole texts; a set value stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
