@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,8 +163,3 @@ def enrich_tracklets(tracklets: DataFrame, instances: DataFrame, embeddings: Dat
     filled = F.col("embedding").isNull() & F.col("sampled").isNotNull()
     return joined.withColumn("filled", filled).withColumn("embedding", F.coalesce("embedding", "sampled")).drop("sampled")
 
-
-def unit(v: np.ndarray) -> np.ndarray | None:
-    """The vector at length 1; None if it is empty or too short."""
-    n = float(np.linalg.norm(v)) if v.size else 0.0
-    return v / n if n >= 1e-8 else None
