@@ -18,7 +18,7 @@ from framewarden.llm.mil import scorer
 from framewarden.llm.packing import pack_documents
 from framewarden.llm.queries import tokenizer_path
 from framewarden.llm.staging import BROADCAST_ROWS, stage
-from framewarden.llm.words import text_slices
+from framewarden.llm.words import give_back, text_slices
 
 #: Documents that score less are rejected.
 QUALITY_CUT = 0.3
@@ -32,6 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         for batch in batches:
             for part, texts in text_slices(batch):
                 yield part.filter(pa.array(score(texts) >= QUALITY_CUT))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

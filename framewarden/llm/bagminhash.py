@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import semi_join, stage, text_batches
-from .words import mix, shingle_multiset, shingles, text_slices, word_hashes
+from .words import give_back, mix, shingle_multiset, shingles, text_slices, word_hashes
 
 COMPONENTS_SEED = np.uint64(0xD6E8FEB86659FD93)
 
@@ -180,6 +180,7 @@ def near_duplicates(
                 offsets = np.concatenate([[0], np.cumsum(np.where(np.isinf(signature[:, 0]), 0, bands))]).astype(np.int32)
                 flat = keys[~np.isinf(signature[:, 0])].reshape(-1)
                 yield pa.record_batch([part.column("doc_id"), part.column("digest"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "digest", "bands"])
+        give_back()
 
     signed = stage(base.where("doc_id is not null").withColumn("digest", F.unhex(F.sha2("text", 256))).mapInArrow(sign, "doc_id long, digest binary, bands array<long>"), "signed")
     nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))

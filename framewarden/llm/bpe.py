@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import text_batches
-from .words import text_slices
+from .words import give_back, text_slices
 
 NEVER = np.int64(1 << 40)
 #: Runs between white space kept encoded by a task; when there are more, only those that the last slice had again stay.
@@ -41,7 +41,7 @@ KEPT = 1 << 18
 #: Words of more bytes are encoded one by one.
 LONG = 64
 #: Bytes of text in a slice.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 class Table:
@@ -371,6 +371,8 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     digests.append(hashlib.sha256(ids).hexdigest())
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
                 yield pa.record_batch([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del encoder
+        give_back()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

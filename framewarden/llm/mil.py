@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 from .staging import text_batches
-from .words import span_hashes, text_slices, word_spans
+from .words import give_back, span_hashes, text_slices, word_spans
 
 PASSAGE = 64
 MARKS = b"!*$%&#|+.,;:?@/()-_\"'<>=[]{}\\~^`"
@@ -181,6 +181,7 @@ def quality(docs: DataFrame, labels: DataFrame, settings: Settings | None = None
         for batch in batches:
             for part, texts in text_slices(batch):
                 yield pa.record_batch([part.column("doc_id"), pa.array(score(texts))], ["doc_id", "score"])
+        give_back()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scored = base.mapInArrow(run, "doc_id long, score double")

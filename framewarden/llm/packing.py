@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .bpe import SLICE, Encoder, WordTokenizer
 from .staging import stage, text_batches
-from .words import text_slices
+from .words import give_back, text_slices
 
 #: Items in a task of a merging round, and how many tasks of one round meet in one of the next.
 MOST, FAN_IN = 200_000, 8
@@ -67,6 +67,8 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_
                             column.append(value)
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        del encoder
+        give_back()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return base.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

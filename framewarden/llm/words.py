@@ -6,6 +6,7 @@ taken from one running sum over the slice, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,14 @@ NOT_LETTER[:128] = [not chr(i).isalpha() for i in range(128)]
 SLICE = 1 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system when a task ends: its Python worker lives on and runs other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the finaliser of the public splitmix64 generator)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
