@@ -37,7 +37,7 @@ from .words import give_back, text_slices
 
 NEVER = np.int64(1 << 40)
 #: Runs between white space kept encoded by a task; when there are more, only those that the last slice had again stay.
-KEPT = 1 << 18
+KEPT = 1 << 19
 #: Words of more bytes are encoded one by one.
 LONG = 64
 #: Bytes of text in a slice.
