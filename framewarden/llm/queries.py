@@ -26,7 +26,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_round_trip(read(spark, sf_dir, "pages")).drop("valid")
+    return archive_round_trip(read(spark, sf_dir, "pages"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')
 k AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p)
 SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
        CASE WHEN n >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND last <> page_id THEN last END AS refers_to FROM k""",
+       CASE WHEN n >= 1000 AND last <> page_id THEN last END AS refers_to, TRUE AS valid FROM k""",
     "op3_exact_dedup": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT doc_id, body, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM d)

@@ -1,10 +1,10 @@
 """WARC archives: writing, reading, and reassembly of segmented records.
 
 Writing. Each record is a header block, an HTTP block in chunked transfer framing, and the closing blank line. A payload
-that is longer than a segment is cut into a first record and continuation records. The records are the lines of a text
-sink whose line end is the last byte of the record, so the files are plain WARC 1.1, written by Spark wherever it can
-write. A chunk ends inside any place of a payload that looks like the start of a record, so records can be found by that
-mark and the files split.
+that is longer than a segment is cut into a first record and continuation records. Each record is a gzip member of its own,
+or plain. The records are the lines of a text sink whose line end is the last byte of the record, so the files are WARC 1.1,
+written by Spark wherever it can write. A chunk ends inside any place of a payload that holds the version text, so a plain
+record holds its mark at its start only; so does a gzip member, whose header is the mark. By the mark Spark splits the files.
 
 Reading. The reader splits files at the mark, parses headers, groups continuation records by the identifier of their
 origin, orders them by segment number, verifies the total length, and takes the chunked framing off.
@@ -13,6 +13,7 @@ origin, orders them by segment number, verifies the total length, and takes the
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from .staging import new_path, stage, text_batches
 
-MARK = b"WARC/1.1\r\n"
+VERSION = b"WARC/1.1"
+MARK = VERSION + b"\r\n"
+#: The header of every gzip member: no time, no name, the version as its comment.
+GZIP_MARK = b"\x1f\x8b\x08\x10\0\0\0\0\0\xff" + VERSION + b"\0"
 SEGMENT = 1 << 20
 CHUNK = 1 << 14
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,12 +36,14 @@ RECORDS = "record_id string, warc_type string, headers map<string,string>, conte
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
-    """The payload in HTTP chunked transfer framing; no chunk holds the mark."""
+    """The payload in HTTP chunked transfer framing; the body holds the version text nowhere.
+
+    It isn't enough to break the mark: a chunk or a segment that ends in the version text would be followed by a line end."""
     out, at = [], 0
     while at < len(payload):
         end = min(len(payload), at + size)
-        # a mark may also start in this chunk and end in the next: the framing between them breaks it
-        found = payload.find(MARK, at, end)
+        # the version may also start in this chunk and end in the next: the framing between them breaks it
+        found = payload.find(VERSION, at, end)
         if found >= 0:
             end = found + 1
         out += [b"%x\r\n" % (end - at), payload[at:end], b"\r\n"]
@@ -45,6 +51,28 @@ def chunked(payload: bytes, size: int = CHUNK) -> bytes:
     return b"".join([*out, b"0\r\n\r\n"])
 
 
+def member(record: bytes) -> bytes:
+    """The record as one gzip member that holds the mark of members at its start only, and ends in a zero byte."""
+    if len(record) >= 1 << 24:
+        raise ValueError("a record is longer than 16 MB: take shorter segments")  # the last byte is the length's highest
+    for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_HUFFMAN_ONLY, zlib.Z_FIXED):
+        deflate = zlib.compressobj(6, zlib.DEFLATED, -15, 9, strategy)
+        body = deflate.compress(record) + deflate.flush()
+        if GZIP_MARK not in body:
+            return GZIP_MARK + body + zlib.crc32(record).to_bytes(4, "little") + len(record).to_bytes(4, "little")
+    raise ValueError("the compressed record holds the mark of a gzip member")
+
+
+def unpack(raw: bytes) -> bytes:
+    """The record of a gzip member without its mark; b"" if it is damaged."""
+    inflate = zlib.decompressobj(-15)
+    try:
+        record = inflate.decompress(raw) + inflate.flush()
+    except zlib.error:
+        return b""
+    return record if inflate.unused_data == zlib.crc32(record).to_bytes(4, "little") + len(record).to_bytes(4, "little") else b""
+
+
 def dechunk(body: bytes) -> bytes | None:
     """The payload of a chunked body; None if the framing is broken."""
     out, at = [], 0
@@ -94,8 +122,8 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
         yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{sha1}:{n}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", uri), *more], part)
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000, segment: int = SEGMENT, compression: str = "gzip") -> None:
-    """Write one record per row of pages (page_id, url, html) under ``path``.
+def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000, segment: int = SEGMENT, gzip: bool = True) -> None:
+    """Write one record per row of pages (page_id, url, html) under ``path``; with ``gzip`` each is a gzip member.
 
     Of rows with equal payloads of at least ``min_revisit`` bytes the one with the largest page_id is a response, the
     others revisit it. Rows that repeat a page_id, or have none, are never revisits of themselves: they are responses. The
@@ -115,11 +143,12 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000, segment
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 columns = (part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "sha1"))
-                out = [r[:-1] for row in zip(*columns, strict=True) for r in page_records(*row, segment=segment)]
+                records = (r for row in zip(*columns, strict=True) for r in page_records(*row, segment=segment))
+                out = [(member(r) if gzip else r)[:-1] for r in records]
                 yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
     # the text sink ends each line with the byte that the record was cut by
-    marked.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", compression).text(path)
+    marked.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0" if gzip else "\n").option("compression", "none").text(path)
 
 
 def parse(raw: bytes) -> tuple[str | None, str | None, dict[str, str], bytes, bool]:
@@ -134,16 +163,19 @@ def parse(raw: bytes) -> tuple[str | None, str | None, dict[str, str], bytes, bo
     return headers.get("warc-record-id"), headers.get("warc-type"), headers, rest[: max(size, 0)], 0 <= size <= len(rest)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, gzip: bool = True) -> DataFrame:
     """The records under ``path`` as they are in the files: record_id, warc_type, headers (names in lower case), content,
-    complete (the content is as long as its header says)."""
-    lines = spark.read.option("lineSep", MARK.decode()).text(path).select(F.col("value").cast("binary").alias("raw"))
+    complete (the content is as long as its header says). A damaged gzip member is a record of nulls, not complete."""
+    # in this encoding the separator's characters are its bytes
+    mark = (GZIP_MARK if gzip else MARK).decode("latin-1")
+    lines = spark.read.option("lineSep", mark).option("encoding", "ISO-8859-1").text(path).select(F.col("value").cast("binary").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("content", pa.binary()), ("complete", pa.bool_())])
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                rows = [parse(r) for r in batch.column(0).slice(at, 64).to_pylist() if r]
+                raw = batch.column(0).slice(at, 64).to_pylist()
+                rows = [parse(unpack(r).removeprefix(MARK) if gzip else r) for r in raw]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.record_batch([pa.array([list(h.items()) for h in c] if i == 2 else c, schema[i].type) for i, c in enumerate(columns)], schema=schema)
 
@@ -210,31 +242,37 @@ def payloads(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, schema)
 
 
-def archive_round_trip(pages: DataFrame, min_revisit: int = 1000, segment: int = SEGMENT) -> DataFrame:
-    """Write ``pages`` as archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, valid.
+def archive_round_trip(pages: DataFrame, min_revisit: int = 1000, segment: int = SEGMENT, gzip: bool = True) -> DataFrame:
+    """Write ``pages`` as archives, read them back (`pages_of`)."""
+    path = new_path(pages.sparkSession, "warc")
+    write_archives(pages, path, min_revisit, segment, gzip)
+    return pages_of(pages.sparkSession, path, min_revisit, gzip)
+
+
+def pages_of(spark: SparkSession, path: str, min_revisit: int = 1000, gzip: bool = True) -> DataFrame:
+    """The pages in archives of `write_archives`: page_id, payload_bytes, payload_digest, record_type, refers_to, valid.
 
     A null html is an empty payload, an empty one too; neither is a revisit. A null url is an empty header. A null
-    page_id comes back null.
+    page_id comes back null. Lengths and digests are those of what was read: both are null, and ``valid`` is false, for a
+    response whose payload can't be read and for a revisit whose response isn't there with the digest that it states.
     """
-    spark = pages.sparkSession
-    path = new_path(spark, "warc")
-    write_archives(pages, path, min_revisit, segment)
-    read = payloads(reassemble(read_archives(spark, path)))
+    read = payloads(reassemble(read_archives(spark, path, gzip)))
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1).try_cast("long")
     rows = read.select(
         page("record_id").alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(F.col("payload").isNotNull(), F.sha1("payload")).otherwise(F.col("stated_sha1")).alias("payload_digest"),
+        F.sha1("payload").alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
         page("refers_to").alias("refers_to"),
         "valid",
+        "stated_sha1",
     )
     rows = stage(rows, "records")
-    # a revisit is as long as the response that it refers to, whose digest must be its own
-    responses = rows.where("record_type = 'response' and payload_bytes >= %d" % min_revisit).select(
+    # a revisit has the payload of the response that it refers to, whose digest must be the one that it states
+    responses = rows.where("record_type = 'response' and payload_bytes >= %d and valid" % min_revisit).select(
         F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("its_digest"), F.col("payload_bytes").alias("its_bytes")
-    ).dropDuplicates(["refers_to", "its_digest"])
-    revisits = rows.where("record_type = 'revisit'").withColumn("its_digest", F.col("payload_digest")).join(responses.hint("merge"), ["refers_to", "its_digest"], "left")
+    ).dropDuplicates(["refers_to", "its_digest"])
+    revisits = rows.where("record_type = 'revisit'").join(responses.withColumn("stated_sha1", F.col("its_digest")).hint("merge"), ["refers_to", "stated_sha1"], "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid"]
-    revisits = revisits.select("page_id", F.col("its_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", (F.col("valid") & F.col("its_bytes").isNotNull()).alias("valid"))
-    return rows.where("record_type <> 'revisit'").select(*columns).unionByName(revisits)
+    revisits = revisits.select("page_id", F.col("its_bytes").alias("payload_bytes"), F.col("its_digest").alias("payload_digest"), "record_type", "refers_to", (F.col("valid") & F.col("its_bytes").isNotNull()).alias("valid"))
+    return rows.where("record_type is null or record_type <> 'revisit'").select(*columns).unionByName(revisits)
