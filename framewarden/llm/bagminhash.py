@@ -11,8 +11,12 @@ leaves a component without a point the limit is doubled.
 
 Candidates. Equal texts are one node first. Bands of the signature give buckets; in a bucket each node is held against
 one hub, the least, so pairs stay in proportion to the rows whatever the size of a bucket. What is then in its hub's class is
-settled. For each other node the shingles that it shares with its buckets at all bound the size of what it can be near; only
-pairs of different classes within both nodes' bounds are verified. This is exact: no link of a bucket is lost.
+settled. The nodes of a hub's buckets are its group; they can be near each other though far from the hub. As sets of
+(shingle, level), let M be what more than half of a group has, and E(a) where node a departs from M. Nodes a and b of n and m
+shingles are alike to t if and only if E(a) and E(b) share at least (f(a) + f(b)) / 2 elements, f(a) = |E(a)| - n (1 - t) / (1 + t).
+So the node of least f links all that needs no shared element, and any other link needs elements of E that both have: those
+that one node alone has count for nothing, and the nodes that can still reach each other are joined on the rarest of them
+(a prefix filter). This is exact: no link between two nodes of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import semi_join, stage, text_batches
-from .words import give_back, mix, shingle_multiset, shingles, text_slices, word_hashes
+from .words import give_back, mix, shingle_multiset, shingles, slices, text_slices, word_hashes
 
 COMPONENTS_SEED = np.uint64(0xD6E8FEB86659FD93)
 
@@ -108,6 +112,14 @@ def sign_texts(texts: list[str], ngram: int, m: int) -> np.ndarray:
     return signatures(values[at], counts, owner[at], len(texts), m)
 
 
+def level_set(text: str, ngram: int) -> np.ndarray:
+    """The multiset of shingles as a sorted set of hashes of (shingle, level), level 1 up to its count."""
+    values, counts = shingle_multiset(text, ngram)
+    first = np.cumsum(counts) - counts
+    level = np.arange(int(counts.sum())) - np.repeat(first, counts) + 1
+    return np.sort(mix(np.repeat(values, counts) ^ mix(level.astype(np.uint64))))
+
+
 def multiset_overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets given as (sorted values, counts); 1 of two empty ones."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -116,8 +128,11 @@ def multiset_overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / either if either else 1.0
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
-    """pairs (node, hub) with their exact similarity."""
+SCORED = "node long, hub long, similarity double, size long, hub_size long, apart array<long>"
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, ngram: int, apart: bool = False) -> DataFrame:
+    """pairs (node, hub) with their exact similarity and sizes; with ``apart`` what one of both has and the other hasn't."""
     left = texts.select(F.col("node"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("hub"), F.col("text").alias("text_b"))
     both = pairs.join(left.hint("merge"), "node").join(right.hint("merge"), "hub").select("node", "hub", "text_a", "text_b")
@@ -125,15 +140,24 @@ def _verify(pairs: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
         for batch in batches:
-            scores = []
-            for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                b = b.as_py()
-                if b != last:
-                    last, last_set = b, shingle_multiset(b, ngram)
-                scores.append(multiset_overlap(shingle_multiset(a.as_py(), ngram), last_set))
-            yield pa.record_batch([batch.column("node"), batch.column("hub"), pa.array(scores, pa.float64())], ["node", "hub", "similarity"])
-
-    return both.mapInArrow(run, "node long, hub long, similarity double")
+            for part, some in text_slices(batch, "text_a"):
+                scores, sizes, hub_sizes, differ = [], [], [], []
+                for a, b in zip(some, part.column("text_b"), strict=True):
+                    b = b.as_py()
+                    if b != last:
+                        last, last_set = b, level_set(b, ngram)
+                    own = level_set(a, ngram)
+                    d = np.setxor1d(own, last_set, assume_unique=True)
+                    both = (len(own) + len(last_set) - len(d)) // 2
+                    scores.append(both / (both + len(d)) if both + len(d) else 1.0)
+                    sizes.append(len(own))
+                    hub_sizes.append(len(last_set))
+                    differ.append(d if apart else d[:0])
+                offsets = np.concatenate([[0], np.cumsum([len(d) for d in differ])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(offsets, np.concatenate([*differ, np.zeros(0, np.uint64)]).view(np.int64))
+                yield pa.record_batch([part.column("node"), part.column("hub"), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64()), pa.array(hub_sizes, pa.int64()), lists], [c.split()[0] for c in SCORED.split(", ")])
+
+    return both.mapInArrow(run, SCORED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,17 +184,20 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, ngram: int = 5, bands: int = 32, rows: int = 5
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), class_size, kept (is it that least one).
+    """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), class_size, kept, text_sha256.
 
     Documents are linked when the weighted Jaccard similarity of their multisets of ``ngram``-word shingles is at least
     ``threshold``; a class is a connected component of links and of equal texts. A pair at 0.8 misses all 32 bands of 5
     with probability 3e-6. A null text counts as empty, all empty texts are equal, and a text without words has no
-    near copies but equal ones. A text of fewer than ``ngram`` words is one shingle. A null doc_id joins no class: it
-    comes back with null class_id and class_size 1. Rows that repeat a doc_id are one node; other columns are not read.
+    near copies but equal ones. A text of fewer than ``ngram`` words is one shingle. Rows that share a doc_id but not the
+    text are documents of their own. A null doc_id comes after all others: a class of such rows alone has a null class_id.
+    ``kept`` is true for the row of the least doc_id (then digest) of the class; rows that repeat its id and text have it
+    too. Other columns are not read.
     """
     text_batches(docs.sparkSession)
     m = bands * rows
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    digested = base.withColumn("digest", F.unhex(F.sha2("text", 256)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,39 +209,35 @@ def near_duplicates(
                 yield pa.record_batch([part.column("doc_id"), part.column("digest"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "digest", "bands"])
         give_back()
 
-    signed = stage(base.where("doc_id is not null").withColumn("digest", F.unhex(F.sha2("text", 256))).mapInArrow(sign, "doc_id long, digest binary, bands array<long>"), "signed")
-    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    members = stage(
-        signed.join(nodes.hint("merge"), "digest").select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "members"
-    )
-
-    rows = members.where("bands is not null").select(F.explode("bands").alias("bucket"), "node")
-    held = _against_hubs(rows)
+    signed = stage(digested.mapInArrow(sign, "doc_id long, digest binary, bands array<long>"), "signed")
+    # a node for each text; its number is only a name
+    nodes = stage(signed.groupBy("digest").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    held = _against_hubs(nodes.select(F.explode("bands").alias("bucket"), "node"))
     labels = None
     if not held.isEmpty():
-        ids = stage(held.select("node").union(held.select(F.col("hub").alias("node"))).distinct(), "ids")
-        texts = stage(semi_join(base.where("doc_id is not null").withColumnRenamed("doc_id", "node"), ids, "node", ids.count()).dropDuplicates(["node"]), "texts")
-        scored = stage(_verify(held.select("node", "hub").distinct(), texts, ngram), "scored")
+        ids = held.select("node").union(held.select(F.col("hub").alias("node"))).distinct()
+        wanted = stage(nodes.select("digest", "node").join(ids.hint("merge"), "node"), "wanted")
+        found = semi_join(digested.select("digest", "text"), wanted.select("digest"), "digest", 2 * wanted.count())
+        texts = stage(found.join(wanted.hint("merge"), "digest").dropDuplicates(["node"]).select("node", "text"), "texts")
+        scored = stage(_verify(held, texts, ngram, True), "scored")
         labels = _linked(scored, threshold)
-        rest = stage(_apart(held, labels), "rest")
-        if not rest.isEmpty():
-            labels = _rest(rest, held, scored, labels, texts, threshold, ngram)
+        labels = _inside_groups(scored, labels, texts, threshold, ngram)
 
-    out = members.select("doc_id", "node")
+    out = signed.select("doc_id", "digest").join(nodes.select("digest", "node").hint("merge"), "digest")
     if labels is not None:
-        out = out.join(labels.hint("merge"), "node", "left").select("doc_id", F.coalesce("class_id", "node").alias("class_id"))
+        out = out.join(labels.hint("merge"), "node", "left").withColumn("class", F.coalesce("class_id", "node")).drop("class_id")
     else:
-        out = out.select("doc_id", F.col("node").alias("class_id"))
-    sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = out.join(sizes.hint("merge"), "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    nameless = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    return out.unionByName(nameless)
+        out = out.withColumn("class", F.col("node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest"))
+    classes = out.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    return out.join(classes.hint("merge"), "class").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def _against_hubs(rows: DataFrame) -> DataFrame:
-    """(bucket, node, hub): the rows of each bucket against its least node."""
+    """(node, hub): the nodes of each bucket against its least one."""
     least = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
-    return stage(rows.select("bucket", "node").join(least.hint("merge"), "bucket").where("node > hub"), "held")
+    return stage(rows.select("bucket", "node").join(least.hint("merge"), "bucket").where("node > hub").select("node", "hub").distinct(), "held")
 
 
 def _linked(scored: DataFrame, threshold: float) -> DataFrame:
@@ -239,62 +262,87 @@ def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumns({"class_a": F.coalesce("la", "node"), "class_b": F.coalesce("lb", "hub")}).drop("la", "lb")
 
 
-def _apart(held: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``held`` whose node isn't in the class of its hub yet."""
-    return _named(held, labels).where("class_a <> class_b").select("bucket", "node", "hub")
-
+def _inside_groups(scored: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, ngram: int) -> DataFrame:
+    """The classes with the links between the nodes of a group, where not all of it is in its hub's class yet."""
+    open_hubs = stage(_named(scored.select("node", "hub"), labels).where("class_a <> class_b").select("hub").distinct(), "open")
+    if open_hubs.isEmpty():
+        return labels
+    group = scored.join(open_hubs.hint("merge"), "hub", "left_semi")
+    hubs = group.groupBy("hub").agg(F.first("hub_size").alias("size"), (F.count("*") + 1).alias("members"))
+    none = F.array().cast("array<long>")
+    rows = stage(group.select("hub", "node", "size", "apart").unionByName(hubs.select("hub", F.col("hub").alias("node"), "size", none.alias("apart"))), "group")
+    # M departs from the hub by what more than half of the group does; it is at most as large as two of its documents
+    often = _counts(rows).join(hubs.select("hub", "members").hint("merge"), "hub").where("2 * n > members")
+    common = often.groupBy("hub").agg(F.collect_list("token").alias("common"))
+    departs = F.concat(F.array_except("apart", F.coalesce("common", none)), F.array_except(F.coalesce("common", none), "apart"))
+    rows = stage(rows.join(common.hint("merge"), "hub", "left").select("hub", "node", "size", departs.alias("apart")), "departs")
+
+    shared = _counts(rows).where("n > 1")
+    places = rows.select("hub", "node", F.explode("apart").alias("token")).join(shared.hint("merge"), ["hub", "token"], "left")
+    tokens = places.groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "token")))).alias("tokens"))
+    f = F.size("apart") - F.col("size") * ((1 - threshold) / (1 + threshold)) - 1e-6
+    mine = rows.select("hub", "node", f.alias("f")).join(tokens.hint("merge"), ["hub", "node"], "left")
+    mine = stage(mine.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<struct<n:bigint,token:bigint>>"))).withColumn("most", F.size("tokens")), "mine")
+
+    # 1. against the node of least f, with which any node is linked that shares no element with another
+    least = mine.groupBy("hub").agg(F.min(F.struct("f", "node", "most")).alias("least"))
+    near = _classed(mine.select("hub", "node", "f", "most").join(least.hint("merge"), "hub"), labels)
+    near = near.where("node <> least.node and (f + least.f <= 2 * least(most, least.most))")
+    pairs = _named(_pairs(near.select("node", F.col("least.node").alias("hub"))), labels).where("class_a <> class_b").select("node", "hub")
+    labels, done = _more(pairs, scored.select("node", "hub"), labels, texts, threshold, ngram)
+
+    # 2. nodes outside the class of that node, if anything in the group can reach them
+    mine = _classed(mine, labels)
+    ends = mine.groupBy("hub").agg(F.min(F.struct("f", "node", "class_id")).alias("least"), F.max(2 * F.col("most") - F.col("f")).alias("reach"))
+    mine = mine.join(ends.hint("merge"), "hub")
+    far = "class_id <> least.class_id and 2 * most - f >= least.f and f <= reach"
+    mine = stage(mine.withColumn("far", F.expr(far)).select("hub", "node", "f", "most", "tokens", "class_id", "far", F.col("least.f").alias("least_f")), "reached")
+    lowest = mine.where("far").groupBy("hub").agg(F.min("f").alias("far_f"))
+    left = _prefix(mine.where("far"), F.col("least_f"))
+    right = _prefix(mine.join(lowest.hint("merge"), "hub"), F.col("far_f"))
+    left = left.select("hub", "token", F.col("node").alias("a"), F.col("f").alias("f_a"), F.col("most").alias("most_a"), F.col("class_id").alias("class_a"))
+    right = right.select("hub", "token", F.col("node").alias("b"), F.col("f").alias("f_b"), F.col("most").alias("most_b"), F.col("class_id").alias("class_b"))
+    both = left.join(right.hint("merge"), ["hub", "token"]).where("class_a <> class_b and f_a + f_b <= 2 * least(most_a, most_b)")
+    labels, _ = _more(_pairs(both.select(F.col("a").alias("node"), F.col("b").alias("hub"))), done, labels, texts, threshold, ngram)
+    return labels
 
-def _rest(rest: DataFrame, held: DataFrame, scored: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, ngram: int) -> DataFrame:
-    """Classes with the links that the nodes of ``rest`` have to other nodes of their buckets.
 
-    Two multisets of n and m shingles that are alike to t share t (n + m) / (1 + t) of them. A node of n shingles, s of which
-    occur in another node of these buckets at all, can therefore only be near nodes of at most s (1 + t) / t - n: its reach.
-    Pairs are made of nodes of different classes that are within each other's reach, with one that isn't settled."""
-    buckets = rest.select("bucket").distinct()
-    mates = held.join(buckets.hint("merge"), "bucket", "left_semi")
-    mates = stage(mates.select("bucket", "node").union(mates.select("bucket", F.col("hub").alias("node"))).distinct(), "mates")
-    nodes = stage(mates.select("node").distinct(), "nodes")
+def _counts(rows: DataFrame) -> DataFrame:
+    """(hub, token, n): how many nodes of a group have a token in ``apart``; summed within each batch first."""
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, some in text_slices(batch):
-                words, first = word_hashes(some)
-                values, offsets = shingles(words, first, ngram)
-                owner = np.repeat(part.column("node").to_numpy(), np.diff(offsets))
-                yield pa.record_batch([pa.array(owner), pa.array(values.view(np.int64))], ["node", "token"])
-
-    tokens = texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(explode, "node long, token long").groupBy("token", "node").agg(F.count("*").alias("n"))
-    tokens = stage(tokens, "tokens")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("token", F.lit(1).alias("is_shared"))
-    sizes = tokens.join(shared.hint("merge"), "token", "left").groupBy("node").agg(F.sum("n").alias("size"), F.coalesce(F.sum(F.col("n") * F.col("is_shared")), F.lit(0)).alias("shared"))
-    reach = F.col("shared") * ((1 + threshold) / threshold) - F.col("size") + 1e-6
-    reaches = stage(sizes.select("node", "size", reach.alias("reach")), "reaches")
-    least = F.min(F.struct("size", "node")).alias("small")
-    rows, far, _ = _within(rest, mates, reaches, labels)
-    # the smallest node of a bucket first: it links most of what can be linked, and then fewer pairs are of different classes
-    small = rows.where("reach >= 0").groupBy("bucket").agg(least).select("bucket", F.col("small.node").alias("node")).join(rows.hint("merge"), ["bucket", "node"])
-    for some in (small, None):
-        if some is None:
-            rows, far, some = _within(rest, mates, reaches, labels)
-        pairs = far.join(some.where("reach >= 0").hint("merge"), "bucket").where(WITHIN).select(F.greatest("node", "far_node").alias("node"), F.least("node", "far_node").alias("hub")).distinct()
-        pairs = stage(pairs.join(scored.select("node", "hub").hint("merge"), ["node", "hub"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            found = stage(_verify(pairs, texts, ngram), "scored")
-            scored = scored.union(found)
-            labels = _joined(labels, found, threshold)
-    return labels
+            sizes = np.diff(batch.column("apart").offsets.to_numpy())
+            for a, b in slices(sizes):
+                hub = np.repeat(batch.column("hub").to_numpy()[a:b], sizes[a:b])
+                token = batch.column("apart").slice(a, b - a).flatten().to_numpy()
+                order = np.lexsort((token, hub))
+                hub, token = hub[order], token[order]
+                at = np.flatnonzero(np.concatenate([[True], (np.diff(hub) != 0) | (np.diff(token) != 0)])) if len(hub) else np.zeros(0, np.int64)
+                yield pa.record_batch([pa.array(hub[at]), pa.array(token[at]), pa.array(np.diff(np.append(at, len(hub))))], ["hub", "token", "n"])
+
+    return rows.select("hub", "apart").mapInArrow(run, "hub long, token long, n long").groupBy("hub", "token").agg(F.sum("n").alias("n"))
+
+
+def _classed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.hint("merge"), "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
 
 
-#: Nodes of different classes within each other's reach.
-WITHIN = "class_id <> far_class and size <= far_reach and far_size <= reach"
+def _prefix(rows: DataFrame, other: Column) -> DataFrame:
+    """Each row's rarest shared tokens: all but so many as it must share with any node of f ``other`` or more, less one."""
+    needed = F.greatest(F.lit(1), F.ceil((F.col("f") + other) / 2)).cast("int")
+    some = F.slice("tokens", 1, F.greatest(F.lit(0), F.col("most") - needed + 1))
+    return rows.select("hub", "node", "f", "most", "class_id", F.explode(some).alias("t")).withColumn("token", F.col("t.token")).drop("t")
 
 
-def _within(rest: DataFrame, mates: DataFrame, reaches: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows (bucket, node, size, reach, class_id) of ``mates``, and those of ``rest`` that can reach something in their
-    bucket, with the prefix far_."""
-    known = reaches.join(labels.hint("merge"), "node", "left").select("node", "size", "reach", F.coalesce("class_id", "node").alias("class_id"))
-    rows = stage(mates.join(known.hint("merge"), "node"), "rows")
-    ends = rows.groupBy("bucket").agg(F.min("size").alias("least"), F.max("reach").alias("most"))
-    far = rest.select("bucket", "node").distinct().join(rows.hint("merge"), ["bucket", "node"]).join(ends.hint("merge"), "bucket").where("reach >= least and most >= size")
-    far = stage(far.select("bucket", F.col("node").alias("far_node"), F.col("size").alias("far_size"), F.col("reach").alias("far_reach"), F.col("class_id").alias("far_class")), "far")
-    return rows, far, rows
+def _more(pairs: DataFrame, done: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, ngram: int) -> tuple[DataFrame, DataFrame]:
+    """Verify the pairs that aren't ``done``; the classes with their links, and all pairs done."""
+    pairs = stage(pairs.join(done.hint("merge"), ["node", "hub"], "left_anti"), "pairs")
+    if pairs.isEmpty():
+        return labels, done
+    found = stage(_verify(pairs, texts, ngram), "scored")
+    return _joined(labels, found, threshold), done.unionByName(pairs)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -73,14 +74,46 @@ def test_chains_of_near_copies(spark):
 
 
 def test_awkward(awkward, awkward_rows, empty):
-    got = near_duplicates(awkward).collect()
-    assert len(got) == len(awkward_rows)
-    want = brute([(r[0], r[1]) for r in awkward_rows if r[0] is not None])
-    for r in got:
-        assert (r.class_id is None and r.class_size == 1) if r.doc_id is None else r.class_id == want[r.doc_id]
+    rows = [*awkward_rows, (1, "another text of id one", 1, "x", 0.0, "en")]
+    docs = awkward.sparkSession.createDataFrame(rows, awkward.schema).repartition(3)
+    got = near_duplicates(docs).collect()
+    classes = brute([(i, r[1]) for i, r in enumerate(rows)])
+    members = {c: [i for i in classes if classes[i] == c] for c in classes.values()}
+    want = []
+    for i, r in enumerate(rows):
+        mates = members[classes[i]]
+        first = min(((rows[j][0] is None, rows[j][0] or 0, sha(rows[j][1])), rows[j][0]) for j in mates)
+        want.append((r[0], first[1], len(mates), (r[0], sha(r[1])) == (first[1], first[0][2]), sha(r[1])))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert near_duplicates(empty).count() == 0
 
 
+def sha(text):
+    return hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_groups_near_the_threshold(spark):
+    """Many copies of one passage, each edited at random, most pairs of them just below the threshold."""
+    rng = random.Random(12)
+    base = ["w%d" % i for i in range(140)]
+    rows, n = [], 0
+    for version in range(3):
+        mine = list(base)
+        for j in rng.sample(range(140), 6):
+            mine[j] = f"v{version}-{j}"
+        for _ in range(70):
+            text = list(mine)
+            for j in rng.sample(range(140), rng.randint(0, 6)):
+                text[j] = f"x{rng.randint(0, 3)}"
+            rows.append((n, " ".join(text)))
+            n += 1
+    rows += [(n + i, " ".join(["la la ho"] * (100 + 9 * i) + base[:i])) for i in range(40)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute(rows)
+    assert {r.doc_id: r.class_id for r in got} == want
+    assert len(set(want.values())) > 20
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randint(0, 50), 100 + rng.randint(0, 50)) for _ in range(30)]
