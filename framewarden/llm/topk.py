@@ -11,7 +11,8 @@ product, and the score is the sum over the lists. Local scores are shifted by th
    lower bound, or tau1 if that is more, is tau2.
 3. The vectors with an upper bound of tau2 or more are looked up and scored exactly.
 
-Queries are taken in blocks of bounded size; each block is held against all rows.
+Rows go by a number of their own, so rows that repeat a vec_id are all there. One broadcast holds as many queries as a stated
+size allows, and a task works on them in blocks; more queries take further rounds over all rows.
 """
 
 from __future__ import annotations
@@ -23,19 +24,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import stage, unstage
 
-ENTRY = "query_id long, vec_id long, known long, least array<long>"
+ENTRY = "query long, known long, least array<long>"
 #: Local scores gathered from each list, at least.
 DEPTH = 64
-NONE = -(1 << 62)
-BOUNDS = "query_id long, vec_id long, lower long, upper long"
+#: No score: less than any.
+NONE = -(1 << 63)
+#: Bytes of query vectors in a broadcast, and queries that a task works on at a time.
+SENT, BLOCK = 64 << 20, 512
+BOUNDS = "query long, row long, lower long, upper long"
 
 
 def quantise(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component as long; null if the vector is null or has a null or non-finite component."""
-    good = vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(good, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    """floor(scale * x) of each component as long; null if the vector is null or has a null or non-finite component, or one
+    whose value isn't a 64-bit integer."""
+    at = lambda x: x.cast("double") * scale
+    good = vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(at(x)) >= 2.0**63))
+    return F.when(good, F.transform(vector, lambda x: F.floor(at(x)).cast("long")))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -57,116 +63,154 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
 
 
 def _local(queries: np.ndarray, rows: np.ndarray, cuts: list[tuple[int, int]]) -> Iterator[np.ndarray]:
-    """Local scores (queries x rows) list by list; floats while they are exact, else integers."""
-    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.float64 if bound < 2.0**53 else np.int64
+    """Local scores (queries x rows) list by list; floats while they are exact, else integers. NONE: not a 64-bit integer."""
+    bound = _largest(queries) * _largest(rows) * max(1, queries.shape[1])
     for a, b in cuts:
-        yield (queries[:, a:b].astype(kind) @ rows[:, a:b].astype(kind).T).astype(np.int64)
+        q, r = queries[:, a:b], rows[:, a:b]
+        if bound < 2.0**53:
+            yield (q.astype(np.float64) @ r.astype(np.float64).T).astype(np.int64)
+        elif bound < 2.0**62:
+            yield q @ r.T
+        else:
+            yield _wide(q, r)
+
+
+def _largest(x: np.ndarray) -> float:
+    return float(np.abs(x.astype(np.float64)).max(initial=0.0))
+
+
+def _wide(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Inner products that may be beyond 64 bits, which are NONE then. Sums of int64 are right modulo 2**64, so they are the
+    product where a float sum is surely in range; where it may or may not be, Python's integers tell."""
+    with np.errstate(over="ignore"):
+        out = q @ r.T
+    about = q.astype(np.float64) @ r.astype(np.float64).T
+    error = (np.abs(q).astype(np.float64) @ np.abs(r).astype(np.float64).T) * (q.shape[1] + 4) * 2.0**-52
+    out[np.abs(about) - error >= 2.0**63] = NONE
+    for i, j in zip(*np.nonzero((np.abs(about) + error >= 2.0**63) & (np.abs(about) - error < 2.0**63)), strict=True):
+        exact = sum(int(x) * int(y) for x, y in zip(q[i], r[j], strict=True))
+        out[i, j] = exact if -(2**63) < exact < 2**63 else NONE
+    return out
 
 
-def _highest(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if scores.shape[1] <= k:
-        return scores, ids
-    at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+def _highest(scores: np.ndarray, k: int) -> np.ndarray:
+    return scores if scores.shape[1] <= k else np.partition(scores, -k, axis=1)[:, -k:]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, lists: int = 2, block: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, lists: int = 2, sent: int = SENT, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k highest integer inner products with the other rows.
 
     Ties go to the smaller vec_id; fewer rows than k give all. Null vectors and those with null or non-finite components
-    take no part, nor do null ids. Of rows that repeat an id the one with the greatest vector counts. Shorter vectors are
-    filled with zeros, so an empty one scores 0. ``block`` queries at most are held against all rows at a time.
+    take no part, nor do null ids, nor components whose floor(1024 x) isn't a 64-bit integer; a pair whose inner product
+    isn't one (or is -2**63) has no score. Of rows that repeat an id each is a candidate, also of the others, and each a
+    query of its own. Shorter vectors are filled with zeros, so an empty one scores 0. ``sent`` bytes of queries at most go
+    out in a broadcast, and ``block`` queries are held against some rows at a time.
     """
     spark = vectors.sparkSession
-    good = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vector_col)).alias("v"), is_query.alias("is_query")).where("v is not null")
-    rows = stage(good.groupBy("vec_id").agg(F.max("v").alias("v"), F.max("is_query").alias("is_query")), "vectors")
-    n, n_queries, width = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.size("v"))).first()
+    good = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("v is not null")
+    rows = stage(good.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    size = F.max(F.greatest(F.abs(F.array_max("v").cast("double")), F.abs(F.array_min("v").cast("double"))))
+    n_queries, width, largest = rows.agg(F.count_if("is_query"), F.max(F.size("v")), size).first()
     width = max(1, width or 1)
-    lists = max(1, min(lists, width))
+    # parts of a sum that is in range may not be: such vectors are one list
+    lists = 1 if (largest or 0.0) ** 2 * width >= 2.0**62 else max(1, min(lists, width))
     edges = np.linspace(0, width, lists + 1).astype(int).tolist()
     cuts = list(zip(edges[:-1], edges[1:], strict=True))
     out = None
-    blocks = max(1, -(-n_queries // block))
-    for number in range(blocks):
-        # a block of the stated queries: its size doesn't grow with the table
-        some = rows.where("is_query").where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).select("vec_id", "v").collect()
-        found = _block(spark, rows, some, k, cuts, width)
+    rounds = max(1, -(-n_queries * 8 * width // sent))
+    for number in range(rounds):
+        # some of the stated queries, of a size that doesn't grow with the table
+        some = rows.where("is_query").where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == number).select("row", "vec_id", "v").collect()
+        found = _round(spark, rows, some, k, cuts, width, block)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _block(spark, rows: DataFrame, some: list, k: int, cuts: list[tuple[int, int]], width: int) -> DataFrame:
-    q_ids = np.array([r[0] for r in some], np.int64)
+def _round(spark, rows: DataFrame, some: list, k: int, cuts: list[tuple[int, int]], width: int, block: int) -> DataFrame:
+    q_rows = np.array([r[0] for r in some], np.int64)
     q = np.zeros((len(some), width), np.int64)
     for i, r in enumerate(some):
-        q[i, : len(r[1])] = r[1]
+        q[i, : len(r[2])] = r[2]
     m = len(cuts)
-    sent = spark.sparkContext.broadcast((q_ids, q))
+    sent = spark.sparkContext.broadcast((q_rows, q))
+    blocks = [slice(a, a + block) for a in range(0, len(some), block)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_q, queries = sent.value
-        best, least = None, None
+        own, queries = sent.value
+        best = [np.full((len(own[b]), 0), NONE) for b in blocks]
+        least = np.full((m, len(own)), np.iinfo(np.int64).max)
         for batch in _parts(batches):
-            ids = batch.column("vec_id").to_numpy()
-            scores = list(_local(queries, _matrix(batch.column("v"), width), cuts))
-            low = np.stack([x.min(axis=1) for x in scores])
-            least = low if least is None else np.minimum(least, low)
-            gathered = np.zeros(scores[0].shape, bool)
-            for x in scores:
-                at = min(max(k + 1, DEPTH), x.shape[1])
-                gathered |= x >= np.partition(x, -at, axis=1)[:, -at][:, None]
-            known = np.where(gathered & (ids_q[:, None] != ids), sum(scores), NONE)
-            mine = _highest(known, np.broadcast_to(ids, known.shape), k)
-            best = mine if best is None else _highest(*(np.concatenate(x, axis=1) for x in zip(best, mine, strict=True)), k)
-        if best is not None and len(ids_q):
-            known, ids = best
-            mins = np.repeat(least.T, known.shape[1], axis=0)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(mins.ravel()), m).cast(pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(np.repeat(ids_q, known.shape[1])), pa.array(ids.ravel()), pa.array(known.ravel()), flat], ["query_id", "vec_id", "known", "least"])
+            at_rows, v = batch.column("row").to_numpy(), _matrix(batch.column("v"), width)
+            for number, b in enumerate(blocks):
+                scores = list(_local(queries[b], v, cuts))
+                gathered = np.zeros(scores[0].shape, bool)
+                for i, x in enumerate(scores):
+                    least[i, b] = np.minimum(least[i, b], x.min(axis=1))
+                    at = min(max(k + 1, DEPTH), x.shape[1])
+                    gathered |= x >= np.partition(x, -at, axis=1)[:, -at][:, None]
+                known = np.where(gathered & (own[b][:, None] != at_rows), sum(scores), NONE)
+                best[number] = _highest(np.concatenate([best[number], known], axis=1), k)
+        for number, b in enumerate(blocks):
+            known = best[number]
+            if known.shape[1]:
+                mins = np.repeat(least[:, b].T, known.shape[1], axis=0)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(mins.ravel()), m).cast(pa.list_(pa.int64()))
+                yield pa.record_batch([pa.array(np.repeat(own[b], known.shape[1])), pa.array(known.ravel()), flat], ["query", "known", "least"])
 
     # Phase 1: k rows a query from each task. A query without k other vectors gets no cutoff.
-    local = stage(rows.select("vec_id", "v").mapInArrow(gather, ENTRY), "lists")
-    least = local.groupBy("query_id").agg(F.array(*[F.min(F.col("least")[i]) for i in range(m)]).alias("least"))
-    by_known = Window.partitionBy("query_id").orderBy(F.desc("known"))
-    top = local.where(F.col("known") > NONE).select("query_id", "known").withColumn("n", F.row_number().over(by_known)).where(F.col("n") == k)
-    cut = least.join(top.hint("merge"), "query_id", "left").select("query_id", "least", "known").collect()  # a row per query of the block
-    where = {int(x): i for i, x in enumerate(q_ids)}
-    tau, shift = np.zeros(len(q_ids), np.int64), np.zeros((m, len(q_ids)), np.int64)
+    local = stage(rows.select("row", "v").mapInArrow(gather, ENTRY), "lists")
+    least = local.groupBy("query").agg(F.array(*[F.min(F.col("least")[i]) for i in range(m)]).alias("least"))
+    by_known = Window.partitionBy("query").orderBy(F.desc("known"))
+    top = local.where(F.col("known") > NONE).select("query", "known").withColumn("n", F.row_number().over(by_known)).where(F.col("n") == k)
+    cut = least.join(top.hint("merge"), "query", "left").select("query", "least", "known").collect()  # a row per query of the round
+    unstage(local)
+    where = {int(x): i for i, x in enumerate(q_rows)}
+    # shifts of 0 where nothing has a score; one list needs none
+    tau, shift = np.full(len(q_rows), NONE if m == 1 else 0, np.int64), np.zeros((m, len(q_rows)), np.int64)
     for r in cut:
-        shift[:, where[r.query_id]] = r.least
-        tau[where[r.query_id]] = 0 if r.known is None else max(0, r.known - sum(r.least))
+        if m == 1:
+            tau[where[r.query]] = NONE + 1 if r.known is None else r.known
+        else:
+            shift[:, where[r.query]] = r.least
+            tau[where[r.query]] = 0 if r.known is None else max(0, r.known - sum(r.least))
     cutoff = spark.sparkContext.broadcast((tau, shift))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_q, queries = sent.value
+        own, queries = sent.value
         tau1, mins = cutoff.value
         needed = -(-tau1 // m)  # scores are integers
         for batch in _parts(batches):
-            ids = batch.column("vec_id").to_numpy()
-            lower = np.zeros((len(ids_q), len(ids)), np.int64)
-            upper = np.zeros_like(lower)
-            for i, scores in enumerate(_local(queries, _matrix(batch.column("v"), width), cuts)):
-                scores = scores - mins[i][:, None]
-                high = scores >= needed[:, None]
-                lower += np.where(high, scores, 0)
-                upper += np.where(high, scores, np.maximum(needed - 1, 0)[:, None])
-            at_q, at_v = np.nonzero((upper >= tau1[:, None]) & (ids_q[:, None] != ids[None, :]))
-            columns = [ids_q[at_q], ids[at_v], lower[at_q, at_v], upper[at_q, at_v]]
-            yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "vec_id", "lower", "upper"])
+            at_rows, v = batch.column("row").to_numpy(), _matrix(batch.column("v"), width)
+            for b in blocks:
+                low = np.zeros((len(own[b]), len(at_rows)), np.int64)
+                high = np.zeros_like(low)
+                for i, scores in enumerate(_local(queries[b], v, cuts)):
+                    if m == 1:
+                        low = high = scores
+                        break
+                    scores = scores - mins[i][b][:, None]
+                    over = scores >= needed[b][:, None]
+                    low += np.where(over, scores, 0)
+                    high += np.where(over, scores, np.maximum(needed[b] - 1, 0)[:, None])
+                at_q, at_v = np.nonzero((high >= tau1[b][:, None]) & (high > NONE) & (own[b][:, None] != at_rows[None, :]))
+                columns = [own[b][at_q], at_rows[at_v], low[at_q, at_v], high[at_q, at_v]]
+                yield pa.record_batch([pa.array(c) for c in columns], ["query", "row", "lower", "upper"])
 
     # Phase 2.
-    bounds = stage(rows.select("vec_id", "v").mapInArrow(collect, BOUNDS), "bounds")
-    by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"))
-    tau1 = spark.createDataFrame([(int(a), int(b)) for a, b in zip(q_ids, tau, strict=True)], "query_id long, tau1 long")
-    kth = bounds.select("query_id", "lower").withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).alias("kth"))
-    tau2 = tau1.join(F.broadcast(kth), "query_id", "left").select("query_id", F.greatest("tau1", "kth").alias("tau2"))
-    open_pairs = bounds.join(F.broadcast(tau2), "query_id").where("upper >= tau2").select("query_id", "vec_id")  # tau2: a row per query of the block
+    bounds = stage(rows.select("row", "v").mapInArrow(collect, BOUNDS), "bounds")
+    by_lower = Window.partitionBy("query").orderBy(F.desc("lower"))
+    tau1 = spark.createDataFrame([(int(a), int(b)) for a, b in zip(q_rows, tau, strict=True)], "query long, tau1 long")
+    kth = bounds.select("query", "lower").withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query").agg(F.when(F.count("*") == k, F.min("lower")).alias("kth"))
+    tau2 = tau1.join(F.broadcast(kth), "query", "left").select("query", F.greatest("tau1", "kth").alias("tau2"))
+    open_pairs = bounds.join(F.broadcast(tau2), "query").where("upper >= tau2").select("query", "row")  # tau2: a row per query of the round
 
     # Phase 3.
-    questions = spark.createDataFrame([(int(a), [int(x) for x in b]) for a, b in zip(q_ids, q, strict=True)], "query_id long, q array<long>")
-    pairs = open_pairs.join(rows.select("vec_id", "v").hint("merge"), "vec_id").join(F.broadcast(questions), "query_id")
-    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * F.coalesce(b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-    ranked = pairs.select("query_id", "vec_id", score.alias("score"))
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    questions = spark.createDataFrame([(int(r[0]), int(r[1]), [int(x) for x in row]) for r, row in zip(some, q, strict=True)], "query long, query_id long, q array<long>")
+    pairs = open_pairs.join(rows.select("row", "vec_id", "v").hint("merge"), "row").join(F.broadcast(questions), "query")
+    if m > 1:  # no part of the sum is beyond 64 bits
+        score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * F.coalesce(b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+        ranked = pairs.select("query", "query_id", "row", "vec_id", score.alias("score"))
+    else:  # the bounds of one list are the scores
+        ranked = bounds.join(F.broadcast(tau2), "query").where("upper >= tau2").join(rows.select("row", "vec_id").hint("merge"), "row").join(F.broadcast(questions.drop("q")), "query").select("query", "query_id", "row", "vec_id", F.col("lower").alias("score"))
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return ranked.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
