@@ -12,20 +12,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+_OWN: dict[str, str] = {}  # folders of our own, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else (unset, as in tests) one of our own.
 
-    A machine-local temporary folder is only taken when the master is local; on a cluster without the setting the
-    warehouse folder, which is shared too, takes its place.
+    A machine-local temporary folder is only taken when the master is local; a cluster has to name a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
-        if master.startswith("local") and not master.startswith("local-cluster"):
-            base = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir") + "/_staging"
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        base = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-"))
     return base.rstrip("/")
 
 
@@ -38,16 +39,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: all that was made of them is staged itself."""
+    for df in tables:
+        delete(df.sparkSession, df.staged_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_batches(spark: SparkSession, rows: int = 2048) -> None:
@@ -61,3 +67,33 @@ def semi_join(big: DataFrame, keys: DataFrame, on: str, n_keys: int) -> DataFram
     """Rows of ``big`` whose key is in ``keys`` (``n_keys`` rows, counted): broadcast within the bound, else shuffled."""
     keys = F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys.hint("shuffle_hash")
     return big.join(keys, on, "left_semi")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, upper and lower case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept by ``verdicts`` (doc_id, text_sha256, kept), which has a row for each of them.
+
+    Rows are told apart by id and text, null ids included; of rows that repeat both one stays if they are kept.
+    """
+    seen = verdicts.groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    of, digest = fresh(docs, "of"), fresh(docs, "digest")
+    keys = stage(seen.where("not kept or n > 1").select(F.col("doc_id").alias(of), F.col("digest").alias(digest), "kept"), "keys")
+    n, n_once = keys.agg(F.count("*"), F.count_if("kept")).first()
+    own_id, own_digest = docs[id_col].cast("long"), F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+
+    def matched(some: DataFrame, count: int, how: str) -> DataFrame:
+        hinted = F.broadcast(some) if count <= BROADCAST_ROWS // 4 else some.hint("shuffle_hash")  # a row has less than 64 bytes
+        return docs.join(hinted, own_id.eqNullSafe(some[of]) & (own_digest == some[digest]), how)
+
+    out = matched(keys, n, "left_anti")
+    if n_once:
+        again = matched(keys.where("kept").select(of, digest), n_once, "inner")
+        out = out.unionByName(again.dropDuplicates([of, digest]).select(docs.columns))
+    return out
