@@ -272,7 +272,7 @@ def _inside_groups(scored: DataFrame, labels: DataFrame, texts: DataFrame, thres
     none = F.array().cast("array<long>")
     rows = stage(group.select("hub", "node", "size", "apart").unionByName(hubs.select("hub", F.col("hub").alias("node"), "size", none.alias("apart"))), "group")
     # M departs from the hub by what more than half of the group does; it is at most as large as two of its documents
-    often = _counts(rows).join(hubs.select("hub", "members").hint("merge"), "hub").where("2 * n > members")
+    often = _counts(rows).where("n > 1").join(hubs.select("hub", "members").hint("merge"), "hub").where("2 * n > members")
     common = often.groupBy("hub").agg(F.collect_list("token").alias("common"))
     departs = F.concat(F.array_except("apart", F.coalesce("common", none)), F.array_except(F.coalesce("common", none), "apart"))
     rows = stage(rows.join(common.hint("merge"), "hub", "left").select("hub", "node", "size", departs.alias("apart")), "departs")
