@@ -17,7 +17,7 @@ from framewarden.llm.exact_stream import exact_duplicates
 from framewarden.llm.mil import scorer
 from framewarden.llm.packing import pack_documents
 from framewarden.llm.queries import tokenizer_path
-from framewarden.llm.staging import BROADCAST_ROWS, stage
+from framewarden.llm.staging import keep_rows, stage
 from framewarden.llm.words import give_back, text_slices
 
 #: Documents that score less are rejected.
@@ -25,7 +25,8 @@ QUALITY_CUT = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. A null text is scored as an empty one; rows are scored each, whatever
+    their ids; without labels all stay."""
     score = scorer(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,31 +39,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    dropped = stage(exact_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    return _without(docs, dropped)
+    """Of equal texts the row with the largest doc_id stays, and only one. Null texts are empty ones, null ids the smallest.
 
-
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the row with the smallest doc_id stays."""
-    dropped = stage(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    return _without(docs, dropped)
+    Rows go by id and text: another text with the id of a copy stays. An empty table stays empty.
+    """
+    return keep_rows(docs, exact_duplicates(docs))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose id isn't in ``dropped``, a staged table; it is broadcast if counted to be small, else shuffled."""
-    keys = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped.hint("shuffle_hash")
-    return docs.join(keys, "doc_id", "left_anti").select(docs.columns)
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the row with the smallest doc_id stays, and only one. Null texts are empty ones, null ids
+    come last. Rows go by id and text: another text with the id of a copy stays. An empty table stays empty."""
+    return keep_rows(docs, near_duplicates(docs))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller id has too are cut out."""
+    """Passages that a document with a smaller id has too are cut out; a document with no word left goes. Null and empty texts
+    stay as they are, null ids come last. Rows go by id and text. Where there is a column n_chars it is that of what is left."""
     cut = without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token sequences that the documents are packed into: a row per piece."""
+    """The token sequences that the documents are packed into: a row per piece. A null or empty text is one end id; rows that
+    repeat are packed each, null ids are carried through; an empty table gives no rows."""
     return pack_documents(docs, tokenizer_path())
 
 
