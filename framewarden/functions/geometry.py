@@ -77,6 +77,21 @@ def scale_round(x: Column, factor: Column) -> Column:
     return F.bround(x * factor).cast("int")
 
 
+def scale_box(b: Box, sx: Column, sy: Column) -> Box:
+    """A box (of a person or a head) on another frame size, in whole pixels."""
+    return Box(scale_round(b.x0, sx), scale_round(b.y0, sy), scale_round(b.x1, sx), scale_round(b.y1, sy))
+
+
+def scale_point(x: Column, y: Column, sx: Column, sy: Column) -> tuple[Column, Column]:
+    """A centre on another frame size, in whole pixels."""
+    return scale_round(x, sx), scale_round(y, sy)
+
+
+def scale_keypoints(points: Column, sx: Column, sy: Column) -> Column:
+    """An array of (id, x, y, conf) on another frame size: places to two digits, the rest as it is."""
+    return F.transform(points, lambda p: F.struct(p["id"].alias("id"), F.round(p["x"] * sx, 2).alias("x"), F.round(p["y"] * sy, 2).alias("y"), p["conf"].alias("conf")))
+
+
 def clip(x: Column, high: Column) -> Column:
     return F.greatest(F.lit(0), F.least(x, high))
 

@@ -20,6 +20,11 @@ def match_labels(df: DataFrame, terms: Column) -> DataFrame:
     return df.where(label_match(F.col("label"), terms))
 
 
+def accessory_filter(accessories: DataFrame, terms: Column, conf: float = 0.0) -> DataFrame:
+    """Accessory boxes whose label matches the object prompt, of at least ``conf`` if that is more than 0."""
+    return min_conf(match_labels(accessories, terms), conf)
+
+
 def min_conf(df: DataFrame, conf: float) -> DataFrame:
     return df.where(F.col("conf") >= conf) if conf > 0 else df
 
@@ -77,7 +82,7 @@ def match_segments(det: DataFrame, seg: DataFrame, iou: float = 0.5) -> DataFram
     taken = lambda acc, p: F.exists(acc, lambda k: (k["det_idx"] == p["det_idx"]) | (k["seg_idx"] == p["seg_idx"]))
     chosen = F.aggregate("pairs", F.filter("pairs", lambda p: F.lit(False)), lambda acc, p: F.when(taken(acc, p), acc).otherwise(F.concat(acc, F.array(p))))
     found = frames.select(*FRAME, F.explode(chosen).alias("p")).select(*FRAME, "p.det_idx", "p.seg_idx", "p.iou")
-    return det.select(*FRAME, "det_idx").join(found, [*FRAME, "det_idx"], "left")
+    return det.select(*FRAME, "det_idx").join(found.hint("merge"), [*FRAME, "det_idx"], "left")
 
 
 def attach_embeddings(det: DataFrame, emb: DataFrame, width: int) -> DataFrame:

@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, as_struct, box, center, diag
-from ..functions.vectors import cosine, l2_normalize
+from ..functions.geometry import Box, as_struct, box, center, crop_ok, crop_rect, diag
+from ..functions.vectors import dot, l2_normalize
 
 ID = ["run_id", "object_id"]
 
@@ -44,16 +44,24 @@ def sample_tracklets(instances: DataFrame, k: int = 8) -> DataFrame:
 def link_candidates(tracklets: DataFrame, max_gap: int = 300, min_sim: float = 0.60, spatial_weight: float = 0.15, gap_weight: float = 0.10, require_embedding: bool = True) -> DataFrame:
     """Pairs (run_id, id_a ends before id_b starts) worth merging: gap, similarity, score.
 
-    The run is the equi-key and the intervals stand beside it; a run that dominates is split by the adaptive skew join."""
-    cols = ["object_id", "start_frame", "end_frame", "first_box", "last_box", "embedding", "first_inst_idx"]
-    a = tracklets.select("run_id", *[F.col(c).alias(f"a_{c}") for c in cols]).hint("merge")
-    b = tracklets.select("run_id", *[F.col(c).alias(f"b_{c}") for c in cols])
+    With a largest gap the time is cut into bins one frame longer: what can follow a tracklet starts in the bin of its end or
+    in the next, so the join is one on run and bin. Without one (0) it is on the run; a run that dominates is split by the
+    adaptive skew join. Vectors are brought to length 1 once, before the join."""
+    cols = ["object_id", "start_frame", "end_frame", "first_box", "last_box", "first_inst_idx"]
+    unit = F.when(F.col("embedding").isNotNull(), F.coalesce(l2_normalize(F.col("embedding")), F.transform("embedding", lambda x: F.lit(0.0))))
+    bin_of = lambda frame: F.floor(frame / (max_gap + 1))
+    ends, starts = F.array(F.lit(0)), F.array(F.lit(0))
+    if max_gap > 0:
+        before = F.col("start_frame") - 1
+        ends, starts = F.array(bin_of(F.col("end_frame"))), F.array_distinct(F.array(bin_of(before - max_gap), bin_of(before)))
+    a = tracklets.select("run_id", F.explode(ends).alias("bin"), unit.alias("a_embedding"), *[F.col(c).alias(f"a_{c}") for c in cols]).hint("merge")
+    b = tracklets.select("run_id", F.explode(starts).alias("bin"), unit.alias("b_embedding"), *[F.col(c).alias(f"b_{c}") for c in cols])
     gap = F.col("b_start_frame") - F.col("a_end_frame") - 1
-    pairs = a.join(b, "run_id").where("a_object_id <> b_object_id and a_end_frame < b_start_frame").withColumn("gap", gap)
+    pairs = a.join(b, ["run_id", "bin"]).where("a_object_id <> b_object_id and a_end_frame < b_start_frame").withColumn("gap", gap)
     if max_gap > 0:
         pairs = pairs.where(F.col("gap") <= max_gap)
     both = F.col("a_embedding").isNotNull() & F.col("b_embedding").isNotNull()
-    sim = F.when(both, cosine(F.col("a_embedding"), F.col("b_embedding")))
+    sim = F.when(both, dot(F.col("a_embedding"), F.col("b_embedding")))
     if not require_embedding:
         near = F.col("gap") <= (5 if max_gap <= 0 else max(5, max_gap // 20))
         sim = F.when(both, sim).when(near, F.lit(float(min_sim)))
@@ -94,7 +102,7 @@ class Clusters:
 
 
 def link_tracklets(tracklets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(run_id, object_id, final_id): candidates by falling score (ties by start frames, then ids), merged while the
+    """(run_id, object_id, n_frames, final_id): candidates by falling score (ties by start frames, then ids), merged while the
     clusters stay apart in time; the final id is the least of the cluster. Only edges reach the task of a run."""
     edges = candidates.repartition("run_id").sortWithinPartitions("run_id", F.desc("score"), "start_a", "start_b", "id_a", "id_b")
 
@@ -118,12 +126,12 @@ def link_tracklets(tracklets: DataFrame, candidates: DataFrame) -> DataFrame:
             yield out()
 
     found = edges.mapInArrow(run, "run_id string, object_id long, final_id long")
-    return tracklets.select(*ID).join(found, ID, "left").select(*ID, F.coalesce("final_id", "object_id").alias("final_id"))
+    return tracklets.select(*ID, "n_frames").join(found.hint("merge"), ID, "left").select(*ID, "n_frames", F.coalesce("final_id", "object_id").alias("final_id"))
 
 
 def remap_ids(instances: DataFrame, id_map: DataFrame) -> DataFrame:
     """Instances with ``object_id`` replaced by the final id and ``changed`` telling where."""
-    joined = instances.join(id_map.select(*ID, "final_id"), ID, "left")
+    joined = instances.join(id_map.select(*ID, "final_id").hint("merge"), ID, "left")
     new = F.coalesce("final_id", "object_id")
     columns = [new.alias("object_id") if c == "object_id" else F.col(c) for c in instances.columns]
     return joined.select(*columns, (new != F.col("object_id")).alias("changed"))
@@ -133,33 +141,41 @@ def changed_ids(id_map: DataFrame) -> DataFrame:
     return id_map.where("final_id <> object_id")
 
 
-def link_summary(id_map: DataFrame, remapped: DataFrame) -> DataFrame:
-    """Per run: tracklets in, ids out, merges, remapped instances."""
-    ids = id_map.groupBy("run_id").agg(F.count("*").alias("tracklets_in"), F.countDistinct("final_id").alias("ids_out")).withColumn("merges", F.col("tracklets_in") - F.col("ids_out"))
-    changed = remapped.groupBy("run_id").agg(F.count_if("changed").alias("remapped_instances"))
-    return ids.join(changed, "run_id", "left").withColumn("remapped_instances", F.coalesce("remapped_instances", F.lit(0)))
+def link_summary(id_map: DataFrame) -> DataFrame:
+    """Per run: tracklets in, ids out, merges, remapped instances (the rows of the tracklets whose id changes)."""
+    moved = F.sum(F.when(F.col("final_id") != F.col("object_id"), F.col("n_frames")).otherwise(0))
+    ids = id_map.groupBy("run_id").agg(F.count("*").alias("tracklets_in"), F.countDistinct("final_id").alias("ids_out"), moved.alias("remapped_instances"))
+    return ids.withColumn("merges", F.col("tracklets_in") - F.col("ids_out"))
 
 
 def gallery_query(queries: DataFrame, gallery: DataFrame, exclude: DataFrame | None = None, min_sim: float = 0.65) -> DataFrame:
     """(query_id, object_id, similarity): the best identity by cosine, the first inserted on ties, of ``min_sim`` or more.
 
     ``gallery`` is (run_id, object_id, embedding, insert_order); ``exclude`` (query_id, object_id) leaves identities out."""
-    g = gallery.select("run_id", "object_id", F.col("embedding").alias("g"), "insert_order").hint("merge")
-    pairs = queries.join(g, "run_id")
+    unit = lambda c: F.coalesce(l2_normalize(F.col(c)), F.transform(c, lambda x: F.lit(0.0)))
+    g = gallery.select("run_id", "object_id", unit("embedding").alias("g"), "insert_order").hint("merge")
+    pairs = queries.select("run_id", "query_id", unit("embedding").alias("q")).join(g, "run_id")
     if exclude is not None:
-        pairs = pairs.join(exclude, ["query_id", "object_id"], "left_anti")
-    scored = pairs.withColumn("similarity", cosine(F.col("embedding"), F.col("g")))
+        pairs = pairs.join(exclude.hint("merge"), ["query_id", "object_id"], "left_anti")
+    scored = pairs.withColumn("similarity", dot(F.col("q"), F.col("g")))
     best = scored.groupBy("query_id").agg(F.max_by(F.struct("object_id", "similarity"), F.struct("similarity", -F.col("insert_order"))).alias("b"))
     return best.where(F.col("b.similarity") >= min_sim).select("query_id", "b.object_id", "b.similarity")
 
 
-def enrich_tracklets(tracklets: DataFrame, instances: DataFrame, embeddings: DataFrame, k: int = 8) -> DataFrame:
+def enrich_tracklets(tracklets: DataFrame, instances: DataFrame, embeddings: DataFrame, k: int = 8, runs: DataFrame | None = None) -> DataFrame:
     """Fill missing tracklet embeddings from sampled rows: the mean of the (run, frame, inst) vectors of k samples.
 
-    ``filled`` tells which were missing and are filled; those without any usable sample stay null."""
-    some = sample_tracklets(instances, k).join(embeddings, ["run_id", "frame_idx", "inst_idx"])
-    mean = mean_embedding(some, ID).withColumnRenamed("embedding", "sampled")
-    joined = tracklets.join(mean, ID, "left")
+    With ``runs`` (run_id, width, height) a sample counts only if its crop is good enough. ``filled`` tells which were
+    missing and are filled; those without any usable sample stay null."""
+    key = ["run_id", "frame_idx", "inst_idx"]
+    lacking = tracklets.where("embedding is null").select(*ID)
+    some = sample_tracklets(instances.join(lacking, ID, "left_semi"), k)
+    if runs is not None:
+        sized = some.join(instances.select(*key, *Box._fields), key).join(runs.select("run_id", "width", "height"), "run_id")
+        w, h = F.col("width").cast("double"), F.col("height").cast("double")
+        some = sized.where(crop_ok(crop_rect(box(), w, h), box(), w, h)).select(*ID, "frame_idx", "inst_idx")
+    mean = mean_embedding(some.join(embeddings, key), ID).withColumnRenamed("embedding", "sampled")
+    joined = tracklets.join(mean.hint("merge"), ID, "left")
     filled = F.col("embedding").isNull() & F.col("sampled").isNotNull()
     return joined.withColumn("filled", filled).withColumn("embedding", F.coalesce("embedding", "sampled")).drop("sampled")
 

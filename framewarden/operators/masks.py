@@ -37,11 +37,12 @@ def mask_geometry(masks: DataFrame) -> DataFrame:
     box = spans.groupBy("mask_id").agg(F.sum("n").alias("area_px"), F.min("xa").alias("x"), F.min("ya").alias("y"), F.max("xb").alias("xb"), F.max("yb").alias("yb"))
     w, h = (F.col("xb") - F.col("x") + 1), (F.col("yb") - F.col("y") + 1)
     found = box.select("mask_id", "area_px", F.col("x").cast("int").alias("bbox_x"), F.col("y").cast("int").alias("bbox_y"), w.cast("int").alias("bbox_w"), h.cast("int").alias("bbox_h"), (F.col("x") + F.floor(w / 2)).cast("int").alias("cx"), (F.col("y") + F.floor(h / 2)).cast("int").alias("cy"))
-    return masks.select("mask_id").join(found, "mask_id", "left").withColumn("area_px", F.coalesce("area_px", F.lit(0)))
+    return masks.select("mask_id").join(found.hint("merge"), "mask_id", "left").withColumn("area_px", F.coalesce("area_px", F.lit(0)))
 
 
 def keypoint_name(i: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in KEYPOINTS]), i + 1)
+    """The name of a point; one beyond the named ones is called by its number."""
+    return F.coalesce(F.get(F.array(*[F.lit(n) for n in KEYPOINTS]), i), F.concat(F.lit("kpt_"), i.cast("string")))
 
 
 def keypoints_long(points: DataFrame, min_conf: float = 0.0) -> DataFrame:

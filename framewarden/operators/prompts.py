@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import prompt_segments
+from .places import with_place
 
 
 def prompt_ids(prompts: DataFrame) -> DataFrame:
@@ -17,14 +18,14 @@ def prompt_ids(prompts: DataFrame) -> DataFrame:
 def resolve_prompt_id(instances: DataFrame, lookup: DataFrame) -> DataFrame:
     """prompt_ref of each instance: the exact term, else the first term where one contains the other, else new ids.
 
-    ``lookup`` is (term, term_id) of one prompt. New ids count on from the largest, per frame, by first appearance."""
+    ``lookup`` is (term, term_id) of one prompt, and becomes a literal. New ids count on from the largest, per frame, by first appearance."""
     label = F.lower(F.trim("label"))
-    hit = (label == F.col("term")) | F.col("term").contains(label) | label.contains(F.col("term"))
-    names = instances.select("label").distinct()  # labels are few
-    rank = F.struct(F.when(label == F.col("term"), 0).otherwise(1), F.col("term_id"))
-    known = names.join(F.broadcast(lookup), hit, "left").groupBy("label").agg(F.min_by("term_id", rank).alias("found"))
-    top = lookup.agg(F.coalesce(F.max("term_id"), F.lit(0)).alias("top")).first()["top"]
-    joined = instances.join(F.broadcast(known), "label")
+    terms = sorted((r.term_id, r.term) for r in lookup.select("term_id", "term").collect())  # of one prompt
+    top = max((i for i, _ in terms), default=0)
+    known = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("term")) for i, t in terms]) if terms else F.array().cast("array<struct<id:int,term:string>>")
+    exact = F.filter(known, lambda t: t["term"] == label)
+    near = F.filter(known, lambda t: t["term"].contains(label) | label.contains(t["term"]))
+    joined = instances.withColumn("found", F.coalesce(F.get(exact, F.lit(0))["id"], F.get(near, F.lit(0))["id"]))
     per_label = Window.partitionBy("run_id", "frame_idx", label)
     first = F.when(F.col("found").isNull(), F.min("inst_idx").over(per_label))
     new = F.dense_rank().over(Window.partitionBy("run_id", "frame_idx", F.col("found").isNull()).orderBy("_first"))
@@ -39,6 +40,6 @@ def filter_classes(classes: DataFrame, query: str) -> DataFrame:
 
 def catalogs_in_sync(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row (in_sync): do both catalogs have the same names in the order of ids?"""
-    number = lambda df: df.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("class_id")).alias("n"), "name")
-    odd = number(a).withColumnRenamed("name", "na").join(number(b).withColumnRenamed("name", "nb"), "n", "full").where(~F.col("na").eqNullSafe(F.col("nb")))
+    number = lambda df, name: with_place(df, F.floor(F.col("class_id") / 4096), [F.col("class_id")], "n").select("n", F.col("name").alias(name))
+    odd = number(a, "na").join(number(b, "nb").hint("merge"), "n", "full").where(~F.col("na").eqNullSafe(F.col("nb")))
     return odd.agg((F.count("*") == 0).alias("in_sync"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import Box, scale_round
 from .detections import FRAME
 from .verdicts import is_violation
 
@@ -18,6 +19,12 @@ def violation_counts(v: DataFrame) -> DataFrame:
     return v.where(VIOLATION).groupBy(*ID).agg(F.count("*").alias("violations"))
 
 
+def order_violators(v: DataFrame) -> DataFrame:
+    """Violators of each run with their place: most violations first, then the smaller id."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("violations"), "object_id"))
+    return violation_counts(v).withColumn("place", place)
+
+
 def presence_counts(v: DataFrame) -> DataFrame:
     return v.groupBy(*ID).agg(F.count("*").alias("presence"))
 
@@ -88,7 +95,7 @@ def report_frame(v: DataFrame) -> DataFrame:
 def seek_seconds(v: DataFrame, runs: DataFrame) -> DataFrame:
     """Where to start the player for an id: one second before its report frame, not below 0."""
     fps = runs.select("run_id", F.coalesce(F.nullif("fps", F.lit(0.0)), F.lit(25.0)).alias("fps"))
-    return report_frame(v).join(F.broadcast(fps), "run_id").select(*ID, F.greatest(F.lit(0.0), F.col("report_frame") / F.col("fps") - 1.0).alias("seek_sec"))
+    return report_frame(v).join(fps, "run_id").select(*ID, F.greatest(F.lit(0.0), F.col("report_frame") / F.col("fps") - 1.0).alias("seek_sec"))
 
 
 def overlay_timeline(frames: DataFrame, runs: DataFrame, t0: float | None = None, t1: float | None = None) -> DataFrame:
@@ -96,7 +103,7 @@ def overlay_timeline(frames: DataFrame, runs: DataFrame, t0: float | None = None
 
     Without a window the last event lasts one frame; with one, at least to min(t1, its start + 2)."""
     fps = runs.select("run_id", F.coalesce(F.nullif("fps", F.lit(0.0)), F.lit(25.0)).alias("fps"))
-    rows = frames.select(*FRAME).join(F.broadcast(fps), "run_id").withColumn("t0", F.col("frame_idx") / F.col("fps"))
+    rows = frames.select(*FRAME).join(fps, "run_id").withColumn("t0", F.col("frame_idx") / F.col("fps"))
     order = Window.partitionBy("run_id").orderBy("frame_idx")
     if t0 is not None or t1 is not None:
         a, b = max(0.0, t0 or 0.0), None if t1 is None else max(0.0, t1)
@@ -111,16 +118,21 @@ def overlay_timeline(frames: DataFrame, runs: DataFrame, t0: float | None = None
     return rows.withColumn("t1", F.coalesce(nxt, last)).select(*FRAME, "t0", "t1")
 
 
-def player_boxes(v: DataFrame, accessories: DataFrame, width: float, height: float, runs: DataFrame) -> DataFrame:
-    """Boxes scaled to the player: people (kind p, v = violation) and accessories (kind h, id 0); sides of at most 1 px go."""
-    scale = F.broadcast(runs.select("run_id", (F.lit(float(width)) / F.col("width")).alias("sx"), (F.lit(float(height)) / F.col("height")).alias("sy")))
+def _scaled(boxes: DataFrame, width: float, height: float, runs: DataFrame) -> DataFrame:
+    """Boxes on another frame size, in whole pixels."""
+    scale = runs.select("run_id", (F.lit(float(width)) / F.col("width")).alias("sx"), (F.lit(float(height)) / F.col("height")).alias("sy"))
+    return boxes.join(scale, "run_id").withColumns({c: scale_round(F.col(c), F.col("sx" if c[0] == "x" else "sy")) for c in Box._fields}).drop("sx", "sy")
 
-    def scaled(df: DataFrame, number: str) -> DataFrame:
-        at = lambda c, s: F.bround(F.col(c) * F.col(s)).cast("int").alias(c)
-        return df.join(scale, "run_id").withColumns({c: at(c, "sx" if c[0] == "x" else "sy") for c in ("x0", "y0", "x1", "y1")}).withColumn("n", F.col(number))
 
-    people = scaled(v, "inst_idx").select(*FRAME, "n", F.col("object_id").alias("id"), "x0", "y0", "x1", "y1", F.expr(VIOLATION).cast("int").alias("v"), F.lit("p").alias("kind"))
-    helmets = scaled(accessories, "acc_idx").where("x1 - x0 > 1 and y1 - y0 > 1").select(*FRAME, "n", F.lit(0).cast("long").alias("id"), "x0", "y0", "x1", "y1", F.lit(0).alias("v"), F.lit("h").alias("kind"))
+def scale_accessories(accessories: DataFrame, width: float, height: float, runs: DataFrame) -> DataFrame:
+    """Accessory boxes for the player: scaled, without those of which a side is 1 px or less."""
+    return _scaled(accessories, width, height, runs).where("x1 - x0 > 1 and y1 - y0 > 1")
+
+
+def player_boxes(v: DataFrame, accessories: DataFrame, width: float, height: float, runs: DataFrame) -> DataFrame:
+    """Boxes scaled to the player: people (kind p, v = violation) and accessories (kind h, id 0); sides of at most 1 px go."""
+    people = _scaled(v, width, height, runs).withColumn("n", F.col("inst_idx")).select(*FRAME, "n", F.col("object_id").alias("id"), "x0", "y0", "x1", "y1", F.expr(VIOLATION).cast("int").alias("v"), F.lit("p").alias("kind"))
+    helmets = scale_accessories(accessories, width, height, runs).withColumn("n", F.col("acc_idx")).select(*FRAME, "n", F.lit(0).cast("long").alias("id"), "x0", "y0", "x1", "y1", F.lit(0).alias("v"), F.lit("h").alias("kind"))
     return people.unionByName(helmets)
 
 
@@ -139,7 +151,7 @@ def hold_forward(frames: DataFrame, runs: DataFrame) -> DataFrame:
     keyframe expands over the frames up to the next one."""
     stride = estimate_stride(frames, runs)
     order = Window.partitionBy("run_id").orderBy("keyframe")
-    keys = frames.select("run_id", F.col("frame_idx").alias("keyframe"), "n_inst").join(F.broadcast(stride), "run_id").withColumn("next", F.lead("keyframe").over(order))
+    keys = frames.select("run_id", F.col("frame_idx").alias("keyframe"), "n_inst").join(stride, "run_id").withColumn("next", F.lead("keyframe").over(order))
     last = F.least(F.coalesce(F.col("next"), F.col("keyframe") + F.col("stride")), F.col("keyframe") + F.col("stride")) - 1
     return keys.select("run_id", F.explode(F.sequence("keyframe", last)).alias("frame_idx"), "keyframe", "n_inst")
 
@@ -201,7 +213,7 @@ def incident_rows(v: DataFrame, runs: DataFrame, organization: str = "", company
     frames = report_frame(v).join(qualified_violators(v).select(*ID), ID, "left_semi")
     name = F.coalesce(F.nullif(F.element_at(F.split("input_path", "/"), -1), F.lit("")), F.lit("—"))
     time = incident_text(F.coalesce(incident_time(F.lit(when)), F.current_timestamp()))
-    return frames.join(F.broadcast(runs.select("run_id", name.alias("source_name"))), "run_id").select(
+    return frames.join(runs.select("run_id", name.alias("source_name")), "run_id").select(
         *ID, F.lit(org).alias("organization"), F.lit(firm).alias("company"), time.alias("incident_text"), F.concat(F.lit("№ "), F.col("object_id").cast("string")).alias("violator"),
         F.col("presence_frames"), F.col("violation_frames"), "report_frame", "source_name",
     )
@@ -216,7 +228,7 @@ def assemble_instances(instances: DataFrame, v: DataFrame, keypoints: DataFrame,
 
     key = [*FRAME, "inst_idx"]
     points = keypoints.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("id", "x", "y", "conf"))).alias("keypoints"))
-    size = F.broadcast(runs.select("run_id", "width", "height"))
+    size = runs.select("run_id", "width", "height")
     rows = instances.join(size, "run_id").withColumns(rect_mask_geometry(box(), F.col("width"), F.col("height"))).where("area_px is not null")
     judged = v.select(*key, F.col("ok").alias("cross_check_ok"), "warning")
     return rows.join(judged, key, "left").join(points, key, "left").select(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fmt_bytes
+from .places import with_place
 
 # Display texts of states and phases; others pass through.
 STATUS = {"queued": "В очереди", "running": "Идёт обработка", "done": "Готово", "cancelled": "Отменена", "error": "Ошибка", "ready": "Готов", "building_engines": "Сборка TensorRT…", "starting": "Запуск…", "stopped": "Остановлен", "gpu_missing": "Нет GPU / CUDA"}
@@ -62,8 +65,8 @@ def realtime_ratio(frames: DataFrame, runs: DataFrame, limit: float = 1.15) -> D
 
 def compare_runs(frames: DataFrame, runs: DataFrame) -> DataFrame:
     """Runs by ratio, the fastest first, with their place."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("ratio").asc_nulls_last(), "run_id")  # a row per run
-    return realtime_ratio(frames, runs).withColumn("place", F.row_number().over(order))
+    hundredth = F.coalesce(F.floor(F.least(F.col("ratio"), F.lit(1e12)) * 100), F.lit(1 << 60))  # nulls come last
+    return with_place(realtime_ratio(frames, runs), hundredth, [F.col("ratio").asc_nulls_last(), F.col("run_id")])
 
 
 def chart_series(frames: DataFrame) -> DataFrame:
@@ -89,7 +92,7 @@ def limit_duration(frames: DataFrame, runs: DataFrame, seconds: float | None) ->
     if not seconds or seconds <= 0:
         return frames
     top = runs.select("run_id", (F.lit(float(seconds)) * F.col("fps")).cast("long").alias("top"))
-    return frames.join(F.broadcast(top), "run_id").where("frame_idx < top").drop("top")
+    return frames.join(top, "run_id").where("frame_idx < top").drop("top")
 
 
 def frame_batches(frames: DataFrame, size: int) -> DataFrame:
@@ -190,7 +193,7 @@ def list_runs(files: DataFrame, limit: int = 80) -> DataFrame:
 def verify_trees(left: DataFrame, right: DataFrame) -> DataFrame:
     """(name, status): OK, MISMATCH or MISSING by SHA-256 of the contents of two trees (name, content)."""
     digest = lambda df, c: df.select("name", F.sha2("content", 256).alias(c))
-    both = digest(left, "a").join(digest(right, "b"), "name", "full")
+    both = digest(left, "a").join(digest(right, "b").hint("merge"), "name", "full")
     status = F.when(F.col("a").isNull() | F.col("b").isNull(), "MISSING").when(F.col("a") == F.col("b"), "OK").otherwise("MISMATCH")
     return both.select("name", status.alias("status"))
 
@@ -204,11 +207,14 @@ def run_report(runs: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def run_record(runs: DataFrame, frames: DataFrame) -> DataFrame:
-    """The record of each run for the index: counts, speed, resolution, statistics as a struct."""
-    spent = frames.groupBy("run_id").agg(F.countDistinct("frame_idx").alias("frames"), (F.sum("infer_ms") / 1000.0).alias("sec"))
+    """The record of each run for the index: counts, speed, resolution, statistics as a struct.
+
+    Times are summed as decimals, so that the sum doesn't depend on the order of the tasks."""
+    total = F.sum(F.col("infer_ms").cast("decimal(18,6)")) * F.lit(Decimal("0.001"))
+    spent = frames.groupBy("run_id").agg(F.countDistinct("frame_idx").alias("frames"), total.alias("total")).withColumn("sec", F.col("total").cast("double"))
     stats = stats_summary(frames).select("run_id", F.struct("avg_detect_ms", "avg_reid_ms", "avg_infer_ms", "instances_peak", "reid_recoveries").alias("stats_summary"))
     fps = F.when(F.col("sec") > 0, F.col("frames") / F.col("sec")).otherwise(0.0)
-    return runs.join(spent, "run_id").join(stats, "run_id").select("run_id", F.col("input_path").alias("input_video"), "prompt", "frames", F.round("sec", 3).alias("elapsed_sec"), F.round(fps, 3).alias("fps_processed"), F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")).alias("resolution"), "stats_summary")
+    return runs.join(spent, "run_id").join(stats, "run_id").select("run_id", F.col("input_path").alias("input_video"), "prompt", "frames", F.round("total", 3).cast("double").alias("elapsed_sec"), F.round(fps, 3).alias("fps_processed"), F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")).alias("resolution"), "stats_summary")
 
 
 def resolve_overlay(defaults: dict[str, str], saved: DataFrame, user: DataFrame) -> DataFrame:

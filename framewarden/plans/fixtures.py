@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("events", "orders", "part", "pages", "embeddings")
 
 SQL = {
-    "fx_runs": """SELECT run_id, CAST(25 AS DOUBLE) AS fps, 1280 AS width, 720 AS height, 2 AS frame_stride,
- source_frame_count, CONCAT('/videos/', run_id, '.mp4') AS input_path, 'person' AS prompt
- FROM (VALUES ('run_0', 1000), ('run_1', 1000), ('run_2', 1001), ('run_3', 0)) AS t(run_id, source_frame_count)""",
+    # four runs for every 10,000 events
+    "fx_runs": """SELECT CONCAT('run_', n) AS run_id, CAST(25 AS DOUBLE) AS fps, 1280 AS width, 720 AS height, 2 AS frame_stride,
+ CASE n % 4 WHEN 3 THEN 0 WHEN 2 THEN 1001 ELSE 1000 END AS source_frame_count, CONCAT('/videos/run_', n, '.mp4') AS input_path, 'person' AS prompt
+ FROM (SELECT DISTINCT CAST(event_id % 4 + 4 * FLOOR(event_id / 10000) AS BIGINT) AS n FROM events) t""",
     "fx_order_runs": """SELECT CONCAT('run_', o_orderkey) AS run_id, o_orderkey AS k, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 25 END AS DOUBLE) AS fps,
  CASE WHEN o_orderkey % 2 = 0 THEN 1280 ELSE 1920 END AS width, CASE WHEN o_orderkey % 2 = 0 THEN 720 ELSE 1080 END AS height, CAST(o_orderkey % 4 AS INT) AS frame_stride,
  o_custkey AS source_frame_count, CONCAT('/videos/', o_orderkey, '.mp4') AS input_path, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'person' END AS prompt, o_orderpriority AS priority FROM orders""",
@@ -25,7 +26,7 @@ SQL = {
  slot + 1 + 5 * CAST(FLOOR(frame_idx / 60) AS BIGINT) AS object_id
  FROM (SELECT event_id, user_id, CONCAT('run_', r) AS run_id, CAST(FLOOR(q / 5) AS BIGINT) * 2 AS frame_idx, CAST(q % 5 AS INT) AS slot,
   CASE WHEN event_type = 'error' THEN 'helmet' ELSE 'person' END AS label
-  FROM (SELECT event_id, user_id, event_type, CAST(event_id % 4 AS INT) AS r, CAST(FLOOR(event_id / 4) AS BIGINT) AS q FROM events) k) g""",
+  FROM (SELECT event_id, user_id, event_type, CAST(event_id % 4 + 4 * FLOOR(event_id / 10000) AS BIGINT) AS r, CAST(FLOOR(event_id / 4) AS BIGINT) % 2500 AS q FROM events) k) g""",
     "fx_detections": """SELECT run_id, frame_idx, slot AS det_idx, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0,
  CAST(x0 + w AS DOUBLE) AS x1, CAST(y0 + h AS DOUBLE) AS y1, label, score AS conf, motion_id FROM fx_base WHERE label = 'person'
  UNION ALL SELECT run_id, frame_idx, slot + 5 AS det_idx, CAST(x0 + 4 AS DOUBLE), CAST(y0 AS DOUBLE),
@@ -41,8 +42,8 @@ SQL = {
  CAST(SUM(user_id) AS DOUBLE) / 10 AS detect_ms, CAST(MIN(user_id) AS DOUBLE) / 10 AS reid_ms, CAST(MAX(user_id) AS DOUBLE) / 20 AS cross_ms,
  CAST(SUM(user_id) + 40 AS DOUBLE) / 10 AS infer_ms, SUM(CASE WHEN user_id % 50 = 0 THEN 1 ELSE 0 END) AS reid_recoveries
  FROM fx_base GROUP BY run_id, frame_idx""",
-    "fx_observations": """SELECT CONCAT('run_', CAST(vec_id % 4 AS INT)) AS run_id, vec_id AS frame_idx, CAST(label + 1 AS BIGINT) AS object_id, embedding FROM embeddings""",
-    "fx_samples": """SELECT CONCAT('run_', CAST(event_id % 4 AS INT)) AS run_id, CAST(FLOOR(event_id / 4) AS DOUBLE) / 2 AS t_sec,
+    "fx_observations": """SELECT CONCAT('run_', CAST(vec_id % 4 + 4 * FLOOR(vec_id / 2000) AS BIGINT)) AS run_id, vec_id AS frame_idx, CAST(label + 1 AS BIGINT) AS object_id, embedding FROM embeddings""",
+    "fx_samples": """SELECT CONCAT('run_', CAST(event_id % 4 + 4 * FLOOR(event_id / 10000) AS BIGINT)) AS run_id, CAST(FLOOR(event_id / 4) AS DOUBLE) / 2 AS t_sec,
  CAST(user_id % 101 AS DOUBLE) AS gpu_util_pct, value * 10 AS mem_used_mb,
  CASE WHEN user_id % 9 = 0 THEN CAST(0 AS DOUBLE) ELSE value * 4 END AS process_rss_mb FROM events""",
     "fx_jobs": """SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'queued' END AS status,
@@ -52,6 +53,8 @@ SQL = {
  CONCAT('/v1/', event_type) AS path, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value * 100 AS duration_ms, ts FROM events""",
     "fx_classes": """SELECT p_partkey AS class_id, CONCAT(p_name, ' ', p_type) AS name FROM part""",
     "fx_prompts": """SELECT p_partkey AS prompt_id, CONCAT(' ', p_name, '. ', UPPER(p_name), ';', p_type, CASE WHEN p_size % 2 = 0 THEN '..' ELSE '' END) AS prompt FROM part""",
+    "fx_ticks": """SELECT user_id AS job_id, row_number() OVER w AS tick, CAST(2 * row_number() OVER w AS BIGINT) AS current, CAST(2 * count(*) OVER (PARTITION BY user_id) AS BIGINT) AS total,
+ CAST(event_id % 1000 AS DOUBLE) / 10000 + CAST(row_number() OVER w AS DOUBLE) * 7 / 100 AS ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
     "fx_files": """SELECT page_id AS file_id, CONCAT('run_', CAST(page_id % 20 AS INT)) AS dir, CONCAT('run_', CAST(page_id % 20 AS INT),
  CASE CAST(page_id % 5 AS INT) WHEN 0 THEN '_result.json' WHEN 1 THEN '_source.mp4' WHEN 2 THEN '_metrics.jsonl' WHEN 3 THEN '_packets_manifest.json' ELSE '_annotated.mp4' END) AS name,
  html AS content FROM pages""",
@@ -63,7 +66,7 @@ SPARK = {
  FROM (SELECT run_id, object_id, (object_id - 1) % 5 AS slot FROM fx_instances GROUP BY run_id, object_id) t
  JOIN embeddings a ON a.vec_id = t.slot JOIN embeddings b ON b.vec_id = (50 + t.object_id) % 500""",
     "fx_pixels": "SELECT vec_id AS mask_id, pos AS p, CASE WHEN val > 0 THEN 1 ELSE 0 END AS v FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, val",
-    "fx_keypoints": """SELECT CONCAT('run_', CAST(vec_id % 4 AS INT)) AS run_id, vec_id AS frame_idx, i AS id, 640 + 1000 * CAST(embedding[i] AS DOUBLE) AS x,
+    "fx_keypoints": """SELECT CONCAT('run_', CAST(vec_id % 4 + 4 * FLOOR(vec_id / 2000) AS BIGINT)) AS run_id, vec_id AS frame_idx, i AS id, 640 + 1000 * CAST(embedding[i] AS DOUBLE) AS x,
  360 + 500 * CAST(embedding[i + 17] AS DOUBLE) AS y, LEAST(1, 4 * ABS(CAST(embedding[i + 34] AS DOUBLE))) AS conf FROM embeddings LATERAL VIEW explode(sequence(0, 16)) e AS i""",
 }
 DUCK = {
@@ -71,7 +74,7 @@ DUCK = {
  FROM (SELECT run_id, object_id, (object_id - 1) % 5 AS slot FROM fx_instances GROUP BY run_id, object_id) t
  JOIN embeddings a ON a.vec_id = t.slot JOIN embeddings b ON b.vec_id = (50 + t.object_id) % 500""",
     "fx_pixels": "SELECT vec_id AS mask_id, CAST(i - 1 AS INT) AS p, CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END AS v FROM embeddings, generate_series(1, 64) AS g(i)",
-    "fx_keypoints": """SELECT CONCAT('run_', CAST(vec_id % 4 AS INT)) AS run_id, vec_id AS frame_idx, CAST(i AS INT) AS id, 640 + 1000 * CAST(embedding[i + 1] AS DOUBLE) AS x,
+    "fx_keypoints": """SELECT CONCAT('run_', CAST(vec_id % 4 + 4 * FLOOR(vec_id / 2000) AS BIGINT)) AS run_id, vec_id AS frame_idx, CAST(i AS INT) AS id, 640 + 1000 * CAST(embedding[i + 1] AS DOUBLE) AS x,
  360 + 500 * CAST(embedding[i + 18] AS DOUBLE) AS y, LEAST(1, 4 * ABS(CAST(embedding[i + 35] AS DOUBLE))) AS conf FROM embeddings, generate_series(0, 16) AS g(i)""",
 }
 ORDER = [*SQL, *SPARK]
@@ -102,12 +105,12 @@ def with_fixtures(sql: str, more: dict[str, str] | None = None) -> str:
     texts = {**SQL, **DUCK, **(more or {})}
     needed: list[str] = []
 
-    def need(text: str) -> None:
+    def need(text: str, inside: tuple[str, ...] = ()) -> None:
         for name, body in texts.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                need(body)
+            if name not in needed and name not in inside and re.search(rf"\b{name}\b", text):
+                need(body, (*inside, name))  # a recursive view names itself
                 if name not in needed:
                     needed.append(name)
 
     need(sql)
-    return (f"WITH {', '.join(f'{n} AS ({texts[n]})' for n in needed)} " if needed else "") + sql
+    return (f"WITH RECURSIVE {', '.join(f'{n} AS ({texts[n]})' for n in needed)} " if needed else "") + sql

@@ -20,6 +20,6 @@ def judged(instances: DataFrame, accessories: DataFrame) -> DataFrame:
 def violators(instances: DataFrame, accessories: DataFrame, runs: DataFrame) -> DataFrame:
     """Violators per run: violations, presence, second of the first violation."""
     v = judged(instances, accessories)
-    first = report_frame(v).select("run_id", "object_id", "first_violation").join(F.broadcast(runs.select("run_id", "fps")), "run_id")
+    first = report_frame(v).select("run_id", "object_id", "first_violation").join(runs.select("run_id", "fps"), "run_id")
     sec = F.round(F.col("first_violation") / F.col("fps"), 6).alias("first_violation_sec")
     return qualified_violators(v).join(first, ["run_id", "object_id"]).select("run_id", "object_id", "violations", "presence", sec)

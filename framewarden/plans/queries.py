@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -18,6 +18,7 @@ from ..operators import reports as R
 from ..operators import runs as U
 from ..operators import verdicts as V
 from ..sources import io
+from ..sources.shared import new_path
 from ..streaming import trackers as S
 from . import flagship
 from .fixtures import Fixtures, with_fixtures
@@ -90,6 +91,58 @@ DUCK_VIEWS = {
  least(1, sqrt(((a.lx0 + a.lx1) / 2 - (b.fx0 + b.fx1) / 2) ** 2 + ((a.ly0 + a.ly1) / 2 - (b.fy0 + b.fy1) / 2) ** 2)
   / greatest(1, 0.5 * (sqrt((a.lx1 - a.lx0) ** 2 + (a.ly1 - a.ly0) ** 2) + sqrt((b.fx1 - b.fx0) ** 2 + (b.fy1 - b.fy0) ** 2)))) AS apart
  FROM ck_vectors a JOIN ck_vectors b ON a.run_id = b.run_id AND a.object_id <> b.object_id AND a.end_frame < b.start_frame""",
+    "ck_edges": """SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, start_a, start_b, id_a, id_b) AS n FROM
+ (SELECT l.*, similarity - apart * 0.15 - gap / 300.0 * 0.10 AS score, a.start_frame AS start_a, b.start_frame AS start_b FROM ck_links l
+  JOIN ck_tracklets a ON a.run_id = l.run_id AND a.object_id = id_a JOIN ck_tracklets b ON b.run_id = l.run_id AND b.object_id = id_b WHERE similarity >= 0.65 AND gap <= 300) t""",
+    # members with their cluster c, the least id in it; an edge at a time
+    "ck_merging": """SELECT run_id, CAST(0 AS BIGINT) AS n, list({'o': object_id, 's': start_frame, 'e': end_frame, 'c': object_id} ORDER BY object_id) AS m FROM ck_tracklets GROUP BY run_id
+ UNION ALL SELECT run_id, n, CASE WHEN ca = cb OR len(list_filter(m, lambda x: x.c = ca AND len(list_filter(m, lambda y: y.c = cb AND x.s <= y.e AND y.s <= x.e)) > 0)) > 0 THEN m
+  ELSE list_transform(m, lambda x: {'o': x.o, 's': x.s, 'e': x.e, 'c': CASE WHEN x.c = ca OR x.c = cb THEN least(ca, cb) ELSE x.c END}) END
+ FROM (SELECT g.run_id, e.n, g.m, list_filter(g.m, lambda x: x.o = e.id_a)[1].c AS ca, list_filter(g.m, lambda x: x.o = e.id_b)[1].c AS cb FROM ck_merging g JOIN ck_edges e ON e.run_id = g.run_id AND e.n = g.n + 1) t""",
+    "ck_final": """SELECT run_id, x.o AS object_id, x.c AS final_id FROM (SELECT run_id, unnest(arg_max(m, n)) AS x FROM ck_merging GROUP BY run_id) t""",
+    "ck_remapped": "SELECT i.*, coalesce(f.final_id, i.object_id) AS new_id FROM fx_instances i LEFT JOIN ck_final f USING (run_id, object_id)",
+    # one-to-one matches: the pairs of a frame in order, what they take so far
+    "ck_match": f"""SELECT *, row_number() OVER (PARTITION BY run_id, frame_idx ORDER BY iou DESC, det_idx, seg_idx) AS n FROM (SELECT d.run_id, d.frame_idx, d.det_idx, s.seg_idx, {iou_sql("d.", "s.")} AS iou
+ FROM fx_detections d JOIN fx_segments s ON d.run_id = s.run_id AND d.frame_idx = s.frame_idx AND lower(d.label) = lower(s.label)) t WHERE iou >= 0.45""",
+    "ck_taking": """SELECT run_id, frame_idx, CAST(0 AS BIGINT) AS n, CAST([] AS INT[]) AS dets, CAST([] AS INT[]) AS segs FROM (SELECT DISTINCT run_id, frame_idx FROM ck_match) f
+ UNION ALL SELECT p.run_id, p.frame_idx, p.n, CASE WHEN list_contains(dets, p.det_idx) OR list_contains(segs, p.seg_idx) THEN dets ELSE list_append(dets, CAST(p.det_idx AS INT)) END,
+  CASE WHEN list_contains(dets, p.det_idx) OR list_contains(segs, p.seg_idx) THEN segs ELSE list_append(segs, CAST(p.seg_idx AS INT)) END
+ FROM ck_taking t JOIN ck_match p ON p.run_id = t.run_id AND p.frame_idx = t.frame_idx AND p.n = t.n + 1""",
+    "ck_taken": """SELECT run_id, frame_idx, unnest(arg_max(dets, n)) AS det_idx, unnest(arg_max(segs, n)) AS seg_idx FROM ck_taking GROUP BY 1, 2""",
+    # greedy suppression: the boxes of a frame in order, what is kept so far
+    "ck_boxes": "SELECT *, row_number() OVER (PARTITION BY run_id, frame_idx ORDER BY conf DESC, det_idx) AS n FROM fx_detections",
+    "ck_keeping": f"""SELECT run_id, frame_idx, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(d INT, l VARCHAR, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]) AS kept FROM (SELECT DISTINCT run_id, frame_idx FROM fx_detections) f
+ UNION ALL SELECT b.run_id, b.frame_idx, b.n, CASE WHEN len(list_filter(kept, lambda k: k.l = lower(b.label) AND ({iou_sql("k.", "b.")}) >= 0.55)) > 0 THEN kept
+  ELSE list_append(kept, {{'d': CAST(b.det_idx AS INT), 'l': lower(b.label), 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1}}) END FROM ck_keeping t JOIN ck_boxes b ON b.run_id = t.run_id AND b.frame_idx = t.frame_idx AND b.n = t.n + 1""",
+    # a gallery: the observations of an identity in order, its vector so far
+    "ck_seen": """SELECT run_id, object_id, frame_idx, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u, row_number() OVER (PARTITION BY run_id, object_id ORDER BY frame_idx) AS n
+ FROM (SELECT run_id, object_id, frame_idx, CAST(embedding AS DOUBLE[]) AS v FROM fx_observations) t""",
+    "ck_gallery": """SELECT run_id, object_id, n, u AS v, frame_idx AS last_frame, CAST(1 AS BIGINT) AS n_updates FROM ck_seen WHERE n = 1
+ UNION ALL SELECT run_id, object_id, n, CASE WHEN near THEN list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) ELSE v END, frame_idx, n_updates + CASE WHEN near THEN 1 ELSE 0 END
+ FROM (SELECT s.run_id, s.object_id, s.n, s.frame_idx, g.v, g.n_updates, list_dot_product(g.v, s.u) >= 0.45 AS near, list_transform(list_zip(g.v, s.u), lambda z: 0.65 * z[1] + 0.35 * z[2]) AS w
+  FROM ck_gallery g JOIN ck_seen s ON s.run_id = g.run_id AND s.object_id = g.object_id AND s.n = g.n + 1) t""",
+    # the motion tracker: tracks (id, box, misses) in the order of their creation, frame after frame
+    "ck_steps": """SELECT f.run_id, f.frame_idx, row_number() OVER (PARTITION BY f.run_id ORDER BY f.frame_idx) AS n, coalesce(d.rows, []) AS rows FROM fx_frames f
+ LEFT JOIN (SELECT run_id, frame_idx, list({'d': CAST(det_idx AS INT), 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1} ORDER BY det_idx) AS rows FROM fx_detections GROUP BY 1, 2) d USING (run_id, frame_idx)""",
+    "ck_tracking": f"""SELECT run_id, CAST(-1 AS BIGINT) AS frame_idx, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(i BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, m BIGINT)[]) AS live, CAST(1 AS BIGINT) AS next_id, CAST([] AS STRUCT(d INT, i BIGINT)[]) AS out FROM (SELECT DISTINCT run_id FROM fx_frames) r
+ UNION ALL SELECT run_id, frame_idx, n, list_filter(list_concat(list_transform(live, lambda t: CASE WHEN list_position(hit_t, t.i) > 0
+   THEN {{'i': t.i, 'x0': rows[hit_d[list_position(hit_t, t.i)]].x0, 'y0': rows[hit_d[list_position(hit_t, t.i)]].y0, 'x1': rows[hit_d[list_position(hit_t, t.i)]].x1, 'y1': rows[hit_d[list_position(hit_t, t.i)]].y1, 'm': CAST(0 AS BIGINT)}}
+   ELSE {{'i': t.i, 'x0': t.x0, 'y0': t.y0, 'x1': t.x1, 'y1': t.y1, 'm': t.m + 1}} END), list_transform(fresh, lambda k: {{'i': next_id + list_position(fresh, k) - 1, 'x0': rows[k].x0, 'y0': rows[k].y0, 'x1': rows[k].x1, 'y1': rows[k].y1, 'm': CAST(0 AS BIGINT)}})), lambda t: t.m <= 30),
+  next_id + len(fresh), list_transform(range(1, len(rows) + 1), lambda k: {{'d': rows[k].d, 'i': CASE WHEN list_position(hit_d, k) > 0 THEN hit_t[list_position(hit_d, k)] ELSE next_id + list_position(fresh, k) - 1 END}})
+ FROM (SELECT *, list_filter(range(1, len(rows) + 1), lambda k: coalesce(list_position(hit_d, k), 0) = 0) AS fresh FROM (SELECT *, list_transform(hits, lambda h: h.t) AS hit_t, list_transform(hits, lambda h: h.d) AS hit_d FROM (
+  SELECT run_id, frame_idx, n, live, next_id, rows, list_reduce(list_transform(list_sort(pairs), lambda p: {{'o': p.o, 'k': p.k, 't': p.t, 'd': p.d}}), lambda acc, p: CASE WHEN len(list_filter(acc, lambda a: a.t = p.t OR a.d = p.d)) > 0 THEN acc ELSE list_append(acc, p) END,
+    CAST([] AS STRUCT(o DOUBLE, k BIGINT, t BIGINT, d BIGINT)[])) AS hits FROM (
+   SELECT s.run_id, s.frame_idx, s.n, g.live, g.next_id, s.rows, list_filter(flatten(list_transform(range(1, len(g.live) + 1), lambda k: list_transform(range(1, len(s.rows) + 1), lambda j: {{'o': -({iou_sql("g.live[k].", "s.rows[j].")}), 'k': k, 't': g.live[k].i, 'd': j}}))), lambda p: p.o <= -0.3) AS pairs
+   FROM ck_tracking g JOIN ck_steps s ON s.run_id = g.run_id AND s.n = g.n + 1) a) b) c) e""",
+    "ck_emitting": """SELECT job_id, CAST(0 AS BIGINT) AS tick, CAST(NULL AS BIGINT) AS last, CAST(NULL AS DOUBLE) AS last_ts, FALSE AS emitted FROM (SELECT DISTINCT job_id FROM fx_ticks) j
+ UNION ALL SELECT job_id, tick, CASE WHEN e THEN current ELSE last END, CASE WHEN e THEN ts ELSE last_ts END, e FROM
+ (SELECT k.job_id, k.tick, k.current, k.ts, m.last, m.last_ts, m.last IS NULL OR k.current >= k.total OR k.current - m.last >= 8 OR k.ts - m.last_ts >= 0.5 AS e FROM ck_emitting m JOIN fx_ticks k ON k.job_id = m.job_id AND k.tick = m.tick + 1) t""",
+    "ck_labels": """SELECT run_id, frame_idx, det_idx AS inst_idx, CASE WHEN conf < 0.2 THEN 'Worker person ' WHEN conf < 0.3 THEN 'fork' WHEN conf < 0.5 THEN 'Helmet' WHEN conf < 0.6 THEN 'vest' ELSE label END AS label FROM fx_detections""",
+    "ck_terms": "SELECT * FROM (VALUES ('person', 1), ('forklift', 2), ('on', 4)) t(term, term_id)",
+    "ck_resolved": """SELECT *, min(inst_idx) OVER (PARTITION BY run_id, frame_idx, l) AS first_idx FROM (SELECT i.*, lower(trim(label)) AS l, (SELECT arg_min(term_id, (CASE WHEN term = lower(trim(i.label)) THEN 0 ELSE 1000 END) + term_id)
+ FROM ck_terms WHERE contains(term, lower(trim(i.label))) OR contains(lower(trim(i.label)), term)) AS found FROM ck_labels i) t""",
+    "ck_spans": """SELECT mask_id, min(p % 8) AS x, max(p % 8) AS xb, min(CAST(floor(p / 8) AS INT)) AS y, max(CAST(floor(p / 8) AS INT)) AS yb, count(*) AS n FROM
+ (SELECT mask_id, p FROM fx_pixels WHERE v = 1) t GROUP BY 1""",
     "ck_segs": r"SELECT prompt_id, prompt, list_filter(list_transform(string_split(trim(translate(prompt, chr(10) || ';', ' .')), '.'), lambda s: trim(s)), lambda s: s <> '') AS segs FROM fx_prompts",
     "ck_masks": "SELECT mask_id, 8 AS height, 8 AS width, CASE WHEN first(v0) = 1 THEN list_prepend(0, list(n ORDER BY run)) ELSE list(n ORDER BY run) END AS counts FROM ck_runs GROUP BY mask_id",
     "ck_runs": """SELECT mask_id, run, count(*) AS n, max(v0) AS v0 FROM (SELECT mask_id, p, v, v0, sum(c) OVER (PARTITION BY mask_id ORDER BY p) AS run
@@ -119,7 +172,11 @@ def tracklets(fx: Fixtures) -> DataFrame:
 
 
 def candidates(fx: Fixtures) -> DataFrame:
-    return L.link_candidates(tracklets(fx), max_gap=0, min_sim=0.65)
+    return L.link_candidates(tracklets(fx), max_gap=MAX_GAP, min_sim=0.65)
+
+
+#: Frames between tracklets that are linked, at most.
+MAX_GAP = 300
 
 
 HEAD = ["hx0", "hy0", "hx1", "hy1", "best_intersection_px", "best_iou"]
@@ -142,9 +199,7 @@ register("qualified_violators", "SELECT *, greatest(CAST(3 AS BIGINT), CAST(trun
 register("report_violators", "SELECT run_id, object_id, violations, presence, CASE WHEN m >= 8 THEN 8 ELSE 0 END AS threshold FROM (SELECT *, max(violations) OVER (PARTITION BY run_id) AS m FROM ck_counts) t WHERE m < 8 OR violations >= 8")(
     lambda fx: R.report_violators(smooth(fx), 8)
 )
-register("order_violators", "SELECT run_id, object_id, violations, row_number() OVER (PARTITION BY run_id ORDER BY violations DESC, object_id) AS place FROM ck_counts")(
-    lambda fx: R.violation_counts(smooth(fx)).withColumn("place", F.expr("row_number() OVER (PARTITION BY run_id ORDER BY violations DESC, object_id)"))
-)
+register("order_violators", "SELECT run_id, object_id, violations, row_number() OVER (PARTITION BY run_id ORDER BY violations DESC, object_id) AS place FROM ck_counts")(lambda fx: R.order_violators(smooth(fx)))
 register("diagnose", """SELECT f.run_id, count(*) AS frames, count(*) FILTER (n_inst > 0) AS frames_with_people, count(*) FILTER (coalesce(n, 0) > 0) AS frames_with_verdicts,
  count(*) FILTER (n_inst > 0 AND coalesce(n, 0) = 0) AS people_no_verdicts, CAST(coalesce(sum(n_ok), 0) AS BIGINT) AS ok_count, CAST(coalesce(sum(n - n_ok), 0) AS BIGINT) AS fail_count
  FROM fx_frames f LEFT JOIN (SELECT run_id, frame_idx, count(*) AS n, count(*) FILTER (ok) AS n_ok FROM ck_smooth GROUP BY 1, 2) v USING (run_id, frame_idx) GROUP BY 1""")(lambda fx: V.diagnose(fx.frames, smooth(fx)))
@@ -217,8 +272,11 @@ def torso(fx: Fixtures) -> DataFrame:
 register("torso_box", "SELECT run_id, frame_idx, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM ck_torso_ok")(lambda fx: r6(torso(fx).where("t is not null").select("run_id", "frame_idx", "t.*"), *G.Box._fields))
 register("choose_crop", "SELECT * FROM ck_chosen")(lambda fx: torso(fx).withColumn("c", G.choose_crop(F.col("t"), person())).select("run_id", "frame_idx", F.when(F.col("c.x0") != 300.0, 1).when((F.col("c.x1") != 980.0) | (F.col("c.y0") != 100.0), 1).otherwise(0).alias("torso")))
 register("encode_runs", "SELECT mask_id, array_to_string(counts, ',') AS counts FROM ck_masks")(lambda fx: M.encode_runs(fx.pixels).select("mask_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts")))
-register("mask_geometry", """SELECT mask_id, count(*) FILTER (v = 1) AS area_px, CAST(min(p % 8) FILTER (v = 1 AND NOT wrap) AS INT) AS one FROM fx_pixels GROUP BY 1""".replace(", CAST(min(p % 8) FILTER (v = 1 AND NOT wrap) AS INT) AS one", ", CAST(min(floor(p / 8)) FILTER (v = 1) AS INT) AS bbox_y, CAST(max(floor(p / 8)) FILTER (v = 1) - min(floor(p / 8)) FILTER (v = 1) + 1 AS INT) AS bbox_h"))(
-    lambda fx: M.mask_geometry(M.encode_runs(fx.pixels).withColumns({"height": F.lit(8), "width": F.lit(8)})).select("mask_id", "area_px", "bbox_y", "bbox_h")
+# a run over the end of a row spans the full width
+register("mask_geometry", """SELECT m.mask_id, coalesce(n, 0) AS area_px, CAST(CASE WHEN wraps THEN 0 ELSE x END AS INT) AS bbox_x, y AS bbox_y, CAST(CASE WHEN wraps THEN 8 ELSE xb - x + 1 END AS INT) AS bbox_w, yb - y + 1 AS bbox_h,
+ CAST(CASE WHEN wraps THEN 4 ELSE x + floor((xb - x + 1) / 2) END AS INT) AS cx, CAST(y + floor((yb - y + 1) / 2) AS INT) AS cy
+ FROM (SELECT mask_id, bool_or(v = 1 AND w = 1 AND p % 8 = 0 AND p > 0) AS wraps FROM (SELECT mask_id, p, v, lag(v, 1, 0) OVER (PARTITION BY mask_id ORDER BY p) AS w FROM fx_pixels) t GROUP BY 1) m LEFT JOIN ck_spans USING (mask_id)""")(
+    lambda fx: M.mask_geometry(M.encode_runs(fx.pixels).withColumns({"height": F.lit(8), "width": F.lit(8)}))
 )
 register("keypoints_long", "SELECT run_id, frame_idx, id, round(x, 2) AS x, round(y, 2) AS y, round(conf, 4) AS conf FROM fx_keypoints WHERE conf >= 0.25")(lambda fx: M.keypoints_long(fx.keypoints, 0.25).drop("name"))
 EDGES = ", ".join(f"({a}, {b})" for a, b in M.SKELETON)
@@ -237,13 +295,18 @@ register("merge_fallback", f"""SELECT run_id, frame_idx, det_idx, CAST(NULL AS I
 register("inherit_motion", f"""SELECT run_id, frame_idx, det_idx, CAST(coalesce(m, motion_id) AS BIGINT) AS motion_id FROM fx_detections LEFT JOIN
  (SELECT a.run_id, a.frame_idx, a.det_idx, arg_max(b.motion_id, ({iou_sql("a.", "b.")}) * 1000 - b.det_idx / 1e6) AS m FROM fx_detections a JOIN fx_detections b USING (run_id, frame_idx)
   WHERE a.motion_id < 0 AND b.motion_id >= 0 AND ({iou_sql("a.", "b.")}) >= 0.25 GROUP BY 1, 2, 3) t USING (run_id, frame_idx, det_idx)""")(lambda fx: D.inherit_motion(fx.detections).select("run_id", "frame_idx", "det_idx", F.col("motion_id").cast("long").alias("motion_id")))
-register("dedupe", f"""SELECT run_id, frame_idx, det_idx FROM fx_detections d WHERE NOT EXISTS (SELECT 1 FROM fx_detections k WHERE k.run_id = d.run_id AND k.frame_idx = d.frame_idx AND lower(k.label) = lower(d.label)
- AND k.det_idx < 5 AND d.det_idx >= 5 AND ({iou_sql("k.", "d.")}) >= 0.55)""")(lambda fx: D.dedupe(fx.detections).select("run_id", "frame_idx", "det_idx"))
-register("match_segments")(lambda fx: D.match_segments(fx.detections, fx.segments, 0.45))
-register("attach_embeddings", "SELECT run_id, frame_idx, det_idx, embedding IS NOT NULL AS found FROM fx_detections LEFT JOIN (SELECT run_id, frame_idx, CAST(0 AS INT) AS det_idx, embedding FROM fx_observations) o USING (run_id, frame_idx, det_idx)")(
-    lambda fx: D.attach_embeddings(fx.detections, fx.observations.select("run_id", "frame_idx", F.lit(0).alias("det_idx"), F.col("embedding").cast("array<double>").alias("embedding")), 64).select("run_id", "frame_idx", "det_idx", F.exists("embedding", lambda x: x != 0).alias("found"))
+register("dedupe", "SELECT run_id, frame_idx, unnest(list_transform(arg_max(kept, n), lambda k: k.d)) AS det_idx FROM ck_keeping GROUP BY 1, 2")(lambda fx: D.dedupe(fx.detections).select("run_id", "frame_idx", "det_idx"))
+register("match_segments", "SELECT run_id, frame_idx, det_idx, t.seg_idx, round(iou, 6) AS iou FROM fx_detections LEFT JOIN ck_taken t USING (run_id, frame_idx, det_idx) LEFT JOIN ck_match m USING (run_id, frame_idx, det_idx, seg_idx)")(
+    lambda fx: r6(D.match_segments(fx.detections, fx.segments, 0.45), "iou")
+)
+register("accessory_filter", "SELECT run_id, frame_idx, acc_idx, label, conf FROM fx_accessories WHERE lower(label) = 'helmet' AND conf >= 0.30 AND acc_idx % 2 = 0")(
+    lambda fx: D.accessory_filter(fx.accessories.withColumn("label", F.when(F.col("acc_idx") % 2 == 0, F.col("label")).otherwise("vest")), F.array(F.lit("Helmet ")), 0.30).select("run_id", "frame_idx", "acc_idx", "label", "conf")
+)
+register("attach_embeddings", "SELECT run_id, frame_idx, det_idx, round(coalesce(CAST(embedding[1] AS DOUBLE), 0), 6) AS first, round(coalesce(CAST(embedding[64] AS DOUBLE), 0), 6) AS last, round(coalesce(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 0), 6) AS squares, CAST(64 AS INT) AS width FROM fx_detections LEFT JOIN (SELECT run_id, frame_idx, CAST(0 AS INT) AS det_idx, embedding FROM fx_observations) o USING (run_id, frame_idx, det_idx)")(
+    lambda fx: D.attach_embeddings(fx.detections, fx.observations.select("run_id", "frame_idx", F.lit(0).alias("det_idx"), F.col("embedding").cast("array<double>").alias("embedding")), 64).select(
+        "run_id", "frame_idx", "det_idx", F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.col("embedding")[63], 6).alias("last"), F.round(VEC.dot(F.col("embedding"), F.col("embedding")), 6).alias("squares"), F.size("embedding").alias("width")
+    )
 )
-
 # --- prompts and classes ---
 register("prompt_terms", "SELECT prompt_id, array_to_string(list_distinct_ordered, '|') AS terms FROM (SELECT prompt_id, list_transform(list_filter(list_zip(range(len(l)), l), lambda z: list_position(l, z[2]) = z[1] + 1), lambda z: z[2]) AS list_distinct_ordered FROM (SELECT prompt_id, list_transform(segs, lambda s: lower(s)) AS l FROM ck_segs) a) b")(
     lambda fx: fx.prompts.select("prompt_id", F.array_join(T.prompt_terms(F.col("prompt")), "|").alias("terms"))
@@ -251,20 +314,26 @@ register("prompt_terms", "SELECT prompt_id, array_to_string(list_distinct_ordere
 register("prompt_ids", "SELECT prompt_id, term, CAST(min(i) AS INT) AS term_id FROM (SELECT prompt_id, lower(unnest(segs)) AS term, generate_subscripts(segs, 1) AS i FROM ck_segs) t GROUP BY 1, 2")(lambda fx: P.prompt_ids(fx.prompts))
 register("label_slug", "SELECT prompt_id, trim(regexp_replace(lower(trim(prompt)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM fx_prompts")(lambda fx: fx.prompts.select("prompt_id", T.label_slug(F.col("prompt")).alias("slug")))
 register("filter_classes", "SELECT class_id, name FROM fx_classes WHERE contains(lower(name), 'widget') OR CAST(class_id AS VARCHAR) = 'widget'")(lambda fx: P.filter_classes(fx.classes, "Widget"))
-register("catalogs_in_sync", "SELECT (SELECT list(name ORDER BY class_id) FROM fx_classes) = (SELECT list(upper(name) ORDER BY class_id) FROM fx_classes) AS in_sync")(lambda fx: P.catalogs_in_sync(fx.classes, fx.classes.withColumn("name", F.upper("name"))))
+#: Two catalogs whose ids differ, in the same order; in the second pair two names change places.
+register("catalogs_in_sync", """SELECT (SELECT list(name ORDER BY class_id) FROM fx_classes) = (SELECT list(name ORDER BY class_id * 3 + 7) FROM fx_classes) AS same,
+ (SELECT list(name ORDER BY class_id) FROM fx_classes) = (SELECT list(name ORDER BY CASE class_id WHEN 3 THEN 12 WHEN 12 THEN 3 ELSE class_id END) FROM fx_classes) AS swapped""")(
+    lambda fx: P.catalogs_in_sync(fx.classes, fx.classes.withColumn("class_id", F.col("class_id") * 3 + 7)).withColumnRenamed("in_sync", "same").crossJoin(
+        P.catalogs_in_sync(fx.classes, fx.classes.withColumn("class_id", F.expr("CASE class_id WHEN 3 THEN 12 WHEN 12 THEN 3 ELSE class_id END"))).withColumnRenamed("in_sync", "swapped")
+    )
+)
 register("merge_prompt", "SELECT prompt_id, concat(array_to_string(list_transform(list_filter(list_zip(range(len(l)), l), lambda z: list_position(l, z[2]) = z[1] + 1), lambda z: z[2]), '. ')) AS merged FROM (SELECT prompt_id, list_append(list_transform(segs, lambda s: lower(s)), 'helmet') AS l FROM ck_segs) a")(
     lambda fx: fx.prompts.select("prompt_id", T.merge_prompt(F.col("prompt"), F.array(F.lit(" Helmet "))).alias("merged"))
 )
-register("resolve_prompt_id", "SELECT run_id, frame_idx, det_idx AS inst_idx, label, CAST(CASE WHEN lower(label) = 'person' THEN 1 ELSE 3 END AS INT) AS prompt_ref FROM fx_detections UNION ALL SELECT run_id, frame_idx, acc_idx + 100, label, 3 FROM fx_accessories")(
+register("resolve_prompt_id", """SELECT run_id, frame_idx, inst_idx, label, CAST(coalesce(found, 4 + dense_rank() OVER (PARTITION BY run_id, frame_idx, found IS NULL ORDER BY CASE WHEN found IS NULL THEN first_idx END)) AS INT) AS prompt_ref FROM ck_resolved""")(
     lambda fx: P.resolve_prompt_id(
-        fx.detections.select("run_id", "frame_idx", F.col("det_idx").alias("inst_idx"), "label").unionByName(fx.accessories.select("run_id", "frame_idx", (F.col("acc_idx") + 100).alias("inst_idx"), "label")),
-        fx.spark.createDataFrame([("person", 1), ("forklift", 2)], "term string, term_id int"),
+        fx.detections.select("run_id", "frame_idx", F.col("det_idx").alias("inst_idx"), F.expr("CASE WHEN conf < 0.2 THEN 'Worker person ' WHEN conf < 0.3 THEN 'fork' WHEN conf < 0.5 THEN 'Helmet' WHEN conf < 0.6 THEN 'vest' ELSE label END").alias("label")),
+        fx.spark.createDataFrame([("person", 1), ("forklift", 2), ("on", 4)], "term string, term_id int"),
     )
 )
-
 # --- linking and identity ---
-register("build_tracklets", "SELECT run_id, object_id, start_frame, end_frame, n_frames, first_inst_idx, fx0 AS first_x0, ly1 AS last_y1 FROM ck_tracklets")(
-    lambda fx: L.build_tracklets(fx.instances).select("run_id", "object_id", "start_frame", "end_frame", "n_frames", "first_inst_idx", F.col("first_box.x0").alias("first_x0"), F.col("last_box.y1").alias("last_y1"))
+CORNERS = ("x0", "y0", "x1", "y1")
+register("build_tracklets", "SELECT run_id, object_id, start_frame, end_frame, n_frames, first_inst_idx, " + ", ".join(f"f{c} AS first_{c}, l{c} AS last_{c}" for c in CORNERS) + " FROM ck_tracklets")(
+    lambda fx: L.build_tracklets(fx.instances).select("run_id", "object_id", "start_frame", "end_frame", "n_frames", "first_inst_idx", *[F.col(f"{n}_box.{c}").alias(f"{n}_{c}") for n in ("first", "last") for c in CORNERS])
 )
 register("mean_embedding", """SELECT run_id, object_id, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY run_id, object_id)), 5) AS x FROM (SELECT run_id, object_id, pos, avg(x) AS m FROM
  (SELECT run_id, object_id, unnest(generate_series(1, len(e))) AS pos, unnest(list_transform(e, lambda v: v / norm)) AS x FROM (SELECT run_id, object_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM fx_observations) a) b GROUP BY 1, 2, 3) c""")(
@@ -272,21 +341,29 @@ register("mean_embedding", """SELECT run_id, object_id, pos, round(m / sqrt(sum(
 )
 register("sample_tracklets", """SELECT run_id, object_id, frame_idx, inst_idx FROM (SELECT run_id, object_id, frame_idx, inst_idx, row_number() OVER (PARTITION BY run_id, object_id ORDER BY frame_idx, inst_idx) - 1 AS i, count(*) OVER (PARTITION BY run_id, object_id) AS n FROM fx_instances WHERE object_id > 0) t
  WHERE n <= 8 OR list_contains(list_transform(range(8), lambda j: CAST(round_even(j * (n - 1) / 7.0, 0) AS BIGINT)), i)""")(lambda fx: L.sample_tracklets(fx.instances, 8))
-register("link_candidates", "SELECT run_id, id_a, id_b, gap, round(similarity, 6) AS similarity, round(similarity - apart * 0.15, 6) AS score FROM ck_links WHERE similarity >= 0.65")(lambda fx: r6(candidates(fx).select("run_id", "id_a", "id_b", "gap", "similarity", "score"), "similarity", "score"))
-register("link_tracklets")(lambda fx: L.link_tracklets(tracklets(fx), candidates(fx)))
-register("remap_ids")(lambda fx: L.remap_ids(fx.instances, L.link_tracklets(tracklets(fx), candidates(fx))))
-register("link_summary")(lambda fx: (lambda m: L.link_summary(m, L.remap_ids(fx.instances, m)))(L.link_tracklets(tracklets(fx), candidates(fx))))
-register("changed_ids")(lambda fx: L.changed_ids(L.link_tracklets(tracklets(fx), candidates(fx))))
+register("link_candidates", "SELECT run_id, id_a, id_b, gap, round(similarity, 6) AS similarity, round(score, 6) AS score FROM ck_edges")(lambda fx: r6(candidates(fx).select("run_id", "id_a", "id_b", "gap", "similarity", "score"), "similarity", "score"))
+register("link_candidates_any_gap", "SELECT run_id, id_a, id_b, gap, round(similarity, 6) AS similarity, round(similarity - apart * 0.15, 6) AS score FROM ck_links WHERE similarity >= 0.65")(
+    lambda fx: r6(L.link_candidates(tracklets(fx), max_gap=0, min_sim=0.65).select("run_id", "id_a", "id_b", "gap", "similarity", "score"), "similarity", "score")
+)
+register("link_tracklets", "SELECT run_id, object_id, final_id, n_frames FROM ck_final JOIN ck_tracklets USING (run_id, object_id)")(lambda fx: L.link_tracklets(tracklets(fx), candidates(fx)))
+register("remap_ids", "SELECT run_id, frame_idx, inst_idx, new_id AS object_id, x0, y0, x1, y1, score, label, new_id <> object_id AS changed FROM ck_remapped")(lambda fx: L.remap_ids(fx.instances, L.link_tracklets(tracklets(fx), candidates(fx))))
+register("link_summary", "SELECT run_id, count(*) AS tracklets_in, count(DISTINCT final_id) AS ids_out, count(*) - count(DISTINCT final_id) AS merges, any_value(changed) AS remapped_instances FROM ck_final JOIN (SELECT run_id, count(*) FILTER (new_id <> object_id) AS changed FROM ck_remapped GROUP BY 1) c USING (run_id) GROUP BY 1")(
+    lambda fx: L.link_summary(L.link_tracklets(tracklets(fx), candidates(fx)))
+)
+register("changed_ids", "SELECT run_id, object_id, final_id FROM ck_final WHERE final_id <> object_id")(lambda fx: L.changed_ids(L.link_tracklets(tracklets(fx), candidates(fx))).select("run_id", "object_id", "final_id"))
 register("gallery_query", """SELECT query_id, object_id, round(sim, 6) AS similarity FROM (SELECT q.query_id, g.object_id, list_dot_product(q.e, g.embedding) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(g.embedding, g.embedding)) AS sim,
  row_number() OVER (PARTITION BY q.query_id ORDER BY list_dot_product(q.e, g.embedding) / sqrt(list_dot_product(g.embedding, g.embedding)) DESC, g.object_id) AS rn
  FROM (SELECT frame_idx AS query_id, run_id, CAST(embedding AS DOUBLE[]) AS e FROM fx_observations) q JOIN fx_tracklet_vectors g USING (run_id)) t WHERE rn = 1 AND sim >= 0.5""")(
     lambda fx: r6(L.gallery_query(fx.observations.select("run_id", F.col("frame_idx").alias("query_id"), "embedding"), fx.tracklet_vectors.withColumn("insert_order", F.col("object_id")), None, 0.5), "similarity")
 )
-register("gallery_update")(lambda fx: S.gallery_update(fx.observations))
-register("motion_track")(lambda fx: S.track(fx.detections, S.MotionTracker))
-register("masklet_track")(lambda fx: S.track(fx.detections, S.MaskletTracker))
+register("gallery_update", """SELECT run_id, object_id, CAST(len(v) AS INT) AS dim, last_frame, n_updates, pos, round(v[pos], 5) AS x FROM (SELECT run_id, object_id, arg_max(v, n) AS v, arg_max(last_frame, n) AS last_frame, arg_max(n_updates, n) AS n_updates FROM ck_gallery GROUP BY 1, 2) t,
+ generate_series(1, 64) AS g(pos)""")(
+    lambda fx: S.gallery_update(fx.observations).select("run_id", "object_id", "dim", "last_frame", "n_updates", F.posexplode("embedding").alias("pos", "x")).select("run_id", "object_id", "dim", "last_frame", "n_updates", (F.col("pos") + 1).cast("long").alias("pos"), F.round("x", 5).alias("x"))
+)
+register("motion_track", "SELECT run_id, frame_idx, x.d AS det_idx, x.i AS object_id FROM (SELECT run_id, frame_idx, unnest(out) AS x FROM ck_tracking) t")(lambda fx: S.track(fx.detections, S.MotionTracker, fx.frames))
+register("masklet_track")(lambda fx: S.track(fx.detections, S.MaskletTracker, fx.frames))
 register("reid_track")(
-    lambda fx: S.track(D.attach_embeddings(fx.detections, fx.tracklet_vectors.select("run_id", (F.col("object_id") * 2 % 2000).alias("frame_idx"), F.lit(0).alias("det_idx"), "embedding"), 64), S.AppearanceTracker)
+    lambda fx: S.track(D.attach_embeddings(fx.detections, fx.tracklet_vectors.select("run_id", (F.col("object_id") * 2 % 2000).alias("frame_idx"), F.lit(0).alias("det_idx"), "embedding"), 64), S.AppearanceTracker, fx.frames)
 )
 
 # --- runs, samples, jobs, files ---
@@ -346,16 +423,17 @@ PROGRESS = "round(100.0 * CAST(current_frames AS DOUBLE) / total_frames, 2) AS p
 register("job_progress", f"SELECT job_id, status, phase, {PROGRESS}, round(current_frames / elapsed_sec, 8) AS fps, round(CASE WHEN total_frames > current_frames AND current_frames > 0 THEN (total_frames - current_frames) / (current_frames / elapsed_sec) ELSE 0 END, 8) AS eta_seconds FROM fx_jobs")(lambda fx: U.job_progress(fx.jobs))
 register("with_labels", "SELECT job_id, CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.STATUS.items()) + " ELSE status END AS status_text, CASE phase " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.PHASE.items()) + " ELSE phase END AS phase_text FROM fx_jobs")(lambda fx: U.with_labels(fx.jobs).select("job_id", "status_text", "phase_text"))
 register("job_summary", f"SELECT job_id, {PROGRESS}, CASE WHEN n IS NULL THEN '—' WHEN n < 1024 THEN concat(n, ' B') ELSE printf('%.2f KB', n / 1024.0) END AS input_size FROM fx_jobs LEFT JOIN (SELECT file_id AS job_id, strlen(content) AS n FROM fx_files) f USING (job_id)")(lambda fx: U.job_summary(fx.jobs, fx.files).select("job_id", "percent", "input_size"))
-register("throttle", "SELECT job_id, current_frames AS current FROM fx_jobs")(
-    lambda fx: U.throttle(fx.jobs.select("job_id", F.lit(0).alias("tick"), F.col("current_frames").alias("current"), F.lit(2000).cast("long").alias("total"), F.lit(0.0).alias("ts"))).select("job_id", "current")
+register("throttle", "SELECT job_id, tick FROM ck_emitting WHERE emitted")(
+    lambda fx: U.throttle(fx.ticks.select("job_id", F.col("tick").cast("long").alias("tick"), "current", "total", "ts")).select("job_id", "tick")
 )
 register("memory_report", "SELECT run_id, CAST(width AS BIGINT) * height * 3 AS frame_bytes, CAST(width AS BIGINT) * height * 96 AS batch_bytes, CAST(width AS BIGINT) * height * 3 * source_frame_count AS preload_bytes, CASE WHEN width = 1280 THEN '84.38 MB' ELSE '189.84 MB' END AS batch_text FROM fx_order_runs")(
     lambda fx: U.memory_report(fx.order_runs, 32)
 )
 register("run_history", "SELECT run_id FROM fx_order_runs ORDER BY run_id DESC LIMIT 15")(lambda fx: U.run_history(fx.order_runs).select("run_id"))
-register("run_report")(lambda fx: U.run_report(fx.runs, fx.frames))
-register("run_record", """SELECT r.run_id, input_path AS input_video, prompt, frames, round(sec, 3) AS elapsed_sec, round(frames / sec, 3) AS fps_processed, '1280x720' AS resolution FROM fx_runs r JOIN (SELECT run_id, count(DISTINCT frame_idx) AS frames, sum(infer_ms) / 1000.0 AS sec FROM fx_frames GROUP BY 1) s USING (run_id)""")(lambda fx: U.run_record(fx.runs, fx.frames).drop("stats_summary"))
-
+register("run_report", """SELECT run_id, concat_ws(chr(10), concat('Run: ', run_id), concat('Source frames: ', source_frames), concat('Processed frames: ', processed), concat('Skipped frames: ', greatest(0, source_frames - processed)), concat('Peak instances: ', peak), concat('Re-id recoveries: ', recoveries)) AS report
+ FROM ck_source JOIN (SELECT run_id, count(DISTINCT frame_idx) AS processed, CAST(max(n_inst) AS BIGINT) AS peak, CAST(sum(reid_recoveries) AS BIGINT) AS recoveries FROM fx_frames GROUP BY 1) s USING (run_id)""")(lambda fx: U.run_report(fx.runs, fx.frames))
+register("run_record", """SELECT r.run_id, input_path AS input_video, prompt, frames, CAST(round(total, 3) AS DOUBLE) AS elapsed_sec, round(frames / CAST(total AS DOUBLE), 3) AS fps_processed, '1280x720' AS resolution FROM fx_runs r
+ JOIN (SELECT run_id, count(DISTINCT frame_idx) AS frames, sum(CAST(infer_ms AS DECIMAL(18, 6))) * CAST(0.001 AS DECIMAL(4, 3)) AS total FROM fx_frames GROUP BY 1) s USING (run_id)""")(lambda fx: U.run_record(fx.runs, fx.frames).drop("stats_summary"))
 # --- assembly and plans ---
 register("assemble_instances", f"""SELECT t.run_id, t.frame_idx, t.inst_idx, object_id, xa AS bbox_x, yb - ya + 1 AS bbox_h, CAST(xb - xa + 1 AS BIGINT) * (yb - ya + 1) AS area_px, score, CAST(object_id AS INT) AS person_id,
  CAST(coalesce(k.n, -1) AS INT) AS n_keypoints, ok AS cross_check_ok, warning FROM (SELECT *, {RECT} FROM fx_instances) t JOIN (SELECT run_id, frame_idx, inst_idx, ok, warning FROM ck_smooth) s USING (run_id, frame_idx, inst_idx)
@@ -369,13 +447,134 @@ register("scene_plan", "SELECT s.run_id, count(*) AS clip_frames, count(h.keyfra
 )
 register("person_plan", "SELECT run_id, object_id, count(DISTINCT frame_idx) AS clip_frames, concat(run_id, '_person', object_id, '.mp4') AS output_name FROM fx_instances GROUP BY 1, 2")(lambda fx: R.person_plan(fx.instances))
 register("accessory_leaks", "SELECT acc_idx, run_id, frame_idx, label, a.x0, a.y0, a.x1, a.y1 FROM fx_accessories a SEMI JOIN fx_instances USING (run_id, frame_idx, label, x0, y0, x1, y1)")(lambda fx: R.accessory_leaks(fx.instances, fx.accessories))
-register("enrich_tracklets", """SELECT run_id, object_id, object_id % 3 = 0 AS filled FROM ck_tracklets""")(
+register("enrich_tracklets", """SELECT run_id, object_id, object_id % 3 = 0 AS filled, round(e[1] / norm, 5) AS first, round(e[64] / norm, 5) AS last FROM ck_vectors""")(
     lambda fx: L.enrich_tracklets(
-        tracklets(fx).withColumn("embedding", F.when(F.col("object_id") % 3 != 0, F.col("embedding"))), fx.instances,
-        fx.instances.join(fx.tracklet_vectors, ["run_id", "object_id"]).select("run_id", "frame_idx", "inst_idx", "embedding"),
-    ).select("run_id", "object_id", "filled")
+        tracklets(fx).withColumn("embedding", F.when(F.col("object_id") % 3 != 0, VEC.l2_normalize(F.col("embedding")))), fx.instances,
+        fx.instances.join(fx.tracklet_vectors, ["run_id", "object_id"]).select("run_id", "frame_idx", "inst_idx", "embedding"), 8, fx.runs,
+    ).select("run_id", "object_id", "filled", F.round(F.col("embedding")[0], 5).alias("first"), F.round(F.col("embedding")[63], 5).alias("last"))
 )
 register("l2_normalize", "SELECT run_id, object_id, round(e[1] / norm, 6) AS first FROM ck_vectors")(lambda fx: fx.tracklet_vectors.select("run_id", "object_id", F.round(VEC.l2_normalize(F.col("embedding"))[0], 6).alias("first")))
 register("fmt_texts", "SELECT job_id, CASE WHEN elapsed_sec < 60 THEN printf('%.1f с', round(elapsed_sec, 1)) ELSE concat(CAST(floor(elapsed_sec / 60) AS INT), ' мин ', CAST(round_even(elapsed_sec - 60 * floor(elapsed_sec / 60), 0) AS INT), ' с') END AS elapsed FROM fx_jobs")(
     lambda fx: fx.jobs.select("job_id", T.fmt_sec(F.col("elapsed_sec")).alias("elapsed"))
 )
+
+# --- geometry on another frame size ---
+register("box_centres", "SELECT run_id, frame_idx, inst_idx, round((x0 + x1) / 2, 6) AS cx, round((y0 + y1) / 2, 6) AS cy, round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) AS diag, x0 + (x1 - x0) AS right_x, CAST(round_even((x0 + x1) / 2 * CAST(0.5 AS DOUBLE), 0) AS INT) AS scaled_cx, CAST(round_even((y0 + y1) / 2 * CAST(1.5 AS DOUBLE), 0) AS INT) AS scaled_cy FROM fx_instances")(
+    lambda fx: fx.instances.select(
+        "run_id", "frame_idx", "inst_idx", F.round(G.center(G.box())[0], 6).alias("cx"), F.round(G.center(G.box())[1], 6).alias("cy"), F.round(G.diag(G.box()), 6).alias("diag"),
+        G.xywh_to_xyxy(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).x1.alias("right_x"),
+        *[c.alias(n) for n, c in zip(("scaled_cx", "scaled_cy"), G.scale_point(*G.center(G.box()), F.lit(0.5), F.lit(1.5)), strict=True)],
+    )
+)
+register("scale_heads", "SELECT run_id, frame_idx, inst_idx, " + ", ".join(f"CAST(round_even(h{c} * CAST({k} AS DOUBLE), 0) AS INT) AS {c}" for c, k in (("x0", 0.5), ("y0", 1.5), ("x1", 0.5), ("y1", 1.5))) + " FROM ck_raw")(
+    lambda fx: raw(fx).select("run_id", "frame_idx", "inst_idx", *[c.alias(n) for n, c in zip(G.Box._fields, G.scale_box(G.box("h"), F.lit(0.5), F.lit(1.5)), strict=True)])
+)
+register("scale_keypoints", "SELECT run_id, frame_idx, id, round(x * CAST(0.5 AS DOUBLE), 2) AS x, round(y * CAST(1.5 AS DOUBLE), 2) AS y FROM fx_keypoints")(
+    lambda fx: fx.keypoints.groupBy("run_id", "frame_idx").agg(F.collect_list(F.struct("id", "x", "y", "conf")).alias("p")).select("run_id", "frame_idx", F.explode(G.scale_keypoints(F.col("p"), F.lit(0.5), F.lit(1.5))).alias("q")).select("run_id", "frame_idx", "q.id", "q.x", "q.y")
+)
+register("scale_accessories", "SELECT * FROM (SELECT run_id, frame_idx, acc_idx, " + ", ".join(f"CAST(round_even({c} * CAST(20.0 AS DOUBLE) / {n}, 0) AS INT) AS {c}" for c, n in (("x0", 1280), ("y0", 720), ("x1", 1280), ("y1", 720))) + " FROM fx_accessories) t WHERE x1 - x0 > 1 AND y1 - y0 > 1")(
+    lambda fx: R.scale_accessories(fx.accessories, 20, 20, fx.runs).select("run_id", "frame_idx", "acc_idx", *G.Box._fields)
+)
+
+# --- sources and sinks: written to the shared folder and read back ---
+def results(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark, "results")
+    rows = fx.instances.select("run_id", "frame_idx", "inst_idx", "object_id", "score", F.col("label").alias("prompt_label"), F.array(*[F.col(c).cast("int") for c in G.Box._fields]).alias("bbox_xywh"))
+    io.write_results(fx.runs.select("run_id", "input_path", "prompt", "fps", "width", "height"), rows, path)
+    runs, instances = io.read_results(fx.spark, path)
+    return instances.join(runs.select("run_id", "fps", "input_path").hint("merge"), "run_id")
+
+
+register("results_json", "SELECT run_id, frame_idx, inst_idx, object_id, score, label AS prompt_label, CAST(x0 AS INT) AS x, CAST(y1 AS INT) AS y, fps, input_path FROM fx_instances JOIN fx_runs USING (run_id)")(
+    lambda fx: results(fx).select("run_id", "frame_idx", "inst_idx", "object_id", "score", "prompt_label", F.col("bbox_xywh")[0].alias("x"), F.col("bbox_xywh")[3].alias("y"), "fps", "input_path")
+)
+
+
+def metrics(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark, "metrics")
+    io.write_metrics(fx.frames.select(F.concat("run_id", F.lit("#"), F.col("frame_idx").cast("string")).alias("note"), F.col("frame_idx").alias("frame"), "detect_ms", "reid_ms", F.col("n_inst").alias("instances")), path)
+    # blank and broken lines among them
+    fx.frames.select(F.when(F.col("frame_idx") % 2 == 0, "").otherwise("{broken").alias("value")).write.mode("append").text(path)
+    return io.read_metrics(fx.spark, path)
+
+
+register("metrics_jsonl", "SELECT frame_idx AS frame, detect_ms, reid_ms, CAST(n_inst AS INT) AS instances FROM fx_frames")(lambda fx: metrics(fx).select("frame", "detect_ms", "reid_ms", "instances"))
+
+
+def samples(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark, "samples")
+    io.write_samples(fx.samples, path)
+    return io.read_samples(fx.spark, path)
+
+
+register("samples_json", "SELECT t_sec, gpu_util_pct, mem_used_mb, process_rss_mb FROM fx_samples")(lambda fx: samples(fx).select("t_sec", "gpu_util_pct", "mem_used_mb", "process_rss_mb"))
+
+
+def index(fx: Fixtures) -> DataFrame:
+    """The index of the last 500 runs, written, read and flattened; a missing one is empty."""
+    path = new_path(fx.spark, "index")
+    rows = fx.order_runs.orderBy(F.desc("k")).limit(500).select("run_id", F.col("input_path").alias("input_video"), "prompt", F.col("source_frame_count").alias("frames"), F.create_map(F.lit("detect"), F.col("priority")).alias("models"), F.create_map(F.lit("instances_peak"), F.col("width").cast("string")).alias("stats_summary"))
+    io.write_runs_index(rows, path)
+    return io.read_runs_index(fx.spark, path).unionByName(io.read_runs_index(fx.spark, f"{path}-missing"))
+
+
+def history_csv(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark, "history")
+    io.export_runs_csv(index(fx), path)
+    return fx.spark.read.option("header", True).csv(path)
+
+
+INDEX = "SELECT concat('run_', o_orderkey) AS run_id, concat('/videos/', o_orderkey, '.mp4') AS input_video, o_custkey AS frames, o_orderpriority AS priority, CASE WHEN o_orderkey % 2 = 0 THEN 1280 ELSE 1920 END AS width FROM orders ORDER BY o_orderkey DESC LIMIT 500"
+register("runs_index", f"SELECT run_id, input_video, frames, priority AS detect FROM ({INDEX}) t")(lambda fx: index(fx).select("run_id", "input_video", "frames", F.col("models")["detect"].alias("detect")))
+register("history_csv", f"SELECT run_id, input_video, CAST(frames AS VARCHAR) AS frames, priority AS detect_model, CAST(width AS VARCHAR) AS instances_peak, CAST(NULL AS VARCHAR) AS out_dir FROM ({INDEX}) t")(
+    lambda fx: history_csv(fx).select("run_id", "input_video", "frames", "detect_model", "instances_peak", "out_dir")
+)
+
+
+def chunk_store(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark, "chunks")
+    io.write_chunks(fx.frames.select("run_id", "frame_idx", "n_inst"), path, 256)
+    return fx.spark.read.parquet(path)
+
+
+register("chunk_store", "SELECT run_id, CAST(floor(frame_idx / 256) AS INT) AS chunk_idx, frame_idx, n_inst FROM fx_frames WHERE frame_idx BETWEEN 200 AND 600")(
+    lambda fx: io.keyframes_between(chunk_store(fx), 200, 600, 256).select("run_id", "chunk_idx", "frame_idx", F.col("n_inst").cast("long").alias("n_inst"))
+)
+# in frame order: the place of a frame in the merged set is that in its run
+register("compact_chunks", "SELECT run_id, frame_idx, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx) AS place FROM fx_frames")(
+    lambda fx: io.compact_chunks(chunk_store(fx), 1).withColumn("m", F.monotonically_increasing_id()).select("run_id", "frame_idx", F.row_number().over(Window.partitionBy("run_id").orderBy("m")).alias("place"))
+)
+register("report_violations", "SELECT run_id, CASE WHEN count(*) FILTER (NOT ok) % 3 = 0 THEN 0 ELSE CAST(count(*) FILTER (NOT ok) AS INT) END AS violations FROM ck_smooth GROUP BY 1")(
+    lambda fx: io.report_violations(
+        U.run_report(fx.runs, fx.frames).select("run_id", F.posexplode(F.split("report", "\n")).alias("line_no", "line")).unionByName(
+            V.violations_total(smooth(fx)).select("run_id", F.explode(F.array(F.lit(100), F.lit(101))).alias("line_no"), F.concat(F.lit("  Cross-check violations: "), F.when(F.col("violations") % 3 == 0, "many").otherwise(F.col("violations").cast("string"))).alias("line"))
+        )
+    )
+)
+
+# --- streams: a table replayed as a file stream ---
+def replay(fx: Fixtures, rows: DataFrame, order: str, batches: int) -> DataFrame:
+    """``rows`` as a stream that brings them in the order of a column, some at a time."""
+    path = new_path(fx.spark, "replay")
+    rows.repartitionByRange(batches, order).write.parquet(path)
+    return fx.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def smoothed(fx: Fixtures) -> DataFrame:
+    out = new_path(fx.spark, "smoothed")
+    # one file: its rows are in any order, the operator sorts those of an identity
+    stream = replay(fx, raw(fx).select("run_id", "frame_idx", "inst_idx", "object_id", "ok").coalesce(1), "frame_idx", 1)
+    S.smooth_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return fx.spark.read.parquet(out)
+
+
+register("smooth_stream", "SELECT run_id, frame_idx, inst_idx, object_id, ok FROM ck_smooth")(lambda fx: smoothed(fx))
+
+
+def recent_view(fx: Fixtures) -> DataFrame:
+    out = new_path(fx.spark, "requests")
+    S.recent_requests_stream(replay(fx, fx.requests, "ts", 4), out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return S.recent_requests_view(fx.spark, out, fx.requests.schema)
+
+
+register("recent_requests_stream", "SELECT request_id, path, status_code FROM fx_requests ORDER BY ts DESC, request_id DESC LIMIT 200")(lambda fx: recent_view(fx).select("request_id", "path", "status_code"))

@@ -30,11 +30,49 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_results(runs: DataFrame, instances: DataFrame, path: str) -> None:
-    """Result JSON, a line per run under ``run_id=...``, frames and instances in order."""
+    """Result JSON, a document per run under ``run=...``, frames and instances in order.
+
+    The document is written as the lines of a text file: head, a line per frame, end. A task sorts the lines of its runs and
+    streams them; only the instances of one frame are ever held together."""
     columns = [c for c in instances.columns if c not in ("run_id", "frame_idx", "inst_idx")]
     frames = instances.groupBy("run_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("inst_idx", *columns))).alias("instances"))
-    nested = frames.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "instances"))).alias("frames"))
-    runs.join(nested, "run_id", "left").withColumn("run", F.col("run_id")).write.mode("overwrite").partitionBy("run").json(path)
+    first = frames.groupBy("run_id").agg(F.min("frame_idx").alias("first"))
+    line = F.concat(F.when(F.col("frame_idx") == F.col("first"), "").otherwise(","), F.to_json(F.struct("frame_idx", "instances")))
+    body = frames.join(first.hint("merge"), "run_id").select("run_id", F.lit(1).alias("part"), "frame_idx", line.alias("value"))
+    # the object of the run's columns, left open; run_id is always in it
+    head = F.concat(F.regexp_replace(F.to_json(F.struct(*runs.columns)), "[}]$", ""), F.lit(',"frames":['))
+    ends = runs.select("run_id", F.explode(F.array(F.struct(F.lit(0).alias("part"), head.alias("value")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("value")))).alias("x"))
+    lines = body.unionByName(ends.select("run_id", "x.part", F.lit(-1).cast("long").alias("frame_idx"), "x.value"))
+    _write_documents(lines.withColumn("run", F.col("run_id")), "run", ["part", "frame_idx"], path)
+
+
+def _write_documents(lines: DataFrame, key: str, order: list[str], path: str) -> None:
+    """Text files of ``value``, one per ``key`` in a folder of that name, the lines in order."""
+    lines.repartition(key).sortWithinPartitions(key, *order).select(key, "value").write.mode("overwrite").partitionBy(key).option("maxRecordsPerFile", 0).text(path)
+
+
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Resource samples as JSON arrays, one per run in a folder ``run=...``, in the order of time."""
+    first = samples.groupBy("run_id").agg(F.min("t_sec").alias("first"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("t_sec"))
+    rows = samples.withColumn("place", place).join(first.hint("merge"), "run_id")
+    columns = [c for c in samples.columns if c != "run_id"]
+    value = F.concat(F.when(F.col("place") == 1, "[").otherwise(","), F.to_json(F.struct(*columns)), F.when(F.col("place") == F.col("n"), "]").otherwise(""))
+    _write_documents(rows.select(F.col("run_id").alias("run"), "place", value.alias("value")), "run", ["place"], path)
+
+
+def write_metrics(frames: DataFrame, path: str) -> None:
+    """Per-frame metrics, a JSON object a line."""
+    frames.select(F.to_json(F.struct(*frames.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_runs_index(index: DataFrame, path: str) -> None:
+    """The index of runs as one document: a line per run. An index is small: `upsert_runs` keeps a stated number."""
+    every = Window.partitionBy(F.lit(0))
+    numbered = index.withColumns({"_n": F.row_number().over(every.orderBy("run_id")), "_last": F.count("*").over(every)})
+    columns = index.columns
+    value = F.concat(F.when(F.col("_n") == 1, '{"runs":[').otherwise(","), F.to_json(F.struct(*columns)), F.when(F.col("_n") == F.col("_last"), "]}").otherwise(""))
+    numbered.select("_n", value.alias("value")).coalesce(1).sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -14,8 +14,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .assignment import assign
 
@@ -358,15 +360,25 @@ def _rows(part: pd.DataFrame) -> list[Row]:
 
 
 def _advance(tracker, part: pd.DataFrame) -> pd.DataFrame:
-    """The ids of some whole frames of one run, in order."""
-    ids = [i for _, frame in part.groupby("frame_idx", sort=False) for i in tracker.step(_rows(frame))]
-    return pd.DataFrame({"run_id": part.run_id, "frame_idx": part.frame_idx, "det_idx": part.det_idx, "object_id": ids})
+    """The ids of some whole frames of one run, in order. A row without det_idx stands for its frame alone."""
+    real = part.det_idx.notna()
+    ids = [i for _, frame in part.groupby("frame_idx", sort=False) for i in tracker.step(_rows(frame[frame.det_idx.notna()]))]
+    part = part[real]
+    return pd.DataFrame({"run_id": part.run_id, "frame_idx": part.frame_idx, "det_idx": part.det_idx.astype("int32"), "object_id": ids})
 
 
-def track(det: DataFrame, make: Callable[[], object] = MotionTracker) -> DataFrame:
+def with_frames(det: DataFrame, frames: DataFrame) -> DataFrame:
+    """``det`` and a row without detection for each analysed frame, so that frames without detections age tracks too."""
+    missing = [F.lit(None).cast(det.schema[c].dataType).alias(c) for c in det.columns if c not in ("run_id", "frame_idx")]
+    return det.unionByName(frames.select("run_id", "frame_idx", *missing))
+
+
+def track(det: DataFrame, make: Callable[[], object] = MotionTracker, frames: DataFrame | None = None) -> DataFrame:
     """(run_id, frame_idx, det_idx, object_id). A run is read in frame order by one task, as a stream of Arrow batches: the
-    task holds one batch and the tracker, not the run. Frames without detections are not in the table and don't age tracks."""
-    ordered = det.repartition("run_id").sortWithinPartitions("run_id", "frame_idx", "det_idx")
+    task holds one batch and the tracker, not the run. ``frames`` (run_id, frame_idx) are the analysed frames: those without
+    detections age the tracks as well; left out, only frames with detections count. Parallelism is the number of runs."""
+    every = det if frames is None else with_frames(det, frames)
+    ordered = every.repartition("run_id").sortWithinPartitions("run_id", "frame_idx", "det_idx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, now, tracker = None, None, None
@@ -395,13 +407,14 @@ def track(det: DataFrame, make: Callable[[], object] = MotionTracker) -> DataFra
 
 
 def track_stream(det: DataFrame, make: Callable[[], object] = MotionTracker) -> DataFrame:
-    """The same on a stream whose micro-batches hold whole frames in order; the tracker is the state of its run.
+    """The same on a stream whose micro-batches hold whole frames in order; the tracker is the state of its run. For frames
+    without detections the stream has rows without det_idx (`with_frames`).
 
     Frames at or before the last one seen of a run are late: they are dropped."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker, last = pickle.loads(state.get[0]) if state.exists else (make(), -1)
-        pdf = pd.concat(list(parts), ignore_index=True).sort_values(["frame_idx", "det_idx"], kind="stable")
+        pdf = pd.concat(list(parts), ignore_index=True).sort_values(["frame_idx", "det_idx"], kind="stable", na_position="first")
         pdf = pdf[pdf.frame_idx > last]
         if len(pdf):
             out = _advance(tracker, pdf)
@@ -456,14 +469,19 @@ def smooth_stream(verdicts: DataFrame, streak: int = 2) -> DataFrame:
 
 def recent_requests_stream(requests: DataFrame, path: str, keep: int = 200):
     """A writer that keeps the last ``keep`` requests of a stream under ``path``, a folder per micro-batch; the newest folder
-    is the view. A batch that is run again replaces its own folder."""
-    from pyspark.sql import functions as F
+    is the view (`recent_requests_view`). A batch that is run again replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = batch
         if number > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}"))
-        rows.orderBy(F.desc("ts"), F.desc("request_id")).limit(keep).write.mode("overwrite").parquet(f"{path}/{number}")
+            rows = rows.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}"))
+        rows.orderBy(F.desc("ts"), F.desc("request_id")).limit(keep).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return requests.writeStream.foreachBatch(write)
+
+
+def recent_requests_view(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The requests kept by the last micro-batch of `recent_requests_stream`."""
+    every = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    newest = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == newest).drop("batch")
