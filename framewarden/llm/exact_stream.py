@@ -1,22 +1,25 @@
 """Exact de-duplication as a stateful stream: keyed state on disk that never expires, full bytes compared on hits.
 
 The state is that of a streaming aggregation in RocksDB, keyed by the SHA-256 of the text. Its value is the stable
-identifier of the copy that stays (the largest doc_id), the locator of its content (the file it was read from) and the
+identifier of the copy that stays (the largest doc_id), the locator of its content (the file and the row in it) and the
 number of copies so far. Each micro-batch is pre-aggregated before its shuffle, so a text that makes up a third of the
 input costs one row per task. Nothing in the state expires: a copy of the first batch is still found in the last.
 
-A digest with more than one copy is a hit. The full texts of hits are compared by grouping on digest and text together;
-if one digest holds two texts, its documents are told apart by the text.
+A digest with more than one copy is a hit. The content of the copy that stays is read by its locator, and the full text of
+every other copy is compared with it; texts that are equal are brought together within each task first. If one digest turns
+out to hold two texts, its documents are told apart by the text.
 """
 
 from __future__ import annotations
 
+import re
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import new_path, semi_join, stage
+from .staging import BROADCAST_ROWS, new_path, semi_join, stage
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -47,6 +50,11 @@ def keyed_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count("*").alias("copies"))
 
 
+def locator() -> Column:
+    """Where the content of a row lies: the file that it is read from, and its number there."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")
+
+
 def run_stream(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
     """Run the stream over all that is there now and return the state: digest, keep_id, locator, copies.
 
@@ -62,7 +70,7 @@ def run_stream(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
     with settings(spark, STATE):
         query = keyed_state(stream).writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
-    schema = "digest binary, keeper struct<doc_id: bigint, locator: string>, copies bigint, batch int"
+    schema = "digest binary, keeper struct<doc_id: bigint, locator: struct<file: string, row: bigint>>, copies bigint, batch int"
     updates = spark.read.schema(schema).parquet(sink)
     return updates.groupBy("digest").agg(F.max("keeper").alias("keeper"), F.max("copies").alias("copies")).select("digest", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.locator").alias("locator"), "copies")
 
@@ -73,31 +81,44 @@ def exact_duplicates(
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; of equal texts the row with the largest doc_id stays. ``path`` is the Parquet
-    folder or file that ``docs`` was read from: the stream then reads it directly; else (id, digest) rows are staged and
-    streamed. A null text counts as empty, and empty texts are equal. Of rows that repeat both doc_id and text each has
-    ``kept`` true if the id is the largest; a null doc_id is smaller than any other. Other columns are not read.
+    folder or file that ``docs`` was read from: the stream then reads it directly. Else (id, digest, locator) rows are staged
+    and streamed, and where ``docs`` isn't a plain scan of files, so that its rows have no locators, it is staged first. A
+    null text counts as empty, and empty texts are equal. Of rows that repeat both doc_id and text each has ``kept`` true if
+    the id is the largest; a null doc_id is smaller than any other. Other columns are not read.
     """
     spark = docs.sparkSession
+    docs = docs.select(id_col, text_col)
+    if not path:
+        try:
+            docs.select("_metadata.row_index")
+        except AnalysisException:
+            docs = stage(docs, "contents")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("text"))
+    own = [F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest")]
     if path:
-        reader = spark.readStream.schema(docs.select(id_col, text_col).schema)
+        reader = spark.readStream.schema(docs.schema)
         if max_bytes_per_trigger:
             reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-        # as a pattern, the path may be a folder or a single file
-        stream = reader.parquet(f"{path[:-1]}[{path[-1]}]").select(F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest"), F.col("_metadata.file_path").alias("locator"))
-        ids = keyed.select("doc_id", "digest")
+        stream = reader.parquet(_pattern(path)).select(*own, locator())
+        ids = docs.select(*own)
     else:
-        staged = new_path(spark, "digests")
-        keyed.select("doc_id", "digest").write.parquet(staged)
-        ids = spark.read.schema("doc_id long, digest binary").parquet(staged)
-        stream = spark.readStream.schema(ids.schema).parquet(staged).withColumn("locator", F.col("_metadata.file_path"))
+        staged = stage(docs.select(*own, locator()), "digests")
+        ids = staged.select("doc_id", "digest")
+        stream = spark.readStream.schema(staged.schema).parquet(staged.staged_path)
     state = stage(run_stream(stream), "state")
 
-    hits = state.where("copies > 1").select("digest")
-    copies = semi_join(keyed, hits, "digest", hits.count())
+    hits = state.where("copies > 1").select("digest", "locator.file", "locator.row")
+    n = hits.count()
+    keyed = docs.select(*own, text.alias("text"))
+    copies = semi_join(keyed, hits.select("digest"), "digest", n)
     texts = stage(copies.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("copies")), "hits")
-    clashes = stage(texts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "clashes")
+    # the content that a digest stands for, read by its locator
+    places = hits.withColumnRenamed("digest", "known")
+    places = F.broadcast(places) if n <= BROADCAST_ROWS // 8 else places.hint("merge")  # a row has less than 200 bytes
+    content = docs.select(text.alias("content"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    content = content.join(places, ["file", "row"]).select(F.col("known").alias("digest"), "content")
+    other = texts.join(content.hint("merge"), "digest", "left").where(~F.col("text").eqNullSafe(F.col("content")))
+    clashes = stage(other.select("digest").distinct(), "clashes")
 
     known = state.select("digest", "keep_id", "copies")
     if clashes.isEmpty():
@@ -109,3 +130,9 @@ def exact_duplicates(
     return found.select(
         "doc_id", "keep_id", F.col("copies").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def _pattern(path: str) -> str:
+    """The path as a pattern that only it matches: streams read a single file by a pattern only. Its own signs are escaped."""
+    plain = path.rstrip("/")
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", plain[:-1]) + (f"[{plain[-1]}]" if plain[-1].isalnum() else re.sub(r"([\[\]{}*?\\])", r"\\\1", plain[-1]))

@@ -1,9 +1,10 @@
 import hashlib
+import shutil
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from framewarden.llm.exact_stream import exact_duplicates, run_stream, sha256
+from framewarden.llm.exact_stream import exact_duplicates, locator, run_stream, sha256
 
 
 def check(got, rows):
@@ -26,9 +27,15 @@ def test_from_a_folder_and_a_file(spark, awkward, awkward_rows, tmp_path):
     awkward.write.parquet(str(tmp_path / "d.parquet"))
     awkward.coalesce(1).write.parquet(str(tmp_path / "one"))
     part = next((tmp_path / "one").glob("part-*.parquet"))
-    for path in (tmp_path / "d.parquet", part):
-        got = exact_duplicates(spark.read.parquet(str(path)), path=str(path), max_bytes_per_trigger="2000").collect()
+    odd = tmp_path / "a [x] {y} b.parquet"
+    shutil.copytree(tmp_path / "d.parquet", odd)
+    read = spark.read.schema(awkward.schema)
+    for path in (tmp_path / "d.parquet", part, odd):
+        docs = read.parquet(str(path)) if path != odd else read.option("recursiveFileLookup", True).parquet(str(odd).replace("[", "\\[").replace("]", "\\]").replace("{", "\\{").replace("}", "\\}"))
+        got = exact_duplicates(docs, path=str(path), max_bytes_per_trigger="2000").collect()
         check([tuple(r) for r in got], [(r[0], r[1]) for r in awkward_rows])
+    # a plain scan without its path: the locators are those of the scan
+    check([tuple(r) for r in exact_duplicates(read.parquet(str(tmp_path / "d.parquet"))).collect()], [(r[0], r[1]) for r in awkward_rows])
 
 
 def test_a_digest_that_clashes(spark):
@@ -46,7 +53,7 @@ def test_state_outlives_the_run(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        stream = stream.select("doc_id", sha256(F.col("text")).alias("digest"), F.col("_metadata.file_path").alias("locator"))
+        stream = stream.select("doc_id", sha256(F.col("text")).alias("digest"), locator())
         return {r.keep_id: r.copies for r in run_stream(stream, f"file://{tmp_path}/state").collect()}
 
     add(0, [(1, "x"), (2, "y")])
