@@ -32,8 +32,9 @@ class Settings:
     batch: int = 64
     rate: float = 0.01
     decay: float = 1e-4
-    #: Labelled rows to fit on, at most.
+    #: Labelled rows to fit on, at most, and bytes of each.
     rows: int = 4096
+    row_bytes: int = 1 << 18
 
 
 def _classes() -> np.ndarray:
@@ -171,8 +172,8 @@ def fit(x: np.ndarray, offsets: np.ndarray, y: np.ndarray, settings: Settings) -
 def quality(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, label: str = "quality", cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    The model is fitted in one task on a sample of ``settings.rows`` labelled rows at most, whole texts. A null text
-    counts as empty; a text without words is one passage of zeros; without labels all scores are 0.5. A null doc_id is
+    The model is fitted in one task on a sample of ``settings.rows`` labelled texts at most, of ``settings.row_bytes`` bytes
+    at most each. A null text counts as empty; a text without words is one passage of zeros; without labels all scores are 0.5. A null doc_id is
     scored and not held out; rows that repeat are scored each; other columns are not read.
     """
     score = scorer(docs, labels, settings, label, id_col, text_col)
@@ -205,7 +206,7 @@ def scorer(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
             model = fit(np.concatenate(xs), np.cumsum(np.concatenate(sizes)), np.array(ys, float), settings)
             yield pa.record_batch([pa.array(list(model.p)), pa.array([v.ravel().tolist() for v in model.p.values()]), pa.array([list(v.shape) for v in model.p.values()])], ["name", "value", "shape"])
 
-    rows = sample(docs, labels, label, settings.rows, id_col, text_col).mapInArrow(train, "name string, value array<double>, shape array<bigint>").collect()
+    rows = sample(docs, labels, label, settings.rows, settings.row_bytes, id_col, text_col).mapInArrow(train, "name string, value array<double>, shape array<bigint>").collect()
     parameters = {r.name: np.array(r.value).reshape(r.shape) for r in rows}  # of the network's size, whatever the table's
 
     def score(texts: list[str]) -> np.ndarray:
