@@ -12,6 +12,7 @@ from framewarden.functions import text as T
 from framewarden.operators import detections as D
 from framewarden.operators import linking as L
 from framewarden.operators import masks as M
+from framewarden.operators import places
 from framewarden.operators import reports as R
 from framewarden.operators import runs as U
 from framewarden.operators import verdicts as V
@@ -193,3 +194,50 @@ def test_hooks(spark):
     crops = spark.createDataFrame([("ab",), ("",)], "crop string")
     got = hooks.embed_crops(crops, lambda s: np.array([[len(x), 0.0] for x in s])).collect()
     assert got[0].embedding == [1.0, 0.0] and got[1].embedding is None
+
+
+def test_places_over_all_rows(spark):
+    rng = random.Random(3)
+    values = [rng.choice([None, rng.uniform(0, 3), 1e9, 0.5]) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v double").repartition(5)
+    bucket = F.coalesce(F.floor(F.col("v") * 2), F.lit(1 << 60))
+    got = [r.id for r in places.with_place(df, bucket, [F.col("v").asc_nulls_last(), F.col("id")]).orderBy("place").collect()]
+    assert got == sorted(range(500), key=lambda i: (values[i] is None, values[i] or 0, i))
+
+
+def test_points_beyond_the_named_ones(spark):
+    df = spark.createDataFrame([("r", 0, i, 1.0, 2.0, 0.9) for i in (0, 16, 17, 99, -1)], "run_id string, frame_idx long, id int, x double, y double, conf double")
+    assert [r["name"] for r in M.keypoints_long(df).orderBy("id").collect()] == ["kpt_-1", "nose", "right_ankle", "kpt_17", "kpt_99"]
+
+
+def test_crops_that_are_too_small_fill_nothing(spark):
+    box = lambda oid, f, w: ("r", f, 0, oid, 100.0, 100.0, 100.0 + w, 100.0 + 2 * w)
+    inst = spark.createDataFrame([box(1, 0, 10), box(1, 1, 60), box(2, 2, 10)], PERSON)
+    emb = spark.createDataFrame([("r", 0, 0, [0.0, 2.0]), ("r", 1, 0, [3.0, 0.0]), ("r", 2, 0, [1.0, 0.0])], "run_id string, frame_idx long, inst_idx int, embedding array<double>")
+    tracks = spark.createDataFrame([("r", 1, None), ("r", 2, None), ("r", 3, [9.0, 9.0])], "run_id string, object_id long, embedding array<double>")
+    runs = spark.createDataFrame([("r", 640, 480)], "run_id string, width int, height int")
+    got = {r.object_id: (r.embedding, r.filled) for r in L.enrich_tracklets(tracks, inst, emb, 8, runs).collect()}
+    assert got == {1: ([1.0, 0.0], True), 2: (None, False), 3: ([9.0, 9.0], False)}
+
+
+def test_gap_bins_lose_no_pair(spark):
+    rng = random.Random(4)
+    rows = []
+    for oid in range(1, 80):
+        a = rng.randint(0, 300)
+        rows.append(("r", oid, a, a + rng.randint(0, 40), 5, (0.0, 0.0, 9.0, 9.0), (0.0, 0.0, 9.0, 9.0), [1.0, rng.uniform(0, 0.2)], 0))
+    corner = "struct<x0: double, y0: double, x1: double, y1: double>"
+    t = spark.createDataFrame(rows, f"run_id string, object_id long, start_frame long, end_frame long, n_frames long, first_box {corner}, last_box {corner}, embedding array<double>, first_inst_idx int")
+    for gap in (0, 1, 7, 50):
+        got = [(r.id_a, r.id_b) for r in L.link_candidates(t, max_gap=gap).collect()]
+        want = [(a[1], b[1]) for a in rows for b in rows if a[1] != b[1] and a[3] < b[2] and (gap == 0 or b[2] - a[3] - 1 <= gap)]
+        assert sorted(got) == sorted(want)
+
+
+def test_a_result_is_one_document_for_each_run(spark, tmp_path):
+    runs = spark.createDataFrame([("r1", "a", 25.0), ("r2", None, 5.0)], "run_id string, prompt string, fps double")
+    inst = spark.createDataFrame([("r1", f, i, 9, 0.5) for f in range(50) for i in range(2)], "run_id string, frame_idx long, inst_idx int, object_id long, score double").repartition(7)
+    io.write_results(runs, inst, str(tmp_path / "out"))
+    docs = [json.loads(f.read_text()) for f in (tmp_path / "out").glob("run=*/part-*")]
+    by = {d["run_id"]: d for d in docs}
+    assert len(docs) == 2 and [f["frame_idx"] for f in by["r1"]["frames"]] == list(range(50)) and by["r2"]["frames"] == []
