@@ -17,7 +17,7 @@ from framewarden.llm.exact_stream import exact_duplicates
 from framewarden.llm.mil import scorer
 from framewarden.llm.packing import pack_documents
 from framewarden.llm.queries import tokenizer_path
-from framewarden.llm.staging import keep_rows, stage
+from framewarden.llm.staging import keep_rows, scratch, stage, unstage
 from framewarden.llm.words import give_back, text_slices
 
 #: Documents that score less are rejected.
@@ -74,8 +74,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written as Parquet and read back as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    for n, (name, function) in enumerate(STAGES):
+        with scratch(spark):
+            out = stage(function(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        if n:
+            unstage(docs)
+        docs = out
     return docs
 
 
