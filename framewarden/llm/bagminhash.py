@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import semi_join, stage, text_batches
+from .staging import semi_join, stage, text_batches, unstage
 from .words import give_back, mix, shingle_multiset, shingles, slices, text_slices, word_hashes
 
 COMPONENTS_SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -156,6 +156,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, ngram: int, apart: bool = False)
                 offsets = np.concatenate([[0], np.cumsum([len(d) for d in differ])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, np.concatenate([*differ, np.zeros(0, np.uint64)]).view(np.int64))
                 yield pa.record_batch([part.column("node"), part.column("hub"), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64()), pa.array(hub_sizes, pa.int64()), lists], [c.split()[0] for c in SCORED.split(", ")])
+        give_back()
 
     return both.mapInArrow(run, SCORED)
 
@@ -164,7 +165,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, class_id) for every node of the edges (a, b): class_id is the least node of its connected component.
 
     Each round hooks every class to its least neighbour, follows the hooks, and writes the table; the number of rounds
-    grows with the logarithm of the longest path.
+    grows with the logarithm of the longest path. The tables of a round are deleted after the next.
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("class_id")), "labels")
@@ -174,11 +175,15 @@ def components(edges: DataFrame) -> DataFrame:
         cross = both.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where("ca <> cb")
         hooks = stage(cross.groupBy("ca").agg(F.min("cb").alias("cb")).where("cb < ca"), "hooks")
         if hooks.isEmpty():
+            unstage(both, hooks)
             return labels
+        far = hooks
         for _ in range(2):
-            jump = hooks.select(F.col("ca").alias("cb"), F.col("cb").alias("further"))
-            hooks = hooks.join(jump.hint("merge"), "cb", "left").select("ca", F.coalesce("further", "cb").alias("cb"))
-        labels = stage(labels.join(hooks.hint("merge"), labels.class_id == hooks.ca, "left").select("node", F.coalesce("cb", "class_id").alias("class_id")), "labels")
+            jump = far.select(F.col("ca").alias("cb"), F.col("cb").alias("further"))
+            far = far.join(jump.hint("merge"), "cb", "left").select("ca", F.coalesce("further", "cb").alias("cb"))
+        new = stage(labels.join(far.hint("merge"), labels.class_id == far.ca, "left").select("node", F.coalesce("cb", "class_id").alias("class_id")), "labels")
+        unstage(labels, hooks)
+        labels = new
 
 
 def near_duplicates(
@@ -222,6 +227,8 @@ def near_duplicates(
         scored = stage(_verify(held, texts, ngram, True), "scored")
         labels = _linked(scored, threshold)
         labels = _inside_groups(scored, labels, texts, threshold, ngram)
+        unstage(wanted, texts, scored)
+    unstage(held)
 
     out = signed.select("doc_id", "digest").join(nodes.select("digest", "node").hint("merge"), "digest")
     if labels is not None:
@@ -249,9 +256,12 @@ def _joined(labels: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     links = stage(_named(found.where(F.col("similarity") >= threshold), labels).where("class_a <> class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "links")
     if links.isEmpty():
         return labels
-    new = components(links).select(F.col("node").alias("class_id"), F.col("class_id").alias("new_id"))
+    among = components(links)
+    new = among.select(F.col("node").alias("class_id"), F.col("class_id").alias("new_id"))
     known = labels.unionByName(new.select(F.col("class_id").alias("node"), "class_id")).distinct()  # a single node is its own class
-    return stage(known.join(new.hint("merge"), "class_id", "left").select("node", F.coalesce("new_id", "class_id").alias("class_id")), "labels")
+    out = stage(known.join(new.hint("merge"), "class_id", "left").select("node", F.coalesce("new_id", "class_id").alias("class_id")), "labels")
+    unstage(links, among, labels)
+    return out
 
 
 def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -275,7 +285,9 @@ def _inside_groups(scored: DataFrame, labels: DataFrame, texts: DataFrame, thres
     often = _counts(rows).where("n > 1").join(hubs.select("hub", "members").hint("merge"), "hub").where("2 * n > members")
     common = often.groupBy("hub").agg(F.collect_list("token").alias("common"))
     departs = F.concat(F.array_except("apart", F.coalesce("common", none)), F.array_except(F.coalesce("common", none), "apart"))
-    rows = stage(rows.join(common.hint("merge"), "hub", "left").select("hub", "node", "size", departs.alias("apart")), "departs")
+    flipped = stage(rows.join(common.hint("merge"), "hub", "left").select("hub", "node", "size", departs.alias("apart")), "departs")
+    unstage(rows)
+    rows = flipped
 
     shared = _counts(rows).where("n > 1")
     places = rows.select("hub", "node", F.explode("apart").alias("token")).join(shared.hint("merge"), ["hub", "token"], "left")
@@ -283,6 +295,7 @@ def _inside_groups(scored: DataFrame, labels: DataFrame, texts: DataFrame, thres
     f = F.size("apart") - F.col("size") * ((1 - threshold) / (1 + threshold)) - 1e-6
     mine = rows.select("hub", "node", f.alias("f")).join(tokens.hint("merge"), ["hub", "node"], "left")
     mine = stage(mine.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<struct<n:bigint,token:bigint>>"))).withColumn("most", F.size("tokens")), "mine")
+    unstage(rows)
 
     # 1. against the node of least f, with which any node is linked that shares no element with another
     least = mine.groupBy("hub").agg(F.min(F.struct("f", "node", "most")).alias("least"))
@@ -320,6 +333,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                 hub, token = hub[order], token[order]
                 at = np.flatnonzero(np.concatenate([[True], (np.diff(hub) != 0) | (np.diff(token) != 0)])) if len(hub) else np.zeros(0, np.int64)
                 yield pa.record_batch([pa.array(hub[at]), pa.array(token[at]), pa.array(np.diff(np.append(at, len(hub))))], ["hub", "token", "n"])
+        give_back()
 
     return rows.select("hub", "apart").mapInArrow(run, "hub long, token long, n long").groupBy("hub", "token").agg(F.sum("n").alias("n"))
 
@@ -345,4 +359,6 @@ def _more(pairs: DataFrame, done: DataFrame, labels: DataFrame, texts: DataFrame
     if pairs.isEmpty():
         return labels, done
     found = stage(_verify(pairs, texts, ngram), "scored")
-    return _joined(labels, found, threshold), done.unionByName(pairs)
+    labels = _joined(labels, found, threshold)
+    unstage(found)
+    return labels, done.unionByName(pairs)

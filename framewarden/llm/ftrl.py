@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 from .staging import text_batches
-from .words import NOT_LETTER, mix, span_hashes, text_slices, word_spans
+from .words import NOT_LETTER, give_back, mix, span_hashes, text_slices, word_spans
 
 BITS = 20
 STEM = 5
@@ -159,6 +159,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
         for batch in batches:
             for part, texts in text_slices(batch):
                 yield pa.record_batch([part.column("doc_id"), pa.array(score(texts, dense))], ["doc_id", "score"])
+        give_back()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scored = base.mapInArrow(run, "doc_id long, score double")

@@ -49,29 +49,54 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """The pieces of each document: its ids and then ``end_id``, cut only where they are longer than a sequence."""
+def _packed(fill: list[int], offsets: list[int], members: pa.StructArray, capacity: int) -> pa.RecordBatch:
+    """Bins (fill, members) of items; item i has the members from offsets[i] to offsets[i + 1]."""
+    take, ends, fills = [], [0], []
+    for one in best_fit(fill, capacity):
+        for i in one:
+            take.extend(range(offsets[i], offsets[i + 1]))
+        ends.append(len(take))
+        fills.append(sum(fill[i] for i in one))
+    out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), members.take(pa.array(take, pa.int64())))
+    return pa.record_batch([pa.array(fills, pa.int64()), out], ["fill", "members"])
+
+
+def _pack_documents(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """Bins of the pieces of the documents, each task for itself and at most ``MOST`` pieces at a time.
+
+    The pieces of a document are its ids and then ``end_id``, cut only where they are longer than a sequence."""
     sent = docs.sparkSession.sparkContext.broadcast(WordTokenizer(path))
     end = end_id.to_bytes(4, "little")
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
+        columns: list[list] = [[], [], [], [], []]
+
+        def bins() -> Iterator[pa.RecordBatch]:
+            if columns[0]:
+                members = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                yield _packed(columns[3], list(range(len(members) + 1)), members, capacity)
+                for c in columns:
+                    c.clear()
+
         for batch in batches:
             for part, texts in text_slices(batch, most=SLICE):
-                columns: list[list] = [[], [], [], [], []]
                 for doc_id, (ids, _) in zip(part.column("doc_id").to_pylist(), encoder(texts), strict=True):
                     ids += end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         some = ids[at : at + 4 * capacity]
                         for column, value in zip(columns, (doc_id, n, at // 4, len(some) // 4, zlib.crc32(some)), strict=True):
                             column.append(value)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    if len(columns[0]) >= MOST:
+                        yield from bins()
         del encoder
+        yield from bins()
         give_back()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return base.mapInArrow(run, f"fill long, members array<{PIECE}>")
 
 
 def _pack(items: DataFrame, capacity: int) -> DataFrame:
@@ -79,22 +104,12 @@ def _pack(items: DataFrame, capacity: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        members = table.column("members").combine_chunks()
-        members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
-        offsets, values = members.offsets.to_pylist(), members.values
-        bins = best_fit(table.column("fill").to_pylist(), capacity)
-        take, ends, fills = [], [0], []
-        fill = table.column("fill").to_pylist()
-        for one in bins:
-            for i in one:
-                take.extend(range(offsets[i], offsets[i + 1]))
-            ends.append(len(take))
-            fills.append(sum(fill[i] for i in one))
-        out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.take(pa.array(take, pa.int64())))
-        yield pa.record_batch([pa.array(fills, pa.int64()), out], ["fill", "members"])
+        if parts:
+            table = pa.Table.from_batches(parts)
+            members = table.column("members").combine_chunks()
+            members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
+            yield _packed(table.column("fill").to_pylist(), members.offsets.to_pylist(), members.values, capacity)
+        give_back()
 
     return items.mapInArrow(run, f"fill long, members array<{PIECE}>")
 
@@ -107,9 +122,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     """
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
-    pieces = tokenised_pieces(docs, path, capacity, end_id, id_col, text_col)
-    items = pieces.select(F.col("length").alias("fill"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("members"))
-    bins = stage(_pack(items, capacity), "bins")
+    bins = stage(_pack_documents(docs, path, capacity, end_id, id_col, text_col), "bins")
     tasks = max(1, bins.rdd.getNumPartitions())
     done = None
     while True:

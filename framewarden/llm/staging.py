@@ -2,42 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 #: Rows of at most 16 bytes that may be broadcast; their number is counted before.
 BROADCAST_ROWS = 500_000
 
 
-_OWN: dict[str, str] = {}  # folders of our own, by application
-
+_SCOPES: list[list[str]] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (unset, as in tests) one of our own.
 
-    A machine-local temporary folder is only taken when the master is local; a cluster has to name a folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        base = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return base.rstrip("/")
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are deleted at the end. A result that reads them is written, with ``keep``, before."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            delete(spark, path)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: it is computed once and survives lost executors.
 
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: it is computed once and survives lost executors."""
+    An operator deletes what none of its results reads; the rest stays until the caller has written the result (`scratch`)."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
@@ -57,7 +57,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def text_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Fewer rows to an Arrow batch than Spark's default of 10,000, for rows that hold whole texts; a set value stays."""
+    """Fewer rows to an Arrow batch than Spark's default of 10,000, for rows that hold whole texts; a set value stays.
+
+    Spark reads the setting when a plan runs, which is after an operator has returned, so it is left as it is set here."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
