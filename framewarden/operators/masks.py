@@ -55,4 +55,4 @@ def skeleton_edges(points: DataFrame, width: int, height: int, min_conf: float =
     good = points.where((F.col("conf") >= min_conf) & (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height))
     edges = points.sparkSession.createDataFrame(SKELETON, "a int, b int")
     end = lambda c: good.select("run_id", "frame_idx", F.col("id").alias(c), F.col("x").alias(f"x_{c}"), F.col("y").alias(f"y_{c}"))
-    return end("a").join(F.broadcast(edges), "a").join(end("b"), ["run_id", "frame_idx", "b"]).select("run_id", "frame_idx", "a", "b", "x_a", "y_a", "x_b", "y_b")
+    return end("a").join(F.broadcast(edges), "a").join(end("b").hint("merge"), ["run_id", "frame_idx", "b"]).select("run_id", "frame_idx", "a", "b", "x_a", "y_a", "x_b", "y_b")

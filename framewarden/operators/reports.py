@@ -231,7 +231,7 @@ def assemble_instances(instances: DataFrame, v: DataFrame, keypoints: DataFrame,
     size = runs.select("run_id", "width", "height")
     rows = instances.join(size, "run_id").withColumns(rect_mask_geometry(box(), F.col("width"), F.col("height"))).where("area_px is not null")
     judged = v.select(*key, F.col("ok").alias("cross_check_ok"), "warning")
-    return rows.join(judged, key, "left").join(points, key, "left").select(
+    return rows.join(judged, key, "left").join(points.hint("merge"), key, "left").select(
         *key, "object_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area_px", "cx", "cy", "score", F.col("label").alias("prompt_label"),
         F.create_map(F.concat(label_slug(F.col("label")), F.lit("_id")), F.col("object_id").cast("int")).alias("slug_ids"), "keypoints", "cross_check_ok", "warning",
     )
