@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..operators import prompts as P
 from ..operators import reports as R
 from ..operators import runs as U
 from ..operators import verdicts as V
-from ..sources import io
+from ..sources import hooks, io
 from ..sources.shared import new_path
 from ..streaming import trackers as S
 from . import flagship
@@ -578,3 +580,33 @@ def recent_view(fx: Fixtures) -> DataFrame:
 
 
 register("recent_requests_stream", "SELECT request_id, path, status_code FROM fx_requests ORDER BY ts DESC, request_id DESC LIMIT 200")(lambda fx: recent_view(fx).select("request_id", "path", "status_code"))
+
+
+# --- hooks: a model stood in for by arithmetic ---
+def boxes_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One box a frame that has people, from its number."""
+    some = pdf[pdf.n_inst > 0]
+    x = (some.frame_idx % 50).astype(float)
+    return pd.DataFrame({"run_id": some.run_id, "frame_idx": some.frame_idx, "det_idx": 0, "x0": x, "y0": x + 1, "x1": x + 20, "y1": x + 41, "label": "person", "conf": 0.5, "motion_id": -1})
+
+
+def masks_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A mask of as many pixels as the frame has people."""
+    n = pdf.n_inst.astype(int)
+    return pd.DataFrame({"run_id": pdf.run_id, "frame_idx": pdf.frame_idx, "seg_idx": 0, "label": "person", "conf": 0.25, "height": 4, "width": 4, "counts": [[2, k, 14 - k] for k in n]})
+
+
+def vectors_of(crops: pd.Series) -> np.ndarray:
+    """The length of a text and the number of its lines."""
+    return np.array([[len(t), t.count("\n")] for t in crops], float).reshape(-1, 2)
+
+
+register("score_frames", "SELECT run_id, frame_idx, CAST(0 AS INT) AS det_idx, CAST(frame_idx % 50 AS DOUBLE) AS x0, CAST(frame_idx % 50 + 1 AS DOUBLE) AS y0, CAST(frame_idx % 50 + 20 AS DOUBLE) AS x1, CAST(frame_idx % 50 + 41 AS DOUBLE) AS y1, 'person' AS label, CAST(0.5 AS DOUBLE) AS conf, CAST(-1 AS BIGINT) AS motion_id FROM fx_frames WHERE n_inst > 0")(
+    lambda fx: hooks.score_frames(fx.frames.select("run_id", "frame_idx", "n_inst"), boxes_of, 32)
+)
+register("score_masks", "SELECT run_id, frame_idx, CAST(n_inst AS BIGINT) AS area_px, CASE WHEN n_inst > 0 THEN CAST(0 AS INT) END AS bbox_y FROM fx_frames")(
+    lambda fx: M.mask_geometry(hooks.score_masks(fx.frames.select("run_id", "frame_idx", "n_inst"), masks_of).withColumn("mask_id", F.struct("run_id", "frame_idx"))).select("mask_id.run_id", "mask_id.frame_idx", "area_px", "bbox_y")
+)
+register("embed_crops", "SELECT file_id, CASE WHEN n > 0 OR l > 0 THEN round(n / sqrt(n * n + l * l), 6) END AS x, CASE WHEN n > 0 OR l > 0 THEN round(l / sqrt(n * n + l * l), 6) END AS y FROM (SELECT file_id, CAST(length(content) AS DOUBLE) AS n, CAST(length(content) - length(replace(content, chr(10), '')) AS DOUBLE) AS l FROM (SELECT file_id, coalesce(content, '') AS content FROM fx_files) a) t")(
+    lambda fx: hooks.embed_crops(fx.files.select("file_id", F.coalesce("content", F.lit("")).alias("crop")), vectors_of, 64).select("file_id", F.round(F.col("embedding")[0], 6).alias("x"), F.round(F.col("embedding")[1], 6).alias("y"))
+)
