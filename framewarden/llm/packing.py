@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences of bounded length, by rounds of a tree.
 
 Each task packs the pieces that it has best-fit, longest first: a piece goes into the open bin with the least room that
-holds it. A bin whose room is less than the shortest bin anywhere can take nothing more: it is nearly full and leaves.
-The bins that are left are the items of the next round, in fewer tasks, until one round in as few tasks as their number
-allows brings no more. A task never gets more than ``MOST`` items.
+holds it. A bin whose room is less than the shortest bin anywhere, or no more than one token in 512, is nearly full and leaves.
+The bins that are left are the items of the next round, in fewer tasks, until one task has packed them all (no two bins of a
+best-fit packing fit together) or a round in as few tasks as their number allows brings no more. A task never packs more than
+``MOST`` items at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .words import give_back, text_slices
 
 #: Items in a task of a merging round, and how many tasks of one round meet in one of the next.
 MOST, FAN_IN = 200_000, 8
+#: A bin with room for no more than this part of a sequence is nearly full.
+NEARLY = 1 / 512
 
 PIECE = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint>"
 
@@ -127,7 +130,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     done = None
     while True:
         shortest, n = bins.agg(F.min("fill"), F.count("*")).first()
-        full = F.col("fill") > capacity - (shortest or 0)
+        full = F.col("fill") > capacity - max(shortest or 0, int(capacity * NEARLY) + 1)
         closed, open_bins = bins.where(full), bins.where(~full)
         done = closed if done is None else done.unionByName(closed)
         n_open = open_bins.count()
@@ -138,7 +141,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
         last = tasks <= least
         tasks = max(least, tasks // FAN_IN, 1)
         merged = stage(_pack(open_bins.repartition(tasks), capacity), "bins")
-        if last and merged.count() >= n_open:
+        if tasks == 1 or last and merged.count() >= n_open:
             done = done.unionByName(merged)
             break
         bins = merged
