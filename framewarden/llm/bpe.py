@@ -41,7 +41,7 @@ KEPT = 1 << 19
 #: Words of more bytes are encoded one by one.
 LONG = 64
 #: Bytes of text in a slice.
-SLICE = 2 << 20
+SLICE = 8 << 20
 
 
 class Table:
