@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences
+from . import collocations, licences
 from .bagminhash import near_duplicates
 from .bpe import encode_digests
 from .chaining import repeated_passages
@@ -13,6 +13,8 @@ from .exact_stream import exact_duplicates
 from .ftrl import toxicity
 from .mil import quality
 from .packing import pack_documents
+from .periodic import periodic_runs, repeated_tail, run_digests
+from .personal import personal_data, span_digests
 from .topk import top_k
 from .warc import archive_round_trip
 
@@ -68,7 +70,20 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_dedup, op4_license_scan, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_bpe_encode_decode, op9_toxicity, op10_exact_top_k)}
+def op11_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(personal_data(read(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return run_digests(periodic_runs(docs.select("doc_id", repeated_tail(docs["doc_id"], docs["text"]).alias("text"))))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc, op3_exact_dedup, op4_license_scan, op5_substring_dedup, op6_best_fit_packing, op7_quality_classifier, op8_bpe_encode_decode, op9_toxicity, op10_exact_top_k, op11_pii_deobfuscation, op12_periodic_runs, op13_phrase_collocations)}
 
 ORACLE_SQL = {
     "op2_warc": """
@@ -82,6 +97,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT doc_id, body, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g""",
     "op4_license_scan": licences.oracle_sql(),
+    "op13_phrase_collocations": collocations.ORACLE_SQL,
     "op10_exact_top_k": """
 WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
