@@ -16,6 +16,9 @@ Encoding. Each prefix of a word has one encoding, so exactly one state is reache
 the automaton goes along a trie of token spellings and takes the arcs that exist; all words of a slice go in step.
 Decoding emits the labels of the arcs.
 
+Characters are classed as the tokenizers library classes them (`Characters`): its tables and Python's are of different versions of
+Unicode. Where they differ in lower case or normal form, the library's own normaliser is called.
+
 Texts are cut at white space first, and what is between is encoded once per slice, however often it comes.
 """
 
@@ -23,8 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -247,6 +251,71 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Planes that hold letters, digits or marks; what lies beyond is neither in any version of Unicode, which the tests hold against the
+#: library.
+PLANES = (*range(0x40000), *range(0xE0000, 0xF0000))
+
+
+def code_ranges(codes: np.ndarray) -> str:
+    """Ascending code points as the inside of a character class."""
+    breaks = np.flatnonzero(np.diff(codes) != 1)
+    first, last = codes[np.concatenate([[0], breaks + 1])], codes[np.concatenate([breaks, [len(codes) - 1]])]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first.tolist(), last.tolist(), strict=True)) if len(codes) else ""
+
+
+class Characters:
+    """How the tokenizers library classes and normalises characters, read off it once, on the driver: its tables are of another
+    version of Unicode than Python's or the regex module's."""
+
+    def __init__(self, pattern: str) -> None:
+        from tokenizers import Regex
+        from tokenizers.pre_tokenizers import Split
+
+        split = Split(Regex(pattern), "removed", invert=True)
+        codes = np.array([c for c in PLANES if not 0xD800 <= c < 0xE000])
+        kind = np.zeros(len(codes), "U1")
+        for a in range(0, len(codes), 1 << 15):
+            # a letter joins the a before it, a number stands alone, other signs join the ! behind, white space is in no piece
+            part = codes[a : a + (1 << 15)].tolist()
+            spans = np.array([at for _, at in split.pre_tokenize_str("".join(f"a{chr(c)}{chr(c)}! " for c in part))])
+            at, size = spans[:, 0], spans[:, 1] - spans[:, 0]
+            kind[a : a + len(part)] = "S"
+            for which, place, length in (("L", 0, 3), ("N", 1, 1), ("O", 1, 3)):
+                kind[a + at[(at % 5 == place) & (size == length)] // 5] = which
+        self.classes = {"\\p{L}": code_ranges(codes[kind == "L"]), "\\p{N}": code_ranges(codes[kind == "N"]), "\\s": code_ranges(codes[kind == "S"])}
+        self.odd = code_ranges(np.array(sorted(self._odd([chr(c) for c in codes[kind != "S"].tolist() if c]))))
+
+    @staticmethod
+    def _odd(chars: list[str]) -> set[int]:
+        """Characters that Python doesn't know, or that it lower-cases, composes or orders in another way."""
+        library = library_normal_form()
+        out = {ord(c) for c in chars if unicodedata.category(c) == "Cn"}
+        marked = [c for c in chars if unicodedata.combining(c)]
+        probes = [(c, c) for c in chars] + [(c, "x\u0345" + c) for c in marked] + [(c, "x" + c + "\u0334") for c in marked]
+        probes += [(c, d) for c in chars if (d := unicodedata.normalize("NFD", c)) != c]
+        whole = "\0".join([text for _, text in probes])
+        for (c, _), a, b in zip(probes, library(whole).split("\0"), python_normal_form(whole).split("\0"), strict=True):
+            if a != b:
+                out.add(ord(c))
+        return out
+
+    def pattern(self, text: str) -> str:
+        """The pattern with the library's classes in place of their names."""
+        for name, ranges in self.classes.items():
+            text = text.replace(name, ranges)
+        return text
+
+
+def python_normal_form(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # lower case goes by character here
+
+
+def library_normal_form() -> Callable[[str], str]:
+    from tokenizers.normalizers import NFC, Lowercase, Sequence
+
+    return Sequence([NFC(), Lowercase()]).normalize_str
+
+
 class WordTokenizer:
     """What a tokenizer file of this kind says, compiled: special tokens, word pattern, automaton, labels."""
 
@@ -272,17 +341,19 @@ class WordTokenizer:
         # a merge joins the spellings; the word end stays on the right part
         self.automaton = Automaton(spellings, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = split["pattern"]["Regex"]
+        characters = Characters(split["pattern"]["Regex"])
+        self.pattern, self.odd = characters.pattern(split["pattern"]["Regex"]), characters.odd
 
     def compiled(self) -> WordTokenizer:
         """With the patterns, which are left out when the object is sent."""
         if "find" not in self.__dict__:
-            self.find = regex.compile(self.pattern + "|\n").findall
+            self.find = re.compile(self.pattern + "|\n").findall
+            self.find_odd = re.compile(f"[{self.odd}]").search
             self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         return self
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("find", "cut")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("find", "find_odd", "cut")}
 
     def encode_runs(self, runs: list[str]) -> list[bytes]:
         """The ids, as little-endian unsigned 32-bit integers, of each run of text without white space."""
@@ -297,9 +368,11 @@ class WordTokenizer:
 
     def _plain(self, whole: str, n: int) -> list[bytes]:
         """n runs, one on each line."""
-        if not whole.isascii():
-            whole = unicodedata.normalize("NFC", whole).replace("Σ", "σ")  # lower case goes by character here
-        found = self.find(whole.lower() + "\n")
+        if whole.isascii():
+            whole = whole.lower()
+        else:
+            whole = library_normal_form()(whole) if self.find_odd(whole) else python_normal_form(whole)
+        found = self.find(whole + "\n")
         line = np.flatnonzero(np.fromiter((w == "\n" for w in found), bool, len(found)))
         ids, offsets = self.automaton.encode([w for w in found if w != "\n"])
         data = ids.astype("<u4").tobytes()

@@ -28,7 +28,7 @@ from .staging import stage, text_batches, unstage
 from .words import POWERS, give_back, mix, text_slices
 
 #: Words of a block; a block ends at the end of a slice of texts.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Bits of the bitmap: eight for each frequent phrase, within these bounds.
 FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Rows of (language, hash, count) that may be broadcast; their number is counted before.
@@ -82,13 +82,24 @@ class Block:
         stay, number = keep[self.phrase], np.cumsum(keep) - 1
         return Block(self.at[stay], number[self.phrase[stay]], self.words[keep])
 
-    def merge_join(self) -> tuple[Block, np.ndarray]:
-        """Occurrences one word longer, where two of this relation begin at adjacent places, and how often each phrase occurs."""
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences that another one follows at the next place, and both phrases as one number."""
         i = np.flatnonzero(self.at[1:] == self.at[:-1] + 1)
-        pairs = self.phrase[i].astype(np.int64) << 32 | self.phrase[i + 1]
-        distinct, phrase, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        words = np.concatenate([self.words[distinct >> 32], self.words[distinct & 0xFFFFFFFF][:, -1:]], axis=1)
-        return Block(self.at[i], phrase, words), counts
+        return i, self.phrase[i].astype(np.int64) << 32 | self.phrase[i + 1]
+
+    def _joined(self, pairs: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.words[pairs >> 32], self.words[pairs & 0xFFFFFFFF][:, -1:]], axis=1)
+
+    def merge_join(self) -> Block:
+        """Occurrences one word longer: where two of this relation begin at adjacent places."""
+        i, pairs = self._pairs()
+        distinct, phrase = np.unique(pairs, return_inverse=True)
+        return Block(self.at[i], phrase, self._joined(distinct))
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases of the merge-join and how often each occurs."""
+        distinct, counts = np.unique(self._pairs()[1], return_counts=True)
+        return self._joined(distinct), counts
 
 
 def hash_bits(words: np.ndarray, bits: int) -> np.ndarray:
@@ -177,10 +188,10 @@ def counts_of_longer(relation: DataFrame, k: int, keep: np.ndarray) -> DataFrame
         for batch in batches:
             for i, lang in enumerate(batch.column("lang").to_pylist()):
                 below = Block.of(batch, i, k)
-                block, counts = below.semi_join(in_bitmap(sent.value, below.words)).merge_join()
+                phrases, counts = below.semi_join(in_bitmap(sent.value, below.words)).counts()
                 for a in range(0, len(counts), 1 << 16):
                     n = counts[a : a + (1 << 16)]
-                    words = np.ascontiguousarray(block.words[a : a + len(n)].T)
+                    words = np.ascontiguousarray(phrases[a : a + len(n)].T)
                     yield pa.record_batch([pa.repeat(pa.scalar(lang), len(n)), *map(pa.array, words), pa.array(n)], ["lang", *names(k + 1), "n"])
         give_back()
 
@@ -196,7 +207,7 @@ def longer_relation(relation: DataFrame, k: int, keep: np.ndarray, keep_longer:
         for batch in batches:
             for i, lang in enumerate(batch.column("lang").to_pylist()):
                 below = Block.of(batch, i, k)
-                block, _ = below.semi_join(in_bitmap(sent.value[0], below.words)).merge_join()
+                block = below.semi_join(in_bitmap(sent.value[0], below.words)).merge_join()
                 block = block.semi_join(in_bitmap(sent.value[1], block.words))
                 if len(block.at):
                     yield pa.record_batch(block.row(lang), COLUMNS)
@@ -312,7 +323,8 @@ def collocations(docs: DataFrame, longest: int = 3, often: int = 10, covered: in
 ORACLE_SQL = r"""
 WITH pieces AS (SELECT row_number() OVER () AS piece, lang, piece AS body FROM (SELECT coalesce(lang, 'und') AS lang,
   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents) t),
+-
+]')) AS piece FROM documents) t),
 w AS (SELECT piece, lang, list_filter(regexp_split_to_array(body, '[ 	]+'), lambda x: x <> '') AS ws FROM pieces),
 f1 AS (SELECT lang, w1, count(*) AS n FROM (SELECT lang, unnest(ws) AS w1 FROM w) t GROUP BY ALL),
 total AS (SELECT lang, sum(n) AS n FROM f1 GROUP BY lang),

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -118,3 +119,17 @@ def test_packing(awkward, awkward_rows, library, empty):
             assert at <= capacity
         assert len(bins) <= math.ceil(total / capacity) + 1
     assert pack_documents(empty, PATH).count() == 0
+
+
+def test_every_character_is_split_as_the_library_does(library):
+    """All planes that hold letters, digits or marks, and some of the others; then awkward ones at random, in words."""
+    encoder = Encoder(WordTokenizer(PATH))
+    codes = [*range(0xD800), *range(0xE000, 0x40000), *range(0x40000, 0xE0000, 997), *range(0xE0000, 0xF0000, 7), *range(0xF0000, 0x110000, 997)]
+    texts = [f"a{chr(c)}b1" for c in codes]
+    rng = random.Random(4)
+    odd = [chr(c) for c in codes if unicodedata.category(chr(c)) in ("Cn", "Mn", "Mc", "Lm")]
+    texts += ["".join(rng.choice(odd) if rng.random() < 0.6 else rng.choice("aAéÉΣσßİ ıǅ's1") for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    for a in range(0, len(texts), 20000):
+        some = texts[a : a + 20000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(some, add_special_tokens=False)]
+        assert [ids for ids, _ in encoder(some)] == want
