@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    blank = r"[\s\x1c-\x1f\x85\p{Z}]+"
+    return F.regexp_replace(text, f"^{blank}|{blank}$", "")
+
+
 def prompt_segments(prompt: Column) -> Column:
     """Segments of a prompt between full stops (line ends are blanks, semicolons stops), trimmed, empty ones dropped.
 
-    A prompt of separators alone is one segment, itself."""
-    text = F.trim(F.translate(prompt, "\n;", " ."))
-    parts = F.filter(F.transform(F.split(text, r"\."), lambda s: F.trim(s)), lambda s: s != "")
-    return F.when(F.size(parts) > 0, parts).when(text != "", F.array(text)).otherwise(parts)
+    A prompt of separators alone is one segment: itself, as it is written."""
+    parts = F.filter(F.transform(F.split(F.translate(prompt, "\n;", " ."), r"\."), strip), lambda s: s != "")
+    return F.when(F.size(parts) > 0, parts).when(strip(prompt) != "", F.array(strip(prompt))).otherwise(parts)
 
 
 def prompt_terms(prompt: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, as_struct, box, center, crop_ok, crop_rect, diag
 from ..functions.vectors import dot, l2_normalize
+from ..sources.shared import written
+from .components import components
+from .similarity import nearest, similar_pairs
 
 ID = ["run_id", "object_id"]
 
@@ -41,13 +45,12 @@ def sample_tracklets(instances: DataFrame, k: int = 8) -> DataFrame:
     return rows.where((F.col("n") <= k) | F.array_contains(places, F.col("i").cast("long"))).select("run_id", "object_id", "frame_idx", "inst_idx")
 
 
-def link_candidates(tracklets: DataFrame, max_gap: int = 300, min_sim: float = 0.60, spatial_weight: float = 0.15, gap_weight: float = 0.10, require_embedding: bool = True) -> DataFrame:
-    """Pairs (run_id, id_a ends before id_b starts) worth merging: gap, similarity, score.
+def _bin_pairs(tracklets: DataFrame, max_gap: int) -> DataFrame:
+    """Pairs of tracklets a and b of a run with b starting after a ends, their ``gap``, their vectors at length 1.
 
     With a largest gap the time is cut into bins one frame longer: what can follow a tracklet starts in the bin of its end or
-    in the next, so the join is one on run and bin. Without one (0) it is on the run; a run that dominates is split by the
-    adaptive skew join. Vectors are brought to length 1 once, before the join."""
-    cols = ["object_id", "start_frame", "end_frame", "first_box", "last_box", "first_inst_idx"]
+    in the next, so the join is one on run and bin. Without one (0) it is on the run."""
+    cols = ["object_id", "start_frame", "end_frame", "first_box", "last_box"]
     unit = F.when(F.col("embedding").isNotNull(), F.coalesce(l2_normalize(F.col("embedding")), F.transform("embedding", lambda x: F.lit(0.0))))
     bin_of = lambda frame: F.floor(frame / (max_gap + 1))
     ends, starts = F.array(F.lit(0)), F.array(F.lit(0))
@@ -56,16 +59,40 @@ def link_candidates(tracklets: DataFrame, max_gap: int = 300, min_sim: float = 0
         ends, starts = F.array(bin_of(F.col("end_frame"))), F.array_distinct(F.array(bin_of(before - max_gap), bin_of(before)))
     a = tracklets.select("run_id", F.explode(ends).alias("bin"), unit.alias("a_embedding"), *[F.col(c).alias(f"a_{c}") for c in cols]).hint("merge")
     b = tracklets.select("run_id", F.explode(starts).alias("bin"), unit.alias("b_embedding"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    gap = F.col("b_start_frame") - F.col("a_end_frame") - 1
-    pairs = a.join(b, ["run_id", "bin"]).where("a_object_id <> b_object_id and a_end_frame < b_start_frame").withColumn("gap", gap)
-    if max_gap > 0:
-        pairs = pairs.where(F.col("gap") <= max_gap)
+    pairs = a.join(b, ["run_id", "bin"]).where("a_object_id <> b_object_id and a_end_frame < b_start_frame").withColumn("gap", F.col("b_start_frame") - F.col("a_end_frame") - 1)
+    return pairs.where(F.col("gap") <= max_gap) if max_gap > 0 else pairs
+
+
+def _alike_pairs(tracklets: DataFrame, min_sim: float) -> DataFrame:
+    """Pairs of tracklets with a cosine of ``min_sim`` (above 0) or more, whatever their gap: by `similar_pairs`, exact, without a join
+    on the run alone. Vectors of different widths don't meet, those of length 0 are like nothing."""
+    row = F.struct(F.col("object_id").alias("key"), "start_frame", "end_frame", "first_box", "last_box").alias("row")
+    unit = tracklets.withColumn("v", l2_normalize(F.col("embedding").cast("array<double>"))).where("v is not null")
+    side = unit.select(F.struct("run_id", F.size("v").alias("width")).alias("grp"), row, "v")
+    with_run = side.withColumn("row", F.col("row").withField("run_id", F.col("grp.run_id")))
+    pairs = similar_pairs(with_run, side, min_sim).where("a.key <> b.key and a.end_frame < b.start_frame")
+    columns = [F.col(f"{n}.{'key' if c == 'object_id' else c}").alias(f"{n}_{c}") for n in "ab" for c in ("object_id", "start_frame", "end_frame", "first_box", "last_box")]
+    return pairs.select(F.col("a.run_id").alias("run_id"), *columns, (F.col("b.start_frame") - F.col("a.end_frame") - 1).alias("gap"), "similarity")
+
+
+def link_candidates(tracklets: DataFrame, max_gap: int = 300, min_sim: float = 0.60, spatial_weight: float = 0.15, gap_weight: float = 0.10, require_embedding: bool = True) -> DataFrame:
+    """Pairs (run_id, id_a ends before id_b starts) worth merging: gap, similarity, score.
+
+    With a largest gap the pairs are those of bins of time (`_bin_pairs`); without one (0) those with like vectors
+    (`_alike_pairs`), and where a vector may lack, those a few frames apart. A threshold of 0 or less leaves nothing out: then
+    all pairs of a run are formed. Vectors are brought to length 1 once, before the join."""
     both = F.col("a_embedding").isNotNull() & F.col("b_embedding").isNotNull()
-    sim = F.when(both, dot(F.col("a_embedding"), F.col("b_embedding")))
-    if not require_embedding:
-        near = F.col("gap") <= (5 if max_gap <= 0 else max(5, max_gap // 20))
-        sim = F.when(both, sim).when(near, F.lit(float(min_sim)))
-    pairs = pairs.withColumn("similarity", sim).where(F.col("similarity") >= min_sim)
+    close = 5 if max_gap <= 0 else max(5, max_gap // 20)
+    if max_gap <= 0 < min_sim:
+        pairs = _alike_pairs(tracklets, min_sim)
+        if not require_embedding:
+            lacking = _bin_pairs(tracklets, close).where(~both).withColumn("similarity", F.lit(float(min_sim)))
+            pairs = pairs.unionByName(lacking.select(pairs.columns))
+    else:
+        sim = F.when(both, dot(F.col("a_embedding"), F.col("b_embedding")))
+        if not require_embedding:
+            sim = F.when(both, sim).when(F.col("gap") <= close, F.lit(float(min_sim)))
+        pairs = _bin_pairs(tracklets, max_gap).withColumn("similarity", sim).where(F.col("similarity") >= min_sim)
     last, first = (Box(*(F.col(f"{n}.{c}") for c in Box._fields)) for n in ("a_last_box", "b_first_box"))
     (ax, ay), (bx, by) = center(last), center(first)
     apart = F.hypot(ax - bx, ay - by) / F.greatest(F.lit(1.0), 0.5 * (diag(last) + diag(first)))
@@ -77,51 +104,69 @@ def link_candidates(tracklets: DataFrame, max_gap: int = 300, min_sim: float = 0
 
 
 class Clusters:
-    """Greedy merging of intervals: a merge is refused if any members of the two clusters overlap."""
+    """Greedy merging of intervals: a merge is refused if any members of the two clusters overlap.
+
+    A cluster is its intervals in order of time, which are apart; the smaller one is looked up in the larger one."""
 
     def __init__(self) -> None:
-        self.of: dict[int, list] = {}
+        self.of: dict[int, tuple[list, list, list]] = {}  # id -> starts, ends, ids of its cluster
 
     def add(self, oid: int, start: int, end: int) -> None:
         if oid not in self.of:
-            self.of[oid] = [(start, end, oid)]
+            self.of[oid] = ([start], [end], [oid])
 
     def merge(self, a: int, b: int) -> bool:
         one, two = self.of[a], self.of[b]
         if one is two:
             return False
-        joined = sorted(one + two)
-        if any(x[1] >= y[0] for x, y in zip(joined, joined[1:], strict=False)):
-            return False
-        for _, _, oid in joined:
-            self.of[oid] = joined
+        small, large = (one, two) if len(one[0]) <= len(two[0]) else (two, one)
+        starts, ends, ids = large
+        places = [bisect_right(starts, s) for s in small[0]]
+        for place, s, e in zip(places, small[0], small[1], strict=True):
+            if (place and ends[place - 1] >= s) or (place < len(starts) and starts[place] <= e):
+                return False
+        for place, s, e, oid in reversed(list(zip(places, *small, strict=True))):
+            starts.insert(place, s)
+            ends.insert(place, e)
+            ids.insert(place, oid)
+        for oid in small[2]:
+            self.of[oid] = large
         return True
 
-    def final(self, oid: int) -> int:
-        return min(m[2] for m in self.of[oid])
+    def finals(self) -> dict[int, int]:
+        """The least id of the cluster of each id."""
+        least = {id(c): min(c[2]) for c in self.of.values()}
+        return {oid: least[id(c)] for oid, c in self.of.items()}
 
 
 def link_tracklets(tracklets: DataFrame, candidates: DataFrame) -> DataFrame:
     """(run_id, object_id, n_frames, final_id): candidates by falling score (ties by start frames, then ids), merged while the
-    clusters stay apart in time; the final id is the least of the cluster. Only edges reach the task of a run."""
-    edges = candidates.repartition("run_id").sortWithinPartitions("run_id", F.desc("score"), "start_a", "start_b", "id_a", "id_b")
+    clusters stay apart in time; the final id is the least of the cluster.
+
+    Merges never join two components of the graph of the candidates, so each component is merged by itself: tasks get
+    components, not runs. The candidates are written once."""
+    known = written(candidates.select("run_id", "id_a", "id_b", "score", "start_a", "end_a", "start_b", "end_b"), "candidates")
+    parts = components(known.select(F.col("run_id").alias("grp"), F.col("id_a").alias("u"), F.col("id_b").alias("v")))
+    named = parts.select(F.col("grp").alias("run_id"), F.col("node").alias("id_a"), "component")
+    edges = known.join(named.hint("merge"), ["run_id", "id_a"]).repartition("run_id", "component")
+    edges = edges.sortWithinPartitions("run_id", "component", F.desc("score"), "start_a", "start_b", "id_a", "id_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, clusters = None, Clusters()
 
         def out() -> pa.RecordBatch:
-            ids = list(clusters.of)
-            return pa.record_batch([pa.array([now] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array([clusters.final(i) for i in ids], pa.int64())], ["run_id", "object_id", "final_id"])
+            finals = clusters.finals()
+            return pa.record_batch([pa.array([now[0]] * len(finals), pa.string()), pa.array(list(finals), pa.int64()), pa.array(list(finals.values()), pa.int64())], ["run_id", "object_id", "final_id"])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["run_id"] != now:
+            for run_id, part, a, b, start_a, end_a, start_b, end_b in zip(*(batch.column(c).to_pylist() for c in ("run_id", "component", "id_a", "id_b", "start_a", "end_a", "start_b", "end_b")), strict=True):
+                if (run_id, part) != now:
                     if now is not None:
                         yield out()
-                    now, clusters = r["run_id"], Clusters()
-                clusters.add(r["id_a"], r["start_a"], r["end_a"])
-                clusters.add(r["id_b"], r["start_b"], r["end_b"])
-                clusters.merge(r["id_a"], r["id_b"])
+                    now, clusters = (run_id, part), Clusters()
+                clusters.add(a, start_a, end_a)
+                clusters.add(b, start_b, end_b)
+                clusters.merge(a, b)
         if now is not None:
             yield out()
 
@@ -151,7 +196,23 @@ def link_summary(id_map: DataFrame) -> DataFrame:
 def gallery_query(queries: DataFrame, gallery: DataFrame, exclude: DataFrame | None = None, min_sim: float = 0.65) -> DataFrame:
     """(query_id, object_id, similarity): the best identity by cosine, the first inserted on ties, of ``min_sim`` or more.
 
-    ``gallery`` is (run_id, object_id, embedding, insert_order); ``exclude`` (query_id, object_id) leaves identities out."""
+    ``gallery`` is (run_id, object_id, embedding, insert_order); ``exclude`` (query_id, object_id) leaves identities out.
+    Queries visit blocks of identities (`nearest`); with a floor of 0 or less, where vectors of length 0 count too, every query
+    meets every identity of its run."""
+    if min_sim <= 0:
+        return _gallery_scan(queries, gallery, exclude, min_sim)
+    unit = lambda df: df.withColumn("v", l2_normalize(F.col("embedding").cast("array<double>"))).where("v is not null")
+    grp = F.struct("run_id", F.size("v").alias("width")).alias("grp")
+    out = F.array().cast("array<long>")
+    asked = queries.withColumn("exclude", out)
+    if exclude is not None:
+        lists = exclude.groupBy("query_id").agg(F.collect_set(F.col("object_id").cast("long")).alias("exclude"))
+        asked = queries.join(lists.hint("merge"), "query_id", "left").withColumn("exclude", F.coalesce("exclude", out))
+    known = unit(gallery).select(grp, F.struct(F.col("object_id").alias("key"), F.col("object_id").cast("long").alias("object_id"), "insert_order").alias("row"), "v")
+    return nearest(unit(asked).select(grp, F.struct(F.col("query_id").alias("key"), "exclude").alias("row"), "v"), known, min_sim).withColumnRenamed("key", "query_id")
+
+
+def _gallery_scan(queries: DataFrame, gallery: DataFrame, exclude: DataFrame | None, min_sim: float) -> DataFrame:
     unit = lambda c: F.coalesce(l2_normalize(F.col(c)), F.transform(c, lambda x: F.lit(0.0)))
     g = gallery.select("run_id", "object_id", unit("embedding").alias("g"), "insert_order").hint("merge")
     pairs = queries.select("run_id", "query_id", unit("embedding").alias("q")).join(g, "run_id")

@@ -187,12 +187,16 @@ def clip_sequence(v: DataFrame, ids: DataFrame) -> DataFrame:
     return clip_frames(v, ids).withColumn("out_idx", F.row_number().over(order) - 1)
 
 
-def scene_counters(frames: DataFrame, v: DataFrame, accessories: DataFrame) -> DataFrame:
-    """Per frame: people, helmets, people without helmet."""
+def scene_counters(frames: DataFrame, v: DataFrame, accessories: DataFrame, keypoints: DataFrame | None = None) -> DataFrame:
+    """Per frame: people, helmets, people without helmet; with ``keypoints`` (run, frame, inst, ...) those with key points."""
     people = v.groupBy(*FRAME).agg(F.count("*").alias("people"), F.count_if(is_violation(F.col("ok"))).alias("no_helmet"))
     helmets = accessories.groupBy(*FRAME).agg(F.count("*").alias("helmets"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return frames.select(*FRAME).join(people, FRAME, "left").join(helmets, FRAME, "left").select(*FRAME, zero("people"), zero("helmets"), zero("no_helmet"))
+    out = frames.select(*FRAME).join(people, FRAME, "left").join(helmets, FRAME, "left").select(*FRAME, zero("people"), zero("helmets"), zero("no_helmet"))
+    if keypoints is None:
+        return out
+    posed = keypoints.groupBy(*FRAME).agg(F.countDistinct("inst_idx").alias("with_keypoints"))
+    return out.join(posed.hint("merge"), FRAME, "left").select(*out.columns, zero("with_keypoints"))
 
 
 def incident_time(raw: Column) -> Column:
@@ -206,11 +210,15 @@ def incident_text(ts: Column) -> Column:
     return F.concat(F.dayofmonth(ts).cast("string"), F.lit(" "), month, F.lit(" "), F.year(ts).cast("string"), F.lit(" г., "), F.date_format(ts, "HH:mm"))
 
 
-def incident_rows(v: DataFrame, runs: DataFrame, organization: str = "", company: str = "", when: str = "2024-05-01T10:30") -> DataFrame:
-    """A row per qualified violator for the incident form; blanks become a dash."""
+def incident_rows(v: DataFrame, runs: DataFrame, organization: str = "", company: str = "", when: str = "2024-05-01T10:30", counts: DataFrame | None = None) -> DataFrame:
+    """A row per qualified violator for the incident form; blanks become a dash. ``counts`` (run_id, object_id, presence_frames,
+    violation_frames) of a request go before those of the scan, each where it isn't null."""
     org = (organization or company).strip() or "—"
     firm = (company or org).strip() or "—"
     frames = report_frame(v).join(qualified_violators(v).select(*ID), ID, "left_semi")
+    if counts is not None:
+        asked = counts.select(*ID, F.col("presence_frames").alias("_p"), F.col("violation_frames").alias("_v"))
+        frames = frames.join(asked.hint("merge"), ID, "left").withColumns({"presence_frames": F.coalesce("_p", "presence_frames"), "violation_frames": F.coalesce("_v", "violation_frames")}).drop("_p", "_v")
     name = F.coalesce(F.nullif(F.element_at(F.split("input_path", "/"), -1), F.lit("")), F.lit("—"))
     time = incident_text(F.coalesce(incident_time(F.lit(when)), F.current_timestamp()))
     return frames.join(runs.select("run_id", name.alias("source_name")), "run_id").select(
@@ -219,21 +227,36 @@ def incident_rows(v: DataFrame, runs: DataFrame, organization: str = "", company
     )
 
 
-def assemble_instances(instances: DataFrame, v: DataFrame, keypoints: DataFrame, runs: DataFrame) -> DataFrame:
-    """Result rows of instances: mask geometry of the box on the run's frame, verdict, key points as an array, label slug id.
+def assemble_instances(instances: DataFrame, v: DataFrame, keypoints: DataFrame, runs: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """Result rows of instances: mask and its geometry, verdict, key points as an array, prompt id and label slug id.
 
-    Rows whose mask is empty go. v: (run, frame, inst, ok, warning); keypoints: (run, frame, inst, id, x, y, conf)."""
+    The mask is that of ``masks`` (run, frame, inst, height, width, counts), else the box filled on the run's frame; rows whose mask is
+    empty go. v: (run, frame, inst, ok, warning); keypoints: (run, frame, inst, id, x, y, conf). Instances may have a
+    ``prompt_ref`` (`resolve_prompt_id`): those with one get it as prompt_id and, if the label has a slug, in ``slug_ids``."""
     from ..functions.geometry import box, rect_mask_geometry
     from ..functions.text import label_slug
+    from .masks import mask_geometry, rect_runs
 
     key = [*FRAME, "inst_idx"]
     points = keypoints.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("id", "x", "y", "conf"))).alias("keypoints"))
     size = runs.select("run_id", "width", "height")
-    rows = instances.join(size, "run_id").withColumns(rect_mask_geometry(box(), F.col("width"), F.col("height"))).where("area_px is not null")
+    rect = rect_mask_geometry(box(), F.col("width"), F.col("height"))
+    rows = instances.join(size, "run_id").withColumns(rect)
+    runs_of_box = rect_runs(*(F.col(f"bbox_{c}") for c in "xywh"), F.col("height"), F.col("width"))
+    rows = rows.withColumn("mask", F.when(F.col("area_px").isNotNull(), F.struct("height", "width", runs_of_box.alias("counts"))))
+    if masks is not None:
+        real = masks.select(F.struct(*key).alias("mask_id"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.col("counts").cast("array<long>").alias("counts"))
+        measured = mask_geometry(real).join(real.hint("merge"), "mask_id").select("mask_id.*", F.struct("height", "width", "counts").alias("_mask"), *[F.col(c).alias(f"_{c}") for c in rect])
+        rows = rows.join(measured.hint("merge"), key, "left")
+        drawn = F.col("_mask").isNotNull()
+        rows = rows.withColumns({c: F.when(drawn, F.col(f"_{c}")).otherwise(F.col(c)) for c in (*rect, "mask")})
+    rows = rows.where("area_px > 0")
+    prompt = F.col("prompt_ref") if "prompt_ref" in instances.columns else F.lit(None).cast("int")
+    slug = label_slug(F.col("label"))
     judged = v.select(*key, F.col("ok").alias("cross_check_ok"), "warning")
     return rows.join(judged, key, "left").join(points.hint("merge"), key, "left").select(
         *key, "object_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area_px", "cx", "cy", "score", F.col("label").alias("prompt_label"),
-        F.create_map(F.concat(label_slug(F.col("label")), F.lit("_id")), F.col("object_id").cast("int")).alias("slug_ids"), "keypoints", "cross_check_ok", "warning",
+        prompt.alias("prompt_id"), F.when(prompt.isNotNull() & (slug != ""), F.create_map(F.concat(slug, F.lit("_id")), prompt)).alias("slug_ids"), "mask", "keypoints", "cross_check_ok", "warning",
     )
 
 

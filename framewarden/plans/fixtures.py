@@ -49,10 +49,16 @@ SQL = {
     "fx_jobs": """SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'queued' END AS status,
  CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'inference' ELSE 'queued' END AS phase, o_custkey AS current_frames,
  CAST(2000 AS BIGINT) AS total_frames, o_orderdate AS created_at, o_totalprice / 1000 AS elapsed_sec FROM orders""",
+    "fx_job_states": """SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'queued' END AS status,
+ CASE o_custkey % 4 WHEN 0 THEN 'inference' WHEN 1 THEN 'staging' WHEN 2 THEN 'Pass2' ELSE '' END AS phase, o_custkey AS current_frames,
+ CAST(CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE 2000 END AS BIGINT) AS total_frames, CAST(o_orderkey % 7000 * 10 AS DOUBLE) AS created_at,
+ CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(o_orderkey % 7000 * 10 + o_custkey % 97 AS DOUBLE) END AS started_at,
+ CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 7 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(o_orderkey % 7000 * 10 + o_custkey % 97 + 8 AS DOUBLE) END AS infer_started_at,
+ CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey % 7000 * 10 + 500 AS DOUBLE) END AS finished_at, CAST(o_orderkey % 100 AS DOUBLE) AS stored_percent FROM orders""",
     "fx_requests": """SELECT event_id AS request_id, CASE WHEN event_type = 'click' THEN 'POST' ELSE 'GET' END AS method,
  CONCAT('/v1/', event_type) AS path, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value * 100 AS duration_ms, ts FROM events""",
     "fx_classes": """SELECT p_partkey AS class_id, CONCAT(p_name, ' ', p_type) AS name FROM part""",
-    "fx_prompts": """SELECT p_partkey AS prompt_id, CONCAT(' ', p_name, '. ', UPPER(p_name), ';', p_type, CASE WHEN p_size % 2 = 0 THEN '..' ELSE '' END) AS prompt FROM part""",
+    "fx_prompts": """SELECT p_partkey AS prompt_id, CASE WHEN p_partkey % 40 = 0 THEN ' ;.; ' WHEN p_partkey % 40 = 1 THEN '  ' ELSE CONCAT(' ', p_name, '. ', UPPER(p_name), ';', p_type, CASE WHEN p_size % 2 = 0 THEN '..' ELSE '' END) END AS prompt FROM part""",
     "fx_ticks": """SELECT user_id AS job_id, row_number() OVER w AS tick, CAST(2 * row_number() OVER w AS BIGINT) AS current, CAST(2 * count(*) OVER (PARTITION BY user_id) AS BIGINT) AS total,
  CAST(event_id % 1000 AS DOUBLE) / 10000 + CAST(row_number() OVER w AS DOUBLE) * 7 / 100 AS ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
     "fx_files": """SELECT page_id AS file_id, CONCAT('run_', CAST(page_id % 20 AS INT)) AS dir, CONCAT('run_', CAST(page_id % 20 AS INT),

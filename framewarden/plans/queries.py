@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -139,13 +140,13 @@ DUCK_VIEWS = {
     "ck_emitting": """SELECT job_id, CAST(0 AS BIGINT) AS tick, CAST(NULL AS BIGINT) AS last, CAST(NULL AS DOUBLE) AS last_ts, FALSE AS emitted FROM (SELECT DISTINCT job_id FROM fx_ticks) j
  UNION ALL SELECT job_id, tick, CASE WHEN e THEN current ELSE last END, CASE WHEN e THEN ts ELSE last_ts END, e FROM
  (SELECT k.job_id, k.tick, k.current, k.ts, m.last, m.last_ts, m.last IS NULL OR k.current >= k.total OR k.current - m.last >= 8 OR k.ts - m.last_ts >= 0.5 AS e FROM ck_emitting m JOIN fx_ticks k ON k.job_id = m.job_id AND k.tick = m.tick + 1) t""",
-    "ck_labels": """SELECT run_id, frame_idx, det_idx AS inst_idx, CASE WHEN conf < 0.2 THEN 'Worker person ' WHEN conf < 0.3 THEN 'fork' WHEN conf < 0.5 THEN 'Helmet' WHEN conf < 0.6 THEN 'vest' ELSE label END AS label FROM fx_detections""",
+    "ck_labels": """SELECT run_id, frame_idx, det_idx AS inst_idx, CASE WHEN conf < 0.2 THEN 'Worker person ' WHEN conf < 0.3 THEN 'fork' WHEN conf < 0.5 THEN 'Helmet' WHEN conf < 0.6 THEN 'vest' WHEN conf < 0.65 THEN '  ' WHEN conf < 0.7 THEN NULL ELSE label END AS label FROM fx_detections""",
     "ck_terms": "SELECT * FROM (VALUES ('person', 1), ('forklift', 2), ('on', 4)) t(term, term_id)",
     "ck_resolved": """SELECT *, min(inst_idx) OVER (PARTITION BY run_id, frame_idx, l) AS first_idx FROM (SELECT i.*, lower(trim(label)) AS l, (SELECT arg_min(term_id, (CASE WHEN term = lower(trim(i.label)) THEN 0 ELSE 1000 END) + term_id)
- FROM ck_terms WHERE contains(term, lower(trim(i.label))) OR contains(lower(trim(i.label)), term)) AS found FROM ck_labels i) t""",
+ FROM ck_terms WHERE trim(i.label) <> '' AND (contains(term, lower(trim(i.label))) OR contains(lower(trim(i.label)), term))) AS found FROM ck_labels i) t""",
     "ck_spans": """SELECT mask_id, min(p % 8) AS x, max(p % 8) AS xb, min(CAST(floor(p / 8) AS INT)) AS y, max(CAST(floor(p / 8) AS INT)) AS yb, count(*) AS n FROM
  (SELECT mask_id, p FROM fx_pixels WHERE v = 1) t GROUP BY 1""",
-    "ck_segs": r"SELECT prompt_id, prompt, list_filter(list_transform(string_split(trim(translate(prompt, chr(10) || ';', ' .')), '.'), lambda s: trim(s)), lambda s: s <> '') AS segs FROM fx_prompts",
+    "ck_segs": r"SELECT prompt_id, prompt, list_filter(list_transform(string_split(trim(translate(prompt, chr(10) || ';', ' .')), '.'), lambda s: trim(s)), lambda s: s <> '') AS parts, CASE WHEN len(parts) = 0 AND trim(prompt) <> '' THEN [trim(prompt)] ELSE parts END AS segs FROM fx_prompts",
     "ck_masks": "SELECT mask_id, 8 AS height, 8 AS width, CASE WHEN first(v0) = 1 THEN list_prepend(0, list(n ORDER BY run)) ELSE list(n ORDER BY run) END AS counts FROM ck_runs GROUP BY mask_id",
     "ck_runs": """SELECT mask_id, run, count(*) AS n, max(v0) AS v0 FROM (SELECT mask_id, p, v, v0, sum(c) OVER (PARTITION BY mask_id ORDER BY p) AS run
  FROM (SELECT mask_id, p, v, first_value(v) OVER w AS v0, CASE WHEN v <> lag(v, 1, 0) OVER w THEN 1 ELSE 0 END AS c FROM fx_pixels WINDOW w AS (PARTITION BY mask_id ORDER BY p)) a) b GROUP BY 1, 2""",
@@ -159,6 +160,8 @@ DUCK_VIEWS = {
     "ck_padded": """SELECT run_id, frame_idx, det_idx, x0, y0, x1, y1, CAST(trunc(greatest(0, x0 - 0.05 * (x1 - x0))) AS INT) AS xa, CAST(trunc(greatest(0, y0 - 0.05 * (y1 - y0))) AS INT) AS ya,
  CAST(trunc(least(1279, x1 + 0.05 * (x1 - x0))) AS INT) AS xb, CAST(trunc(least(719, y1 + 0.05 * (y1 - y0))) AS INT) AS yb FROM fx_detections""",
 }
+DUCK_VIEWS["ck_steps_gaps"] = DUCK_VIEWS["ck_steps"].replace("FROM fx_detections", "FROM fx_detections WHERE frame_idx % 400 < 200")
+DUCK_VIEWS["ck_tracking_gaps"] = DUCK_VIEWS["ck_tracking"].replace("ck_tracking", "ck_tracking_gaps").replace("ck_steps", "ck_steps_gaps")
 
 
 def smooth(fx: Fixtures) -> DataFrame:
@@ -217,11 +220,14 @@ register("clip_plan", """SELECT run_id, object_id, CASE WHEN violations >= 3 THE
 register("clip_sequence", "SELECT run_id, object_id, frame_idx, CAST(row_number() OVER (PARTITION BY run_id, object_id ORDER BY frame_idx) - 1 AS INT) AS out_idx FROM ck_slots JOIN (SELECT run_id, object_id FROM ck_counts WHERE violations >= 3) q USING (run_id, object_id)")(
     lambda fx: (lambda v: R.clip_sequence(v, R.qualified_violators(v)))(smooth(fx))
 )
-register("scene_counters", """SELECT f.run_id, f.frame_idx, coalesce(people, 0) AS people, coalesce(helmets, 0) AS helmets, coalesce(no_helmet, 0) AS no_helmet FROM fx_frames f
+register("scene_counters", """SELECT f.run_id, f.frame_idx, coalesce(people, 0) AS people, coalesce(helmets, 0) AS helmets, coalesce(no_helmet, 0) AS no_helmet, coalesce(with_keypoints, 0) AS with_keypoints FROM fx_frames f
+ LEFT JOIN (SELECT run_id, frame_idx, count(DISTINCT id < 9) AS with_keypoints FROM fx_keypoints GROUP BY 1, 2) k USING (run_id, frame_idx)
  LEFT JOIN (SELECT run_id, frame_idx, count(*) AS people, count(*) FILTER (NOT ok) AS no_helmet FROM ck_smooth GROUP BY 1, 2) p USING (run_id, frame_idx)
- LEFT JOIN (SELECT run_id, frame_idx, count(*) AS helmets FROM fx_accessories GROUP BY 1, 2) h USING (run_id, frame_idx)""")(lambda fx: R.scene_counters(fx.frames, smooth(fx), fx.accessories))
-register("incident_rows", """SELECT run_id, object_id, 'Site' AS organization, 'Acme' AS company, '1 мая 2024 г., 10:30' AS incident_text, concat('№ ', object_id) AS violator, presence_frames, violation_frames, report_frame, concat(run_id, '.mp4') AS source_name
- FROM ck_report JOIN ck_counts USING (run_id, object_id) WHERE violations >= 3""")(lambda fx: R.incident_rows(smooth(fx), fx.runs, "Site", "Acme"))
+ LEFT JOIN (SELECT run_id, frame_idx, count(*) AS helmets FROM fx_accessories GROUP BY 1, 2) h USING (run_id, frame_idx)""")(lambda fx: R.scene_counters(fx.frames, smooth(fx), fx.accessories, fx.keypoints.withColumn("inst_idx", (F.col("id") < 9).cast("int"))))
+register("incident_rows", """SELECT run_id, object_id, 'Site' AS organization, 'Acme' AS company, '1 мая 2024 г., 10:30' AS incident_text, concat('№ ', object_id) AS violator, CASE WHEN object_id % 2 = 0 THEN 77 ELSE presence_frames END AS presence_frames, violation_frames, report_frame, concat(run_id, '.mp4') AS source_name
+ FROM ck_report JOIN ck_counts USING (run_id, object_id) WHERE violations >= 3""")(
+    lambda fx: R.incident_rows(smooth(fx), fx.runs, "Site", "Acme", counts=R.stable_ids(fx.instances).where("object_id % 2 = 0").selectExpr("run_id", "object_id", "77L AS presence_frames", "CAST(NULL AS BIGINT) AS violation_frames"))
+)
 register("overlay_timeline", "SELECT run_id, frame_idx, round(frame_idx / 25.0, 6) AS t0, round(coalesce(lead(frame_idx) OVER (PARTITION BY run_id ORDER BY frame_idx) / 25.0, frame_idx / 25.0 + 0.04), 6) AS t1 FROM fx_frames")(
     lambda fx: r6(R.overlay_timeline(fx.frames, fx.runs), "t0", "t1")
 )
@@ -326,9 +332,9 @@ register("catalogs_in_sync", """SELECT (SELECT list(name ORDER BY class_id) FROM
 register("merge_prompt", "SELECT prompt_id, concat(array_to_string(list_transform(list_filter(list_zip(range(len(l)), l), lambda z: list_position(l, z[2]) = z[1] + 1), lambda z: z[2]), '. ')) AS merged FROM (SELECT prompt_id, list_append(list_transform(segs, lambda s: lower(s)), 'helmet') AS l FROM ck_segs) a")(
     lambda fx: fx.prompts.select("prompt_id", T.merge_prompt(F.col("prompt"), F.array(F.lit(" Helmet "))).alias("merged"))
 )
-register("resolve_prompt_id", """SELECT run_id, frame_idx, inst_idx, label, CAST(coalesce(found, 4 + dense_rank() OVER (PARTITION BY run_id, frame_idx, found IS NULL ORDER BY CASE WHEN found IS NULL THEN first_idx END)) AS INT) AS prompt_ref FROM ck_resolved""")(
+register("resolve_prompt_id", """SELECT run_id, frame_idx, inst_idx, label, CAST(CASE WHEN l <> '' THEN coalesce(found, 4 + dense_rank() OVER (PARTITION BY run_id, frame_idx, coalesce(l <> '' AND found IS NULL, FALSE) ORDER BY CASE WHEN found IS NULL THEN first_idx END)) END AS INT) AS prompt_ref FROM ck_resolved""")(
     lambda fx: P.resolve_prompt_id(
-        fx.detections.select("run_id", "frame_idx", F.col("det_idx").alias("inst_idx"), F.expr("CASE WHEN conf < 0.2 THEN 'Worker person ' WHEN conf < 0.3 THEN 'fork' WHEN conf < 0.5 THEN 'Helmet' WHEN conf < 0.6 THEN 'vest' ELSE label END").alias("label")),
+        fx.detections.select("run_id", "frame_idx", F.col("det_idx").alias("inst_idx"), F.expr("CASE WHEN conf < 0.2 THEN 'Worker person ' WHEN conf < 0.3 THEN 'fork' WHEN conf < 0.5 THEN 'Helmet' WHEN conf < 0.6 THEN 'vest' WHEN conf < 0.65 THEN '  ' WHEN conf < 0.7 THEN NULL ELSE label END").alias("label")),
         fx.spark.createDataFrame([("person", 1), ("forklift", 2), ("on", 4)], "term string, term_id int"),
     )
 )
@@ -358,11 +364,20 @@ register("gallery_query", """SELECT query_id, object_id, round(sim, 6) AS simila
  FROM (SELECT frame_idx AS query_id, run_id, CAST(embedding AS DOUBLE[]) AS e FROM fx_observations) q JOIN fx_tracklet_vectors g USING (run_id)) t WHERE rn = 1 AND sim >= 0.5""")(
     lambda fx: r6(L.gallery_query(fx.observations.select("run_id", F.col("frame_idx").alias("query_id"), "embedding"), fx.tracklet_vectors.withColumn("insert_order", F.col("object_id")), None, 0.5), "similarity")
 )
+register("gallery_query_excluding", """SELECT query_id, object_id, round(sim, 6) AS similarity FROM (SELECT q.query_id, g.object_id, list_dot_product(q.e, g.embedding) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(g.embedding, g.embedding)) AS sim,
+ row_number() OVER (PARTITION BY q.query_id ORDER BY list_dot_product(q.e, g.embedding) / sqrt(list_dot_product(g.embedding, g.embedding)) DESC, g.object_id) AS rn
+ FROM (SELECT frame_idx AS query_id, run_id, CAST(embedding AS DOUBLE[]) AS e FROM fx_observations) q JOIN fx_tracklet_vectors g USING (run_id) WHERE (q.query_id + g.object_id) % 5 <> 0) t WHERE rn = 1 AND sim >= 0.3""")(
+    lambda fx: (lambda queries: r6(L.gallery_query(queries, fx.tracklet_vectors.withColumn("insert_order", F.col("object_id")), queries.join(fx.tracklet_vectors.drop("embedding"), "run_id").where("(query_id + object_id) % 5 = 0").select("query_id", "object_id"), 0.3), "similarity"))(
+        fx.observations.select("run_id", F.col("frame_idx").alias("query_id"), "embedding")
+    )
+)
 register("gallery_update", """SELECT run_id, object_id, CAST(len(v) AS INT) AS dim, last_frame, n_updates, pos, round(v[pos], 5) AS x FROM (SELECT run_id, object_id, arg_max(v, n) AS v, arg_max(last_frame, n) AS last_frame, arg_max(n_updates, n) AS n_updates FROM ck_gallery GROUP BY 1, 2) t,
  generate_series(1, 64) AS g(pos)""")(
     lambda fx: S.gallery_update(fx.observations).select("run_id", "object_id", "dim", "last_frame", "n_updates", F.posexplode("embedding").alias("pos", "x")).select("run_id", "object_id", "dim", "last_frame", "n_updates", (F.col("pos") + 1).cast("long").alias("pos"), F.round("x", 5).alias("x"))
 )
 register("motion_track", "SELECT run_id, frame_idx, x.d AS det_idx, x.i AS object_id FROM (SELECT run_id, frame_idx, unnest(out) AS x FROM ck_tracking) t")(lambda fx: S.track(fx.detections, S.MotionTracker, fx.frames))
+# half of the time no one is there: the runs are cut
+register("motion_track_gaps", "SELECT run_id, frame_idx, x.d AS det_idx, x.i AS object_id FROM (SELECT run_id, frame_idx, unnest(out) AS x FROM ck_tracking_gaps) t")(lambda fx: S.track(fx.detections.where("frame_idx % 400 < 200"), S.MotionTracker, fx.frames))
 register("masklet_track")(lambda fx: S.track(fx.detections, S.MaskletTracker, fx.frames))
 register("reid_track")(
     lambda fx: S.track(D.attach_embeddings(fx.detections, fx.tracklet_vectors.select("run_id", (F.col("object_id") * 2 % 2000).alias("frame_idx"), F.lit(0).alias("det_idx"), "embedding"), 64), S.AppearanceTracker, fx.frames)
@@ -399,9 +414,40 @@ register("verify_trees", "SELECT name, CASE WHEN file_id % 7 = 0 THEN 'MISSING'
     lambda fx: (lambda f: U.verify_trees(f.select("name", "content"), f.where("file_id % 7 <> 0").select("name", F.when(F.col("file_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")).alias("content"))))(fx.files.withColumn("name", F.concat("name", F.lit("#"), F.col("file_id").cast("string"))))
 )
 register("artifact_flags", "SELECT dir, bool_or(ends_with(name, '_result.json')) AS result, bool_or(ends_with(name, '_annotated.mp4')) AS annotated, bool_or(ends_with(name, '_packets_manifest.json')) AS packets_manifest FROM fx_files GROUP BY 1")(lambda fx: U.artifact_flags(fx.files))
-register("list_runs", "SELECT dir, max(file_id) AS newest, count(*) AS markers FROM fx_files WHERE regexp_matches(name, '_(result|packets_manifest)\\.json$') GROUP BY 1 ORDER BY 2 DESC LIMIT 80")(lambda fx: U.list_runs(fx.files))
-register("list_artifacts", "SELECT name, file_id, strlen(content) AS bytes FROM fx_files WHERE dir = 'run_6'")(lambda fx: U.list_artifacts(fx.files, "run_6").withColumn("bytes", F.col("bytes").cast("long")))
-register("resolve_sources", "SELECT r.run_id, name, file_id FROM fx_runs r LEFT JOIN (SELECT dir AS run_id, name, file_id, row_number() OVER (PARTITION BY dir ORDER BY CASE WHEN name = concat(dir, '.mp4') THEN 1 ELSE 2 END, file_id DESC) AS rn FROM fx_files WHERE contains(name, '_source.') OR name = concat(dir, '.mp4')) f ON f.run_id = r.run_id AND rn = 1")(lambda fx: U.resolve_sources(fx.runs, fx.files))
+def listing(fx: Fixtures) -> DataFrame:
+    """The files as `io.file_table` lists them; the last modified have the largest number."""
+    return fx.files.select("file_id", "dir", "name", F.concat("dir", F.lit("/"), "name", F.lit("#"), F.col("file_id").cast("string")).alias("path"), F.timestamp_seconds("file_id").alias("modified"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+register("list_runs", "SELECT dir, max(file_id) AS newest, count(*) AS markers FROM fx_files WHERE regexp_matches(name, '_(result|packets_manifest)\\.json$') GROUP BY 1 ORDER BY 2 DESC LIMIT 80")(lambda fx: U.list_runs(listing(fx)).withColumn("newest", F.unix_seconds("newest")))
+register("list_artifacts", "SELECT name, concat(dir, '/', name, '#', file_id) AS path, strlen(content) AS bytes FROM fx_files WHERE dir = 'run_6'")(lambda fx: U.list_artifacts(listing(fx), "run_6"))
+def source_files(fx: Fixtures) -> DataFrame:
+    """A listing in which each run has other sources."""
+    k, run = F.col("k").cast("string"), F.col("run_id")
+    file = lambda folder, name, some, modified=0: F.struct(F.expr(some).alias("there"), folder.alias("dir"), name.alias("name"), F.timestamp_seconds(F.col("k") + modified).alias("modified"))
+    files = [
+        file(run, F.lit("old_source.mkv"), "true"), file(run, F.lit("other_source.mkv"), "true", 5), file(run, F.lit("zz_source.mp4"), "k % 2 = 0", -5), file(run, F.concat(k, F.lit(".mp4")), "k % 3 = 0"), file(run, F.concat(k, F.lit("_source.avi")), "k % 4 = 0"),
+        file(run, F.concat(run, F.lit("_source.mov")), "k % 5 = 0"), file(F.lit("videos"), F.concat(k, F.lit(".mp4")), "k % 7 = 0"), file(F.lit("x"), k, "k % 11 = 0"), file(run, F.lit("notes_source.txt"), "true", 9),
+    ]
+    return fx.order_runs.select(F.inline(F.array(*files))).where("there").select("dir", "name", F.concat(F.lit("/"), "dir", F.lit("/"), "name").alias("path"), "modified")
+
+
+register("resolve_sources", """SELECT run_id, CASE WHEN k % 11 = 0 THEN concat('/x/', k) WHEN k % 7 = 0 THEN input_path ELSE concat('/', run_id, '/', CASE WHEN k % 5 = 0 THEN concat(run_id, '_source.mov') WHEN k % 3 = 0 THEN concat(k, '.mp4') WHEN k % 4 = 0 THEN concat(k, '_source.avi')
+ WHEN k % 2 = 0 THEN 'zz_source.mp4' ELSE 'other_source.mkv' END) END AS path FROM fx_order_runs""")(lambda fx: U.resolve_sources(fx.order_runs.withColumn("override", F.concat(F.lit(' "/x/'), F.col("k").cast("string"), F.lit('" '))), source_files(fx)))
+
+
+def pipelines(fx: Fixtures) -> DataFrame:
+    on, other, none = (F.create_map(F.lit(k), F.lit("true")) for k in ("cross_check_enabled", "stride", "x"))
+    model = lambda name: F.create_map(F.lit("cross_check"), F.lit(name))
+    empty, null = F.map_filter(none, lambda k, v: F.lit(False)), F.lit(None).cast("map<string,string>")
+    return fx.order_runs.select(
+        "run_id", F.when(F.col("k") % 7 == 0, on).when(F.col("k") % 7 == 1, other).when(F.col("k") % 7 == 2, empty).otherwise(null).alias("result_pipeline"), F.when(F.col("k") % 3 == 0, on).otherwise(null).alias("summary_pipeline"),
+        F.when(F.col("k") % 13 == 0, on).otherwise(null).alias("record_pipeline"), F.when(F.col("k") % 11 == 0, F.create_map(F.lit("cross_check_enabled"), F.lit("1"))).otherwise(null).alias("overlay"),
+        F.when(F.col("k") % 5 == 0, model("Disabled")).when(F.col("k") % 5 == 1, empty).otherwise(null).alias("result_models"), F.when(F.col("k") % 2 == 0, model("helmet_v2")).otherwise(model("")).alias("summary_models"),
+    )
+
+
+register("cross_check_flags", "SELECT run_id, (CASE WHEN k % 7 = 0 THEN TRUE WHEN k % 7 = 1 THEN FALSE ELSE k % 3 = 0 OR k % 13 = 0 END) OR k % 11 = 0 OR (k % 5 <> 0 AND k % 2 = 0) AS cross_check FROM fx_order_runs")(lambda fx: U.cross_check_flags(pipelines(fx)))
 register("run_metadata", """SELECT run_id, CASE WHEN fps = 0 THEN 30 ELSE fps END AS fps, width, height, CASE WHEN prompt <> '' THEN prompt WHEN k % 2 = 1 THEN 'helmet' ELSE 'person' END AS prompt, input_path,
  CASE WHEN frame_stride > 0 THEN frame_stride WHEN k % 2 = 1 THEN 3 ELSE 1 END AS frame_stride FROM fx_order_runs""")(
     lambda fx: (
@@ -420,11 +466,19 @@ register("resolve_overlay", "SELECT run_id, '0.45' AS alpha, CASE WHEN k % 3 = 0
 register("recent_requests", "SELECT * FROM fx_requests ORDER BY ts DESC, request_id DESC LIMIT 50")(lambda fx: U.recent_requests(fx.requests))
 register("list_jobs", "SELECT job_id, status, created_at FROM fx_jobs ORDER BY created_at DESC, job_id LIMIT 15")(lambda fx: U.list_jobs(fx.jobs).select("job_id", "status", "created_at"))
 register("latest_job", "SELECT job_id, status FROM fx_jobs ORDER BY created_at DESC, job_id LIMIT 1")(lambda fx: U.latest_job(fx.jobs).select("job_id", "status"))
-register("active_job", "SELECT job_id, status FROM fx_jobs WHERE status IN ('queued', 'running') ORDER BY created_at DESC, job_id LIMIT 1")(lambda fx: U.active_job(fx.jobs).select("job_id", "status"))
+register("active_job", "SELECT job_id, status FROM fx_job_states WHERE status IN ('queued', 'running') ORDER BY coalesce(nullif(started_at, 0), created_at) DESC, job_id LIMIT 1")(lambda fx: U.active_job(fx.job_states).select("job_id", "status"))
+#: The clock of the fixture.
+NOW = 1e6
+register("job_states", f"""SELECT job_id, status, phase, CASE WHEN keep THEN stored_percent ELSE round(CASE WHEN total_frames > 0 THEN 100.0 * CAST(current_frames AS DOUBLE) / total_frames ELSE 0 END, 2) END AS percent, CASE WHEN keep THEN 1.5 ELSE round(speed, 8) END AS fps,
+ CASE WHEN keep THEN 2.5 ELSE round(CASE WHEN speed > 1e-6 AND total_frames > current_frames THEN (total_frames - current_frames) / speed ELSE 0 END, 8) END AS eta_seconds, CASE WHEN keep THEN 3.5 ELSE elapsed END AS elapsed_sec
+ FROM (SELECT *, CASE WHEN elapsed > 1e-6 AND current_frames > 0 THEN current_frames / elapsed ELSE 0 END AS speed FROM (SELECT *, total_frames = 0 AND job_id % 4 = 0 AS keep, CASE WHEN started_at IS NULL THEN 0 ELSE greatest(0, coalesce(finished_at, {NOW:.0f})
+  - CASE WHEN phase <> 'staging' THEN coalesce(nullif(infer_started_at, 0), started_at) ELSE started_at END) END AS elapsed FROM fx_job_states) a) b""")(
+    lambda fx: U.job_states(fx.job_states.withColumn("stored", F.expr("CASE WHEN job_id % 4 = 0 THEN named_struct('percent', stored_percent, 'fps', 1.5D, 'eta_seconds', 2.5D, 'elapsed_sec', 3.5D) END")), NOW)
+)
 PROGRESS = "round(100.0 * CAST(current_frames AS DOUBLE) / total_frames, 2) AS percent"
 register("job_progress", f"SELECT job_id, status, phase, {PROGRESS}, round(current_frames / elapsed_sec, 8) AS fps, round(CASE WHEN total_frames > current_frames AND current_frames > 0 THEN (total_frames - current_frames) / (current_frames / elapsed_sec) ELSE 0 END, 8) AS eta_seconds FROM fx_jobs")(lambda fx: U.job_progress(fx.jobs))
 register("with_labels", "SELECT job_id, CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.STATUS.items()) + " ELSE status END AS status_text, CASE phase " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.PHASE.items()) + " ELSE phase END AS phase_text FROM fx_jobs")(lambda fx: U.with_labels(fx.jobs).select("job_id", "status_text", "phase_text"))
-register("job_summary", f"SELECT job_id, {PROGRESS}, CASE WHEN n IS NULL THEN '—' WHEN n < 1024 THEN concat(n, ' B') ELSE printf('%.2f KB', n / 1024.0) END AS input_size FROM fx_jobs LEFT JOIN (SELECT file_id AS job_id, strlen(content) AS n FROM fx_files) f USING (job_id)")(lambda fx: U.job_summary(fx.jobs, fx.files).select("job_id", "percent", "input_size"))
+register("job_summary", f"SELECT job_id, {PROGRESS}, CASE WHEN n IS NULL THEN '—' WHEN n < 1024 THEN concat(n, ' B') ELSE printf('%.2f KB', n / 1024.0) END AS input_size FROM fx_jobs LEFT JOIN (SELECT file_id AS job_id, strlen(content) AS n FROM fx_files) f USING (job_id)")(lambda fx: U.job_summary(fx.jobs, listing(fx)).select("job_id", "percent", "input_size"))
 register("throttle", "SELECT job_id, tick FROM ck_emitting WHERE emitted")(
     lambda fx: U.throttle(fx.ticks.select("job_id", F.col("tick").cast("long").alias("tick"), "current", "total", "ts")).select("job_id", "tick")
 )
@@ -432,18 +486,68 @@ register("memory_report", "SELECT run_id, CAST(width AS BIGINT) * height * 3 AS
     lambda fx: U.memory_report(fx.order_runs, 32)
 )
 register("run_history", "SELECT run_id FROM fx_order_runs ORDER BY run_id DESC LIMIT 15")(lambda fx: U.run_history(fx.order_runs).select("run_id"))
-register("run_report", """SELECT run_id, concat_ws(chr(10), concat('Run: ', run_id), concat('Source frames: ', source_frames), concat('Processed frames: ', processed), concat('Skipped frames: ', greatest(0, source_frames - processed)), concat('Peak instances: ', peak), concat('Re-id recoveries: ', recoveries)) AS report
- FROM ck_source JOIN (SELECT run_id, count(DISTINCT frame_idx) AS processed, CAST(max(n_inst) AS BIGINT) AS peak, CAST(sum(reid_recoveries) AS BIGINT) AS recoveries FROM fx_frames GROUP BY 1) s USING (run_id)""")(lambda fx: U.run_report(fx.runs, fx.frames))
+register("run_report", """SELECT run_id, concat_ws(chr(10), concat('Run: ', run_id), concat('Source frames: ', source_frames), concat('Processed frames: ', processed), concat('Skipped frames: ', greatest(0, source_frames - processed)), concat('Peak instances: ', peak), concat('Re-id recoveries: ', recoveries),
+ 'Memory: 1 frame = 2.64 MB (2764800 B) | 1 batch (32 fr) = 84.38 MB', CASE WHEN source_frame_count > 0 THEN concat('Preload RAM (frames only): ', printf('%.2f GB', 2764800.0 * source_frame_count / 1073741824)) END) AS report
+ FROM ck_source JOIN (SELECT run_id, count(DISTINCT frame_idx) AS processed, CAST(max(n_inst) AS BIGINT) AS peak, CAST(sum(reid_recoveries) AS BIGINT) AS recoveries FROM fx_frames GROUP BY 1) s USING (run_id) JOIN (SELECT run_id, source_frame_count FROM fx_runs) r USING (run_id)""")(lambda fx: U.run_report(fx.runs, fx.frames, 32))
+#: Readings of the process at both ends of each run, and runs that nothing was sampled of.
+READINGS = """SELECT run_id, CAST(1000 AS DOUBLE) AS rss_baseline, CAST(700 AS DOUBLE) AS rss_end, CAST(5 AS DOUBLE) AS alloc_baseline, CAST(7 AS DOUBLE) AS alloc_end, CAST(9 AS DOUBLE) AS reserved_baseline, CAST(3 AS DOUBLE) AS reserved_end FROM fx_runs
+ UNION ALL SELECT concat(run_id, '_idle'), 1000, 0, 5, 7, 9, 3 FROM fx_runs"""
+register("resource_summary", f"""SELECT run_id, rss_baseline AS rss_baseline_mb, round(CASE WHEN n > 0 THEN coalesce(rss, rss_end) ELSE coalesce(nullif(rss_end, 0), rss_baseline) END, 2) AS rss_peak_mb, rss_end AS rss_end_mb,
+ round(greatest(0, CASE WHEN n > 0 THEN coalesce(rss, rss_end) ELSE coalesce(nullif(rss_end, 0), rss_baseline) END - rss_baseline), 2) AS rss_delta_peak_mb, alloc_baseline AS alloc_baseline_mb, round(CASE WHEN n > 0 THEN alloc ELSE greatest(alloc_end, alloc_baseline) END, 2) AS alloc_peak_mb,
+ alloc_end AS alloc_end_mb, round(greatest(0, CASE WHEN n > 0 THEN alloc ELSE greatest(alloc_end, alloc_baseline) END - alloc_baseline), 2) AS alloc_delta_peak_mb, round(CASE WHEN n > 0 THEN reserved ELSE greatest(reserved_end, reserved_baseline) END, 2) AS reserved_peak_mb, reserved_end AS reserved_end_mb, coalesce(n, 0) AS samples
+ FROM ({READINGS}) r LEFT JOIN (SELECT run_id, max(process_rss_mb) FILTER (process_rss_mb > 0) AS rss, max(gpu_util_pct) AS alloc, max(mem_used_mb) AS reserved, count(*) AS n FROM fx_samples GROUP BY 1) s USING (run_id)""")(
+    lambda fx: (lambda runs: U.resource_summary(fx.spark.sql(READINGS.replace("fx_runs", "{runs}"), runs=runs), fx.samples.withColumnsRenamed({"gpu_util_pct": "cuda_allocated_mb", "mem_used_mb": "cuda_reserved_mb"})))(fx.runs)
+)
+TIMINGS = """SELECT run_id, CAST(100 AS DOUBLE) AS wall, CAST(10.5 AS DOUBLE) AS preload, CAST(CASE WHEN run_id LIKE '%0' THEN 0 ELSE 50 END AS DOUBLE) AS infer, CAST(5.25 AS DOUBLE) AS pass2, CAST(CASE WHEN run_id LIKE '%1' THEN 0.001 ELSE 20 END AS DOUBLE) AS finalize, CAST(7.1234 AS DOUBLE) AS decode,
+ CAST(40.0004 AS DOUBLE) AS gpu, CAST(3 AS DOUBLE) AS cpu_finalize, fps, source_frame_count AS source_frames FROM fx_runs"""
+register("run_timings", f"""SELECT run_id, preload AS elapsed_preload_sec, infer AS elapsed_infer_sec, pass2 AS elapsed_pass2_sec, round(CASE WHEN finalize < 0.01 THEN greatest(0, wall - preload - infer - pass2) ELSE finalize END, 3) AS elapsed_finalize_sec, round(source_frames / fps, 3) AS video_duration_sec,
+ round(CASE WHEN infer > 0 THEN n / infer ELSE 0 END, 3) AS fps_infer, round(decode, 3) AS stage_decode_sec, round(gpu, 3) AS stage_gpu_infer_sec, cpu_finalize AS stage_cpu_finalize_sec, pass2 AS stage_pass2_sec, wall AS wall_sec
+ FROM ({TIMINGS}) t LEFT JOIN (SELECT run_id, count(DISTINCT frame_idx) AS n FROM fx_frames GROUP BY 1) f USING (run_id)""")(lambda fx: U.run_timings(fx.spark.sql(TIMINGS.replace("fx_runs", "{runs}"), runs=fx.runs), fx.frames))
+register("frame_latency", """SELECT run_id, frame_idx AS frame, 'total' AS series, infer_ms AS ms FROM fx_frames UNION ALL SELECT run_id, frame_idx, 'detect', detect_ms FROM fx_frames UNION ALL SELECT run_id, frame_idx, 'seg', 0 FROM fx_frames UNION ALL SELECT run_id, frame_idx, 'reid', reid_ms FROM fx_frames""")(
+    lambda fx: U.frame_latency(fx.frames.select("run_id", F.col("frame_idx").alias("frame"), F.col("infer_ms").alias("total_ms"), "detect_ms", F.lit(None).cast("double").alias("seg_ms"), "reid_ms"))
+)
+register("load_series", "SELECT run_id, t_sec, 'util' AS series, gpu_util_pct AS value FROM fx_samples UNION ALL SELECT run_id, t_sec, 'memory', mem_used_mb FROM fx_samples")(lambda fx: U.load_series(fx.samples))
 register("run_record", """SELECT r.run_id, input_path AS input_video, prompt, frames, CAST(round(total, 3) AS DOUBLE) AS elapsed_sec, round(frames / CAST(total AS DOUBLE), 3) AS fps_processed, '1280x720' AS resolution FROM fx_runs r
  JOIN (SELECT run_id, count(DISTINCT frame_idx) AS frames, sum(CAST(infer_ms AS DECIMAL(18, 6))) * CAST(0.001 AS DECIMAL(4, 3)) AS total FROM fx_frames GROUP BY 1) s USING (run_id)""")(lambda fx: U.run_record(fx.runs, fx.frames).drop("stats_summary"))
 # --- assembly and plans ---
-register("assemble_instances", f"""SELECT t.run_id, t.frame_idx, t.inst_idx, object_id, xa AS bbox_x, yb - ya + 1 AS bbox_h, CAST(xb - xa + 1 AS BIGINT) * (yb - ya + 1) AS area_px, score, CAST(object_id AS INT) AS person_id,
- CAST(coalesce(k.n, -1) AS INT) AS n_keypoints, ok AS cross_check_ok, warning FROM (SELECT *, {RECT} FROM fx_instances) t JOIN (SELECT run_id, frame_idx, inst_idx, ok, warning FROM ck_smooth) s USING (run_id, frame_idx, inst_idx)
- LEFT JOIN (SELECT run_id, frame_idx, 0 AS inst_idx, count(*) AS n FROM fx_keypoints GROUP BY 1, 2) k ON k.run_id = t.run_id AND k.frame_idx = t.frame_idx AND k.inst_idx = t.inst_idx WHERE xb > xa AND yb > ya""")(
-    lambda fx: R.assemble_instances(fx.instances, smooth(fx), fx.keypoints.withColumn("inst_idx", F.lit(0)), fx.runs).select(
-        "run_id", "frame_idx", "inst_idx", "object_id", "bbox_x", "bbox_h", "area_px", "score", F.col("slug_ids")["person_id"].alias("person_id"), F.coalesce(F.size("keypoints"), F.lit(-1)).alias("n_keypoints"), "cross_check_ok", "warning"
+def assembled(fx: Fixtures) -> DataFrame:
+    """Some instances have a mask of two short runs, some an empty one, the others only their box."""
+    named = P.resolve_prompt_id(fx.instances, fx.spark.createDataFrame([("worker", 1), ("person", 2)], "term string, term_id int"))
+    rect = G.rect_mask_geometry(G.box(), F.lit(1280), F.lit(720))
+    start = rect["bbox_y"].cast("long") * 1280 + rect["bbox_x"]
+    counts = F.when(F.col("object_id") % 7 == 0, F.array().cast("array<long>")).otherwise(F.array(start, F.lit(10).cast("long"), F.lit(1270).cast("long"), F.lit(5).cast("long")))
+    masks = fx.instances.where("object_id % 3 = 0 or object_id % 7 = 0").select("run_id", "frame_idx", "inst_idx", F.lit(720).alias("height"), F.lit(1280).alias("width"), counts.alias("counts"))
+    return R.assemble_instances(named, smooth(fx), fx.keypoints.withColumn("inst_idx", F.lit(0)), fx.runs, masks)
+
+
+register("assemble_instances", f"""SELECT t.run_id, t.frame_idx, t.inst_idx, object_id, xa AS bbox_x, CASE WHEN object_id % 3 = 0 THEN 2 ELSE yb - ya + 1 END AS bbox_h, CASE WHEN object_id % 3 = 0 THEN 15 ELSE CAST(xb - xa + 1 AS BIGINT) * (yb - ya + 1) END AS area_px, score, CAST(2 AS INT) AS person_id,
+ CAST(coalesce(k.n, -1) AS INT) AS n_keypoints, ok AS cross_check_ok, warning, CAST(ya AS BIGINT) * 1280 + xa AS lead, CAST(CASE WHEN object_id % 3 = 0 THEN 4 ELSE 2 * (yb - ya + 1) + 1 END AS INT) AS n_runs
+ FROM (SELECT *, {RECT} FROM fx_instances) t JOIN (SELECT run_id, frame_idx, inst_idx, ok, warning FROM ck_smooth) s USING (run_id, frame_idx, inst_idx)
+ LEFT JOIN (SELECT run_id, frame_idx, 0 AS inst_idx, count(*) AS n FROM fx_keypoints GROUP BY 1, 2) k ON k.run_id = t.run_id AND k.frame_idx = t.frame_idx AND k.inst_idx = t.inst_idx WHERE xb > xa AND yb > ya AND object_id % 7 <> 0""")(
+    lambda fx: assembled(fx).select(
+        "run_id", "frame_idx", "inst_idx", "object_id", "bbox_x", "bbox_h", "area_px", "score", F.col("slug_ids")["person_id"].alias("person_id"), F.coalesce(F.size("keypoints"), F.lit(-1)).alias("n_keypoints"), "cross_check_ok", "warning",
+        F.col("mask.counts")[0].alias("lead"), F.size("mask.counts").alias("n_runs"),
     )
 )
+
+
+def mask_pairs(fx: Fixtures) -> DataFrame:
+    """Each mask and the one with the next number."""
+    one = M.encode_runs(fx.pixels)
+    return one.select("mask_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("counts").alias("a")).join(one.select((F.col("mask_id") - 1).alias("mask_id"), F.col("counts").alias("b")).hint("merge"), "mask_id")
+
+
+PIXEL_PAIRS = "SELECT a.mask_id, a.p, a.v AS va, b.v AS vb FROM fx_pixels a JOIN fx_pixels b ON b.mask_id = a.mask_id + 1 AND b.p = a.p"
+register("mask_overlap", f"SELECT mask_id, CAST(sum(va) AS BIGINT) AS area_a, CAST(sum(vb) AS BIGINT) AS area_b, CAST(sum(va * vb) AS BIGINT) AS inter_px, CAST(sum(greatest(va, vb)) AS BIGINT) AS union_px, round(coalesce(sum(va * vb) / CAST(nullif(sum(greatest(va, vb)), 0) AS DOUBLE), 0), 6) AS iou FROM ({PIXEL_PAIRS}) t GROUP BY 1")(
+    lambda fx: r6(M.mask_overlap(mask_pairs(fx)).drop("height", "width"), "iou")
+)
+COMBINED = " UNION ALL ".join(f"SELECT '{how}' AS how, mask_id, p, {rule} AS v FROM ({PIXEL_PAIRS}) t" for how, rule in (("intersection", "va * vb"), ("union", "greatest(va, vb)"), ("difference", "va * (1 - vb)")))
+# the runs of the pixels, counted and put in order
+register("mask_combine", f"""SELECT how, mask_id, array_to_string(CASE WHEN max(v0) = 1 THEN list_prepend(0, list(n ORDER BY run)) ELSE list(n ORDER BY run) END, ',') AS counts FROM
+ (SELECT how, mask_id, run, count(*) AS n, max(v0) AS v0, max(filled) AS filled FROM (SELECT how, mask_id, v0, filled, sum(c) OVER (PARTITION BY how, mask_id ORDER BY p) AS run
+  FROM (SELECT how, mask_id, p, first_value(v) OVER w AS v0, max(v) OVER (PARTITION BY how, mask_id) AS filled, CASE WHEN v <> lag(v, 1, 0) OVER w THEN 1 ELSE 0 END AS c FROM ({COMBINED}) t WINDOW w AS (PARTITION BY how, mask_id ORDER BY p)) a) b GROUP BY 1, 2, 3) c WHERE filled = 1 GROUP BY 1, 2""")(
+    lambda fx: reduce(DataFrame.unionByName, [M.mask_combine(mask_pairs(fx), how).select(F.lit(how).alias("how"), "mask_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts")) for how in ("intersection", "union", "difference")]).where("counts <> ''")
+)
 register("scene_plan", "SELECT s.run_id, count(*) AS clip_frames, count(h.keyframe) AS frames_with_people FROM (SELECT run_id, unnest(generate_series(0, source_frames - 1)) AS frame_idx FROM ck_source WHERE source_frames > 0) s LEFT JOIN (SELECT * FROM ck_held WHERE n_inst > 0) h USING (run_id, frame_idx) GROUP BY 1")(
     lambda fx: R.scene_plan(fx.frames, fx.runs)
 )

@@ -22,11 +22,32 @@ CSV_COLUMNS = [
 ]
 
 
+#: Documents whose heads are broadcast; their number is counted.
+BROADCAST_HEADS = 10_000
+
+
 def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, instances) of result JSON files, nested frames and instances flattened."""
-    raw = spark.read.schema(RESULT).option("multiLine", True).json(path)
-    frames = raw.select("run_id", F.explode("frames").alias("f")).select("run_id", "f.frame_idx", F.posexplode("f.instances").alias("inst_idx", "i"))
-    return raw.drop("frames"), frames.select("run_id", "frame_idx", "inst_idx", "i.*")
+    """(runs, instances) of result JSON files, nested frames and instances flattened.
+
+    Documents with a line for the head, one for each frame and one for the end (`write_results`) are read as text, which Spark splits,
+    so that many tasks read one run. Others are read whole, a document a task; only their names come to the driver."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    kind = F.when(F.col("value").rlike('^,?[{]"frame_idx":.*[}]$'), "frame").when(F.col("value").rlike('^[{].*"frames":\\[$'), "head").when(F.col("value") == "]}", "end")
+    lines = lines.withColumn("kind", kind)
+    told = lines.groupBy("file").agg(F.count_if(F.col("kind").isNull()).alias("other"), F.count_if(F.col("kind") == "head").alias("heads"), F.count_if(F.col("kind") == "end").alias("ends"))
+    foreign = [r.file for r in told.where("other > 0 or heads <> 1 or ends <> 1").select("file").collect()]
+    own = lines.where(~F.col("file").isin(foreign)) if foreign else lines
+    heads = own.where("kind = 'head'").select("file", F.from_json(F.concat("value", F.lit("]}")), RESULT).alias("r"))
+    hinted = F.broadcast(heads.select("file", "r.run_id")) if heads.count() <= BROADCAST_HEADS else heads.select("file", "r.run_id").hint("merge")
+    one = F.from_json(F.regexp_replace("value", "^,", ""), f"struct<frame_idx: bigint, instances: array<{INSTANCE}>>")
+    frames = own.where("kind = 'frame'").select("file", one.alias("f")).join(hinted, "file").select("run_id", "f")
+    runs = heads.select("r.*").drop("frames")
+    if foreign:
+        whole = spark.read.schema(RESULT).option("multiLine", True).json(foreign)
+        runs = runs.unionByName(whole.drop("frames"))
+        frames = frames.unionByName(whole.select("run_id", F.explode("frames").alias("f")))
+    rows = frames.select("run_id", "f.frame_idx", F.posexplode("f.instances").alias("inst_idx", "i"))
+    return runs, rows.select("run_id", "frame_idx", "inst_idx", "i.*")
 
 
 def write_results(runs: DataFrame, instances: DataFrame, path: str) -> None:
@@ -66,9 +87,14 @@ def write_metrics(frames: DataFrame, path: str) -> None:
     frames.select(F.to_json(F.struct(*frames.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+#: Runs in an index document, at most; `upsert_runs` keeps the newest.
+INDEX_ROWS = 500
+
+
 def write_runs_index(index: DataFrame, path: str) -> None:
-    """The index of runs as one document: a line per run. An index is small: `upsert_runs` keeps a stated number."""
-    every = Window.partitionBy(F.lit(0))
+    """The index of runs as one document: a line per run, INDEX_ROWS at most."""
+    every = Window.partitionBy(F.lit(0))  # of INDEX_ROWS at most
+    index = index.limit(INDEX_ROWS)
     numbered = index.withColumns({"_n": F.row_number().over(every.orderBy("run_id")), "_last": F.count("*").over(every)})
     columns = index.columns
     value = F.concat(F.when(F.col("_n") == 1, '{"runs":[').otherwise(","), F.to_json(F.struct(*columns)), F.when(F.col("_n") == F.col("_last"), "]}").otherwise(""))

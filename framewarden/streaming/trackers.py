@@ -14,11 +14,12 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.shared import written
 from .assignment import assign
 
 
@@ -59,20 +60,34 @@ def unit(v: np.ndarray | None, least: float = 1e-8) -> np.ndarray | None:
     return v / n if n >= least else None
 
 
-class MotionTracker:
+class Tracker:
+    """A machine with ``step(rows)``. After ``forgets_after`` frames without rows it knows no track any more; None: it may for ever."""
+
+    forgets_after: int | None = None
+
+    def skip(self, n: int) -> None:
+        """n frames without rows."""
+        for _ in range(n if self.forgets_after is None else min(n, self.forgets_after)):
+            self.step([])
+
+
+class MotionTracker(Tracker):
     """Greedy overlap with live tracks, best pairs first; new ids count up; a track ends after ``max_age`` misses."""
 
     def __init__(self, min_iou: float = 0.3, max_age: int = 30) -> None:
         self.min_iou, self.max_age = min_iou, max_age
+        self.forgets_after = max_age + 1
         self.live: dict[int, list] = {}  # id -> [box, misses], in order of creation
         self.next_id = 1
 
     def step(self, rows: list[Row]) -> list[int]:
         ids = list(self.live)
-        pairs = [(-o, t, d) for t, i in enumerate(ids) for d, r in enumerate(rows) if (o := iou(self.live[i][0], r.box)) >= self.min_iou]
         got: dict[int, int] = {}
         taken: set[int] = set()
-        for _, t, d in sorted(pairs, key=lambda p: p[0]):  # stable: ties stay in track, then detection order
+        overlap = overlaps([self.live[i][0] for i in ids], [r.box for r in rows])
+        tracks, dets = np.nonzero(overlap >= self.min_iou)
+        order = np.argsort(-overlap[tracks, dets], kind="stable")  # ties stay in track, then detection order
+        for t, d in zip(tracks[order].tolist(), dets[order].tolist(), strict=True):
             if d not in got and t not in taken:
                 got[d] = ids[t]
                 taken.add(t)
@@ -90,6 +105,9 @@ class MotionTracker:
                 del self.live[i]
         return out
 
+    def skip(self, n: int) -> None:
+        self.live = {i: [box, misses + n] for i, (box, misses) in self.live.items() if misses + n <= self.max_age}
+
 
 @dataclass
 class Gallery:
@@ -143,7 +161,7 @@ class Track:
     mean: np.ndarray | None = None  # of embs, at length 1
 
 
-class MaskletTracker:
+class MaskletTracker(Tracker):
     """Bind by motion id, then by optimal overlap, then (if on) by appearance; else a new id.
 
     Unseen tracks go to a lost pool after ``buffer`` misses and are forgotten later; buffer 0 forgets none."""
@@ -155,6 +173,7 @@ class MaskletTracker:
         self.lost: dict[int, Track] = {}
         self.by_motion: dict[int, int] = {}
         self.gallery = Gallery() if reentry else None
+        self.forgets_after = buffer * 6 + 1 if buffer > 0 and not reentry else None
         self.next_id = 1
         self.recoveries = 0
         self.frame = -1
@@ -267,12 +286,13 @@ class MaskletTracker:
                 del self.lost[t.oid]
 
 
-class AppearanceTracker:
+class AppearanceTracker(Tracker):
     """Motion id with an appearance gate, then optimal assignment on overlap and appearance, then lost tracks, else new."""
 
     def __init__(self, appearance: float = 0.52, buffer: int = 150, gallery_size: int = 10, w_iou: float = 0.3, w_app: float = 0.7, recovery: float = 0.42, min_score: float = 0.30) -> None:
         self.appearance, self.buffer, self.gallery_size = appearance, buffer, gallery_size
         self.w_iou, self.w_app, self.recovery, self.min_score = w_iou, w_app, recovery, min_score
+        self.forgets_after = buffer + 1
         self.live: dict[int, Track] = {}
         self.lost: dict[int, Track] = {}
         self.by_motion: dict[int, int] = {}
@@ -359,11 +379,23 @@ def _rows(part: pd.DataFrame) -> list[Row]:
     return [Row((a, b, c, d), str(label), int(m), None if e is None else np.asarray(e, float)) for a, b, c, d, label, m, e in zip(part.x0, part.y0, part.x1, part.y1, part.label, part.motion_id, embs, strict=True)]
 
 
-def _advance(tracker, part: pd.DataFrame) -> pd.DataFrame:
+def _advance(tracker: Tracker, part: pd.DataFrame) -> pd.DataFrame:
     """The ids of some whole frames of one run, in order. A row without det_idx stands for its frame alone."""
-    real = part.det_idx.notna()
-    ids = [i for _, frame in part.groupby("frame_idx", sort=False) for i in tracker.step(_rows(frame[frame.det_idx.notna()]))]
+    real = part.det_idx.notna().to_numpy()
+    starts = np.flatnonzero(np.diff(part.frame_idx.to_numpy(), prepend=part.frame_idx.iloc[0] - 1))
     part = part[real]
+    rows, ids, at, empty = _rows(part), [], 0, 0
+    for n in np.add.reduceat(real.astype(int), starts).tolist():
+        if not n:
+            empty += 1
+            continue
+        if empty:
+            tracker.skip(empty)
+            empty = 0
+        ids += tracker.step(rows[at : at + n])
+        at += n
+    if empty:
+        tracker.skip(empty)
     return pd.DataFrame({"run_id": part.run_id, "frame_idx": part.frame_idx, "det_idx": part.det_idx.astype("int32"), "object_id": ids})
 
 
@@ -373,23 +405,51 @@ def with_frames(det: DataFrame, frames: DataFrame) -> DataFrame:
     return det.unionByName(frames.select("run_id", "frame_idx", *missing))
 
 
-def track(det: DataFrame, make: Callable[[], object] = MotionTracker, frames: DataFrame | None = None) -> DataFrame:
-    """(run_id, frame_idx, det_idx, object_id). A run is read in frame order by one task, as a stream of Arrow batches: the
-    task holds one batch and the tracker, not the run. ``frames`` (run_id, frame_idx) are the analysed frames: those without
-    detections age the tracks as well; left out, only frames with detections count. Parallelism is the number of runs."""
-    every = det if frames is None else with_frames(det, frames)
-    ordered = every.repartition("run_id").sortWithinPartitions("run_id", "frame_idx", "det_idx")
+def dead_gaps(det: DataFrame, frames: DataFrame, forgets_after: int) -> DataFrame:
+    """(run_id, frame_idx, part) of every analysed frame: a new part of a run begins where as many frames without detections lie before
+    one with some that no track survives. Only frame numbers are sorted, not detections."""
+    key = ["run_id", "frame_idx"]
+    every = frames.select(*key, F.lit(False).alias("real")).unionByName(det.select(*key, F.lit(True).alias("real"))).groupBy(*key).agg(F.max("real").alias("real"))
+    order = Window.partitionBy("run_id").orderBy("frame_idx")
+    step = every.withColumn("n", F.row_number().over(order))
+    last = F.max(F.when(F.col("real"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.col("real") & (F.col("n") - F.col("last") > forgets_after)
+    return step.withColumn("last", last).withColumn("part", F.sum(F.when(cut, 1).otherwise(0)).over(order)).select(*key, "part")
+
+
+def track(det: DataFrame, make: Callable[[], Tracker] = MotionTracker, frames: DataFrame | None = None) -> DataFrame:
+    """(run_id, frame_idx, det_idx, object_id). A run is read in frame order as a stream of Arrow batches: a task holds one batch and
+    the tracker, not the run. ``frames`` (run_id, frame_idx) are the analysed frames: those without detections age the tracks as
+    well; left out, only frames with detections count.
+
+    Where so many analysed frames lie without detections that the tracker forgets all tracks, a run is cut; its parts are
+    tracked by tasks of their own, and their ids are counted on over the parts before. That gives the ids of the whole run."""
+    forgets_after = None if frames is None else make().forgets_after
+    if forgets_after is None:
+        every = (det if frames is None else with_frames(det, frames)).withColumn("part", F.lit(0).cast("long"))
+        return _tracked(every, make).drop("part")
+    parts = dead_gaps(det, frames, forgets_after)
+    own = written(_tracked(with_frames(det, frames).join(parts.hint("merge"), ["run_id", "frame_idx"]), make), "tracks")
+    counts = own.groupBy("run_id", "part").agg(F.max("object_id").alias("ids"))
+    before = F.coalesce(F.sum("ids").over(Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = own.join(counts.select("run_id", "part", before.alias("before")).hint("merge"), ["run_id", "part"])
+    return joined.select("run_id", "frame_idx", "det_idx", (F.col("object_id") + F.col("before")).alias("object_id"))
+
+
+def _tracked(every: DataFrame, make: Callable[[], Tracker]) -> DataFrame:
+    """The parts of runs, each by a tracker of its own."""
+    ordered = every.repartition("run_id", "part").sortWithinPartitions("run_id", "part", "frame_idx", "det_idx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, now, tracker = None, None, None
-        schema = pa.schema([("run_id", pa.string()), ("frame_idx", pa.int64()), ("det_idx", pa.int32()), ("object_id", pa.int64())])
+        schema = pa.schema([("run_id", pa.string()), ("frame_idx", pa.int64()), ("det_idx", pa.int32()), ("object_id", pa.int64()), ("part", pa.int64())])
 
         def through(pdf: pd.DataFrame) -> Iterator[pa.RecordBatch]:
             nonlocal now, tracker
-            for run_id, part in pdf.groupby("run_id", sort=False):
-                if run_id != now:
-                    now, tracker = run_id, make()
-                yield pa.RecordBatch.from_pandas(_advance(tracker, part), schema=schema, preserve_index=False)
+            for key, part in pdf.groupby(["run_id", "part"], sort=False):
+                if key != now:
+                    now, tracker = key, make()
+                yield pa.RecordBatch.from_pandas(_advance(tracker, part).assign(part=key[1]), schema=schema, preserve_index=False)
 
         for batch in batches:
             pdf = batch.to_pandas()
@@ -403,7 +463,7 @@ def track(det: DataFrame, make: Callable[[], object] = MotionTracker, frames: Da
         if kept is not None and len(kept):
             yield from through(kept)
 
-    return ordered.mapInArrow(run, OUT)
+    return ordered.mapInArrow(run, f"{OUT}, part long")
 
 
 def track_stream(det: DataFrame, make: Callable[[], object] = MotionTracker) -> DataFrame:
