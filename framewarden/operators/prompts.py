@@ -48,6 +48,6 @@ def filter_classes(classes: DataFrame, query: str) -> DataFrame:
 
 def catalogs_in_sync(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row (in_sync): do both catalogs have the same names in the order of ids?"""
-    number = lambda df, name: with_place(df, F.floor(F.col("class_id") / 4096), [F.col("class_id")], "n").select("n", F.col("name").alias(name))
+    number = lambda df, name: with_place(df, [F.col("class_id")], "n").select("n", F.col("name").alias(name))
     odd = number(a, "na").join(number(b, "nb").hint("merge"), "n", "full").where(~F.col("na").eqNullSafe(F.col("nb")))
     return odd.agg((F.count("*") == 0).alias("in_sync"))

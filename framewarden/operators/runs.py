@@ -101,8 +101,7 @@ def realtime_ratio(frames: DataFrame, runs: DataFrame, limit: float = 1.15) -> D
 
 def compare_runs(frames: DataFrame, runs: DataFrame) -> DataFrame:
     """Runs by ratio, the fastest first, with their place."""
-    hundredth = F.coalesce(F.floor(F.least(F.col("ratio"), F.lit(1e12)) * 100), F.lit(1 << 60))  # nulls come last
-    return with_place(realtime_ratio(frames, runs), hundredth, [F.col("ratio").asc_nulls_last(), F.col("run_id")])
+    return with_place(realtime_ratio(frames, runs), [F.col("ratio").asc_nulls_last(), F.col("run_id")])
 
 
 def chart_series(frames: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from ..operators import verdicts as V
 from ..sources import hooks, io
 from ..sources.shared import new_path
 from ..streaming import trackers as S
+from ..streaming.event_trackers import rocksdb, track_events
 from . import flagship
 from .fixtures import Fixtures, with_fixtures
 
@@ -376,6 +377,40 @@ register("gallery_update", """SELECT run_id, object_id, CAST(len(v) AS INT) AS d
     lambda fx: S.gallery_update(fx.observations).select("run_id", "object_id", "dim", "last_frame", "n_updates", F.posexplode("embedding").alias("pos", "x")).select("run_id", "object_id", "dim", "last_frame", "n_updates", (F.col("pos") + 1).cast("long").alias("pos"), F.round("x", 5).alias("x"))
 )
 register("motion_track", "SELECT run_id, frame_idx, x.d AS det_idx, x.i AS object_id FROM (SELECT run_id, frame_idx, unnest(out) AS x FROM ck_tracking) t")(lambda fx: S.track(fx.detections, S.MotionTracker, fx.frames))
+def leaving(fx: Fixtures) -> DataFrame:
+    """People who go and come back elsewhere, with vectors of their slots: every second 200 frames no one is there, and every other time
+    they are there they are mirrored, with other motion ids."""
+    turn = F.floor(F.col("frame_idx") / 400) % 2
+    some = fx.detections.where("frame_idx % 400 < 200 and det_idx < 5")
+    mirrored = [F.when(turn == 1, 1280 - F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "x1"), ("x1", "x0"))]
+    moved = some.select("run_id", "frame_idx", "det_idx", *mirrored, F.col("y0"), F.col("y1"), "label", "conf", F.lit(-1).cast("long").alias("motion_id"))
+    looks = fx.spark.read.parquet(f"{fx.sf_dir}/embeddings.parquet").where("vec_id < 5").select(F.col("vec_id").cast("int").alias("det_idx"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return moved.join(F.broadcast(looks), "det_idx", "left")  # five rows
+
+
+def recalling() -> S.MaskletTracker:
+    return S.MaskletTracker(reentry=True, reentry_sim=0.65, reentry_misses=15, buffer=8)
+
+
+register("masklet_track_reentry")(lambda fx: S.track(leaving(fx), recalling, fx.frames))
+
+
+def event_stream(fx: Fixtures) -> DataFrame:
+    """The detections as a stream in which frames come up to 60 late, in six files; the last one brings a run that moves the clock on."""
+    path, out = new_path(fx.spark, "events"), new_path(fx.spark, "tracked")
+    every = S.with_frames(fx.detections.where("frame_idx < 300"), fx.frames.where("frame_idx < 300")).withColumn("ts", F.timestamp_seconds(F.col("frame_idx") + 1000))
+    late = F.floor((F.col("frame_idx") + F.pmod(F.xxhash64("frame_idx", "det_idx"), F.lit(60))) / 72)
+    for n in range(5):
+        every.where(late == n).coalesce(1).write.mode("append").parquet(path)
+    end = every.limit(1).select(*[(F.lit("end") if c == "run_id" else F.lit(100_000).cast("long") if c == "frame_idx" else F.timestamp_seconds(F.lit(100_000)) if c == "ts" else F.col(c)).alias(c) for c in every.columns])
+    end.coalesce(1).write.mode("append").parquet(path)
+    with rocksdb(fx.spark):
+        stream = fx.spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        track_events(stream, S.MotionTracker, "100 seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return fx.spark.read.schema(S.OUT).parquet(out)
+
+
+register("motion_track_events", "SELECT run_id, frame_idx, x.d AS det_idx, x.i AS object_id FROM (SELECT run_id, frame_idx, unnest(out) AS x FROM ck_tracking WHERE frame_idx < 300) t")(lambda fx: event_stream(fx))
 # half of the time no one is there: the runs are cut
 register("motion_track_gaps", "SELECT run_id, frame_idx, x.d AS det_idx, x.i AS object_id FROM (SELECT run_id, frame_idx, unnest(out) AS x FROM ck_tracking_gaps) t")(lambda fx: S.track(fx.detections.where("frame_idx % 400 < 200"), S.MotionTracker, fx.frames))
 register("masklet_track")(lambda fx: S.track(fx.detections, S.MaskletTracker, fx.frames))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.shared import written
+from ..sources.shared import delete, written
 from .assignment import assign
 
 
@@ -528,14 +528,16 @@ def smooth_stream(verdicts: DataFrame, streak: int = 2) -> DataFrame:
 
 
 def recent_requests_stream(requests: DataFrame, path: str, keep: int = 200):
-    """A writer that keeps the last ``keep`` requests of a stream under ``path``, a folder per micro-batch; the newest folder
-    is the view (`recent_requests_view`). A batch that is run again replaces its own folder."""
+    """A writer that keeps the last ``keep`` requests of a stream under ``path``, in folders of the last two micro-batches; the newest
+    folder is the view (`recent_requests_view`). A batch that is run again replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
         rows = batch
         if number > 0:
             rows = rows.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}"))
         rows.orderBy(F.desc("ts"), F.desc("request_id")).limit(keep).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number > 1:  # a batch that is run again needs the one before, nothing older
+            delete(batch.sparkSession, f"{path}/batch={number - 2}")
 
     return requests.writeStream.foreachBatch(write)
 
