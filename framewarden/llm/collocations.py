@@ -7,6 +7,8 @@ is then semi-joined with them before it is extended again.
 
 - A piece never leaves its block, so the merge-join needs no shuffle: places are numbered with a gap between pieces, and the
   sorted relation is held against itself one row on.
+- Before the longer phrases are counted by their words, they are counted by 32 bits of hash: only phrases whose hash is frequent
+  are shuffled with their words, and these counts are the ones that decide.
 - Words are 64-bit hashes with a seed. The first count also holds the least and the greatest word of each hash; if two words
   share one, all starts again with another seed. So the counts are exact.
 - The semi-join goes by a bitmap of the frequent phrases' hashes, of 32 MB at most whatever their number. What it lets through
@@ -102,25 +104,30 @@ class Block:
         return self._joined(distinct), counts
 
 
-def hash_bits(words: np.ndarray, bits: int) -> np.ndarray:
-    """The bit of each phrase in a bitmap of ``bits`` bits."""
+def phrase_hashes(words: np.ndarray) -> np.ndarray:
+    """32 bits of hash of each phrase."""
     out = np.zeros(len(words), np.uint64)
     for column in words.T:
         out = mix(out * np.uint64(31) + column.astype(np.uint64))
-    return (out & np.uint64(bits - 1)).astype(np.int64)
+    return (out & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def bitmap(frequent: DataFrame, k: int, n: int) -> np.ndarray:
-    """One bit for each hash of the frequent phrases of all languages: at most MOST_BITS bits, put together by Spark."""
-    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (8 * n).bit_length()))
+def hashes_of(frequent: DataFrame, k: int) -> DataFrame:
+    """(h): the hashes of the phrases in a table."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at = np.unique(hash_bits(np.stack([c.to_numpy() for c in batch.columns], axis=1), bits))
-                yield pa.record_batch([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["at", "bit"])
+                yield pa.record_batch([pa.array(phrase_hashes(np.stack([c.to_numpy() for c in batch.columns], axis=1)))], ["h"])
+
+    return frequent.select(*names(k)).mapInArrow(run, "h long")
+
 
-    marked = frequent.select(*names(k)).mapInArrow(mark, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+def bitmap(hashes: DataFrame, n: int) -> np.ndarray:
+    """One bit for the low bits of each of n hashes: at most MOST_BITS bits, put together by Spark."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (8 * n).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+    marked = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("bit")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[marked.column("at").to_numpy()] = marked.column("bit").to_numpy()
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if bits <= 1 << 24 else out
@@ -128,8 +135,8 @@ def bitmap(frequent: DataFrame, k: int, n: int) -> np.ndarray:
 
 def in_bitmap(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
     if bitmap.dtype == bool:
-        return bitmap[hash_bits(words, len(bitmap))]
-    at = hash_bits(words, 64 * len(bitmap))
+        return bitmap[phrase_hashes(words) & (len(bitmap) - 1)]
+    at = phrase_hashes(words) & (64 * len(bitmap) - 1)
     return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
 
@@ -179,16 +186,37 @@ def first_relation(docs: DataFrame, lang: Column, text_col: str, seed: int) -> D
     return base.mapInArrow(run, f"{RELATION}, counts array<long>, spelt array<string>")
 
 
-def counts_of_longer(relation: DataFrame, k: int, keep: np.ndarray) -> DataFrame:
-    """(lang, w1.., n): how often each phrase of k + 1 words occurs, from the relation of length k semi-joined with the bitmap of its
-    frequent phrases."""
+def busy_buckets(relation: DataFrame, k: int, keep: np.ndarray, often: int) -> DataFrame:
+    """(h): the hashes under which phrases of k + 1 words occur ``often`` times together, from the relation of length k semi-joined with
+    the bitmap of its frequent phrases. Every frequent phrase has one of them, few others do: a row of this count is a third as
+    wide as one with the words."""
     sent = relation.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, lang in enumerate(batch.column("lang").to_pylist()):
+            for i in range(batch.num_rows):
                 below = Block.of(batch, i, k)
                 phrases, counts = below.semi_join(in_bitmap(sent.value, below.words)).counts()
+                h, at = np.unique(phrase_hashes(phrases), return_inverse=True)
+                n = np.bincount(at, counts, len(h)).astype(np.int64)
+                for a in range(0, len(h), 1 << 16):
+                    yield pa.record_batch([pa.array(h[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["h", "n"])
+        give_back()
+
+    return relation.select(COLUMNS).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("h")
+
+
+def counts_of_longer(relation: DataFrame, k: int, keep: np.ndarray, busy: np.ndarray) -> DataFrame:
+    """(lang, w1.., n): how often each phrase of k + 1 words occurs, if its hash is in the bitmap ``busy``; all counts are whole."""
+    sent = relation.sparkSession.sparkContext.broadcast((keep, busy))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, lang in enumerate(batch.column("lang").to_pylist()):
+                below = Block.of(batch, i, k)
+                phrases, counts = below.semi_join(in_bitmap(sent.value[0], below.words)).counts()
+                some = in_bitmap(sent.value[1], phrases)
+                phrases, counts = phrases[some], counts[some]
                 for a in range(0, len(counts), 1 << 16):
                     n = counts[a : a + (1 << 16)]
                     words = np.ascontiguousarray(phrases[a : a + len(n)].T)
@@ -242,12 +270,15 @@ def mine(docs: DataFrame, longest: int, often: int, lang: Column, text_col: str)
         raise ValueError("no seed gives all words hashes of their own")
     totals = stage(relation.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)).alias("total")), "totals")
     found = Levels(totals, words, {}, {0: totals.count(), 1: words.count()})
-    keep = bitmap(words, 1, found.sizes[1])
+    keep = bitmap(hashes_of(words, 1), found.sizes[1])
     for k in range(1, longest):
-        longer = found.phrases[k + 1] = stage(counts_of_longer(relation, k, keep).where(F.col("n") >= often), f"phrases-{k + 1}")
+        buckets = stage(busy_buckets(relation, k, keep, often), "buckets")
+        busy = bitmap(buckets, buckets.count())
+        unstage(buckets)
+        longer = found.phrases[k + 1] = stage(counts_of_longer(relation, k, keep, busy).where(F.col("n") >= often), f"phrases-{k + 1}")
         found.sizes[k + 1] = longer.count()
         if k + 1 < longest:
-            keep_longer = bitmap(longer, k + 1, found.sizes[k + 1])
+            keep_longer = bitmap(hashes_of(longer, k + 1), found.sizes[k + 1])
             below, relation = relation, stage(longer_relation(relation, k, keep, keep_longer), f"occurrences-{k + 1}")
             unstage(below)
             keep = keep_longer

@@ -81,7 +81,7 @@ def test_words_that_share_a_hash_are_hashed_anew(spark, monkeypatch):
 def test_bitmap_forms_agree():
     words = np.random.default_rng(3).integers(-(2**62), 2**62, (500, 2))
     bits = 1 << 20
-    at = np.unique(C.hash_bits(words[:250], bits))
+    at = np.unique(C.phrase_hashes(words[:250]) & (bits - 1))
     packed = np.zeros(bits // 64, np.int64)
     np.bitwise_or.at(packed, at >> 6, np.int64(1) << (at & 63))
     flat = np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
