@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_path
-from .staging import stage, text_batches
+from .staging import BROADCAST_ROWS, stage, text_batches
 
 VERSION = b"WARC/1.1"
 MARK = VERSION + b"\r\n"
@@ -135,9 +135,13 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000, segment
     keyed = base.withColumns({"sha1": F.sha1("payload"), "digest": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")})
     long = keyed.where(F.col("size") >= min_revisit)
     first = long.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    # The payloads stay where they were read: only ids and digests are shuffled to find the responses.
+    first = stage(first, "copied")
+    if first.count() <= BROADCAST_ROWS // 8:  # a row has some 80 bytes: the payloads stay where they were read
+        found = keyed.join(F.broadcast(first), "digest", "left")
+    else:  # more digests have copies: then only payloads that may be copies are shuffled
+        found = long.join(first.hint("merge"), "digest", "left").unionByName(keyed.where(F.col("size") < min_revisit).withColumn("response", F.lit(None).cast("long")))
     keeper = F.when((F.col("size") >= min_revisit) & (F.col("response") != F.col("page_id")), F.col("response"))
-    marked = keyed.join(first.hint("merge"), "digest", "left").select("page_id", "url", "payload", "sha1", keeper.alias("refers_to"))
+    marked = found.select("page_id", "url", "payload", "sha1", keeper.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
