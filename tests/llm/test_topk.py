@@ -10,14 +10,14 @@ from framewarden.llm.topk import top_k
 def brute(rows, k):
     good = []
     for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) or abs(x * 1024) >= 2**63 for x in v):
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        good.append((i, [math.floor(1024 * x) for x in v]))
+        good.append((i, [int(x) * 1024 if abs(x) >= 2**53 else math.floor(1024 * x) for x in v]))
     out = []
     for n, (q, a) in enumerate(good):
         if q % 10 == 0:
             scores = [(-sum(x * y for x, y in zip(a, b, strict=False)), c) for j, (c, b) in enumerate(good) if j != n]
-            scores = sorted(s for s in scores if -(2**63) < s[0] < 2**63)
+            scores = sorted(s for s in scores if -(2**63) < s[0] <= 2**63)
             out += [(q, n, c, -s) for n, (s, c) in enumerate(scores[:k], 1)]
     return sorted(out)
 
