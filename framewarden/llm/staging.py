@@ -4,28 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path
+from ..sources.shared import delete, new_path
 
 #: Rows of at most 16 bytes that may be broadcast; their number is counted before.
 BROADCAST_ROWS = 500_000
 
 
-_SCOPES: list[list[str]] = []
+#: The paths of the innermost scope of this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are staged inside are deleted at the end. A result that reads them is written, with ``keep``, before."""
     paths: list[str] = []
-    _SCOPES.append(paths)
+    before = _SCOPE.set(paths)
     try:
         yield
     finally:
-        _SCOPES.remove(paths)
+        _SCOPE.reset(before)
         for path in paths:
             delete(spark, path)
 
@@ -36,8 +38,9 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     An operator deletes what none of its results reads; the rest stays until the caller has written the result (`scratch`)."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(path)
+    scope = _SCOPE.get()
+    if scope is not None and not keep:
+        scope.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
@@ -50,12 +53,6 @@ def unstage(*tables: DataFrame) -> None:
         delete(df.sparkSession, df.staged_path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder in the shared folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_batches(spark: SparkSession, rows: int = 2048) -> None:
     """Fewer rows to an Arrow batch than Spark's default of 10,000, for rows that hold whole texts; a set value stays.
 
