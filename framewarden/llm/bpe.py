@@ -283,7 +283,16 @@ class Characters:
             for which, place, length in (("L", 0, 3), ("N", 1, 1), ("O", 1, 3)):
                 kind[a + at[(at % 5 == place) & (size == length)] // 5] = which
         self.classes = {"\\p{L}": code_ranges(codes[kind == "L"]), "\\p{N}": code_ranges(codes[kind == "N"]), "\\s": code_ranges(codes[kind == "S"])}
-        self.odd = code_ranges(np.array(sorted(self._odd([chr(c) for c in codes[kind != "S"].tolist() if c]))))
+        others = self._odd([chr(c) for c in codes[kind != "S"].tolist() if c])
+        whole = "".join(map(chr, codes.tolist()))
+        for name in self.classes:
+            own = np.zeros(len(codes), bool)
+            own[[m.start() for m in regex.finditer(name, whole)]] = True
+            others.update(codes[own != (kind == {"\\p{L}": "L", "\\p{N}": "N", "\\s": "S"}[name])].tolist())
+        at = np.array(sorted(others))
+        breaks = np.flatnonzero(np.diff(at) != 1)
+        #: First and last code points of the ranges in which the library does something else than Python and the regex module.
+        self.others = np.stack([at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]], axis=1)
 
     @staticmethod
     def _odd(chars: list[str]) -> set[int]:
@@ -342,18 +351,22 @@ class WordTokenizer:
         self.automaton = Automaton(spellings, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         characters = Characters(split["pattern"]["Regex"])
-        self.pattern, self.odd = characters.pattern(split["pattern"]["Regex"]), characters.odd
+        self.pattern, self.others = split["pattern"]["Regex"], characters.others
+        self.library_pattern = characters.pattern(self.pattern)
 
     def compiled(self) -> WordTokenizer:
         """With the patterns, which are left out when the object is sent."""
         if "find" not in self.__dict__:
-            self.find = re.compile(self.pattern + "|\n").findall
-            self.find_odd = re.compile(f"[{self.odd}]").search
+            self.find = regex.compile(self.pattern + "|\n").findall
+            self.library_find = re.compile(self.library_pattern + "|\n").findall
+            self.is_other = np.zeros(0x110000, bool)
+            for a, b in self.others.tolist():
+                self.is_other[a : b + 1] = True
             self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         return self
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("find", "find_odd", "cut")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("find", "library_find", "is_other", "cut")}
 
     def encode_runs(self, runs: list[str]) -> list[bytes]:
         """The ids, as little-endian unsigned 32-bit integers, of each run of text without white space."""
@@ -369,10 +382,22 @@ class WordTokenizer:
     def _plain(self, whole: str, n: int) -> list[bytes]:
         """n runs, one on each line."""
         if whole.isascii():
-            whole = whole.lower()
-        else:
-            whole = library_normal_form()(whole) if self.find_odd(whole) else python_normal_form(whole)
-        found = self.find(whole + "\n")
+            return self._found(self.find(whole.lower() + "\n"), n)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        other = self.is_other[codes]
+        if not other.any():
+            return self._found(self.find(python_normal_form(whole) + "\n"), n)
+        # the runs that the library treats in another way go by its tables, which is slower
+        runs = whole.split("\n")
+        apart = np.unique(np.cumsum(codes == 10)[other]).tolist()
+        out = dict(zip(apart, self._found(self.library_find(library_normal_form()("\n".join(runs[i] for i in apart)) + "\n"), len(apart)), strict=True))
+        rest = [i for i in range(n) if i not in out]
+        if rest:
+            out.update(zip(rest, self._plain("\n".join(runs[i] for i in rest), len(rest)), strict=True))
+        return [out[i] for i in range(n)]
+
+    def _found(self, found: list[str], n: int) -> list[bytes]:
+        """The ids of the words of n lines."""
         line = np.flatnonzero(np.fromiter((w == "\n" for w in found), bool, len(found)))
         ids, offsets = self.automaton.encode([w for w in found if w != "\n"])
         data = ids.astype("<u4").tobytes()
