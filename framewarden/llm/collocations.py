@@ -31,6 +31,8 @@ from .words import POWERS, give_back, mix, text_slices
 
 #: Words of a block; a block ends at the end of a slice of texts.
 BLOCK = 1 << 19
+#: Phrases' hashes that a task adds up at a time.
+HELD = 1 << 20
 #: Bits of the bitmap: eight for each frequent phrase, within these bounds.
 FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Rows of (language, hash, count) that may be broadcast; their number is counted before.
@@ -193,17 +195,29 @@ def busy_buckets(relation: DataFrame, k: int, keep: np.ndarray, often: int) -> D
     sent = relation.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in held]), len(h)).astype(np.int64)
+            held.clear()
+            for a in range(0, len(h), 1 << 16):
+                yield pa.record_batch([pa.array(h[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["h", "n"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 below = Block.of(batch, i, k)
                 phrases, counts = below.semi_join(in_bitmap(sent.value, below.words)).counts()
-                h, at = np.unique(phrase_hashes(phrases), return_inverse=True)
-                n = np.bincount(at, counts, len(h)).astype(np.int64)
-                for a in range(0, len(h), 1 << 16):
-                    yield pa.record_batch([pa.array(h[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["h", "n"])
+                held.append((phrase_hashes(phrases), counts))
+                if sum(len(h) for h, _ in held) > HELD:
+                    yield from flush()
+        if held:
+            yield from flush()
         give_back()
 
-    return relation.select(COLUMNS).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("h")
+    # a task has added its own up: its rows are shuffled as they are, without a second table of them in its executor
+    counts = relation.select(COLUMNS).mapInArrow(run, "h long, n long").repartition("h")
+    return counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("h")
 
 
 def counts_of_longer(relation: DataFrame, k: int, keep: np.ndarray, busy: np.ndarray) -> DataFrame:
