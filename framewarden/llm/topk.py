@@ -66,14 +66,14 @@ def _filled(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def _local(queries: np.ndarray, rows: np.ndarray, cuts: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray | float]]:
-    """Local scores (queries x rows) list by list, each with a bound of its error: 0 where all sums are exact."""
+def _local(queries: np.ndarray, rows: np.ndarray, cuts: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Local scores (queries x rows) list by list, each with a bound of its error: None where all sums are exact."""
     largest = np.abs(queries).max(initial=0.0) * np.abs(rows).max(initial=0.0)
     exact = largest * max(1, queries.shape[1]) < EXACT
     for a, b in cuts:
         q, r = queries[:, a:b], rows[:, a:b].T
         if exact:
-            yield q @ r, 0.0
+            yield q @ r, None
             continue
         with np.errstate(over="ignore", invalid="ignore"):
             scores, error = q @ r, (np.abs(q) @ np.abs(r)) * ((b - a + 4) * 2.0**-51)
@@ -81,11 +81,14 @@ def _local(queries: np.ndarray, rows: np.ndarray, cuts: list[tuple[int, int]]) -
         yield np.where(lost, 0.0, scores), np.where(lost, np.inf, error)
 
 
-def _sums(parts: list[tuple[np.ndarray, np.ndarray | float]]) -> tuple[np.ndarray, np.ndarray]:
+def _sums(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
     """The whole scores' lower and upper ends; the lower one is -inf where the score may not be a 64-bit integer, the upper one where it
-    surely isn't."""
-    score, error = sum(s for s, _ in parts), sum(e for _, e in parts)
-    slack = np.abs(score) * 2.0**-50 if np.ndim(error) else 0.0
+    surely isn't. Exact sums are below 2**53, so they are both."""
+    score = parts[0][0] if len(parts) == 1 else np.sum([s for s, _ in parts], axis=0)
+    if parts[0][1] is None:
+        return score, score
+    error = sum(e for _, e in parts)
+    slack = np.abs(score) * 2.0**-50
     low, high = score - error - slack, score + error + slack
     return np.where((low >= -LONG) & (high < LONG), low, -np.inf), np.where((low >= LONG) | (high < -LONG), -np.inf, high)
 
@@ -165,7 +168,7 @@ def _round(spark, rows: DataFrame, some: list, k: int, cuts: list[tuple[int, int
                 parts = list(_local(queries[b], v, cuts))
                 gathered = np.zeros(parts[0][0].shape, bool)
                 for i, (x, error) in enumerate(parts):
-                    least[i, b] = np.minimum(least[i, b], (x - error).min(axis=1))
+                    least[i, b] = np.minimum(least[i, b], (x if error is None else x - error).min(axis=1))
                     at = min(max(k + 1, DEPTH), x.shape[1])
                     gathered |= x >= np.partition(x, -at, axis=1)[:, -at][:, None]
                 known = np.where(gathered & (own[b][:, None] != at_rows), _sums(parts)[0], -np.inf)
@@ -203,18 +206,33 @@ def _round(spark, rows: DataFrame, some: list, k: int, cuts: list[tuple[int, int
             for b in blocks:
                 parts = list(_local(queries[b], v, cuts))
                 cap = tau1[b][:, None]
-                low, high = np.zeros(parts[0][0].shape), np.zeros(parts[0][0].shape)
+                low = high = 0.0
+                keep = own[b][:, None] != at_rows
+                some = np.isneginf(cap) & keep  # a local score at or above the cutoff: without one a vector stays below
                 for i, (scores, error) in enumerate(parts):
                     shifted = scores - mins[i][b][:, None]
-                    over = m * (shifted + error) >= cap
-                    low += np.where(over, np.maximum(shifted - error, 0.0), 0.0)
-                    high += np.where(over, shifted + error, np.maximum(cap, 0.0) / m)
-                rough = np.ndim(parts[0][1]) > 0
-                slack = (np.abs(high) + sum(np.abs(x[b])[:, None] for x in mins)) * 2.0**-49 if rough else 0.0
-                sure, possible = _sums(parts)
-                at_q, at_v = np.nonzero((high + slack >= cap) & (possible > -np.inf) & (own[b][:, None] != at_rows[None, :]))
-                lower = np.where((sure > -np.inf) & known[b][:, None], low - slack, -np.inf)
-                columns = [own[b][at_q], at_rows[at_v], lower[at_q, at_v], (high + slack)[at_q, at_v]]
+                    if error is None:
+                        needed = np.ceil(cap / m)  # scores are integers
+                        over = shifted >= needed
+                        low = low + np.where(over, shifted, 0.0)
+                        high = high + np.where(over, shifted, np.maximum(needed - 1, 0.0))
+                    else:
+                        over = m * (shifted + error) >= cap
+                        low = low + np.where(over, np.maximum(shifted - error, 0.0), 0.0)
+                        high = high + np.where(over, shifted + error, np.maximum(cap, 0.0) / m)
+                    some |= over
+                lower = low
+                keep &= some
+                if parts[0][1] is not None:
+                    slack = (np.abs(high) + sum(np.abs(x[b])[:, None] for x in mins)) * 2.0**-49
+                    sure, possible = _sums(parts)
+                    lower, high = np.where(sure > -np.inf, low - slack, -np.inf), high + slack
+                    keep &= possible > -np.inf
+                if not known[b].all():
+                    lower = np.where(known[b][:, None], lower, -np.inf)
+                keep &= high >= cap
+                at_q, at_v = np.nonzero(keep)
+                columns = [own[b][at_q], at_rows[at_v], lower[at_q, at_v], high[at_q, at_v]]
                 yield pa.record_batch([pa.array(c) for c in columns], ["query", "row", "lower", "upper"])
 
     # Phase 2.
