@@ -194,13 +194,16 @@ def _round(spark, rows: DataFrame, some: list, k: int, cuts: list[tuple[int, int
             shift[:, where[r.query]], bounded[where[r.query]] = r.least, True
             if r.known is not None:
                 total = r.known - sum(r.least)
-                tau[where[r.query]] = total - abs(total) * 2.0**-50 if abs(r.known) + sum(map(abs, r.least)) >= EXACT else total
+                size = abs(r.known) + sum(map(abs, r.least))
+                tau[where[r.query]] = total - size * 2.0**-50 if size >= EXACT / 4 else total
     cutoff = spark.sparkContext.broadcast((tau, shift, bounded))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, _, queries = sent.value
         queries = scaled(queries)
         tau1, mins, known = cutoff.value
+        size = np.abs(mins).sum(axis=0) + np.where(np.isfinite(tau1), np.abs(tau1), 0.0)
+        rounding = np.where(size < EXACT / 4, 0.0, size * 2.0**-49)  # of shifted scores and of their sums
         for batch in _parts(batches):
             at_rows, v = batch.column("row").to_numpy(), _matrix(batch.column("v"), width, scale)
             for b in blocks:
@@ -209,24 +212,23 @@ def _round(spark, rows: DataFrame, some: list, k: int, cuts: list[tuple[int, int
                 low = high = 0.0
                 keep = own[b][:, None] != at_rows
                 some = np.isneginf(cap) & keep  # a local score at or above the cutoff: without one a vector stays below
+                loose = rounding[b][:, None]
                 for i, (scores, error) in enumerate(parts):
                     shifted = scores - mins[i][b][:, None]
-                    if error is None:
-                        needed = np.ceil(cap / m)  # scores are integers
-                        over = shifted >= needed
-                        low = low + np.where(over, shifted, 0.0)
-                        high = high + np.where(over, shifted, np.maximum(needed - 1, 0.0))
+                    if error is None and not loose.any():
+                        top = bottom = shifted
                     else:
-                        over = m * (shifted + error) >= cap
-                        low = low + np.where(over, np.maximum(shifted - error, 0.0), 0.0)
-                        high = high + np.where(over, shifted + error, np.maximum(cap, 0.0) / m)
+                        give = loose if error is None else error + loose + 1
+                        top, bottom = shifted + give, np.maximum(shifted - give, 0.0)
+                    over = top >= cap / m
                     some |= over
+                    low = low + np.where(over, bottom, 0.0)
+                    high = high + np.where(over, top, np.maximum(cap, 0.0) / m)
                 lower = low
                 keep &= some
                 if parts[0][1] is not None:
-                    slack = (np.abs(high) + sum(np.abs(x[b])[:, None] for x in mins)) * 2.0**-49
                     sure, possible = _sums(parts)
-                    lower, high = np.where(sure > -np.inf, low - slack, -np.inf), high + slack
+                    lower = np.where(sure > -np.inf, low, -np.inf)
                     keep &= possible > -np.inf
                 if not known[b].all():
                     lower = np.where(known[b][:, None], lower, -np.inf)
