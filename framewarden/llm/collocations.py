@@ -9,15 +9,15 @@ is then semi-joined with them before it is extended again.
   sorted relation is held against itself one row on.
 - Before the longer phrases are counted by their words, they are counted by 32 bits of hash: only phrases whose hash is frequent
   are shuffled with their words, and these counts are the ones that decide.
-- Words are 64-bit hashes with a seed. The first count also holds the least and the greatest word of each hash; if two words
-  share one, all starts again with another seed. So the counts are exact.
+- Words are 64-bit hashes with a seed. The count of words also holds the least and the greatest word of each hash that occurs often
+  enough; if two words share one, all starts again with another seed. So the counts are exact.
 - The semi-join goes by a bitmap of the frequent phrases' hashes, of 32 MB at most whatever their number. What it lets through
   wrongly doesn't count: a longer phrase is only kept by its own exact count, and it can't be more frequent than its parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -33,7 +33,7 @@ from .words import POWERS, give_back, mix, text_slices
 BLOCK = 1 << 19
 #: Phrases' hashes that a task adds up at a time.
 HELD = 1 << 20
-#: Bits of the bitmap: eight for each frequent phrase, within these bounds.
+#: Bits of the bitmap: sixty-four for each frequent phrase or more, within these bounds.
 FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Rows of (language, hash, count) that may be broadcast; their number is counted before.
 BROADCAST_ROWS = 200_000
@@ -127,7 +127,7 @@ def hashes_of(frequent: DataFrame, k: int) -> DataFrame:
 
 def bitmap(hashes: DataFrame, n: int) -> np.ndarray:
     """One bit for the low bits of each of n hashes: at most MOST_BITS bits, put together by Spark."""
-    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (8 * n).bit_length()))
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (64 * n).bit_length()))
     at = F.col("h").bitwiseAND(F.lit(bits - 1))
     marked = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("bit")).toArrow()
     out = np.zeros(bits // 64, np.int64)
@@ -188,11 +188,9 @@ def first_relation(docs: DataFrame, lang: Column, text_col: str, seed: int) -> D
     return base.mapInArrow(run, f"{RELATION}, counts array<long>, spelt array<string>")
 
 
-def busy_buckets(relation: DataFrame, k: int, keep: np.ndarray, often: int) -> DataFrame:
-    """(h): the hashes under which phrases of k + 1 words occur ``often`` times together, from the relation of length k semi-joined with
-    the bitmap of its frequent phrases. Every frequent phrase has one of them, few others do: a row of this count is a third as
-    wide as one with the words."""
-    sent = relation.sparkSession.sparkContext.broadcast(keep)
+def busy_hashes(relation: DataFrame, often: int, counted: Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(h): the hashes under which the phrases that ``counted`` makes of the blocks occur ``often`` times together. Every frequent phrase
+    has one of them, few others do: a row of this count is a third as wide as one with the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -206,8 +204,7 @@ def busy_buckets(relation: DataFrame, k: int, keep: np.ndarray, often: int) -> D
 
         for batch in batches:
             for i in range(batch.num_rows):
-                below = Block.of(batch, i, k)
-                phrases, counts = below.semi_join(in_bitmap(sent.value, below.words)).counts()
+                phrases, counts = counted(batch, i)
                 held.append((phrase_hashes(phrases), counts))
                 if sum(len(h) for h, _ in held) > HELD:
                     yield from flush()
@@ -216,10 +213,41 @@ def busy_buckets(relation: DataFrame, k: int, keep: np.ndarray, often: int) -> D
         give_back()
 
     # a task has added its own up: its rows are shuffled as they are, without a second table of them in its executor
-    counts = relation.select(COLUMNS).mapInArrow(run, "h long, n long").repartition("h")
+    counts = relation.mapInArrow(run, "h long, n long").repartition("h")
     return counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("h")
 
 
+def busy_words(relation: DataFrame, often: int) -> DataFrame:
+    """`busy_hashes` of the single words."""
+    return busy_hashes(relation.select("words", "counts"), often, lambda batch, i: (batch.column("words")[i].values.to_numpy()[:, None], batch.column("counts")[i].values.to_numpy()))
+
+
+def busy_phrases(relation: DataFrame, k: int, keep: np.ndarray, often: int) -> DataFrame:
+    """`busy_hashes` of the phrases of k + 1 words, from the relation of length k semi-joined with the bitmap of its frequent phrases."""
+    sent = relation.sparkSession.sparkContext.broadcast(keep)
+
+    def counted(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        below = Block.of(batch, i, k)
+        return below.semi_join(in_bitmap(sent.value, below.words)).counts()
+
+    return busy_hashes(relation.select(COLUMNS), often, counted)
+
+
+def listed_words(relation: DataFrame, busy: np.ndarray) -> DataFrame:
+    """(lang, w1, n, word) of the words of all blocks whose hash is in the bitmap ``busy``, block by block."""
+    sent = relation.sparkSession.sparkContext.broadcast(busy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, lang in enumerate(batch.column("lang").to_pylist()):
+                words = batch.column("words")[i].values
+                at = pa.array(np.flatnonzero(in_bitmap(sent.value, words.to_numpy()[:, None])))
+                yield pa.record_batch([pa.repeat(pa.scalar(lang), len(at)), words.take(at), batch.column("counts")[i].values.take(at), batch.column("spelt")[i].values.take(at)], ["lang", "w1", "n", "word"])
+        give_back()
+
+    return relation.select("lang", "words", "counts", "spelt").mapInArrow(run, "lang string, w1 long, n long, word string")
+
+
 def counts_of_longer(relation: DataFrame, k: int, keep: np.ndarray, busy: np.ndarray) -> DataFrame:
     """(lang, w1.., n): how often each phrase of k + 1 words occurs, if its hash is in the bitmap ``busy``; all counts are whole."""
     sent = relation.sparkSession.sparkContext.broadcast((keep, busy))
@@ -274,9 +302,11 @@ def mine(docs: DataFrame, longest: int, often: int, lang: Column, text_col: str)
     """All phrases of up to ``longest`` words that occur ``often`` times in their language, with exact counts."""
     for seed in range(1, 9):
         relation = stage(first_relation(docs, lang, text_col, seed), "occurrences-1")
-        listed = relation.select("lang", F.inline(F.arrays_zip(F.col("words").alias("w1"), F.col("counts").alias("n"), F.col("spelt").alias("word"))))
+        buckets = stage(busy_words(relation, often), "buckets")
+        listed = listed_words(relation, bitmap(buckets, buckets.count()))
+        unstage(buckets)
         summed = listed.groupBy("lang", "w1").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
-        words = stage(summed.where((F.col("n") >= often) | (F.col("word") != F.col("other"))), "words")
+        words = stage(summed.where(F.col("n") >= often), "words")
         if not words.where("word != other").limit(1).count():
             break
         unstage(relation, words)
@@ -286,7 +316,7 @@ def mine(docs: DataFrame, longest: int, often: int, lang: Column, text_col: str)
     found = Levels(totals, words, {}, {0: totals.count(), 1: words.count()})
     keep = bitmap(hashes_of(words, 1), found.sizes[1])
     for k in range(1, longest):
-        buckets = stage(busy_buckets(relation, k, keep, often), "buckets")
+        buckets = stage(busy_phrases(relation, k, keep, often), "buckets")
         busy = bitmap(buckets, buckets.count())
         unstage(buckets)
         longer = found.phrases[k + 1] = stage(counts_of_longer(relation, k, keep, busy).where(F.col("n") >= often), f"phrases-{k + 1}")
