@@ -1,8 +1,9 @@
 """Trackers on event time: frames may come in any order, in parts and more than once.
 
-Rows wait by frame and detection until the watermark has passed their frame; a timer then takes all complete frames in order through
-the tracker. Its state lies apart by track, motion id and gallery entry, so that a micro-batch writes what it changed only. Rows later
-than the watermark are dropped by Spark; a row that comes again takes its own place.
+Rows wait in a list, an item for what a micro-batch brings of a frame, until the watermark has passed their frame. A run has one timer,
+that of its earliest waiting frame; it takes all complete frames in order through the tracker and sets the next one, so the list is
+read once for all frames that are due. The tracker's state lies apart by track, motion id and gallery entry, so that a micro-batch
+writes of it what it changed only. Rows later than the watermark are dropped by Spark; a row that comes again takes its own place.
 
 The state store must be RocksDB (`rocksdb`).
 """
@@ -19,7 +20,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from .trackers import OUT, MotionTracker, Row, Track, Tracker
 
-WAITING = "ms long, x0 double, y0 double, x1 double, y1 double, label string, motion long, embedding array<double>"
+#: Some rows of a frame; the one without a detection is not among them.
+WAITING = "frame_idx long, ms long, det_idx array<int>, boxes array<array<double>>, labels array<string>, motions array<long>, embeddings array<array<double>>"
 TRACK = "place int, live boolean, x0 double, y0 double, x1 double, y1 double, label string, motion long, misses long, ema array<double>, embs array<array<double>>, mean array<double>"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -43,6 +45,20 @@ def _array(v: list[float] | None) -> np.ndarray | None:
     return None if v is None else np.asarray(v, float)
 
 
+def _items(part: pd.DataFrame) -> list[tuple]:
+    """The rows of a part by frame, as items of the waiting list."""
+    ms = part["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64).tolist()
+    embs = part["embedding"] if "embedding" in part else [None] * len(part)
+    out: dict[int, tuple] = {}
+    columns = (part.frame_idx.tolist(), ms, part.det_idx.tolist(), part[["x0", "y0", "x1", "y1"]].to_numpy(float).tolist(), part.label, part.motion_id.tolist(), embs)
+    for frame, at, det, box, label, motion, emb in zip(*columns, strict=True):
+        item = out.setdefault(frame, (frame, at, [], [], [], [], []))
+        if pd.notna(det):
+            for values, value in zip(item[2:], (int(det), box, str(label), int(motion), _list(emb)), strict=True):
+                values.append(value)
+    return list(out.values())
+
+
 def tracks_of(tracker: Tracker) -> dict[int, tuple]:
     """The tracks as rows, by id, with their places in the order of the tracker."""
     if isinstance(tracker, MotionTracker):
@@ -69,7 +85,8 @@ class EventTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "frame_idx long, det_idx int", WAITING)
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.timer = handle.getValueState("timer", "ms long")
         self.tracks = handle.getMapState("tracks", "object_id long", TRACK)
         self.motions = handle.getMapState("motions", "motion long", "object_id long")
         self.gallery = handle.getMapState("gallery", "object_id long", "place int, vector array<double>, last_frame long, updates long")
@@ -77,35 +94,49 @@ class EventTracker(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.facts.get()[3] if self.facts.exists() else -1
-        due = set()
+        new: list[tuple] = []
         for part in rows:
-            ms = part["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64)
-            embs = part["embedding"] if "embedding" in part else [None] * len(part)
-            columns = (part.frame_idx, part.det_idx, ms, part.x0, part.y0, part.x1, part.y1, part.label, part.motion_id, embs)
-            for frame, det, at, x0, y0, x1, y1, label, motion, emb in zip(*columns, strict=True):
-                if frame > last:  # frames that were taken through the tracker are done
-                    real = pd.notna(det)
-                    box = (float(x0), float(y0), float(x1), float(y1), str(label), int(motion)) if real else (None,) * 6
-                    self.waiting.updateValue((int(frame), int(det) if real else -1), (int(at), *box, _list(emb)))
-                    due.add(int(at))
-        for at in due:
-            self.handle.registerTimer(at + 1)
+            part = part[part["frame_idx"] > last]  # frames that were taken through the tracker are done
+            if len(part):
+                new += _items(part)
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(item[1] for item in new) + 1)
         yield from ()
 
+    def _wake(self, at: int) -> None:
+        """The run's timer goes off at ``at`` at the latest."""
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is None or at < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ready = sorted((k, v) for k, v in self.waiting.iterator() if v[0] < timerValues.getCurrentWatermarkInMs())
-        if not ready:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        frames: dict[int, dict[int, Row]] = {}
+        rest = []
+        for item in self.waiting.get():
+            if item[1] >= watermark:
+                rest.append(tuple(item))
+                continue
+            dets = frames.setdefault(item[0], {})
+            for det, box, label, motion, emb in zip(*item[2:], strict=True):
+                dets[det] = Row(tuple(box), label, motion, _array(emb))
+        self.timer.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake(min(item[1] for item in rest) + 1)
+        else:
+            self.waiting.clear()
+        if not frames:
             return
         tracker, before = self._load()
-        frames: dict[int, list] = {}
-        for (frame, det), value in ready:
-            frames.setdefault(frame, [])
-            if det >= 0:
-                frames[frame].append((det, value))
-            self.waiting.removeKey((frame, det))
         out: list[tuple] = []
-        for frame, dets in frames.items():
-            ids = tracker.step([Row(tuple(v[1:5]), v[5], v[6], _array(v[7])) for _, v in dets])
+        for frame in sorted(frames):
+            dets = sorted(frames[frame].items())
+            ids = tracker.step([r for _, r in dets])
             out += [(key[0], frame, det, i) for (det, _), i in zip(dets, ids, strict=True)]
         self._save(tracker, before, max(frames))
         if out:
@@ -114,8 +145,8 @@ class EventTracker(StatefulProcessor):
     def _load(self) -> tuple[Tracker, tuple[dict, dict, dict]]:
         tracker = self.make()
         tracks = {k[0]: tuple(v) for k, v in self.tracks.iterator()}
-        motions = {k[0]: v[0] for k, v in self.motions.iterator()}
-        gallery = {k[0]: tuple(v) for k, v in self.gallery.iterator()}
+        motions = {k[0]: v[0] for k, v in self.motions.iterator()} if hasattr(tracker, "by_motion") else {}
+        gallery = {k[0]: tuple(v) for k, v in self.gallery.iterator()} if getattr(tracker, "gallery", None) is not None else {}
         put_tracks(tracker, tracks)
         if self.facts.exists():
             tracker.next_id, tracker.recoveries, tracker.frame, _ = self.facts.get()

@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from framewarden.plans.queries import QUERIES
 from framewarden.streaming import trackers as T
-from framewarden.streaming.event_trackers import rocksdb, track_events
+from framewarden.streaming.event_trackers import EventTracker, rocksdb, track_events
 
 DET = "run_id string, frame_idx long, det_idx int, x0 double, y0 double, x1 double, y1 double, label string, conf double, motion_id long, embedding array<double>"
 
@@ -195,3 +196,59 @@ def test_reentry_query_against_plain_rules(spark):
     assert first & {r[3] for r in got if 400 <= r[1] < 600}  # some came back elsewhere
 
 
+
+
+class CountedState:
+    """A state variable in memory that counts the calls."""
+
+    def __init__(self, calls):
+        self.items, self.calls = {}, calls
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls[name] = self.calls.get(name, 0) + 1
+            if name in ("appendList", "put"):
+                self.items[None] = (self.items.get(None, []) if name == "appendList" else []) + args[0]
+            elif name in ("update", "updateValue"):
+                self.items[args[0] if len(args) > 1 else None] = args[-1]
+            elif name in ("clear", "removeKey"):
+                self.items.pop(args[0] if args else None, None)
+            return {"exists": None in self.items, "get": self.items.get(None, ()), "iterator": iter(self.items.items())}.get(name)
+
+        return call
+
+
+class CountedHandle:
+    def __init__(self):
+        self.calls, self.timers = {}, set()
+
+    def getListState(self, *_):  # noqa: N802
+        return CountedState(self.calls)
+
+    getMapState = getValueState = getListState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_run_has_one_timer_and_its_rows_are_read_once(spark):
+    handle, events = CountedHandle(), EventTracker(T.MotionTracker)
+    events.init(handle)
+    rows = [(f, d, pd.Timestamp(f + 1000, unit="s"), 10.0 + 40 * d, 0.0, 40.0 + 40 * d, 60.0, "person", -1) for f in range(150) for d in range(5)]
+    part = pd.DataFrame(rows, columns=["frame_idx", "det_idx", "ts", "x0", "y0", "x1", "y1", "label", "motion_id"])
+    for some in (part[part.frame_idx >= 75], part[part.frame_idx < 75]):
+        assert not list(events.handleInputRows(("r",), iter([some]), None))
+    assert handle.timers == {1_000_001}
+    handle.timers.clear()
+    out = list(events.handleExpiredTimer(("r",), Clock(1_100_000), None))
+    assert [len(x) for x in out] == [500] and sorted(set(out[0].object_id)) == [1, 2, 3, 4, 5]
+    assert handle.timers == {1_100_001}  # the first frame that isn't due
+    assert sum(handle.calls.values()) < 50  # not some for every row
