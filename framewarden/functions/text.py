@@ -58,11 +58,24 @@ def fmt_bytes(n: Column) -> Column:
     return F.when(n.isNull(), "—").otherwise(out.otherwise(F.format_string("%.2f TB", F.bround(x / 1024.0**4, 2))))
 
 
+def one_digit(x: Column) -> Column:
+    """x (0 or more) with one digit after the point: the nearest one to the double as it is, ties to the even digit, as printf has it.
+
+    The double nearest to 12.35 is less than that, so it is 12.3. The distance from the middle of two digits is exact where it is small:
+    16 x and 4 x are, and so are the differences of numbers that are near each other."""
+    k = F.floor(x * 10)
+    off = (x * 16 - (2 * k + 1)) + x * 4
+    n = k + F.when((off > 0) | ((off == 0) & (k % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def fmt_sec(s: Column) -> Column:
+    """Seconds as text: to a tenth below a minute (`one_digit`), minutes and whole seconds (ties to even) below an hour, else hours and
+    minutes; a dash for null and less than 0."""
     m = F.floor(s / 60)
     return (
         F.when(s.isNull() | (s < 0), "—")
-        .when(s < 60, F.format_string("%.1f с", F.bround(s, 1)))
+        .when(s < 60, F.concat(one_digit(s), F.lit(" с")))
         .when(m < 60, F.format_string("%d мин %s с", m, F.bround(s - m * 60).cast("int").cast("string")))
         .otherwise(F.format_string("%d ч %d мин", F.floor(m / 60), m % 60))
     )

@@ -600,7 +600,9 @@ register("enrich_tracklets", """SELECT run_id, object_id, object_id % 3 = 0 AS f
     ).select("run_id", "object_id", "filled", F.round(F.col("embedding")[0], 5).alias("first"), F.round(F.col("embedding")[63], 5).alias("last"))
 )
 register("l2_normalize", "SELECT run_id, object_id, round(e[1] / norm, 6) AS first FROM ck_vectors")(lambda fx: fx.tracklet_vectors.select("run_id", "object_id", F.round(VEC.l2_normalize(F.col("embedding"))[0], 6).alias("first")))
-register("fmt_texts", "SELECT job_id, CASE WHEN elapsed_sec < 60 THEN printf('%.1f с', round(elapsed_sec, 1)) ELSE concat(CAST(floor(elapsed_sec / 60) AS INT), ' мин ', CAST(round_even(elapsed_sec - 60 * floor(elapsed_sec / 60), 0) AS INT), ' с') END AS elapsed FROM fx_jobs")(
+register("fmt_texts", """SELECT job_id, CASE WHEN elapsed_sec IS NULL OR elapsed_sec < 0 THEN '—' WHEN elapsed_sec < 60 THEN printf('%.1f с', elapsed_sec)
+ WHEN floor(elapsed_sec / 60) < 60 THEN concat(CAST(floor(elapsed_sec / 60) AS BIGINT), ' мин ', CAST(round_even(elapsed_sec - 60 * floor(elapsed_sec / 60), 0) AS INT), ' с')
+ ELSE concat(CAST(floor(elapsed_sec / 3600) AS BIGINT), ' ч ', CAST(floor(elapsed_sec / 60) AS BIGINT) % 60, ' мин') END AS elapsed FROM fx_jobs""")(
     lambda fx: fx.jobs.select("job_id", T.fmt_sec(F.col("elapsed_sec")).alias("elapsed"))
 )
 

@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -16,6 +17,7 @@ from framewarden.operators import places
 from framewarden.operators import reports as R
 from framewarden.operators import runs as U
 from framewarden.operators import verdicts as V
+from framewarden.plans.queries import ORACLE_SQL, QUERIES
 from framewarden.sources import hooks, io
 
 PERSON = "run_id string, frame_idx long, inst_idx int, object_id long, x0 double, y0 double, x1 double, y1 double"
@@ -92,6 +94,26 @@ def test_slug_and_formats(spark):
     assert tuple(r) == ("hard_hat_x", "1.50 KB", "1 мин 1 с", "—")
 
 
+def test_seconds_on_ties_and_beyond_an_hour(spark, tmp_path):
+    """The prices of jobs as their times: in the middle of two digits, below 0, null and long ones; Spark, DuckDB and Python agree."""
+
+    def text(s):
+        if s is None or s < 0:
+            return "—"
+        m, r = int(s // 60), s - int(s // 60) * 60
+        return f"{s:.1f} с" if s < 60 else f"{m} мин {r:.0f} с" if m < 60 else f"{m // 60} ч {m % 60} мин"
+
+    secs = [k / 20 for k in range(1300)] + [12.349999999999998, 59.96, 60.0, 3599.4, 3600.0, 90061.0, -1.0, None]
+    rows = [(i, None if s is None else s * 1000) for i, s in enumerate(secs)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").selectExpr("*", "1L o_custkey", "'F' o_orderstatus", "timestamp'2024-01-01' o_orderdate", "'1' o_orderpriority")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    want = {i: text(None if p is None else p / 1000) for i, p in rows}
+    assert {r.job_id: r.elapsed for r in QUERIES["fmt_texts"](spark, str(tmp_path)).collect()} == want
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert dict(duck.execute(ORACLE_SQL["fmt_texts"]).fetchall()) == want
+
+
 def test_runs_and_geometry_round_trip(spark):
     rng = random.Random(1)
     masks = {m: [int(rng.random() < p) for _ in range(35)] for m, p in enumerate([0, 1, 0.5, 0.2, 0.8])}
