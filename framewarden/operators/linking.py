@@ -133,6 +133,10 @@ class Clusters:
             self.of[oid] = large
         return True
 
+    def final(self, oid: int) -> int:
+        """The least id of the cluster of an id."""
+        return min(self.of[oid][2])
+
     def finals(self) -> dict[int, int]:
         """The least id of the cluster of each id."""
         least = {id(c): min(c[2]) for c in self.of.values()}
