@@ -68,7 +68,7 @@ def _alike_pairs(tracklets: DataFrame, min_sim: float) -> DataFrame:
     on the run alone. Vectors of different widths don't meet, those of length 0 are like nothing."""
     row = F.struct(F.col("object_id").alias("key"), "start_frame", "end_frame", "first_box", "last_box").alias("row")
     unit = tracklets.withColumn("v", l2_normalize(F.col("embedding").cast("array<double>"))).where("v is not null")
-    side = unit.select(F.struct("run_id", F.size("v").alias("width")).alias("grp"), row, "v")
+    side = written(unit.select(F.struct("run_id", F.size("v").alias("width")).alias("grp"), row, "v"), "vectors")
     with_run = side.withColumn("row", F.col("row").withField("run_id", F.col("grp.run_id")))
     pairs = similar_pairs(with_run, side, min_sim).where("a.key <> b.key and a.end_frame < b.start_frame")
     columns = [F.col(f"{n}.{'key' if c == 'object_id' else c}").alias(f"{n}_{c}") for n in "ab" for c in ("object_id", "start_frame", "end_frame", "first_box", "last_box")]
@@ -212,7 +212,7 @@ def gallery_query(queries: DataFrame, gallery: DataFrame, exclude: DataFrame | N
     if exclude is not None:
         lists = exclude.groupBy("query_id").agg(F.collect_set(F.col("object_id").cast("long")).alias("exclude"))
         asked = queries.join(lists.hint("merge"), "query_id", "left").withColumn("exclude", F.coalesce("exclude", out))
-    known = unit(gallery).select(grp, F.struct(F.col("object_id").alias("key"), F.col("object_id").cast("long").alias("object_id"), "insert_order").alias("row"), "v")
+    known = written(unit(gallery).select(grp, F.struct(F.col("object_id").alias("key"), F.col("object_id").cast("long").alias("object_id"), "insert_order").alias("row"), "v"), "identities")
     return nearest(unit(asked).select(grp, F.struct(F.col("query_id").alias("key"), "exclude").alias("row"), "v"), known, min_sim).withColumnRenamed("key", "query_id")
 
 

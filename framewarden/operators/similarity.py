@@ -1,6 +1,6 @@
 """Exact joins by cosine within groups, without a join on the group alone.
 
-Every group has a few pivots. A vector of the one side lives in the cell of its nearest pivot; one of the other side visits the
+A group of no more residents than a block holds is one block, which each visitor meets once. A larger one has a few pivots. A vector of the one side lives in the cell of its nearest pivot; one of the other side visits the
 cells that can hold a partner: the angle is a metric, so a cell with the largest angle r to its pivot can only hold one if the
 visitor's angle to that pivot is at most r plus the angle of the threshold. Large cells are cut into blocks of a stated size. The
 task of a block reads its residents as one matrix and streams the visitors past it, so no pair is a row of a shuffle.
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
@@ -56,7 +56,16 @@ def blocks_of(left: DataFrame, right: DataFrame, min_sim: float, pivots: int = P
     """Residents (role 0, row in a) and visitors (role 1, row in b) of blocks: grp, cell, block, role, a, b, v. Both sides are (grp, row, v) with unit
     vectors of one width a group; ``row`` is a struct with a field ``key``, unique in its group.
 
-    Results don't depend on the pivots, which are vectors of the left side chosen by a hash; the work does."""
+    Results don't depend on the pivots, which are vectors of the left side chosen by a hash; the work does. ``left`` is read several
+    times."""
+    large = written(left.groupBy("grp").count().where(F.col("count") > block).select("grp"), "large")
+    n_large = large.count()
+    if not n_large:
+        return one_block(left, right)
+    marks = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large.hint("merge")
+    of = lambda side, how: side.join(marks, "grp", how).select("grp", "row", "v")
+    small = one_block(of(left, "left_anti"), of(right, "left_anti"))
+    left, right = of(left, "left_semi"), of(right, "left_semi")
     chosen = written(pivots_of(left, pivots), "pivots")
     n_groups = chosen.count()
     residents = written(with_angles(left, chosen, n_groups).withColumn("cell", F.expr("cast(array_position(angles, array_min(angles)) as int)")), "residents")
@@ -66,13 +75,23 @@ def blocks_of(left: DataFrame, right: DataFrame, min_sim: float, pivots: int = P
     hint = F.broadcast if n_groups <= BROADCAST_GROUPS else (lambda df: df.hint("merge"))
     reach = math.acos(max(-1.0, min(1.0, min_sim))) + SLACK
     own = residents.join(hint(table), "grp").withColumn("c", F.element_at(F.filter("cells", lambda c: c["cell"] == F.col("cell")), 1))
-    no = lambda side: F.lit(None).cast(side.schema["row"].dataType)
-    own = own.select("grp", "cell", F.pmod(F.xxhash64("row.key"), F.col("c.blocks")).cast("int").alias("block"), F.lit(0).alias("role"), F.col("row").alias("a"), no(right).alias("b"), "v")
+    own = own.select("grp", "cell", F.pmod(F.xxhash64("row.key"), F.col("c.blocks")).cast("int").alias("block"), F.lit(0).alias("role"), F.col("row").alias("a"), none_of(right).alias("b"), "v")
     seen = with_angles(right, chosen, n_groups).join(hint(table), "grp")
     near = F.filter("cells", lambda c: F.get("angles", c["cell"] - 1) <= c["reach"] + reach)
     into = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda b: F.struct(c["cell"].alias("cell"), b.alias("block")))))
-    visits = seen.select("grp", F.explode(into).alias("to"), "row", "v").select("grp", "to.cell", "to.block", F.lit(1).alias("role"), no(left).alias("a"), F.col("row").alias("b"), "v")
-    return own.unionByName(visits)
+    visits = seen.select("grp", F.explode(into).alias("to"), "row", "v").select("grp", "to.cell", "to.block", F.lit(1).alias("role"), none_of(left).alias("a"), F.col("row").alias("b"), "v")
+    return small.unionByName(own).unionByName(visits)
+
+
+def none_of(side: DataFrame) -> Column:
+    return F.lit(None).cast(side.schema["row"].dataType)
+
+
+def one_block(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each group as one block."""
+    place = ["grp", F.lit(1).alias("cell"), F.lit(0).alias("block")]
+    own = left.select(*place, F.lit(0).alias("role"), F.col("row").alias("a"), none_of(right).alias("b"), "v")
+    return own.unionByName(right.select(*place, F.lit(1).alias("role"), none_of(left).alias("a"), F.col("row").alias("b"), "v"))
 
 
 def pivots_of(left: DataFrame, pivots: int) -> DataFrame:
@@ -85,7 +104,8 @@ def pivots_of(left: DataFrame, pivots: int) -> DataFrame:
 def matched(blocks: DataFrame, found: Found, schema: str | StructType) -> DataFrame:
     """Each block's residents as one matrix, its visitors streamed past them: ``found`` gets some residents' rows, some visitors' rows
     and their scores (visitors x residents), and makes rows of them."""
-    ordered = blocks.repartition("grp", "cell", "block").sortWithinPartitions("grp", "cell", "block", "role")
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work goes with pairs, so few bytes are no reason for few tasks
+    ordered = blocks.repartition(tasks, "grp", "cell", "block").sortWithinPartitions("grp", "cell", "block", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, vectors = None, [], []

@@ -49,6 +49,15 @@ def test_visitors_go_to_few_cells(spark):
     assert max(r.residents for r in rows) < 60
 
 
+def test_small_groups_are_one_block(spark):
+    """A visitor of a group that a block can hold is not copied into cells."""
+    rng = np.random.default_rng(2)
+    data = [(f"g{g}", i, v) for g in range(3) for i, v in enumerate(vectors(rng, 85))] + [("big", i, v) for i, v in enumerate(vectors(rng, 300))]
+    blocks = SIM.blocks_of(side(spark, data), side(spark, data), 0.2, 16, 100)
+    assert blocks.where("grp.run_id != 'big'").count() == 3 * 2 * 85
+    assert blocks.where("grp.run_id = 'big' and role = 0").count() == 300
+
+
 def test_nearest_with_ties_and_exclusions(spark):
     rng = random.Random(4)
     known = [("r", i, [1.0, 0.0, 0.0] if i < 3 else [rng.gauss(0, 1) for _ in range(3)]) for i in range(40)] + [("s", 7, [1.0, 0.0, 0.0])]
