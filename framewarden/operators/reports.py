@@ -232,7 +232,8 @@ def assemble_instances(instances: DataFrame, v: DataFrame, keypoints: DataFrame,
 
     The mask is that of ``masks`` (run, frame, inst, height, width, counts), else the box filled on the run's frame; rows whose mask is
     empty go. v: (run, frame, inst, ok, warning); keypoints: (run, frame, inst, id, x, y, conf). Instances may have a
-    ``prompt_ref`` (`resolve_prompt_id`): those with one get it as prompt_id and, if the label has a slug, in ``slug_ids``."""
+    ``prompt_ref`` (`resolve_prompt_id`): those with one get it as prompt_id and, if the label has a slug, in ``slug_ids``. The runs of a
+    filled box, some numbers a line, are made after the last join, so no join shuffles or sorts them."""
     from ..functions.geometry import box, rect_mask_geometry
     from ..functions.text import label_slug
     from .masks import mask_geometry, rect_runs
@@ -243,20 +244,21 @@ def assemble_instances(instances: DataFrame, v: DataFrame, keypoints: DataFrame,
     rect = rect_mask_geometry(box(), F.col("width"), F.col("height"))
     rows = instances.join(size, "run_id").withColumns(rect)
     runs_of_box = rect_runs(*(F.col(f"bbox_{c}") for c in "xywh"), F.col("height"), F.col("width"))
-    rows = rows.withColumn("mask", F.when(F.col("area_px").isNotNull(), F.struct("height", "width", runs_of_box.alias("counts"))))
+    mask = F.struct("height", "width", runs_of_box.alias("counts"))
     if masks is not None:
         real = masks.select(F.struct(*key).alias("mask_id"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.col("counts").cast("array<long>").alias("counts"))
         measured = mask_geometry(real).join(real.hint("merge"), "mask_id").select("mask_id.*", F.struct("height", "width", "counts").alias("_mask"), *[F.col(c).alias(f"_{c}") for c in rect])
         rows = rows.join(measured.hint("merge"), key, "left")
         drawn = F.col("_mask").isNotNull()
-        rows = rows.withColumns({c: F.when(drawn, F.col(f"_{c}")).otherwise(F.col(c)) for c in (*rect, "mask")})
+        rows = rows.withColumns({c: F.when(drawn, F.col(f"_{c}")).otherwise(F.col(c)) for c in rect})
+        mask = F.when(drawn, F.col("_mask")).otherwise(mask)
     rows = rows.where("area_px > 0")
     prompt = F.col("prompt_ref") if "prompt_ref" in instances.columns else F.lit(None).cast("int")
     slug = label_slug(F.col("label"))
     judged = v.select(*key, F.col("ok").alias("cross_check_ok"), "warning")
     return rows.join(judged, key, "left").join(points.hint("merge"), key, "left").select(
         *key, "object_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area_px", "cx", "cy", "score", F.col("label").alias("prompt_label"),
-        prompt.alias("prompt_id"), F.when(prompt.isNotNull() & (slug != ""), F.create_map(F.concat(slug, F.lit("_id")), prompt)).alias("slug_ids"), "mask", "keypoints", "cross_check_ok", "warning",
+        prompt.alias("prompt_id"), F.when(prompt.isNotNull() & (slug != ""), F.create_map(F.concat(slug, F.lit("_id")), prompt)).alias("slug_ids"), mask.alias("mask"), "keypoints", "cross_check_ok", "warning",
     )
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewarden.operators import masks as M
+from framewarden.operators import reports as R
 
 
 def pixels(counts, size):
@@ -66,3 +67,19 @@ def test_rectangles_in_closed_form(spark):
     for r in df.withColumn("counts", M.rect_runs(*(F.col(c) for c in ("x", "y", "w", "h", "height", "width")))).collect():
         want = [int(r.x <= i % r.width < r.x + r.w and r.y <= i // r.width < r.y + r.h) for i in range(r.height * r.width)]
         assert pixels(r.counts, len(want)) == want and sum(r.counts) == len(want)
+
+
+def test_runs_of_boxes_are_made_after_the_joins(spark):
+    """A box of many lines has some numbers a line; no join may carry them."""
+    instances = spark.createDataFrame([("r", 0, i, i + 1, 10.0, 20.0, 60.0, 400.0, 0.5, "person") for i in range(3)], "run_id string, frame_idx long, inst_idx int, object_id long, x0 double, y0 double, x1 double, y1 double, score double, label string")
+    runs = spark.createDataFrame([("r", 1280, 720)], "run_id string, width int, height int")
+    judged = spark.createDataFrame([("r", 0, 0, True, None)], "run_id string, frame_idx long, inst_idx int, ok boolean, warning string")
+    points = spark.createDataFrame([], "run_id string, frame_idx long, inst_idx int, id int, x double, y double, conf double")
+    masks = spark.createDataFrame([("r", 0, 1, 720, 1280, [5, 3])], "run_id string, frame_idx long, inst_idx int, height int, width int, counts array<long>")
+    out = R.assemble_instances(instances, judged, points, runs, masks)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert any("array_repeat" in line for line in lines[:first]) and not any("array_repeat" in line for line in lines[first:])
+    got = {r.inst_idx: r for r in out.collect()}
+    assert sorted(got) == [0, 1, 2] and got[1].mask.counts == [5, 3] and got[1].area_px == 3
+    assert got[0].mask.counts[0] == 20 * 1280 + 10 and sum(got[0].mask.counts[1::2]) == got[0].area_px and sum(got[0].mask.counts) == 720 * 1280
