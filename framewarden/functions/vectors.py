@@ -19,7 +19,9 @@ def norm(a: Column) -> Column:
 def l2_normalize(a: Column) -> Column:
     """The vector at length 1; null if it is null, empty or shorter than 1e-8."""
     n = norm(a)
-    return F.when((F.size(a) > 0) & (n >= TINY), F.transform(a, lambda x: x.cast("double") / n))
+    # the length is bound by an outer function: within the inner one it would be computed again for every component
+    scaled = F.get(F.transform(F.array(n), lambda m: F.transform(a, lambda x: x.cast("double") / m)), F.lit(0))
+    return F.when((F.size(a) > 0) & (n >= TINY), scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:

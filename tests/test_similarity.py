@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framewarden.functions.vectors import l2_normalize
 from framewarden.operators import linking as L
 from framewarden.operators import similarity as SIM
 from framewarden.operators.components import components
@@ -49,6 +50,14 @@ def test_visitors_go_to_few_cells(spark):
     assert max(r.residents for r in rows) < 60
 
 
+def test_the_length_is_not_taken_for_every_component(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "a array<double>")
+    plan = df.select(l2_normalize(F.col("a")))._jdf.queryExecution().analyzed().toString()
+    inner = plan[plan.rindex("transform(a#") :]
+    assert "aggregate(" not in inner.split("AS")[0]
+    assert [r[0] for r in df.select(l2_normalize(F.col("a"))).collect()] == [[0.6, 0.8], None, None, None]
+
+
 def test_small_groups_are_one_block(spark):
     """A visitor of a group that a block can hold is not copied into cells."""
     rng = np.random.default_rng(2)
