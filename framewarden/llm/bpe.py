@@ -42,6 +42,8 @@ from .words import give_back, text_slices
 NEVER = np.int64(1 << 40)
 #: Runs between white space kept encoded by a task; when there are more, only those that the last slice had again stay.
 KEPT = 1 << 19
+#: Runs encoded in step; more would only take more memory.
+STEP = 1 << 14
 #: Words of more bytes are encoded one by one.
 LONG = 64
 #: Bytes of text in a slice.
@@ -434,13 +436,14 @@ class Encoder:
         new = list(runs.difference(self.kept))
         if len(self.kept) + len(new) > KEPT:  # only what has come again stays
             self.kept = {r: self.kept[r] for r in runs.intersection(self.kept)}
-        if new:
-            ids = self.tokenizer.encode_runs(new)
+        for at in range(0, len(new), STEP):
+            some = new[at : at + STEP]
+            ids = self.tokenizer.encode_runs(some)
             if self.decode:
                 decode = self.tokenizer.decode
-                self.kept.update((r, (x, decode(np.frombuffer(x, "<u4")))) for r, x in zip(new, ids, strict=True))
+                self.kept.update((r, (x, decode(np.frombuffer(x, "<u4")))) for r, x in zip(some, ids, strict=True))
             else:
-                self.kept.update(zip(new, ids, strict=True))
+                self.kept.update(zip(some, ids, strict=True))
         kept = self.kept
         for runs in split:
             if self.decode:

@@ -133,3 +133,15 @@ def test_every_character_is_split_as_the_library_does(library):
         some = texts[a : a + 20000]
         want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(some, add_special_tokens=False)]
         assert [ids for ids, _ in encoder(some)] == want
+
+
+def test_runs_are_encoded_a_bounded_number_at_a_time():
+    from framewarden.llm import bpe
+
+    tokenizer = WordTokenizer(PATH)
+    sizes, whole = [], tokenizer.encode_runs
+    tokenizer.encode_runs = lambda runs: sizes.append(len(runs)) or whole(runs)
+    texts = [" ".join(f"w{i}" for i in range(20_000)), "w1 w2 w19999"]
+    got = [ids for ids, _ in Encoder(tokenizer)(texts)]
+    assert max(sizes) <= bpe.STEP and sum(sizes) == 20_000
+    assert got == [b"".join(whole(t.split())) for t in texts]
