@@ -13,17 +13,23 @@ Whole runs. A hub may hold no more than a part of a passage. Where the seeds tha
 it, all runs of 50 words are keys too, and each is linked to the least id that holds the run: no equal passage is missed,
 however its parts are spread over smaller ids. These keys are at most the words of such places.
 
+Pairs of seeds. Of two documents that share a passage with differences, the hubs of its seeds may each hold a part too small to
+be one. What no passage covers yet is therefore linked again: its keys are pairs of seeds, 16 words from end to end, as a chain
+needs them, and each goes to the least node that holds the pair. The nodes that are looked up emit only keys that are in a
+bitmap of the open ones.
+
 Alignment. From each seed of a chain the words of both texts are compared outwards; after a difference the nearest place
 at which three words agree again is taken. Of such a path the longest part that is long and alike enough is a passage, then
 the longest ones on its left and right.
 
-Loss. Passages that differ need two shared seeds 16 words apart, so some of those below 0.9 alike are not found; the README
+Loss. The least node with a pair of seeds may hold too little of a passage as well; where that is so for all pairs of a passage
+that differs, it can be lost. Passages that differ need two shared seeds 16 words apart, so some of those below 0.9 alike are not found; the README
 has the measured recall.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -32,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .collocations import bitmap, marked
 from .staging import BROADCAST_ROWS, fresh, stage, text_batches, unstage
 from .words import POWERS, give_back, mix, shingles, text_slices, word_hashes, word_spans
 
@@ -53,6 +60,11 @@ class Settings:
     look_ahead: int = 24
     agree: int = 3
 
+    @property
+    def widest(self) -> int:
+        """Words from seed to seed of a pair in the smaller document: as in the other one, or as many more as are looked ahead."""
+        return self.min_words + self.look_ahead
+
 
 def minimizers(words: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Seeds of all texts: owner, position (in words of its text), hash. Texts of fewer than k words have none."""
@@ -248,6 +260,7 @@ def align(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int], s: Setting
 
 
 SEEDS = "doc_id long, digest binary, n_words int, hashes array<long>, positions array<int>"
+NO_SEEDS = np.zeros(0, np.int32), np.zeros(0, np.int64)
 PASSAGES = "node long, start_word int, end_word int, hub long, other_start int, other_end int, words_alike int"
 
 
@@ -291,29 +304,45 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None, id_col:
 
     seeds = slim.where("own").select("node", F.explode("seeds").alias("s")).select(F.col("s.hashes").alias("hash"), "node", F.col("s.positions").alias("x"))
     pairs = "node long, hub long, xs array<int>, ys array<int>"
+    #: ``at`` is twice the place of a shared seed, and 1 more if a smaller node has it too
+    chained_pairs = f"{pairs}, at array<int>, seeds array<long>"
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, shared = None, []
-        for pair, xs, ys in _groups(batches):
+        for pair, xs, ys, hashes in _groups(batches):
             if pair[0] != doc:
                 yield from places(doc, shared)
                 doc, shared = pair[0], []
-            shared += xs
-            if pair[0] != pair[1]:
+            smaller = int(pair[0] != pair[1])
+            shared.append((2 * np.array(xs, np.int32) + np.int32(smaller), np.concatenate(hashes)))
+            if smaller:
                 found = [c for c in chains(xs, ys, s) if xs[c[-1]] + s.k - xs[c[0]] >= s.min_span]
-                yield from pair_row(pair, [xs[i] for c in found for i in c], [ys[i] for c in found for i in c])
+                for row in pair_row(pair, [xs[i] for c in found for i in c], [ys[i] for c in found for i in c]):
+                    yield with_seeds(row, *NO_SEEDS)
         yield from places(doc, shared)
         give_back()
 
-    def places(doc: int | None, shared: list[int]) -> Iterator[pa.RecordBatch]:
-        found = runs(sorted(set(shared)), s) if doc is not None else []
-        yield from pair_row((doc, None), [a for a, _ in found], [b for _, b in found])
+    def places(doc: int | None, shared: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if doc is not None:
+            at, hashes = (np.concatenate(c) for c in zip(*shared, strict=True))
+            order = np.argsort(at)
+            at, hashes = at[order], hashes[order]
+            found = runs((at >> 1).tolist(), s)
+            close = np.diff(at >> 1) <= s.widest  # seeds without another one near are in no pair
+            near = np.append(close, False) | np.append(False, close)
+            if found or near.any():
+                row = pa.record_batch([pa.array([doc], pa.int64()), pa.array([None], pa.int64()), *(pa.array([[r[i] for r in found]], pa.list_(pa.int32())) for i in (0, 1))], ["node", "hub", "xs", "ys"])
+                yield with_seeds(row, at[near], hashes[near])
+
+    def with_seeds(row: pa.RecordBatch, *shared: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in shared]
+        return pa.record_batch([*row.columns, *columns], [*row.schema.names, "at", "seeds"])
 
     # Matches with hubs, and the places of runs of min_words words (without a hub) as far as shared seeds allow them.
     matches, hubs = _to_hubs(seeds, True)
-    chained = stage(matches.mapInArrow(chain, pairs), "chains")
+    chained = stage(matches.mapInArrow(chain, chained_pairs), "chains")
     unstage(hubs)
-    where = chained.where("hub is null").select("node", "xs", "ys")
+    where = chained.where("hub is null and size(xs) > 0").select("node", "xs", "ys")
 
     def run_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +356,7 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None, id_col:
         give_back()
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair, xs, ys in _groups(batches):
+        for pair, xs, ys, _ in _groups(batches):
             x, y = np.array(xs), np.array(ys)
             head = np.flatnonzero(np.concatenate([[True], (np.diff(x) > 1) | (np.diff(y) != np.diff(x))]))
             yield from pair_row(pair, x[head].tolist(), y[head].tolist())
@@ -338,14 +367,9 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None, id_col:
     keys = stage(run_texts.mapInArrow(run_keys, "hash long, node long, x int"), "runs")
     matches, hubs = _to_hubs(keys, False)
     whole = matches.mapInArrow(collapse, pairs)
-    merged = chained.where("hub is not null").unionByName(whole).groupBy("node", "hub").agg(F.collect_list(F.struct("xs", "ys")).alias("c"))
+    merged = chained.where("hub is not null").select("node", "hub", "xs", "ys").unionByName(whole).groupBy("node", "hub").agg(F.collect_list(F.struct("xs", "ys")).alias("c"))
     candidates = stage(merged.select("node", "hub", F.flatten("c.xs").alias("xs"), F.flatten("c.ys").alias("ys")), "candidates")
-    unstage(chained, keys, hubs)
-
-    texts = stage(_texts(base, firsts, candidates.select("node").union(candidates.select(F.col("hub").alias("node"))).distinct()), "texts")
-    left = texts.select("node", F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("hub"), F.col("text").alias("text_b"))
-    both = candidates.join(left.hint("merge"), "node").join(right.hint("merge"), "hub").select("node", "hub", "xs", "ys", "text_a", "text_b")
+    unstage(keys, hubs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hub_words = None, None
@@ -362,8 +386,25 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None, id_col:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in PASSAGES.split(", ")])
         give_back()
 
-    # two chains of a pair can meet in one passage
-    found = both.mapInArrow(run, PASSAGES).distinct()
+    def aligned(candidates: DataFrame) -> DataFrame:
+        """The passages of staged candidates (node, hub, xs, ys), staged; two chains of a pair can meet in one passage."""
+        texts = stage(_texts(base, firsts, candidates.select("node").union(candidates.select(F.col("hub").alias("node"))).distinct()), "texts")
+        left = texts.select("node", F.col("text").alias("text_a"))
+        right = texts.select(F.col("node").alias("hub"), F.col("text").alias("text_b"))
+        both = candidates.join(left.hint("merge"), "node").join(right.hint("merge"), "hub").select("node", "hub", "xs", "ys", "text_a", "text_b")
+        out = stage(both.mapInArrow(run, PASSAGES).distinct(), "passages")
+        unstage(candidates, texts)
+        return out
+
+    found = aligned(candidates)
+    shared = chained.where("hub is null and size(seeds) > 1").select("node", "at", "seeds")
+    wanted = stage(_open_keys(shared, found, s), "open")
+    n = wanted.count()
+    if n:
+        holders = _key_holders(shared, bitmap(wanted.select(F.col("key").alias("h")), n), s)
+        least = holders.groupBy("key").agg(F.min(F.struct("node", "y", "y2")).alias("least")).select("key", F.col("least.node").alias("hub"), "least.y", "least.y2")
+        found = found.unionByName(aligned(stage(_by_key(wanted, least), "candidates"))).distinct()
+    unstage(chained, wanted)
     found = found.join(firsts.select("node", F.col("first_id").alias("doc_id"), "digest").hint("merge"), "node")
     found = found.join(firsts.select(F.col("node").alias("hub"), F.col("first_id").alias("other_doc_id")).hint("merge"), "hub")
     every = found.select(copies.columns).unionByName(copies)
@@ -388,33 +429,109 @@ def pair_row(pair: tuple[int, int | None], xs: list[int], ys: list[int]) -> Iter
 def _to_hubs(keys: DataFrame, own: bool) -> tuple[DataFrame, DataFrame]:
     """Places (hash, node, x) whose hash two nodes have, as (node, hub, x, y), dealt and sorted by pair; and the hubs, staged.
 
-    The hub of a hash is its first place in the least node; with ``own`` the hub's places come as well.
+    The hub of a hash is its first place in the least node; with ``own`` the hub's places come as well, and all with their hash.
     """
     hubs = keys.groupBy("hash").agg(F.min(F.struct("node", "x")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last")
     hubs = stage(hubs.select("hash", F.col("hub.node").alias("hub"), F.col("hub.x").alias("y")), "hubs")
-    matches = keys.join(hubs.hint("merge"), "hash").select("node", "hub", "x", "y")
+    matches = keys.join(hubs.hint("merge"), "hash").select("node", "hub", "x", "y", *(["hash"] if own else []))
     return (matches if own else matches.where("node <> hub")).repartition("node").sortWithinPartitions("node", "hub", "x", "y"), hubs
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[int], list[int]]]:
+def run_ends(keys: np.ndarray, x: np.ndarray, x2: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places of one key that overlap from one to the next (as in text that repeats a few words), the first and the last."""
+    order = np.lexsort((x2, x, keys))
+    keys, x, x2 = keys[order], x[order], x2[order]
+    new = (np.diff(keys) != 0) | (np.diff(x) >= apart)
+    ends = np.append(True, new) | np.append(new, True)
+    return keys[ends], x[ends], x2[ends]
+
+
+def seed_pairs(x: np.ndarray, hashes: np.ndarray, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of seeds, sorted by place, whose places differ by ``least`` to ``most``: numbers of both, and the keys of the pairs."""
+    for lag in range(1, len(x)):
+        apart = x[lag:] - x[:-lag]
+        if apart.min() > most:
+            return
+        i = np.flatnonzero((apart >= least) & (apart <= most))
+        if len(i):
+            yield i, i + lag, mix(mix(hashes[i].view(np.uint64)) + hashes[i + lag].view(np.uint64)).view(np.int64)
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch], least: int, most: int, keep: Callable, names: list[str], s: Settings) -> Iterator[pa.RecordBatch]:
+    """(key, node, places of both seeds) of the pairs that ``keep`` marks, from rows of nodes with their shared seeds."""
+    for batch in batches:
+        nodes = batch.column("node").to_pylist()
+        for n, node in enumerate(nodes):
+            at, hashes = batch.column("at")[n].values.to_numpy(), batch.column("seeds")[n].values.to_numpy()
+            parts = []
+            for i, j, keys in seed_pairs(at >> 1, hashes, least, most):
+                some = np.flatnonzero(keep(batch, n, at, i, j, keys))
+                if len(some):
+                    parts.append(run_ends(keys[some], at[i[some]] >> 1, at[j[some]] >> 1, s.min_span))
+            if parts:
+                keys, x, x2 = run_ends(*(np.concatenate(c) for c in zip(*parts, strict=True)), s.min_span)
+                yield pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), node)), pa.array(x.astype(np.int32)), pa.array(x2.astype(np.int32))], names)
+    give_back()
+
+
+def _open_keys(shared: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """(key, node, x, x2): pairs of seeds that smaller nodes have and that no passage of the node covers both."""
+    spans = found.groupBy("node").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    rows = shared.join(spans.hint("merge"), "node", "left").select("node", "at", "seeds", F.col("spans.start_word").alias("starts"), F.col("spans.end_word").alias("ends"))
+
+    def keep(batch: pa.RecordBatch, n: int, at: np.ndarray, i: np.ndarray, j: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        covered, x = np.zeros(len(at), bool), at >> 1
+        for a, b in zip(batch.column("starts")[n].as_py() or (), batch.column("ends")[n].as_py() or (), strict=True):
+            covered |= (x >= a) & (x + s.k <= b)
+        lower = at & 1 == 1
+        return lower[i] & lower[j] & ~(covered[i] & covered[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _key_rows(batches, s.min_span - s.k, s.min_words, keep, ["key", "node", "x", "x2"], s)
+
+    return rows.mapInArrow(run, "key long, node long, x int, x2 int")
+
+
+def _key_holders(shared: DataFrame, wanted: np.ndarray, s: Settings) -> DataFrame:
+    """(key, node, y, y2): pairs of seeds of all nodes whose key may be wanted, by a bitmap."""
+    sent = shared.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = sent.value
+        yield from _key_rows(batches, 1, s.widest, lambda batch, n, at, i, j, keys: marked(marks, keys), ["key", "node", "y", "y2"], s)
+
+    return shared.mapInArrow(run, "key long, node long, y int, y2 int")
+
+
+def _by_key(wanted: DataFrame, holders: DataFrame) -> DataFrame:
+    """(node, hub, xs, ys): the places of the pairs of seeds that a node and a smaller one share."""
+    both = wanted.join(holders.hint("merge"), "key").where("hub < node").select("node", "hub", F.explode(F.array(F.struct("x", "y"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
+    places = both.groupBy("node", "hub").agg(F.array_sort(F.collect_set("p")).alias("p"))
+    return places.select("node", "hub", F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[int], list[int], list[np.ndarray]]]:
     """The matches of each pair of documents, from rows sorted by pair; a pair may run over several Arrow batches."""
-    pair, xs, ys = None, [], []
+    pair, xs, ys, hashes = None, [], [], []
     for batch in batches:
         docs, hubs = batch.column("node").to_numpy(), batch.column("hub").to_numpy()
         if not len(docs):
             continue
         x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+        h = batch.column("hash").to_numpy() if "hash" in batch.schema.names else None
         cuts = np.flatnonzero((np.diff(docs) != 0) | (np.diff(hubs) != 0)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(docs)], strict=True):
             now = (int(docs[a]), int(hubs[a]))
             if now != pair:
                 if pair:
-                    yield pair, xs, ys
-                pair, xs, ys = now, [], []
+                    yield pair, xs, ys, hashes
+                pair, xs, ys, hashes = now, [], [], []
             xs += x[a:b]
             ys += y[a:b]
+            if h is not None:
+                hashes.append(h[a:b])
     if pair:
-        yield pair, xs, ys
+        yield pair, xs, ys, hashes
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -135,13 +135,18 @@ def bitmap(hashes: DataFrame, n: int) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if bits <= 1 << 24 else out
 
 
-def in_bitmap(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
+def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of the bitmap."""
     if bitmap.dtype == bool:
-        return bitmap[phrase_hashes(words) & (len(bitmap) - 1)]
-    at = phrase_hashes(words) & (64 * len(bitmap) - 1)
+        return bitmap[hashes & (len(bitmap) - 1)]
+    at = hashes & (64 * len(bitmap) - 1)
     return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
 
+def in_bitmap(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return marked(bitmap, phrase_hashes(words))
+
+
 def names(k: int) -> list[str]:
     return [f"w{i}" for i in range(1, k + 1)]
 

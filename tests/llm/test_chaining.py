@@ -208,3 +208,15 @@ def test_rows_go_by_id_and_text(spark):
     out = without_repeats(spark.createDataFrame(rows, "doc_id long, text string, spans int"))
     assert out.columns == ["doc_id", "text", "spans"]
     assert sorted((r.spans, r.text) for r in out.collect()) == [(1, rows[0][1]), (2, rows[1][1][: -len(p) - 1]), (3, "only here")]
+
+
+def test_links_whose_hubs_hold_only_parts(spark):
+    """A changed passage whose seeds lie in several smaller ids, none of which holds enough of it."""
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    p = prose(60)
+    changed = lambda text, at: [f"x{i}" if i in at else w for i, w in enumerate(text)]
+    texts = {1: prose(40) + p[:30] + prose(40), 2: prose(30) + p[30:] + prose(40), 5: prose(20) + p + prose(9), 9: prose(35) + changed(p, {15, 44}) + prose(11)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r)[:7] for r in repeated_passages(df).collect())
+    assert got == [(9, 35, 95, 5, 20, 80, 58)]
