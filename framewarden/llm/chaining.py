@@ -35,12 +35,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .collocations import bitmap, marked
+from .collocations import Bitmap, bitmap, marked
 from .staging import BROADCAST_ROWS, fresh, stage, text_batches, unstage
-from .words import POWERS, give_back, mix, shingles, text_slices, word_hashes, word_spans
+from .words import POWERS, give_back, mix, shingles, slices, text_slices, word_hashes, word_spans
+
+#: Rows of an Arrow batch that holds arrays, and their elements together; shared seeds paired at a time.
+ROWS, ELEMENTS, PAIRED = 512, 1 << 16, 1 << 15
 
 
 @dataclass
@@ -308,6 +312,10 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None, id_col:
     chained_pairs = f"{pairs}, at array<int>, seeds array<long>"
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from list_rows(chain_rows(batches), ["node", "hub", "xs", "ys", "at", "seeds"])
+        give_back()
+
+    def chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         doc, shared = None, []
         for pair, xs, ys, hashes in _groups(batches):
             if pair[0] != doc:
@@ -315,14 +323,13 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None, id_col:
                 doc, shared = pair[0], []
             smaller = int(pair[0] != pair[1])
             shared.append((2 * np.array(xs, np.int32) + np.int32(smaller), np.concatenate(hashes)))
-            if smaller:
-                found = [c for c in chains(xs, ys, s) if xs[c[-1]] + s.k - xs[c[0]] >= s.min_span]
-                for row in pair_row(pair, [xs[i] for c in found for i in c], [ys[i] for c in found for i in c]):
-                    yield with_seeds(row, *NO_SEEDS)
+            if smaller and max(xs) + s.k - min(xs) >= s.min_span:
+                found = [i for c in chains(xs, ys, s) if xs[c[-1]] + s.k - xs[c[0]] >= s.min_span for i in c]
+                if found:
+                    yield *pair, np.array(xs, np.int32)[found], np.array(ys, np.int32)[found], *NO_SEEDS
         yield from places(doc, shared)
-        give_back()
 
-    def places(doc: int | None, shared: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def places(doc: int | None, shared: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
         if doc is not None:
             at, hashes = (np.concatenate(c) for c in zip(*shared, strict=True))
             order = np.argsort(at)
@@ -331,12 +338,7 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None, id_col:
             close = np.diff(at >> 1) <= s.widest  # seeds without another one near are in no pair
             near = np.append(close, False) | np.append(False, close)
             if found or near.any():
-                row = pa.record_batch([pa.array([doc], pa.int64()), pa.array([None], pa.int64()), *(pa.array([[r[i] for r in found]], pa.list_(pa.int32())) for i in (0, 1))], ["node", "hub", "xs", "ys"])
-                yield with_seeds(row, at[near], hashes[near])
-
-    def with_seeds(row: pa.RecordBatch, *shared: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in shared]
-        return pa.record_batch([*row.columns, *columns], [*row.schema.names, "at", "seeds"])
+                yield doc, None, *np.array(found, np.int32).reshape(-1, 2).T, at[near], hashes[near]
 
     # Matches with hubs, and the places of runs of min_words words (without a hub) as far as shared seeds allow them.
     matches, hubs = _to_hubs(seeds, True)
@@ -356,12 +358,14 @@ def repeated_passages(docs: DataFrame, settings: Settings | None = None, id_col:
         give_back()
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair, xs, ys, _ in _groups(batches):
-            x, y = np.array(xs), np.array(ys)
-            head = np.flatnonzero(np.concatenate([[True], (np.diff(x) > 1) | (np.diff(y) != np.diff(x))]))
-            yield from pair_row(pair, x[head].tolist(), y[head].tolist())
+        yield from list_rows(map(heads, _groups(batches)), ["node", "hub", "xs", "ys"])
         give_back()
 
+    def heads(group: tuple) -> tuple:
+        (node, hub), x, y = group[0], np.array(group[1], np.int32), np.array(group[2], np.int32)
+        head = np.concatenate([[True], (np.diff(x) > 1) | (np.diff(y) != np.diff(x))])
+        return node, hub, x[head], y[head]
+
     # A hub may hold no more than a part of a passage. Runs of min_words words as keys have no such hubs.
     run_texts = _texts(base, firsts, where).join(where.hint("merge"), "node")
     keys = stage(run_texts.mapInArrow(run_keys, "hash long, node long, x int"), "runs")
@@ -419,11 +423,26 @@ def _texts(base: DataFrame, firsts: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.first("text").alias("text"))  # rows may repeat
 
 
-def pair_row(pair: tuple[int, int | None], xs: list[int], ys: list[int]) -> Iterator[pa.RecordBatch]:
-    """One row, or none if there are no places."""
-    if xs:
-        kind = pa.list_(pa.int32())
-        yield pa.record_batch([pa.array([pair[0]], pa.int64()), pa.array([pair[1]], pa.int64()), pa.array([xs], kind), pa.array([ys], kind)], ["node", "hub", "xs", "ys"])
+def list_rows(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of two numbers and arrays as Arrow batches: one for each row would cost more than the row."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        first, second, *lists = zip(*held, strict=True)
+        columns = [pa.array(first, pa.int64()), pa.array(second, pa.int64())]
+        for arrays in lists:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays))))
+        held.clear()
+        return pa.record_batch(columns, names)
+
+    for row in rows:
+        held.append(row)
+        size += sum(map(len, row[2:]))
+        if len(held) >= ROWS or size >= ELEMENTS:
+            yield batch()
+            size = 0
+    if held:
+        yield batch()
 
 
 def _to_hubs(keys: DataFrame, own: bool) -> tuple[DataFrame, DataFrame]:
@@ -458,33 +477,44 @@ def seed_pairs(x: np.ndarray, hashes: np.ndarray, least: int, most: int) -> Iter
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch], least: int, most: int, keep: Callable, names: list[str], s: Settings) -> Iterator[pa.RecordBatch]:
-    """(key, node, places of both seeds) of the pairs that ``keep`` marks, from rows of nodes with their shared seeds."""
+    """(key, node, places of both seeds) of the pairs that ``keep`` marks, from rows of nodes with their shared seeds.
+
+    The nodes of a slice are paired together: each has its places in a range of its own, too far from the next for a pair."""
     for batch in batches:
-        nodes = batch.column("node").to_pylist()
-        for n, node in enumerate(nodes):
-            at, hashes = batch.column("at")[n].values.to_numpy(), batch.column("seeds")[n].values.to_numpy()
+        sizes = pc.fill_null(pc.list_value_length(batch.column("at")), 0).to_numpy(zero_copy_only=False)
+        for a, b in slices(sizes, PAIRED):
+            part = batch.slice(a, b - a)
+            nodes, owner = part.column("node").to_numpy(), np.repeat(np.arange(b - a, dtype=np.int64), sizes[a:b])
+            at, hashes = (part.column(c).flatten().to_numpy() for c in ("at", "seeds"))
+            x = (owner << 32) + (at >> 1)
             parts = []
-            for i, j, keys in seed_pairs(at >> 1, hashes, least, most):
-                some = np.flatnonzero(keep(batch, n, at, i, j, keys))
+            for i, j, keys in seed_pairs(x, hashes, least, most):
+                some = keep(part, at, x, i, j, keys)
                 if len(some):
-                    parts.append(run_ends(keys[some], at[i[some]] >> 1, at[j[some]] >> 1, s.min_span))
+                    parts.append(run_ends(keys[some], x[i[some]], x[j[some]], s.min_span))
             if parts:
-                keys, x, x2 = run_ends(*(np.concatenate(c) for c in zip(*parts, strict=True)), s.min_span)
-                yield pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), node)), pa.array(x.astype(np.int32)), pa.array(x2.astype(np.int32))], names)
+                keys, first, second = run_ends(*(np.concatenate(c) for c in zip(*parts, strict=True)), s.min_span)
+                yield pa.record_batch([pa.array(keys), pa.array(nodes[first >> 32]), *(pa.array((v & 0xFFFFFFFF).astype(np.int32)) for v in (first, second))], names)
     give_back()
 
 
+def covered(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """Which seeds of k words, at places x, lie whole in one of the spans."""
+    order = np.argsort(starts)
+    reach = np.maximum.accumulate(np.concatenate([[-1], ends[order]]))
+    return reach[np.searchsorted(starts[order], x, "right")] >= x + k
+
+
 def _open_keys(shared: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     """(key, node, x, x2): pairs of seeds that smaller nodes have and that no passage of the node covers both."""
     spans = found.groupBy("node").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     rows = shared.join(spans.hint("merge"), "node", "left").select("node", "at", "seeds", F.col("spans.start_word").alias("starts"), F.col("spans.end_word").alias("ends"))
 
-    def keep(batch: pa.RecordBatch, n: int, at: np.ndarray, i: np.ndarray, j: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        covered, x = np.zeros(len(at), bool), at >> 1
-        for a, b in zip(batch.column("starts")[n].as_py() or (), batch.column("ends")[n].as_py() or (), strict=True):
-            covered |= (x >= a) & (x + s.k <= b)
+    def keep(part: pa.RecordBatch, at: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        home = np.repeat(np.arange(part.num_rows) << 32, pc.fill_null(pc.list_value_length(part.column("starts")), 0).to_numpy(zero_copy_only=False))
+        inside = covered(x, *(home + part.column(c).flatten().to_numpy() for c in ("starts", "ends")), s.k)
         lower = at & 1 == 1
-        return lower[i] & lower[j] & ~(covered[i] & covered[j])
+        return np.flatnonzero(lower[i] & lower[j] & ~(inside[i] & inside[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _key_rows(batches, s.min_span - s.k, s.min_words, keep, ["key", "node", "x", "x2"], s)
@@ -492,13 +522,13 @@ def _open_keys(shared: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     return rows.mapInArrow(run, "key long, node long, x int, x2 int")
 
 
-def _key_holders(shared: DataFrame, wanted: np.ndarray, s: Settings) -> DataFrame:
+def _key_holders(shared: DataFrame, wanted: Bitmap, s: Settings) -> DataFrame:
     """(key, node, y, y2): pairs of seeds of all nodes whose key may be wanted, by a bitmap."""
     sent = shared.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = sent.value
-        yield from _key_rows(batches, 1, s.widest, lambda batch, n, at, i, j, keys: marked(marks, keys), ["key", "node", "y", "y2"], s)
+        yield from _key_rows(batches, 1, s.widest, lambda part, at, x, i, j, keys: np.flatnonzero(marked(marks, keys)), ["key", "node", "y", "y2"], s)
 
     return shared.mapInArrow(run, "key long, node long, y int, y2 int")
 

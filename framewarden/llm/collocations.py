@@ -33,8 +33,8 @@ from .words import POWERS, give_back, mix, text_slices
 BLOCK = 1 << 19
 #: Phrases' hashes that a task adds up at a time.
 HELD = 1 << 20
-#: Bits of the bitmap: eight for each frequent phrase, within these bounds.
-FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Bits of the bitmap: eight for each frequent phrase, within these bounds, and how many of them a phrase sets at most.
+FEWEST_BITS, MOST_BITS, MOST_PROBES = 1 << 20, 1 << 28, 4
 #: Rows of (language, hash, count) that may be broadcast; their number is counted before.
 BROADCAST_ROWS = 200_000
 #: Parts of a language that are ranked apart before the best of each are ranked together.
@@ -125,25 +125,55 @@ def hashes_of(frequent: DataFrame, k: int) -> DataFrame:
     return frequent.select(*names(k)).mapInArrow(run, "h long")
 
 
-def bitmap(hashes: DataFrame, n: int) -> np.ndarray:
-    """One bit for the low bits of each of n hashes: at most MOST_BITS bits, put together by Spark."""
+class Bitmap(NamedTuple):
+    """A set of hashes: each has ``probes`` bits set. It may hold others too, as likely for many hashes as for few."""
+
+    bits: np.ndarray
+    probes: int
+
+
+def probe(hashes: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """The place of the i-th bit of each hash."""
+    return (mix(hashes.view(np.uint64) + np.uint64(i)).view(np.int64) if i else hashes) & (bits - 1)
+
+
+def bitmap(hashes: DataFrame, n: int) -> Bitmap:
+    """The set of n hashes: at most MOST_BITS bits, put together by Spark."""
     bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (8 * n).bit_length()))
-    at = F.col("h").bitwiseAND(F.lit(bits - 1))
-    marked = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("bit")).toArrow()
+    probes = max(1, min(MOST_PROBES, 2 * bits // (3 * max(n, 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            for i in range(probes):
+                at = probe(h, i, bits)
+                yield pa.record_batch([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["at", "bit"])
+
+    marked = hashes.select("h").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[marked.column("at").to_numpy()] = marked.column("bit").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if bits <= 1 << 24 else out
+    return Bitmap(np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if bits <= 1 << 24 else out, probes)
 
 
-def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes may be among those of the bitmap."""
-    if bitmap.dtype == bool:
-        return bitmap[hashes & (len(bitmap) - 1)]
-    at = hashes & (64 * len(bitmap) - 1)
-    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
+def has_bits(bits: np.ndarray, hashes: np.ndarray, i: int = 0) -> np.ndarray:
+    """Which hashes have their i-th bit set."""
+    if bits.dtype == bool:
+        return bits[probe(hashes, i, len(bits))]
+    at = probe(hashes, i, 64 * len(bits))
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def marked(bitmap: Bitmap | np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of the bitmap; an array alone has one bit a hash."""
+    bits, probes = bitmap if isinstance(bitmap, Bitmap) else (bitmap, 1)
+    out = has_bits(bits, hashes)
+    for i in range(1, probes):
+        left = np.flatnonzero(out)
+        out[left] = has_bits(bits, hashes[left], i)
+    return out
 
 
-def in_bitmap(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
+def in_bitmap(bitmap: Bitmap | np.ndarray, words: np.ndarray) -> np.ndarray:
     return marked(bitmap, phrase_hashes(words))
 
 
@@ -193,7 +223,7 @@ def first_relation(docs: DataFrame, lang: Column, text_col: str, seed: int) -> D
     return base.mapInArrow(run, f"{RELATION}, counts array<long>, spelt array<string>")
 
 
-def busy_buckets(relation: DataFrame, k: int, keep: np.ndarray, often: int) -> DataFrame:
+def busy_buckets(relation: DataFrame, k: int, keep: Bitmap, often: int) -> DataFrame:
     """(h): the hashes under which phrases of k + 1 words occur ``often`` times together, from the relation of length k semi-joined with
     the bitmap of its frequent phrases. Every frequent phrase has one of them, few others do: a row of this count is a third as
     wide as one with the words."""
@@ -225,7 +255,7 @@ def busy_buckets(relation: DataFrame, k: int, keep: np.ndarray, often: int) -> D
     return counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("h")
 
 
-def counts_of_longer(relation: DataFrame, k: int, keep: np.ndarray, busy: np.ndarray) -> DataFrame:
+def counts_of_longer(relation: DataFrame, k: int, keep: Bitmap, busy: Bitmap) -> DataFrame:
     """(lang, w1.., n): how often each phrase of k + 1 words occurs, if its hash is in the bitmap ``busy``; all counts are whole."""
     sent = relation.sparkSession.sparkContext.broadcast((keep, busy))
 
@@ -246,7 +276,7 @@ def counts_of_longer(relation: DataFrame, k: int, keep: np.ndarray, busy: np.nda
     return counts.groupBy("lang", *names(k + 1)).agg(F.sum("n").alias("n"))
 
 
-def longer_relation(relation: DataFrame, k: int, keep: np.ndarray, keep_longer: np.ndarray) -> DataFrame:
+def longer_relation(relation: DataFrame, k: int, keep: Bitmap, keep_longer: Bitmap) -> DataFrame:
     """The relation of length k + 1 semi-joined with the bitmap of its frequent phrases."""
     sent = relation.sparkSession.sparkContext.broadcast((keep, keep_longer))
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from framewarden.llm.chaining import Settings, best_spans, chains, cut_words, minimizers, repeated_passages, without_repeats
+from framewarden.llm.chaining import Settings, best_spans, chains, covered, cut_words, minimizers, repeated_passages, without_repeats
 from framewarden.llm.words import word_hashes
 
 
@@ -220,3 +220,12 @@ def test_links_whose_hubs_hold_only_parts(spark):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
     got = sorted(tuple(r)[:7] for r in repeated_passages(df).collect())
     assert got == [(9, 35, 95, 5, 20, 80, 58)]
+
+
+def test_seeds_inside_spans():
+    rng = random.Random(9)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(1, 30)) for a in (rng.randint(0, 80) for _ in range(rng.randint(0, 5)))]
+        x = np.array(sorted(rng.sample(range(100), 20)))
+        starts, ends = np.array(spans, np.int64).reshape(-1, 2).T
+        assert covered(x, starts, ends, 5).tolist() == [any(a <= p and p + 5 <= b for a, b in spans) for p in x.tolist()]

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framewarden.llm import collocations as C
@@ -92,3 +93,12 @@ def test_rows(spark, awkward, awkward_rows, empty):
     got = sorted(tuple(r) for r in C.collocations(awkward, often=2).collect())
     assert got == brute([(r[5], r[1]) for r in awkward_rows], 3, 2, 50, 2000) and got
     assert C.collocations(empty).count() == 0
+
+
+def test_a_bitmap_lets_as_few_others_through_for_many_hashes(spark):
+    rng = np.random.default_rng(5)
+    others = rng.integers(-(2**62), 2**62, 200_000)
+    for n in (10_000, 120_000):
+        own = rng.integers(-(2**62), 2**62, n)
+        found = C.bitmap(spark.createDataFrame(pa.table({"h": own})), n)
+        assert C.marked(found, own).all() and C.marked(found, others).mean() < 0.03
