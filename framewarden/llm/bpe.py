@@ -20,6 +20,7 @@ Characters are classed as the tokenizers library classes them (`Characters`): it
 Unicode. Where they differ in lower case or normal form, the library's own normaliser is called.
 
 Texts are cut at white space first, and what is between is encoded once per slice, however often it comes.
+Answers about arcs are kept in a table of fixed size.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ NEVER = np.int64(1 << 40)
 KEPT = 1 << 19
 #: Runs encoded in step; more would only take more memory.
 STEP = 1 << 14
+#: Arcs whose answers a task keeps, by place of their hash: the last one asked for. A power of two.
+ASKED = 1 << 20
 #: Words of more bytes are encoded one by one.
 LONG = 64
 #: Bytes of text in a slice.
@@ -140,6 +143,18 @@ class Automaton:
             q, t = np.where(copied, self.right[q], q), np.where(copied, t, self.left[t])
         return out
 
+    def follows(self, q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """`has_arc` once all merges are applied, with the answers kept: the same arcs are asked for again and again."""
+        if not hasattr(self, "asked"):
+            self.asked = np.full(ASKED, -1, np.int64)  # twice the arc, and 1 more if it exists
+        arc = q * self.n + t
+        at = (arc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - ASKED.bit_length())).astype(np.int64)
+        known = self.asked[at]
+        new = np.flatnonzero(known >> 1 != arc)
+        if len(new):
+            known[new] = self.asked[at[new]] = 2 * arc[new] + self.has_arc(q[new], t[new])
+        return known & 1 == 1
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words (non-empty, without line ends) one after the other, and the offsets of the words in them."""
         data = np.frombuffer(("\n".join(words) + "\n").encode("utf-8", "surrogatepass"), np.uint8) if words else np.zeros(0, np.uint8)
@@ -224,7 +239,7 @@ class Automaton:
                 token = self.ends[node]
                 full = np.flatnonzero(token >= 0)
                 if s and len(full):
-                    full = full[self.has_arc(state[full], token[full])]
+                    full = full[self.follows(state[full], token[full])]
                 reached[place[full] + length] = token[full]
                 step[place[full] + length] = length
                 on = at + length < end

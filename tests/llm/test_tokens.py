@@ -145,3 +145,18 @@ def test_runs_are_encoded_a_bounded_number_at_a_time():
     got = [ids for ids, _ in Encoder(tokenizer)(texts)]
     assert max(sizes) <= bpe.STEP and sum(sizes) == 20_000
     assert got == [b"".join(whole(t.split())) for t in texts]
+
+
+def test_arcs_asked_for_again_are_not_looked_up_again(monkeypatch):
+    automaton = Automaton([[0], [1], [0, 1], [1, 1], [0, 1, 1]], [(0, 1, 2), (1, 1, 3), (2, 1, 4)])
+    q, t = (np.array(v) for v in zip(*[(q, t) for q in range(5) for t in range(5)], strict=True))
+    want = automaton.has_arc(q, t)
+    monkeypatch.setattr("framewarden.llm.bpe.ASKED", 4)  # arcs push each other out
+    crowded = Automaton([[0], [1], [0, 1], [1, 1], [0, 1, 1]], [(0, 1, 2), (1, 1, 3), (2, 1, 4)])
+    for _ in range(3):
+        assert (crowded.follows(q, t) == want).all() and (crowded.follows(q[:2], t[:2]) == want[:2]).all()
+    monkeypatch.undo()
+    assert (automaton.follows(q, t) == want).all()
+    monkeypatch.setattr(automaton, "has_arc", lambda *a: 1 / 0)
+    last = automaton.asked[automaton.asked >= 0] >> 1
+    assert len(last) and (automaton.follows(last // 5, last % 5) == automaton.asked[automaton.asked >= 0] % 2).all()
