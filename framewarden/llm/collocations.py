@@ -31,8 +31,8 @@ from .words import POWERS, give_back, mix, text_slices
 
 #: Words of a block; a block ends at the end of a slice of texts.
 BLOCK = 1 << 19
-#: Phrases' hashes that a task adds up at a time.
-HELD = 1 << 20
+#: Phrases' hashes that a task adds up at a time, and the bits of a hash of 32 bits within a part of their range.
+HELD, LOW_BITS = 1 << 20, 20
 #: Bits of the bitmap: eight for each frequent phrase, within these bounds, and how many of them a phrase sets at most.
 FEWEST_BITS, MOST_BITS, MOST_PROBES = 1 << 20, 1 << 28, 4
 #: Rows of (language, hash, count) that may be broadcast; their number is counted before.
@@ -223,10 +223,40 @@ def first_relation(docs: DataFrame, lang: Column, text_col: str, seed: int) -> D
     return base.mapInArrow(run, f"{RELATION}, counts array<long>, spelt array<string>")
 
 
+def packed(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Ascending hashes of 32 bits and their counts, a row for each part of the hashes' range: the steps from hash to hash and the counts,
+    each in as few bytes as the largest needs."""
+    part = h >> LOW_BITS
+    starts = np.flatnonzero(np.diff(part, prepend=np.int64(-1)))
+    ends = np.append(starts, len(h))[1:]
+    steps = np.diff(h, prepend=np.int64(0))
+    steps[starts] = h[starts] & ((1 << LOW_BITS) - 1)
+    columns = []
+    for values in (steps, n):
+        kinds = map(np.min_scalar_type, np.maximum.reduceat(values, starts).tolist() if len(h) else [])
+        columns.append(pa.array([values[a:b].astype(kind).tobytes() for a, b, kind in zip(starts.tolist(), ends.tolist(), kinds, strict=True)], pa.binary()))
+    return pa.record_batch([pa.array(part[starts].astype(np.int32)), pa.array((ends - starts).astype(np.int32)), *columns], ["part", "size", "steps", "counts"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes and counts of each part, from rows sorted by part: those of one row ascend, the rows of a part follow each other."""
+    part, hashes, counts = None, [], []
+    for batch in batches:
+        for now, size, steps, n in zip(*(batch.column(c).to_pylist() for c in ("part", "size", "steps", "counts")), strict=True):
+            if now != part and hashes:
+                yield np.concatenate(hashes), np.concatenate(counts)
+                hashes, counts = [], []
+            part = now
+            hashes.append((now << LOW_BITS) + np.cumsum(np.frombuffer(steps, f"u{len(steps) // size}"), dtype=np.int64))
+            counts.append(np.frombuffer(n, f"u{len(n) // size}").astype(np.int64))
+    if hashes:
+        yield np.concatenate(hashes), np.concatenate(counts)
+
+
 def busy_buckets(relation: DataFrame, k: int, keep: Bitmap, often: int) -> DataFrame:
     """(h): the hashes under which phrases of k + 1 words occur ``often`` times together, from the relation of length k semi-joined with
-    the bitmap of its frequent phrases. Every frequent phrase has one of them, few others do: a row of this count is a third as
-    wide as one with the words."""
+    the bitmap of its frequent phrases. Every frequent phrase has one of them, few others do. What a task has added up is shuffled
+    by parts of the hashes' range, some three bytes a hash."""
     sent = relation.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +266,7 @@ def busy_buckets(relation: DataFrame, k: int, keep: Bitmap, often: int) -> DataF
             h, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
             n = np.bincount(at, np.concatenate([n for _, n in held]), len(h)).astype(np.int64)
             held.clear()
-            for a in range(0, len(h), 1 << 16):
-                yield pa.record_batch([pa.array(h[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], ["h", "n"])
+            yield packed(h, n)
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -250,9 +279,14 @@ def busy_buckets(relation: DataFrame, k: int, keep: Bitmap, often: int) -> DataF
             yield from flush()
         give_back()
 
-    # a task has added its own up: its rows are shuffled as they are, without a second table of them in its executor
-    counts = relation.select(COLUMNS).mapInArrow(run, "h long, n long").repartition("h")
-    return counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("h")
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, n in unpacked(batches):
+            distinct, at = np.unique(h, return_inverse=True)
+            yield pa.record_batch([pa.array(distinct[np.bincount(at, n, len(distinct)) >= often])], ["h"])
+        give_back()
+
+    counts = relation.select(COLUMNS).mapInArrow(run, "part int, size int, steps binary, counts binary")
+    return counts.repartition("part").sortWithinPartitions("part").mapInArrow(add_up, "h long")
 
 
 def counts_of_longer(relation: DataFrame, k: int, keep: Bitmap, busy: Bitmap) -> DataFrame:

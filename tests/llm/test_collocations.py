@@ -102,3 +102,15 @@ def test_a_bitmap_lets_as_few_others_through_for_many_hashes(spark):
         own = rng.integers(-(2**62), 2**62, n)
         found = C.bitmap(spark.createDataFrame(pa.table({"h": own})), n)
         assert C.marked(found, own).all() and C.marked(found, others).mean() < 0.03
+
+
+def test_packed_counts_take_few_bytes():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 5, 300_000):
+        h = np.unique(rng.integers(0, 2**32, size))
+        n = rng.integers(1, 3, len(h))
+        n[:1] = 2**33
+        batch = C.packed(h, n)
+        got = list(C.unpacked([batch.slice(0, 3), batch.slice(3)]))
+        assert np.array_equal(np.concatenate([x for x, _ in got] or [h]), h) and np.array_equal(np.concatenate([x for _, x in got] or [n]), n)
+    assert batch.nbytes < 5 * len(h)
