@@ -1,7 +1,7 @@
 """Frequent phrases of a language and how firmly their words belong together, mined level by level over occurrence relations.
 
-The relation of length k holds (piece, place, phrase) of every occurrence of a phrase of k words, sorted, in blocks that are rows of
-a written table. A level merge-joins the relation below with itself where two phrases of one piece begin at adjacent places, counts
+The relation of length k holds (piece, place, phrase) of every occurrence of a frequent phrase of k words, sorted, in blocks that are
+rows of a written table; for single words the texts are read twice, to count and to write. A level merge-joins the relation below with itself where two phrases of one piece begin at adjacent places, counts
 the longer phrases in each block, adds the counts of all blocks up in a shuffle, and keeps those that are frequent; the relation
 is then semi-joined with them before it is extended again.
 
@@ -11,6 +11,8 @@ is then semi-joined with them before it is extended again.
   are shuffled with their words, and these counts are the ones that decide.
 - Words are 64-bit hashes with a seed. The first count also holds the least and the greatest word of each hash; if two words
   share one, all starts again with another seed. So the counts are exact.
+- A block is written in the bytes it needs: words and phrases by their numbers in the block, the commonest words first, the bytes of
+  the numbers apart by their weight, so that the table's compression finds them alike.
 - The semi-join goes by a bitmap of the frequent phrases' hashes, of 32 MB at most whatever their number. What it lets through
   wrongly doesn't count: a longer phrase is only kept by its own exact count, and it can't be more frequent than its parts.
 """
@@ -23,10 +25,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage, text_batches, unstage
+from .staging import shuffles_dropped, stage, text_batches, unstage
 from .words import POWERS, give_back, mix, text_slices
 
 #: Words of a block; a block ends at the end of a slice of texts.
@@ -47,8 +50,8 @@ APART[[9, 32]] = True
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
-def occurrences(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Hashes of all words in order, whether a new piece begins at each, and the distinct hashes with their words."""
+def occurrences(texts: list[str], seed: int, spell: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Hashes of all words in order, whether a new piece begins at each, and the distinct hashes with their words if they are to be spelt."""
     raw = "\n".join([*texts, ""]).encode("utf-8", "surrogatepass").translate(LOWER)
     data = np.frombuffer(raw, np.uint8)
     inside = np.concatenate([[False], ~APART[data], [False]])
@@ -62,10 +65,27 @@ def occurrences(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np
     breaks = np.concatenate([[0], np.cumsum(PIECE_END[data])])
     new = np.ones(len(starts), bool)
     new[1:] = breaks[starts[1:]] != breaks[ends[:-1]]
+    if not spell:
+        return hashes, new, hashes[:0], []
     distinct, first = np.unique(hashes, return_index=True)
     return hashes, new, distinct, [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers of 32 bits: how many bytes each needs, then the lowest bytes of all, the next ones, and so on."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+
+
+def unplaned(data: pa.Buffer | bytes) -> np.ndarray:
+    data = np.frombuffer(data, np.uint8)
+    width, rows = int(data[0]), data[1:].reshape(data[0], -1)
+    out = rows[0].astype(np.int32)
+    for i in range(1, width):
+        out |= rows[i].astype(np.int32) << (8 * i)
+    return out
+
+
 class Block:
     """Occurrences of one language: places (one more than the last within a piece), phrase of each, and the words of the phrases."""
 
@@ -73,13 +93,21 @@ class Block:
         self.at, self.phrase, self.words = at, phrase, words  # words: a row of hashes for each phrase
 
     def row(self, lang: str) -> list[pa.Array]:
-        steps = np.diff(self.at, prepend=np.int64(0)).astype(np.int32)
-        return [pa.array([lang]), *(pa.array([v.tobytes()]) for v in (steps, self.phrase.astype(np.int32))), pa.array([self.words.ravel()])]
+        """Single words as they are; of longer phrases each word once, and the numbers of their words."""
+        words, parts = self.words.ravel(), b""
+        if self.words.shape[1] > 1:
+            words, own = np.unique(words, return_inverse=True)
+            parts = planes(own.reshape(self.words.shape).T.ravel())
+        steps = np.diff(self.at, prepend=np.int64(0))
+        return [pa.array([lang]), *(pa.array([v], pa.binary()) for v in (planes(steps), planes(self.phrase), parts)), pa.array([words])]
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, i: int, k: int) -> Block:
-        steps, phrase = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in ("steps", "phrase"))
-        return cls(np.cumsum(steps, dtype=np.int64), phrase, batch.column("words")[i].values.to_numpy().reshape(-1, k))
+        steps, phrase = (unplaned(batch.column(c)[i].as_buffer()) for c in ("steps", "phrase"))
+        words = batch.column("words")[i].values.to_numpy()
+        if k > 1:
+            words = words[unplaned(batch.column("parts")[i].as_buffer())]
+        return cls(np.cumsum(steps, dtype=np.int64), phrase, np.ascontiguousarray(words.reshape(k, -1).T))
 
     def semi_join(self, keep: np.ndarray) -> Block:
         """The occurrences whose phrase is to be kept."""
@@ -181,46 +209,62 @@ def names(k: int) -> list[str]:
     return [f"w{i}" for i in range(1, k + 1)]
 
 
-RELATION = "lang string, steps binary, phrase binary, words array<long>"
-COLUMNS = ["lang", "steps", "phrase", "words"]
+RELATION = "lang string, steps binary, phrase binary, parts binary, words array<long>"
+COLUMNS = ["lang", "steps", "phrase", "parts", "words"]
+
+
+def first_words(batches: Iterator[pa.RecordBatch], seed: int, spell: bool) -> Iterator[tuple[str, list]]:
+    """What `occurrences` gives of the texts of a block, in parts, with their language."""
+    held: dict[str, list] = {}
+    size = 0
+    for batch in batches:
+        for part, texts in text_slices(batch):
+            by_lang: dict[str, list[str]] = {}
+            for name, text in zip(part.column("lang").to_pylist(), texts, strict=True):
+                by_lang.setdefault(name, []).append(text)
+            for name, own in by_lang.items():
+                hashes, new, distinct, spelt = occurrences(own, seed, spell)
+                held.setdefault(name, []).append((hashes, new, distinct, pa.array(spelt, pa.binary()).cast(pa.string())))
+                size += len(hashes)
+            if size > BLOCK:
+                yield from held.items()
+                held, size = {}, 0
+    yield from held.items()
 
 
 def first_relation(docs: DataFrame, lang: Column, text_col: str, seed: int) -> DataFrame:
-    """The relation of single words: a row per block, with the words as text and their counts beside."""
+    """(lang, words, counts, spelt): the hashes of the single words of each block, their counts, and the words as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for name, parts in held.items():
-                hashes, new = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                distinct, phrase, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        for name, parts in first_words(batches, seed, True):
+            distinct, counts = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
+            if len(distinct):
                 at = np.unique(np.concatenate([p[2] for p in parts]), return_index=True)[1]
-                if len(distinct):
-                    block = Block(np.arange(len(hashes)) + np.cumsum(new), phrase, distinct[:, None])
-                    spelt = pa.concat_arrays([p[3] for p in parts]).take(pa.array(at))
-                    listed = pa.ListArray.from_arrays(pa.array([0, len(spelt)], pa.int32()), spelt)
-                    yield pa.record_batch([*block.row(name), pa.array([counts]), listed], [*COLUMNS, "counts", "spelt"])
-            held.clear()
+                spelt = pa.concat_arrays([p[3] for p in parts]).take(pa.array(at))
+                listed = pa.ListArray.from_arrays(pa.array([0, len(spelt)], pa.int32()), spelt)
+                yield pa.record_batch([pa.array([name]), pa.array([distinct]), pa.array([counts]), listed], ["lang", "words", "counts", "spelt"])
+        give_back()
 
-        for batch in batches:
-            for part, texts in text_slices(batch):
-                by_lang: dict[str, list[str]] = {}
-                for name, text in zip(part.column("lang").to_pylist(), texts, strict=True):
-                    by_lang.setdefault(name, []).append(text)
-                for name, own in by_lang.items():
-                    hashes, new, distinct, spelt = occurrences(own, seed)
-                    held.setdefault(name, []).append((hashes, new, distinct, pa.array(spelt, pa.binary()).cast(pa.string())))
-                    size += len(hashes)
-                if size > BLOCK:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+    base = docs.select(lang.alias("lang"), F.col(text_col).alias("text"))
+    return base.mapInArrow(run, "lang string, words array<long>, counts array<long>, spelt array<string>")
+
+
+def frequent_relation(docs: DataFrame, lang: Column, text_col: str, seed: int, keep: Broadcast) -> DataFrame:
+    """The relation of single words semi-joined with the bitmap of the frequent ones; ``total``: all words of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, parts in first_words(batches, seed, False):
+            hashes, new = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            if len(hashes):
+                distinct, phrase, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+                order = np.argsort(-counts, kind="stable")
+                block = Block(np.arange(len(hashes)) + np.cumsum(new), np.argsort(order)[phrase], distinct[order][:, None])
+                block = block.semi_join(in_bitmap(keep.value, block.words))
+                yield pa.record_batch([*block.row(name), pa.array([len(hashes)], pa.int64())], [*COLUMNS, "total"])
         give_back()
 
     base = docs.select(lang.alias("lang"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, f"{RELATION}, counts array<long>, spelt array<string>")
+    return base.mapInArrow(run, f"{RELATION}, total long")
 
 
 def packed(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -253,11 +297,10 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield np.concatenate(hashes), np.concatenate(counts)
 
 
-def busy_buckets(relation: DataFrame, k: int, keep: Bitmap, often: int) -> DataFrame:
+def busy_buckets(relation: DataFrame, k: int, keep: Broadcast, often: int) -> DataFrame:
     """(h): the hashes under which phrases of k + 1 words occur ``often`` times together, from the relation of length k semi-joined with
     the bitmap of its frequent phrases. Every frequent phrase has one of them, few others do. What a task has added up is shuffled
     by parts of the hashes' range, some three bytes a hash."""
-    sent = relation.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -271,7 +314,7 @@ def busy_buckets(relation: DataFrame, k: int, keep: Bitmap, often: int) -> DataF
         for batch in batches:
             for i in range(batch.num_rows):
                 below = Block.of(batch, i, k)
-                phrases, counts = below.semi_join(in_bitmap(sent.value, below.words)).counts()
+                phrases, counts = below.semi_join(in_bitmap(keep.value, below.words)).counts()
                 held.append((phrase_hashes(phrases), counts))
                 if sum(len(h) for h, _ in held) > HELD:
                     yield from flush()
@@ -289,16 +332,15 @@ def busy_buckets(relation: DataFrame, k: int, keep: Bitmap, often: int) -> DataF
     return counts.repartition("part").sortWithinPartitions("part").mapInArrow(add_up, "h long")
 
 
-def counts_of_longer(relation: DataFrame, k: int, keep: Bitmap, busy: Bitmap) -> DataFrame:
+def counts_of_longer(relation: DataFrame, k: int, keep: Broadcast, busy: Broadcast) -> DataFrame:
     """(lang, w1.., n): how often each phrase of k + 1 words occurs, if its hash is in the bitmap ``busy``; all counts are whole."""
-    sent = relation.sparkSession.sparkContext.broadcast((keep, busy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, lang in enumerate(batch.column("lang").to_pylist()):
                 below = Block.of(batch, i, k)
-                phrases, counts = below.semi_join(in_bitmap(sent.value[0], below.words)).counts()
-                some = in_bitmap(sent.value[1], phrases)
+                phrases, counts = below.semi_join(in_bitmap(keep.value, below.words)).counts()
+                some = in_bitmap(busy.value, phrases)
                 phrases, counts = phrases[some], counts[some]
                 for a in range(0, len(counts), 1 << 16):
                     n = counts[a : a + (1 << 16)]
@@ -310,16 +352,15 @@ def counts_of_longer(relation: DataFrame, k: int, keep: Bitmap, busy: Bitmap) ->
     return counts.groupBy("lang", *names(k + 1)).agg(F.sum("n").alias("n"))
 
 
-def longer_relation(relation: DataFrame, k: int, keep: Bitmap, keep_longer: Bitmap) -> DataFrame:
+def longer_relation(relation: DataFrame, k: int, keep: Broadcast, keep_longer: Broadcast) -> DataFrame:
     """The relation of length k + 1 semi-joined with the bitmap of its frequent phrases."""
-    sent = relation.sparkSession.sparkContext.broadcast((keep, keep_longer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, lang in enumerate(batch.column("lang").to_pylist()):
                 below = Block.of(batch, i, k)
-                block = below.semi_join(in_bitmap(sent.value[0], below.words)).merge_join()
-                block = block.semi_join(in_bitmap(sent.value[1], block.words))
+                block = below.semi_join(in_bitmap(keep.value, below.words)).merge_join()
+                block = block.semi_join(in_bitmap(keep_longer.value, block.words))
                 if len(block.at):
                     yield pa.record_batch(block.row(lang), COLUMNS)
         give_back()
@@ -342,29 +383,34 @@ class Levels(NamedTuple):
 def mine(docs: DataFrame, longest: int, often: int, lang: Column, text_col: str) -> Levels:
     """All phrases of up to ``longest`` words that occur ``often`` times in their language, with exact counts."""
     for seed in range(1, 9):
-        relation = stage(first_relation(docs, lang, text_col, seed), "occurrences-1")
-        listed = relation.select("lang", F.inline(F.arrays_zip(F.col("words").alias("w1"), F.col("counts").alias("n"), F.col("spelt").alias("word"))))
+        listed = first_relation(docs, lang, text_col, seed).select("lang", F.inline(F.arrays_zip(F.col("words").alias("w1"), F.col("counts").alias("n"), F.col("spelt").alias("word"))))
         summed = listed.groupBy("lang", "w1").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
         words = stage(summed.where((F.col("n") >= often) | (F.col("word") != F.col("other"))), "words")
         if not words.where("word != other").limit(1).count():
             break
-        unstage(relation, words)
+        unstage(words)
     else:
         raise ValueError("no seed gives all words hashes of their own")
-    totals = stage(relation.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)).alias("total")), "totals")
-    found = Levels(totals, words, {}, {0: totals.count(), 1: words.count()})
-    keep = bitmap(hashes_of(words, 1), found.sizes[1])
+    n_words = words.count()
+    send = docs.sparkSession.sparkContext.broadcast
+    keep = send(bitmap(hashes_of(words, 1), n_words))
+    relation = stage(frequent_relation(docs, lang, text_col, seed, keep), "occurrences-1", compression="zstd")
+    totals = stage(relation.groupBy("lang").agg(F.sum("total").alias("total")), "totals")
+    found = Levels(totals, words, {}, {0: totals.count(), 1: n_words})
     for k in range(1, longest):
         buckets = stage(busy_buckets(relation, k, keep, often), "buckets")
-        busy = bitmap(buckets, buckets.count())
+        busy = send(bitmap(buckets, buckets.count()))
         unstage(buckets)
         longer = found.phrases[k + 1] = stage(counts_of_longer(relation, k, keep, busy).where(F.col("n") >= often), f"phrases-{k + 1}")
         found.sizes[k + 1] = longer.count()
+        busy.destroy()
         if k + 1 < longest:
-            keep_longer = bitmap(hashes_of(longer, k + 1), found.sizes[k + 1])
-            below, relation = relation, stage(longer_relation(relation, k, keep, keep_longer), f"occurrences-{k + 1}")
+            keep_longer = send(bitmap(hashes_of(longer, k + 1), found.sizes[k + 1]))
+            below, relation = relation, stage(longer_relation(relation, k, keep, keep_longer), f"occurrences-{k + 1}", compression="zstd")
             unstage(below)
+            keep.destroy()
             keep = keep_longer
+    keep.destroy()
     unstage(relation)
     return found
 
@@ -425,7 +471,8 @@ def collocations(docs: DataFrame, longest: int = 3, often: int = 10, covered: in
     are not read. A language none of whose phrases is frequent has no rows.
     """
     text_batches(docs.sparkSession)
-    found = mine(docs, longest, often, F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), text_col)
+    with shuffles_dropped(docs.sparkSession):
+        found = mine(docs, longest, often, F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), text_col)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     parts = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
     first = uncovered(found, longest, covered).withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= best)

@@ -32,8 +32,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: it is computed once and survives lost executors.
+def stage(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: it is computed once and survives lost executors. ``options``: the writer's.
 
     An operator deletes what none of its results reads; the rest stays until the caller has written the result (`scratch`)."""
     spark = df.sparkSession
@@ -41,7 +41,7 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     scope = _SCOPE.get()
     if scope is not None and not keep:
         scope.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -53,6 +53,22 @@ def unstage(*tables: DataFrame) -> None:
         delete(df.sparkSession, df.staged_path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files behind: Spark (from 4.1) deletes them as each query ends, not when the driver next
+    happens to collect garbage. For queries that are run once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def text_batches(spark: SparkSession, rows: int = 2048) -> None:
     """Fewer rows to an Arrow batch than Spark's default of 10,000, for rows that hold whole texts; a set value stays.
 

@@ -114,3 +114,42 @@ def test_packed_counts_take_few_bytes():
         got = list(C.unpacked([batch.slice(0, 3), batch.slice(3)]))
         assert np.array_equal(np.concatenate([x for x, _ in got] or [h]), h) and np.array_equal(np.concatenate([x for _, x in got] or [n]), n)
     assert batch.nbytes < 5 * len(h)
+
+
+def test_blocks_are_written_in_few_bytes():
+    rng = np.random.default_rng(2)
+    for k, n in ((1, 1), (1, 70_000), (2, 300), (3, 70_000)):
+        vocabulary = rng.integers(-(2**62), 2**62, 1 + n // 20)
+        words = vocabulary[rng.integers(0, len(vocabulary), (n, k))]
+        block = C.Block(np.cumsum(rng.integers(1, 70_000, 2 * n)), rng.integers(0, n, 2 * n), words)
+        row = pa.record_batch(block.row("en"), C.COLUMNS)
+        again = C.Block.of(row, 0, k)
+        assert np.array_equal(again.at, block.at) and np.array_equal(again.phrase, block.phrase) and np.array_equal(again.words, words)
+    assert row.nbytes < 0.7 * (8 * 2 * n + 8 * k * n)
+
+
+def test_the_relation_of_words_holds_the_frequent_ones(spark):
+    common, rare = "a b. " * 400, " ".join(f"rare{i}" for i in range(20_000))
+    docs = spark.createDataFrame([("en", common), ("en", rare), ("de", "x y")], "lang string, text string").coalesce(1)
+    frequent = docs.where("text like 'a b.%'")
+    first = C.first_relation(frequent, C.F.col("lang"), "text", 1).select(C.F.explode("words").alias("w1"))
+    keep = spark.sparkContext.broadcast(C.bitmap(C.hashes_of(first, 1), 2))
+    rows = C.frequent_relation(docs, C.F.col("lang"), "text", 1, keep).collect()
+    assert {r.lang: r.total for r in rows} == {"en": 20_800, "de": 2}
+    assert sum(len(r.words) for r in rows) < 20 and sum(len(r.steps) + len(r.phrase) for r in rows) < 2_000
+
+
+def test_no_shuffle_files_stay(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, there = spark.conf.get(key), files()
+    C.mine(docs := spark.createDataFrame([("en", "a b c d. " * 30)], "lang string, text string"), 3, 10, C.F.col("lang"), "text")
+    assert files() - there
+    there = files()
+    found = C.collocations(docs)
+    assert not files() - there and spark.conf.get(key) == before and found.count()
