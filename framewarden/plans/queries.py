@@ -396,18 +396,21 @@ register("masklet_track_reentry")(lambda fx: S.track(leaving(fx), recalling, fx.
 
 
 def event_stream(fx: Fixtures) -> DataFrame:
-    """The detections as a stream in which frames come up to 60 late, in six files; the last one brings a run that moves the clock on."""
+    """The detections as a stream in which frames come up to 60 late, a file for every 72 frames; the last one brings a run that moves
+    the clock on."""
     path, out = new_path(fx.spark, "events"), new_path(fx.spark, "tracked")
-    every = S.with_frames(fx.detections.where("frame_idx < 300"), fx.frames.where("frame_idx < 300")).withColumn("ts", F.timestamp_seconds(F.col("frame_idx") + 1000))
+    every = S.with_frames(fx.detections, fx.frames).withColumn("ts", F.timestamp_seconds(F.col("frame_idx") + 1000))
     late = F.floor((F.col("frame_idx") + F.pmod(F.xxhash64("frame_idx", "det_idx"), F.lit(60))) / 72)
     # the rows are made once, by all tasks; a file is then put together from its part
     dealt = every.withColumn("late", late)
     staged = new_path(fx.spark, "dealt")
     dealt.write.partitionBy("late").parquet(staged)
     dealt = fx.spark.read.schema(dealt.schema).parquet(staged)
-    for n in range(5):
+    tops = dict(dealt.groupBy("late").agg(F.max("frame_idx")).collect())
+    for n in sorted(tops):
         dealt.where(F.col("late") == n).drop("late").coalesce(1).write.mode("append").parquet(path)
-    end = dealt.drop("late").limit(1).select(*[(F.lit("end") if c == "run_id" else F.lit(100_000).cast("long") if c == "frame_idx" else F.timestamp_seconds(F.lit(100_000)) if c == "ts" else F.col(c)).alias(c) for c in every.columns])
+    after = max(tops.values(), default=0) + 1000  # further on than the stream's delay
+    end = dealt.drop("late").limit(1).withColumns({"run_id": F.lit("end"), "frame_idx": F.lit(after).cast("long"), "ts": F.timestamp_seconds(F.lit(after + 1000))})
     end.coalesce(1).write.mode("append").parquet(path)
     with rocksdb(fx.spark):
         stream = fx.spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -415,7 +418,7 @@ def event_stream(fx: Fixtures) -> DataFrame:
     return fx.spark.read.schema(S.OUT).parquet(out)
 
 
-register("motion_track_events", "SELECT run_id, frame_idx, x.d AS det_idx, x.i AS object_id FROM (SELECT run_id, frame_idx, unnest(out) AS x FROM ck_tracking WHERE frame_idx < 300) t")(lambda fx: event_stream(fx))
+register("motion_track_events", "SELECT run_id, frame_idx, x.d AS det_idx, x.i AS object_id FROM (SELECT run_id, frame_idx, unnest(out) AS x FROM ck_tracking) t")(lambda fx: event_stream(fx))
 # half of the time no one is there: the runs are cut
 register("motion_track_gaps", "SELECT run_id, frame_idx, x.d AS det_idx, x.i AS object_id FROM (SELECT run_id, frame_idx, unnest(out) AS x FROM ck_tracking_gaps) t")(lambda fx: S.track(fx.detections.where("frame_idx % 400 < 200"), S.MotionTracker, fx.frames))
 register("masklet_track")(lambda fx: S.track(fx.detections, S.MaskletTracker, fx.frames))

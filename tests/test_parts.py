@@ -1,13 +1,14 @@
 """Runs cut at dead gaps, frames in any order on event time, and re-entry, against plain trackers."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from framewarden.plans.queries import QUERIES
+from framewarden.plans.queries import QUERIES, event_stream
 from framewarden.streaming import trackers as T
 from framewarden.streaming.event_trackers import EventTracker, rocksdb, track_events
 
@@ -84,6 +85,22 @@ def test_shuffled_micro_batches_equal_batch(spark, tmp_path, which):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
 
 
+def test_event_stream_has_the_whole_table(spark):
+    """Also frames after the 300th, in the fixtures and far beyond them."""
+    sf = "/root/testdata/sf0.01"
+    got = sorted(tuple(r) for r in QUERIES["motion_track_events"](spark, sf).collect())
+    assert max(r[1] for r in got) > 300
+    assert got == sorted(tuple(r) for r in QUERIES["motion_track"](spark, sf).collect())
+
+
+def test_event_stream_has_no_last_frame(spark):
+    rows, analysed = scene(5, frames=80, runs=2, quiet=0.3)
+    rows += [(r[0], r[1] + 120_000, *r[2:]) for r in rows]
+    analysed += [(r, f + 120_000) for r, f in analysed]
+    fx = SimpleNamespace(spark=spark, detections=spark.createDataFrame(rows, DET), frames=spark.createDataFrame(analysed, "run_id string, frame_idx long"))
+    assert sorted(tuple(r) for r in event_stream(fx).collect()) == whole(rows, analysed, T.MotionTracker)
+
+
 def best_pairs(gain):
     """The assignment with the largest sum of gains, by dynamic programming over sets of rows."""
     n, best = len(gain), {0: (0.0, ())}
