@@ -1,6 +1,6 @@
 """Trackers on event time: frames may come in any order, in parts and more than once.
 
-Rows wait in a list, an item for what a micro-batch brings of a frame, until the watermark has passed their frame. A run has one timer,
+Rows wait in a list, an item for what a micro-batch brings of a run, until the watermark has passed their frame. A run has one timer,
 that of its earliest waiting frame; it takes all complete frames in order through the tracker and sets the next one, so the list is
 read once for all frames that are due. The tracker's state lies apart by track, motion id and gallery entry, so that a micro-batch
 writes of it what it changed only. Rows later than the watermark are dropped by Spark; a row that comes again takes its own place.
@@ -10,6 +10,7 @@ The state store must be RocksDB (`rocksdb`).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -20,8 +21,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from .trackers import OUT, MotionTracker, Row, Track, Tracker
 
-#: Some rows of a frame; the one without a detection is not among them.
-WAITING = "frame_idx long, ms long, det_idx array<int>, boxes array<array<double>>, labels array<string>, motions array<long>, embeddings array<array<double>>"
+#: Some frames of a run, pickled (`_items`): Spark reads a schema for every row of a state, which takes longer than to track a frame.
+WAITING = "frames binary"
+#: So many frames are a row at most.
+TOGETHER = 256
 TRACK = "place int, live boolean, x0 double, y0 double, x1 double, y1 double, label string, motion long, misses long, ema array<double>, embs array<array<double>>, mean array<double>"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -46,7 +49,7 @@ def _array(v: list[float] | None) -> np.ndarray | None:
 
 
 def _items(part: pd.DataFrame) -> list[tuple]:
-    """The rows of a part by frame, as items of the waiting list."""
+    """The rows of a part by frame: number, time, and what its detections have; the row without a detection is not among them."""
     ms = part["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64).tolist()
     embs = part["embedding"] if "embedding" in part else [None] * len(part)
     out: dict[int, tuple] = {}
@@ -59,6 +62,11 @@ def _items(part: pd.DataFrame) -> list[tuple]:
     return list(out.values())
 
 
+def _packed(items: list[tuple]) -> list[tuple[bytes]]:
+    """Items of `_items` as rows of the waiting list."""
+    return [(pickle.dumps(items[n : n + TOGETHER]),) for n in range(0, len(items), TOGETHER)]
+
+
 def tracks_of(tracker: Tracker) -> dict[int, tuple]:
     """The tracks as rows, by id, with their places in the order of the tracker."""
     if isinstance(tracker, MotionTracker):
@@ -100,7 +108,7 @@ class EventTracker(StatefulProcessor):
             if len(part):
                 new += _items(part)
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendList(_packed(new))
             self._wake(min(item[1] for item in new) + 1)
         yield from ()
 
@@ -117,16 +125,16 @@ class EventTracker(StatefulProcessor):
         watermark = timerValues.getCurrentWatermarkInMs()
         frames: dict[int, dict[int, Row]] = {}
         rest = []
-        for item in self.waiting.get():
+        for item in (item for row in self.waiting.get() for item in pickle.loads(row[0])):
             if item[1] >= watermark:
-                rest.append(tuple(item))
+                rest.append(item)
                 continue
             dets = frames.setdefault(item[0], {})
             for det, box, label, motion, emb in zip(*item[2:], strict=True):
                 dets[det] = Row(tuple(box), label, motion, _array(emb))
         self.timer.clear()
         if rest:
-            self.waiting.put(rest)
+            self.waiting.put(_packed(rest))
             self._wake(min(item[1] for item in rest) + 1)
         else:
             self.waiting.clear()

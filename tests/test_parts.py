@@ -269,3 +269,17 @@ def test_a_run_has_one_timer_and_its_rows_are_read_once(spark):
     assert [len(x) for x in out] == [500] and sorted(set(out[0].object_id)) == [1, 2, 3, 4, 5]
     assert handle.timers == {1_100_001}  # the first frame that isn't due
     assert sum(handle.calls.values()) < 50  # not some for every row
+
+
+def test_frames_wait_together():
+    handle, events = CountedHandle(), EventTracker(T.MotionTracker)
+    events.init(handle)
+    rows = [(f, 0, pd.Timestamp(f + 1000, unit="s"), 10.0, 0.0, 40.0, 60.0, "person", -1) for f in range(600)]
+    part = pd.DataFrame(rows, columns=["frame_idx", "det_idx", "ts", "x0", "y0", "x1", "y1", "label", "motion_id"])
+    for n in range(2):
+        assert not list(events.handleInputRows(("r",), iter([part[part.frame_idx % 2 == n]]), None))
+    assert len(events.waiting.items[None]) == 4  # two rows of 300 frames each
+    handle.timers.clear()
+    out = list(events.handleExpiredTimer(("r",), Clock(1_580_000), None))
+    assert out[0].frame_idx.tolist() == list(range(580)) and set(out[0].object_id) == {1}
+    assert len(events.waiting.items[None]) == 1 and handle.timers == {1_580_001}
